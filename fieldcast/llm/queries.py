@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from fieldcast.llm import line_dedup as ld
+from fieldcast.llm import line_dedup, quality, url_filter
 
-QUERIES = {"op5_line_dedup": ld.op5_line_dedup}
-SQL = {"op5_line_dedup": ld.OP5_SQL}
+QUERIES = {
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_url_filter": url_filter.op7_url_filter,
+}
+SQL = {
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op7_url_filter": url_filter.OP7_SQL,
+}
