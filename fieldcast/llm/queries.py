@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldcast.llm import language_id, line_dedup, quality, url_filter
+from fieldcast.llm import language_id, line_dedup, quality, token_counts, url_filter
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_token_counts": token_counts.op8_token_counts,
 }
 SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
