@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldcast.llm import language_id, line_dedup, quality, token_counts, url_filter
+from fieldcast.llm import language_id, line_dedup, quality, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_language_id": language_id.op6_language_id,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
