@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from fieldcast.llm import language_id, line_dedup, quality, token_counts, toxicity, url_filter
+from fieldcast.llm import decontaminate, language_id, line_dedup, near_dedup, quality, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 SQL = {
+    "op2_decontamination": decontaminate.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
 }
