@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fieldcast.llm import decontaminate, language_id, line_dedup, near_dedup, quality, token_counts, toxicity, url_filter
+from fieldcast.llm import decontaminate, language_id, line_dedup, near_dedup, quality, sentencepiece, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_sentencepiece": sentencepiece.op4_sentencepiece,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_url_filter": url_filter.op7_url_filter,
