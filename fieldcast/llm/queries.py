@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldcast.llm import decontaminate, language_id, line_dedup, near_dedup, quality, sentencepiece, token_counts, toxicity, url_filter
+from fieldcast.llm import chat, decontaminate, language_id, line_dedup, near_dedup, quality, sentencepiece, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_sentencepiece": sentencepiece.op4_sentencepiece,
