@@ -17,6 +17,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from fieldcast.llm.common import table
 
@@ -237,7 +238,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c.lower() not in ("ids", "n_ids")]
     at = keep.index(text)
     kinds = docs.select(*[f"`{c}`" for c in keep]).schema
-    schema = kinds.add("ids", "array<int>").add("n_ids", "long")
+    schema = kinds.add("ids", ArrayType(IntegerType())).add("n_ids", LongType())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -260,7 +261,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     """rows with the text of ids; null ids give ''. A column named as `text` is replaced."""
     keep = [c for c in rows.columns if c != text]
     at = keep.index(ids)
-    schema = rows.select(*[f"`{c}`" for c in keep]).schema.add(text, "string")
+    schema = rows.select(*[f"`{c}`" for c in keep]).schema.add(text, StringType())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
