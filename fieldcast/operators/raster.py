@@ -79,12 +79,10 @@ def aligned(source: DataFrame, grid: DataFrame, to: tuple[float, ...], affine: t
         reach = {"nearest": [0], "bilinear": [0, 1], "cubic": [-1, 0, 1, 2]}[how]
         base = (lambda c: F.floor(F.col(c) + 0.5)) if how == "nearest" else (lambda c: F.floor(F.col(c)))
         weight = {"nearest": lambda t: F.lit(1.0), "bilinear": lambda t: 1 - F.abs(t), "cubic": _cubic}[how]
-        corner = lambda c, k: (base(c) + k).cast("int")
-        parts = [
-            F.struct(corner("si", i).alias("srow"), corner("sj", j).alias("scol"), (weight(F.col("si") - corner("si", i)) * weight(F.col("sj") - corner("sj", j))).alias("k"))
-            for i in reach for j in reach
-        ]
-        cells = at.select("row", "col", F.explode(F.array(*parts)).alias("p")).select("row", "col", "p.*").where("k <> 0")
+        steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach]))
+        near = at.withColumns({"bi": base("si").cast("int"), "bj": base("sj").cast("int")}).select("*", steps.alias("p"))
+        near = near.withColumns({"srow": F.col("bi") + F.col("p.i"), "scol": F.col("bj") + F.col("p.j")})
+        cells = near.select("row", "col", "srow", "scol", (weight(F.col("si") - F.col("srow")) * weight(F.col("sj") - F.col("scol"))).alias("k")).where("k <> 0")
         own = source.where("value is not null").select("date", F.col("row").alias("srow"), F.col("col").alias("scol"), "value")
         out = own.join(cells, ["srow", "scol"]).groupBy("date", "row", "col").agg((F.sum(F.col("k") * F.col("value")) / F.sum("k")).alias("value"))
     value = F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value"))

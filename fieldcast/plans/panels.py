@@ -20,7 +20,7 @@ def item_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixels (field, date, pixel, row, col, value): a supplier is a pixel on a grid of ten columns, the value its daily mean quantity."""
     own = table(spark, sf_dir, "lineitem").select(F.lit(0).cast("long").alias("field"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("pixel"), "l_quantity")
     mean = own.groupBy("field", "date", "pixel").agg(F.round(F.avg("l_quantity"), 6).alias("value"))
-    return mean.withColumns({"row": F.floor((F.col("pixel") - 1) / 10).cast("int"), "col": ((F.col("pixel") - 1) % 10).cast("int")})
+    return mean.withColumns({"row": F.floor(F.col("pixel") / 10).cast("int"), "col": (F.col("pixel") % 10).cast("int")})
 
 
 def weather_record(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def trajectory(spark: SparkSession, sf_dir: str, r: int, per_field: bool = False
 #: The same roles in SQL, as common table expressions.
 SQL = {
     "ev": "ev AS (SELECT user_id % 3 AS field, CAST(ts AS DATE) AS date, user_id AS pixel, round(avg(value), 6) AS value FROM events GROUP BY ALL)",
-    "li": "li AS (SELECT CAST(0 AS BIGINT) AS field, CAST(l_shipdate AS DATE) AS date, l_suppkey AS pixel, CAST((l_suppkey - 1) // 10 AS INT) AS row, CAST((l_suppkey - 1) % 10 AS INT) AS col, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY ALL)",
+    "li": "li AS (SELECT CAST(0 AS BIGINT) AS field, CAST(l_shipdate AS DATE) AS date, l_suppkey AS pixel, CAST(l_suppkey // 10 AS INT) AS row, CAST(l_suppkey % 10 AS INT) AS col, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY ALL)",
     "wx": "wx AS (SELECT CAST(0 AS BIGINT) AS field, CAST(o_orderdate AS DATE) AS date, CAST(count(*) FILTER (o_orderpriority = '1-URGENT') AS DOUBLE) AS precip, round(avg(o_totalprice) / 1000, 6) AS ta, round(min(o_totalprice) / 1000, 6) AS rs, round(max(o_totalprice) / 1000, 6) AS vpd FROM orders GROUP BY ALL)",
     "ev_days": "ev_days AS (SELECT DISTINCT field, date, true AS seen FROM ev)",
     "ev_cal": "ev_cal AS (SELECT field, date, CAST(date - lo AS INT) AS t, seen IS NOT NULL AS observed FROM (SELECT field, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT field, min(date) AS lo, max(date) AS hi FROM ev GROUP BY field)) LEFT JOIN ev_days USING (field, date))",
