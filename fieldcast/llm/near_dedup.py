@@ -6,9 +6,10 @@ by the pigeonhole principle, two signatures within DISTANCE differ in one positi
 2 * CHUNKS > DISTANCE. So each chunk is indexed five times, each time without one position, and equal keys give all
 pairs within the distance.
 
-Pairs of a bucket are never all made. Rounds of pivots link the members of large groups first: in each, every member
-of a bucket is compared to a few. What then still lies in different components is compared in full, filtered by the
-signature distance inside the join.
+Pairs of a bucket are never all made. Two rounds of pivots link the members of large groups first: in each, every
+member of a bucket is compared to a few. What then still lies in different components, and shares enough with any
+others at all, is compared in full: small components by pairs, filtered inside the join by size, shared core and
+signature distance; members that share keys with a large component as queries against blocks of it.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ CHUNK, CHUNKS = 5, 19
 POSITIONS, WORDS_OF_8 = CHUNK * CHUNKS, 12
 #: Signatures that differ in more positions are not compared.
 DISTANCE = 2 * CHUNKS - 1
-#: Rounds of pivots before the full comparison of what is left.
-ROUNDS = 3
+#: Components of up to SMALL members are compared pair by pair, larger ones in blocks of about BLOCK members.
+SMALL, BLOCK = 16, 256
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64)
@@ -142,15 +143,8 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union on the full sets. Pairs of unlike sizes go first."""
-    sizes = sets.select("node", F.size("set").alias("n"))
-    fit = (
-        pairs.join(sizes.toDF("a", "na"), "a")
-        .join(sizes.toDF("b", "nb"), "b")
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .select("a", "b")
-    )
-    both = fit.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    """The pairs (a, b) of which 100 * intersection >= percent * union on the full sets."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,11 +158,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Da
     return stored(both.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long"), name)
 
 
-def _close(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures are within DISTANCE."""
-    left = sigs.select(F.col("node").alias("a"), *[F.col(s).alias(f"a_{s}") for s in _SIG])
-    right = sigs.select(F.col("node").alias("b"), *[F.col(s).alias(f"b_{s}") for s in _SIG])
-    return pairs.join(left, "a").join(right, "b").where(signature_distance("a_", "b_") <= DISTANCE).select("a", "b")
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Whether two sets of sizes n with cores c can reach the similarity: no more than the smaller core is shared."""
+    most = F.least(f"{a}c", f"{b}c")
+    return 100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most)
+
+
+def _cores(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, c): the size of each set, and how many of its shingles some other set has too.
+
+    Sets that could not reach the similarity with any other are left out: they have no links. In a large group of near
+    copies these are the copies with many changes of their own, which would else be compared to all the others.
+    """
+    alone = sets.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1")
+    own = alone.groupBy("node").agg(F.count("*").alias("own"))
+    size = sets.select("node", F.size("set").cast("long").alias("n"))
+    got = size.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
+    return got.where(100 * F.col("c") >= percent * F.col("n"))
+
+
+def _close(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures are within DISTANCE and whose sizes allow the similarity. sigs: node, n, c, signature."""
+    side = lambda x: sigs.select(F.col("node").alias(x), *[F.col(s).alias(f"{x}_{s}") for s in ("n", "c", *_SIG)])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("a_", "b_", percent) & (signature_distance("a_", "b_") <= DISTANCE)).select("a", "b")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -176,44 +188,96 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def link_classes(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, comp) of the classes that have a link to another: classes has node and the signature, texts r1, r2, text."""
-    sigs = classes.select("node", *_SIG)
+    """(node, comp) of the classes that have a link to another: classes has node, n and the signature, texts r1, r2, text."""
+    sigs = classes.select("node", "n", F.col("n").alias("c"), *_SIG)
     buckets = sigs.select("node", F.explode(_keys()).alias("key"))
     # Most keys are one class's own; these go before anything else is done.
     shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     buckets = stored(buckets.join(shared, "key"), "buckets")
     wanted = buckets.select("node").distinct().join(classes.select("node", "r1", "r2"), "node")
     sets = stored(_sets(texts.join(wanted, ["r1", "r2"]).dropDuplicates(["node"]), k), "sets")
-    edges, labels = None, None
-    for round_ in range(ROUNDS):
-        rows = buckets if labels is None else _unsettled(buckets, labels)
-        if labels is None:
-            pairs = rows.join(_pivots(rows, [F.xxhash64("node", F.col("key") % 4)]), "key").where("node <> pivot")
-        else:
-            rows = stored(rows.join(_degrees(edges), "node", "left"), "unsettled")
-            if not rows.limit(1).count():
-                break
-            # The member with most links, and one that differs from key to key.
-            most = _pivots(rows, [-F.coalesce("degree", F.lit(0)), F.col("node")])
-            some = _pivots(rows, [F.when(F.col("degree").isNull(), 1).otherwise(0), F.xxhash64("node", "key", F.lit(round_))])
-            pairs = rows.join(most.union(some).distinct(), "key").where("comp <> pivot_comp")
-        near = stored(_close(pairs.select(*_ordered("node", "pivot")).distinct(), sigs), "near")
-        new = _confirmed(near, sets, percent, "links")
-        edges = new if edges is None else stored(edges.union(new).distinct(), "all-links")
-        labels = components(edges, "round")
-    rest = stored(_unsettled(buckets, labels), "rest")
-    if rest.limit(1).count():
-        # All pairs of a key that lie in different components, but those inside its largest, are compared by signature.
-        largest = rest.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-        full = rest.join(largest, "key").join(sigs, "node").select("key", "node", "comp", "main", *_SIG)
-        left = full.where("comp <> main").select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "comp", *_SIG)])
-        right = full.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "comp", "main", *_SIG)])
-        apart = (F.col("a_comp") != F.col("b_comp")) & ((F.col("a_node") < F.col("b_node")) | (F.col("b_comp") == F.col("b_main")))
-        pairs = left.join(right, (left["key"] == right["key"]) & apart & (signature_distance("a_", "b_") <= DISTANCE))
-        new = _confirmed(stored(pairs.select(*_ordered("a_node", "b_node")).distinct(), "near"), sets, percent, "links")
-        if new.limit(1).count():
-            labels = components(stored(edges.union(new).distinct(), "all-links"), "last")
-    return labels
+
+    # First every member of a bucket is compared to its pivot, of which a group of copies has a few.
+    pairs = buckets.join(_pivots(buckets, [F.xxhash64("node", F.col("key") % 4)]), "key").where("node <> pivot")
+    edges = _confirmed(stored(_close(pairs.select(*_ordered("node", "pivot")).distinct(), sigs, percent), "near"), sets, percent, "links")
+    labels = components(edges, "first")
+
+    # Buckets with members in several components go on, without those members that cannot have a link.
+    rows = stored(_unsettled(buckets, labels), "unsettled")
+    cores = stored(_cores(sets.join(rows.select("node").distinct(), "node", "left_semi"), percent), "cores")
+    rows = stored(_unsettled(rows.select("key", "node").join(cores.select("node"), "node", "left_semi"), labels), "unsettled")
+    if not rows.limit(1).count():
+        return labels
+    cored = stored(sigs.drop("n", "c").join(cores, "node"), "cored")
+
+    # Then to the member with most links, and to one that differs from key to key.
+    rows = stored(rows.join(_degrees(edges), "node", "left"), "unsettled")
+    most = _pivots(rows, [-F.coalesce("degree", F.lit(0)), F.col("node")])
+    some = _pivots(rows, [F.when(F.col("degree").isNull(), 1).otherwise(0), F.xxhash64("node", "key", F.lit(1))])
+    pairs = rows.join(most.union(some).distinct(), "key").where("comp <> pivot_comp")
+    new = _confirmed(stored(_close(pairs.select(*_ordered("node", "pivot")).distinct(), cored, percent), "near"), sets, percent, "links")
+    edges = stored(edges.union(new).distinct(), "all-links")
+    labels = components(edges, "second")
+
+    # What still lies in different components is compared in full: members of small components with each other inside
+    # the join on their keys, and each member that shares a key with a larger component with all of that, in blocks.
+    rest = _unsettled(rows.select("key", "node"), labels)
+    size = rest.select("comp", "node").distinct().groupBy("comp").agg(F.count("*").alias("size"))
+    rest = stored(rest.join(size, "comp"), "rest")
+    if not rest.limit(1).count():
+        return labels
+    small = rest.where(F.col("size") <= SMALL).join(cored, "node").select("key", "node", "comp", "n", "c", *_SIG)
+    side = lambda x: small.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "n", "c", *_SIG)])
+    left, right = side("a"), side("b")
+    apart = (F.col("a_comp") != F.col("b_comp")) & (F.col("a_node") < F.col("b_node"))
+    pairs = left.join(right, (left["key"] == right["key"]) & apart & _possible("a_", "b_", percent) & (signature_distance("a_", "b_") <= DISTANCE))
+    new = _confirmed(stored(pairs.select(*_ordered("a_node", "b_node")).distinct(), "near"), sets, percent, "links")
+    new = stored(new.union(_block_links(rest, sets, percent)).distinct(), "links")
+    return components(stored(edges.union(new).distinct(), "all-links"), "last") if new.limit(1).count() else labels
+
+
+def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a link from each member that shares a key with a larger component than its own into that component, if any.
+
+    The component's members and those that ask are dealt into blocks of about BLOCK sets, bounded in shingles too; a
+    task meets two blocks and gives out one link for each asking member at most.
+    """
+    large = rest.where(F.col("size") > SMALL)
+    into = large.select("key", F.col("comp").alias("into"), F.col("size").alias("into_size")).distinct()
+    bigger = F.struct("size", "comp") < F.struct("into_size", "into")
+    asks = stored(rest.join(into, "key").where(bigger).select("node", "into").distinct(), "asks")
+    cost = sets.select("node", F.size("set").alias("n"))
+    blocks = lambda: F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / (BLOCK * 4096))).cast("int")
+    members = large.select("node", F.col("comp").alias("into")).distinct()
+    plan = members.join(cost, "node").groupBy("into").agg(blocks().alias("bx")).join(asks.join(cost, "node").groupBy("into").agg(blocks().alias("by")), "into")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = members.join(plan, "into").select("into", "node", at("bx").alias("x"), every("by").alias("y"), F.lit(False).alias("asks"))
+    asking = asks.join(plan, "into").select("into", "node", every("bx").alias("x"), at("by").alias("y"), F.lit(True).alias("asks"))
+    dealt = held.union(asking).join(sets, "node")
+
+    def meet(f):
+        import pandas as pd
+
+        own, ask = f[~f["asks"]].reset_index(drop=True), f[f["asks"]].reset_index(drop=True)
+        out = []
+        if len(own) and len(ask):
+            sizes = own["set"].map(len).to_numpy()
+            values = np.concatenate(own["set"].to_numpy())
+            owner = np.repeat(np.arange(len(own)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for node, s in zip(ask["node"], ask["set"], strict=True):
+                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(own))
+                hit = np.flatnonzero(100 * shared >= percent * (len(s) + sizes - shared))
+                if len(hit):
+                    out.append((min(node, own["node"][hit[0]]), max(node, own["node"][hit[0]])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return dealt.groupBy("into", "x", "y").applyInPandas(meet, "a long, b long")
 
 
 def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -239,8 +303,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
     keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumns({"r1": F.xxhash64("id", "text"), "r2": F.xxhash64("text", "id", F.lit(1))})
     rows = stored(_measured(keyed, ["id", "r1", "r2"], "text", k), "signatures")
     # Equal sets are one class from here on.
-    least = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "r1", "r2", *_SIG)).alias("v")
-    classes = rows.where("n > 0").groupBy("d1", "d2").agg(least).select("d1", "d2", "v.r1", "v.r2", *[f"v.{s}" for s in _SIG])
+    least = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "r1", "r2", "n", *_SIG)).alias("v")
+    classes = rows.where("n > 0").groupBy("d1", "d2").agg(least).select("d1", "d2", "v.r1", "v.r2", "v.n", *[f"v.{s}" for s in _SIG])
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     labels = link_classes(classes, keyed, k, percent)
     named = classes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("comp"))
