@@ -44,8 +44,8 @@ def benjamini_hochberg(tests: DataFrame, keys: list[str], p: Column, alpha: floa
     """tests with reject: step-up control of the false discovery rate inside each group of keys."""
     w = Window.partitionBy(*keys)
     ranked = tests.withColumns({"m": F.count("*").over(w), "rank": F.row_number().over(w.orderBy(p))})
-    last = F.max(F.when(p <= alpha * F.col("rank") / F.col("m"), F.col("rank"))).over(w)
-    return ranked.withColumn("reject", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("m", "rank")
+    last = F.max(F.when(p <= alpha * F.col("rank") / F.col("m"), p)).over(w)
+    return ranked.withColumn("reject", F.coalesce(p <= last, F.lit(False))).drop("m", "rank")
 
 
 def portmanteau(e: DataFrame, lags: int = 10, seed: int = 0) -> DataFrame:
