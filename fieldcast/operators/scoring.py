@@ -216,3 +216,31 @@ def ablation_summary(scores: DataFrame, reference: DataFrame) -> DataFrame:
     agg = scores.agg(F.min(F.struct("score", "order")).alias("b"), F.max("score").alias("hi"))
     n = scores.join(F.broadcast(reference)).agg(F.count_if(F.col("score") < F.col("reference")).alias("n_better"))
     return agg.join(n).select(F.col("b.order").alias("best_order"), F.col("b.score").alias("best_score"), "n_better", (F.col("hi") - F.col("b.score")).alias("spread"))
+
+
+def error_budget(residuals: DataFrame, complement: DataFrame, persistence_rmse: DataFrame, gain: float) -> DataFrame:
+    """(representation, truncation, static_complement, floor, upstream, persistence, binding): what the parts before the
+    forecast cost, in the units of the data.
+
+    residuals (residual) of the reconstruction; complement (field, t, pixel, part): what the subspace leaves out, decoded.
+    Truncation is the one-step drift of that part; floor is gain times the root of the sum of squares.
+    """
+    step = F.col("part") - F.lag("part").over(Window.partitionBy("field", "pixel").orderBy("t"))
+    moved = complement.withColumn("step", step).agg(F.sqrt(F.avg(F.col("step") * F.col("step"))).alias("truncation"), F.sqrt(F.avg(F.col("part") * F.col("part"))).alias("static_complement"))
+    rep = residuals.agg(F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("representation"))
+    got = rep.join(F.broadcast(moved)).join(F.broadcast(persistence_rmse.select(F.col("rmse").alias("persistence"))))
+    upstream = F.sqrt(F.col("representation") * F.col("representation") + F.col("truncation") * F.col("truncation"))
+    binding = F.when(F.col("representation") >= F.col("truncation"), "representation").otherwise("truncation")
+    return got.select("representation", "truncation", "static_complement", (F.lit(gain) * upstream).alias("floor"), upstream.alias("upstream"), "persistence", binding.alias("binding"))
+
+
+def largest_norms(vectors: DataFrame, column: str) -> DataFrame:
+    """(field, largest): the largest Euclidean norm of an array column."""
+    return vectors.groupBy("field").agg(F.max(F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x * x))).alias("largest"))
+
+
+def first_reaching(energies: DataFrame, keys: list[str], level: float) -> DataFrame:
+    """keys, k: the first component at which the cumulative share of energy (keys, k, energy) is at least the level."""
+    w = Window.partitionBy(*keys)
+    share = energies.withColumn("share", F.sum("energy").over(w.orderBy("k")) / F.sum("energy").over(w))
+    return share.where(F.col("share") >= level - 1e-12).groupBy(*keys).agg(F.min("k").alias("k"))

@@ -194,3 +194,21 @@ def cumulative_energy(spark, sf):
     s = e.groupBy("label", "k").agg(F.sum("s").alias("s"))
     w = Window.partitionBy("label")
     return s.select("label", "k", F.round(F.sum("s").over(w.orderBy("k")) / F.sum("s").over(w), 6).alias("energy"))
+
+
+@query("SELECT label, min(k) AS k FROM (SELECT label, k, sum(s) OVER (PARTITION BY label ORDER BY k) / sum(s) OVER (PARTITION BY label) AS share FROM (SELECT label, CAST(vec_id % 8 AS INT) AS k, sum(pow(round(CAST(embedding[1] AS DOUBLE), 6), 2)) AS s FROM embeddings GROUP BY ALL)) WHERE share >= 0.8 - 1e-12 GROUP BY label")
+def energy_rank(spark, sf):
+    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 8).cast("int").alias("k"), F.pow(F.round(F.col("embedding")[0].cast("double"), 6), 2).alias("s"))
+    return S.first_reaching(e.groupBy("label", "k").agg(F.sum("s").alias("energy")), ["label"], 0.8)
+
+
+@query("SELECT CAST(label AS BIGINT) AS field, round(max(sqrt(list_dot_product(w, w))), 6) AS largest FROM (SELECT label, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 6)) AS w FROM embeddings) GROUP BY label")
+def largest_norms(spark, sf):
+    return S.largest_norms(trajectory(spark, sf, 4, per_field=True), "w").withColumn("largest", F.round("largest", 6))
+
+
+@query("SELECT p_partkey, CASE WHEN lower(trim(p_type)) LIKE 'lst%' OR lower(trim(p_type)) = 'land surface temperature' THEN 'lst' ELSE 'ndvi' END AS key FROM part")
+def modality_keys(spark, sf):
+    from fieldcast.functions.modality import resolve
+
+    return table(spark, sf, "part").select("p_partkey", resolve(F.col("p_type")).alias("key"))

@@ -111,15 +111,15 @@ def test_memory_operator(spark):
 
 def test_forced_operator(spark):
     rng = np.random.default_rng(6)
-    a, b, w = 0.7 * np.eye(2), np.array([[1.0], [-0.5]]), np.zeros((300, 2))
+    a, b, w = np.diag([0.7, 0.5]), np.array([[1.0], [-0.5]]), np.zeros((300, 2))
     u = np.where(rng.random((300, 1)) < 0.3, rng.random((300, 1)), 0)
     for t in range(299):
-        w[t + 1] = a @ w[t] + b @ u[t] + 0.001 * rng.standard_normal(2)
+        w[t + 1] = a @ w[t] + b @ u[t]
     df = weights(spark, w).join(spark.createDataFrame([(t, u[t].tolist()) for t in range(300)], "t long, u array<double>"), "t")
     d = Y.delay_line(df, 1, 1, "u")
-    got = Y.fit_operator(d, mu=1e-6, forced=True)[0]
+    got = Y.fit_operator(d, mu=1e-9, forced=True)[0]
     assert np.allclose(got[0][0], a, atol=0.03) and np.allclose(got[1], b, atol=0.02)
-    two = Y.two_stage(d, F.col("u")[0] == 0, mu=1e-6)[0]
+    two = Y.two_stage(d, F.col("u")[0] == 0, mu=1e-9)[0]
     assert np.allclose(two[0][0], a, atol=0.02) and np.allclose(two[1], b, atol=0.02)
 
 
