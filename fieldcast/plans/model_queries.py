@@ -14,7 +14,7 @@ from fieldcast.operators import raster as R
 from fieldcast.operators import scoring as S
 from fieldcast.operators import state as X
 from fieldcast.plans.archive_queries import CUT_LI
-from fieldcast.plans.panels import item_panel, table, trajectory, weather_record, with_sql
+from fieldcast.plans.panels import fixed, item_panel, table, trajectory, weather_record, with_sql
 
 QUERIES, SQL = {}, {}
 
@@ -40,22 +40,22 @@ def _basis(spark, sf, offset: float | None = 25.0):
     return grid.select("field", "pixel", phi.alias("phi"), F.lit(offset).alias("offset"))
 
 
-@query(with_sql("li", f", {_BASIS} SELECT field, pixel, CAST(j - 1 AS INT) AS j, round(phi[j], 6) AS v FROM bs, (SELECT CAST(unnest(generate_series(1, 4)) AS INT) AS j)"))
+@query(with_sql("li", f", {_BASIS} SELECT field, pixel, CAST(j - 1 AS INT) AS j, round(phi[j] + 3e-8, 6) AS v FROM bs, (SELECT CAST(unnest(generate_series(1, 4)) AS INT) AS j)"))
 def rbf_basis(spark, sf):
-    return _basis(spark, sf).select("field", "pixel", F.posexplode("phi").alias("j", "v")).withColumn("v", F.round("v", 6))
+    return _basis(spark, sf).select("field", "pixel", F.posexplode("phi").alias("j", "v")).withColumn("v", fixed("v", 6))
 
 
-@query(with_sql("li", f", {_BASIS}, m AS (SELECT field, j, max(abs(phi[j])) AS top FROM bs, (SELECT unnest(generate_series(1, 4)) AS j) GROUP BY ALL) SELECT field, count(*) AS n, count(*) FILTER (top <= 0.9) AS n_dead, round(count(*) FILTER (top <= 0.9) / count(*), 6) AS share, round(min(top), 6) AS smallest FROM m GROUP BY field"))
+@query(with_sql("li", f", {_BASIS}, m AS (SELECT field, j, max(abs(phi[j])) AS top FROM bs, (SELECT unnest(generate_series(1, 4)) AS j) GROUP BY ALL) SELECT field, count(*) AS n, count(*) FILTER (top <= 0.9) AS n_dead, round(count(*) FILTER (top <= 0.9) / count(*) + 3e-8, 6) AS share, round(min(top) + 3e-8, 6) AS smallest FROM m GROUP BY field"))
 def shaded_columns(spark, sf):
-    return X.shaded(_basis(spark, sf), 0.9).withColumns({c: F.round(c, 6) for c in ("share", "smallest")})
+    return X.shaded(_basis(spark, sf), 0.9).withColumns({c: fixed(c, 6) for c in ("share", "smallest")})
 
 
-@query(with_sql("li", f", {_BASIS} SELECT field, date, CAST(j - 1 AS INT) AS i, round(sum(phi[j] * (value - 25)), 5) + 0.0 AS v, count(*) AS n FROM li JOIN bs USING (field, pixel), (SELECT CAST(unnest(generate_series(1, 4)) AS INT) AS j) GROUP BY ALL"))
+@query(with_sql("li", f", {_BASIS} SELECT field, date, CAST(j - 1 AS INT) AS i, round(sum(phi[j] * (value - 25)) + 3e-7, 5) + 0.0 AS v, count(*) AS n FROM li JOIN bs USING (field, pixel), (SELECT CAST(unnest(generate_series(1, 4)) AS INT) AS j) GROUP BY ALL"))
 def frame_moments(spark, sf):
     """The right-hand sides of all frames' ridge regressions."""
     got = item_panel(spark, sf).join(_basis(spark, sf), ["field", "pixel"]).withColumn("y", F.col("value") - F.col("offset"))
     m = X.cross_moments(got, ["field", "date"], "phi", "y")
-    return m.select("field", "date", "n", F.posexplode("xy").alias("i", "v")).withColumn("v", F.round("v", 5) + 0.0)
+    return m.select("field", "date", "n", F.posexplode("xy").alias("i", "v")).withColumn("v", fixed("v", 5) + 0.0)
 
 
 def _states(spark, sf, cov=False):
@@ -68,10 +68,10 @@ def state_extraction(spark, sf):
     return _states(spark, sf)
 
 
-@query(with_sql("li", f", {_BASIS}, w AS (SELECT DISTINCT CAST(0 AS BIGINT) AS field, CAST(vec_id AS BIGINT) AS t, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 6)) AS w FROM embeddings WHERE vec_id < 50) SELECT field, t, pixel, round(list_dot_product(phi, w) + 25, 6) AS pred FROM bs JOIN w USING (field)"))
+@query(with_sql("li", f", {_BASIS}, w AS (SELECT DISTINCT CAST(0 AS BIGINT) AS field, CAST(vec_id AS BIGINT) AS t, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 6)) AS w FROM embeddings WHERE vec_id < 50) SELECT field, t, pixel, round(list_dot_product(phi, w) + 25 + 3e-8, 6) AS pred FROM bs JOIN w USING (field)"))
 def decoded_states(spark, sf):
     w = trajectory(spark, sf, 4).where("t < 50")
-    return X.decode(w, _basis(spark, sf), ["t"]).withColumn("pred", F.round("pred", 6))
+    return X.decode(w, _basis(spark, sf), ["t"]).withColumn("pred", fixed("pred", 6))
 
 
 @query(None)
@@ -182,29 +182,29 @@ def kernel_observer_scores(spark, sf):
     return S.horizon_scores(S.with_truth(pred, pixels))
 
 
-@query(with_sql("li", ", g AS (SELECT DISTINCT field, pixel, row, col FROM li), m AS (SELECT field, max(row) AS h, max(col) AS w FROM g GROUP BY field) SELECT field, pixel, row, col, round(coalesce(col * 2.0 / nullif(w, 0) - 1, -1), 6) AS x, round(coalesce(row * 2.0 / nullif(h, 0) - 1, -1), 6) AS y FROM g JOIN m USING (field)"))
+@query(with_sql("li", ", g AS (SELECT DISTINCT field, pixel, row, col FROM li), m AS (SELECT field, max(row) AS h, max(col) AS w FROM g GROUP BY field) SELECT field, pixel, row, col, round(coalesce(col * 2.0 / nullif(w, 0) - 1, -1) + 3e-8, 6) AS x, round(coalesce(row * 2.0 / nullif(h, 0) - 1, -1) + 3e-8, 6) AS y FROM g JOIN m USING (field)"))
 def index_coordinates(spark, sf):
     grid = item_panel(spark, sf).select("field", "pixel", "row", "col").distinct()
-    return R.index_coordinates(grid).withColumns({c: F.round(c, 6) for c in ("x", "y")})
+    return R.index_coordinates(grid).withColumns({c: fixed(c, 6) for c in ("x", "y")})
 
 
-@query("SELECT label, k, round(energy, 6) AS energy FROM (SELECT label, k, sum(s) OVER (PARTITION BY label ORDER BY k) / sum(s) OVER (PARTITION BY label) AS energy FROM (SELECT label, CAST(vec_id % 8 AS INT) AS k, sum(pow(round(CAST(embedding[1] AS DOUBLE), 6), 2)) AS s FROM embeddings GROUP BY ALL))")
+@query("SELECT label, k, round(energy + 3e-8, 6) AS energy FROM (SELECT label, k, sum(s) OVER (PARTITION BY label ORDER BY k) / sum(s) OVER (PARTITION BY label) AS energy FROM (SELECT label, CAST(vec_id % 8 AS INT) AS k, sum(pow(round(CAST(embedding[1] AS DOUBLE), 6), 2)) AS s FROM embeddings GROUP BY ALL))")
 def cumulative_energy(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 8).cast("int").alias("k"), F.pow(F.round(F.col("embedding")[0].cast("double"), 6), 2).alias("s"))
+    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 8).cast("int").alias("k"), F.pow(fixed(F.col("embedding")[0].cast("double"), 6), 2).alias("s"))
     s = e.groupBy("label", "k").agg(F.sum("s").alias("s"))
     w = Window.partitionBy("label")
-    return s.select("label", "k", F.round(F.sum("s").over(w.orderBy("k")) / F.sum("s").over(w), 6).alias("energy"))
+    return s.select("label", "k", fixed(F.sum("s").over(w.orderBy("k")) / F.sum("s").over(w), 6).alias("energy"))
 
 
 @query("SELECT label, min(k) AS k FROM (SELECT label, k, sum(s) OVER (PARTITION BY label ORDER BY k) / sum(s) OVER (PARTITION BY label) AS share FROM (SELECT label, CAST(vec_id % 8 AS INT) AS k, sum(pow(round(CAST(embedding[1] AS DOUBLE), 6), 2)) AS s FROM embeddings GROUP BY ALL)) WHERE share >= 0.8 - 1e-12 GROUP BY label")
 def energy_rank(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 8).cast("int").alias("k"), F.pow(F.round(F.col("embedding")[0].cast("double"), 6), 2).alias("s"))
+    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 8).cast("int").alias("k"), F.pow(fixed(F.col("embedding")[0].cast("double"), 6), 2).alias("s"))
     return S.first_reaching(e.groupBy("label", "k").agg(F.sum("s").alias("energy")), ["label"], 0.8)
 
 
-@query("SELECT CAST(label AS BIGINT) AS field, round(max(sqrt(list_dot_product(w, w))), 6) AS largest FROM (SELECT label, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 6)) AS w FROM embeddings) GROUP BY label")
+@query("SELECT CAST(label AS BIGINT) AS field, round(max(sqrt(list_dot_product(w, w))) + 3e-8, 6) AS largest FROM (SELECT label, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 6)) AS w FROM embeddings) GROUP BY label")
 def largest_norms(spark, sf):
-    return S.largest_norms(trajectory(spark, sf, 4, per_field=True), "w").withColumn("largest", F.round("largest", 6))
+    return S.largest_norms(trajectory(spark, sf, 4, per_field=True), "w").withColumn("largest", fixed("largest", 6))
 
 
 @query("SELECT p_partkey, CASE WHEN lower(trim(p_type)) LIKE 'lst%' OR lower(trim(p_type)) = 'land surface temperature' THEN 'lst' ELSE 'ndvi' END AS key FROM part")

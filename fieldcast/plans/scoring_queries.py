@@ -11,7 +11,7 @@ from fieldcast.operators import moments as G
 from fieldcast.operators import scoring as S
 from fieldcast.operators import whiteness as T
 from fieldcast.plans.archive_queries import CUT_EV, CUT_LI, gap_calendar
-from fieldcast.plans.panels import event_panel, item_panel, table, trajectory, with_sql
+from fieldcast.plans.panels import event_panel, fixed, item_panel, table, trajectory, with_sql
 
 QUERIES, SQL = {}, {}
 
@@ -27,11 +27,11 @@ def query(sql: str | None):
 
 
 def _r(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: fixed(c, 6) for c in cols})
 
 
 H = 4
-_M = "round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(avg(e), 6) AS bias, round(sqrt(greatest(avg(e * e) - avg(e) * avg(e), 0)), 6) AS ubrmse"
+_M = "round(sqrt(avg(e * e)) + 3e-8, 6) AS rmse, round(avg(abs(e)) + 3e-8, 6) AS mae, round(avg(e) + 3e-8, 6) AS bias, round(sqrt(greatest(avg(e * e) - avg(e) * avg(e), 0)) + 3e-8, 6) AS ubrmse"
 _METRICS = ("rmse", "mae", "bias", "ubrmse")
 _SPLIT = f"CASE WHEN date < DATE '{CUT_EV}' THEN 'train' ELSE 'test' END"
 #: Origins are the observed test days; pe has the errors of persistence, ce those of climatology.
@@ -86,19 +86,19 @@ def extreme_pixels(spark, sf):
 
 
 @query(with_sql("ev ev_days ev_cal", _PE + """, f AS (SELECT lead, target, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, avg(e) AS bias, sqrt(greatest(avg(e * e) - avg(e) * avg(e), 0)) AS ubrmse FROM pe GROUP BY ALL)
-SELECT lead, count(*) AS n_frames, round(avg(rmse), 6) AS rmse, round(avg(mae), 6) AS mae, round(avg(bias), 6) AS bias, round(avg(ubrmse), 6) AS ubrmse FROM f GROUP BY lead"""))
+SELECT lead, count(*) AS n_frames, round(avg(rmse) + 3e-8, 6) AS rmse, round(avg(mae) + 3e-8, 6) AS mae, round(avg(bias) + 3e-8, 6) AS bias, round(avg(ubrmse) + 3e-8, 6) AS ubrmse FROM f GROUP BY lead"""))
 def sequence_scores(spark, sf):
     return _r(S.sequence_scores(persistence_errors(spark, sf), ["lead"]), *_METRICS)
 
 
-@query(with_sql("ev ev_days ev_cal", _PE + " SELECT lead, round(1 - sum(e * e) / (var_pop(value) * count(value) + 1e-12), 6) AS r2, round(avg(0.5 * (ln(greatest(100.0, 1e-8) * 6.283185307179586) + e * e / 100.0)), 6) AS nll, round(covar_pop(pred, value) / (stddev_pop(pred) * stddev_pop(value) + 1e-12), 6) AS similarity FROM pe GROUP BY lead"))
+@query(with_sql("ev ev_days ev_cal", _PE + " SELECT lead, round(1 - sum(e * e) / (var_pop(value) * count(value) + 1e-12) + 3e-8, 6) AS r2, round(avg(0.5 * (ln(greatest(100.0, 1e-8) * 6.283185307179586) + e * e / 100.0)) + 3e-8, 6) AS nll, round(covar_pop(pred, value) / (stddev_pop(pred) * stddev_pop(value) + 1e-12) + 3e-8, 6) AS similarity FROM pe GROUP BY lead"))
 def fit_measures(spark, sf):
     e = persistence_errors(spark, sf)
     got = e.groupBy("lead").agg(S.r_squared(F.col("value"), F.col("error")).alias("r2"), S.gaussian_nll(F.col("error"), F.lit(100.0)).alias("nll"), S.centred_correlation(F.col("pred"), F.col("value")).alias("similarity"))
     return _r(got, "r2", "nll", "similarity")
 
 
-@query(with_sql("ev ev_days ev_cal", _PE + " SELECT 'persistence' AS variant, lead, round(avg((abs(e) <= 1.96 * (10 + lead))::INT), 6) AS coverage, round(avg(1.96 * (10 + lead)), 6) AS half_width FROM pe GROUP BY lead"))
+@query(with_sql("ev ev_days ev_cal", _PE + " SELECT 'persistence' AS variant, lead, round(avg((abs(e) <= 1.96 * (10 + lead))::INT) + 3e-8, 6) AS coverage, round(avg(1.96 * (10 + lead)) + 3e-8, 6) AS half_width FROM pe GROUP BY lead"))
 def interval_coverage(spark, sf):
     return _r(S.interval_coverage(persistence_errors(spark, sf), F.lit(10.0) + F.col("lead"), 1.96), "coverage", "half_width")
 
@@ -107,41 +107,41 @@ def interval_coverage(spark, sf):
 sl AS (SELECT field, pixel, max(rmse) FILTER (lead = 1) AS rmse1, regr_slope(rmse, lead) AS slope FROM px GROUP BY ALL),
 tp AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY round(rmse1, 9) DESC NULLS LAST, pixel) AS rank FROM sl),
 mv AS (SELECT field, pixel, avg(abs(value - pred)) AS move1 FROM pe WHERE lead = 1 GROUP BY ALL)
-SELECT field, pixel, round(rmse1, 6) AS rmse1, round(slope, 6) AS slope, rank, round(move1, 6) AS move1, CASE WHEN move1 > 0.5 * rmse1 THEN 'event' WHEN abs(slope) < 0.1 * rmse1 THEN 'representation' ELSE 'dynamics' END AS verdict FROM tp LEFT JOIN mv USING (field, pixel) WHERE rank <= 5"""))
+SELECT field, pixel, round(rmse1 + 3e-8, 6) AS rmse1, round(slope + 3e-8, 6) AS slope, rank, round(move1 + 3e-8, 6) AS move1, CASE WHEN move1 > 0.5 * rmse1 THEN 'event' WHEN abs(slope) < 0.1 * rmse1 THEN 'representation' ELSE 'dynamics' END AS verdict FROM tp LEFT JOIN mv USING (field, pixel) WHERE rank <= 5"""))
 def worst_pixels(spark, sf):
     return _r(S.worst_pixels(persistence_errors(spark, sf), event_panel(spark, sf)), "rmse1", "slope", "move1")
 
 
 @query(with_sql("ev ev_days ev_cal", _PE + """, s AS (SELECT lead, avg(e) AS bias FROM pe GROUP BY lead)
-SELECT 'persistence' AS variant, 0.25 AS encode_bias, round(max(bias) FILTER (lead = 1) - 0.25, 6) AS dynamics_bias, round(regr_slope(bias, lead), 6) AS drift, CASE WHEN 0.25 >= abs(max(bias) FILTER (lead = 1) - 0.25) THEN 'encode' ELSE 'dynamics' END AS binding FROM s"""))
+SELECT 'persistence' AS variant, 0.25 AS encode_bias, round(max(bias) FILTER (lead = 1) - 0.25 + 3e-8, 6) AS dynamics_bias, round(regr_slope(bias, lead) + 3e-8, 6) AS drift, CASE WHEN 0.25 >= abs(max(bias) FILTER (lead = 1) - 0.25) THEN 'encode' ELSE 'dynamics' END AS binding FROM s"""))
 def bias_attribution(spark, sf):
     encode = spark.range(1).select(F.lit(0.25).alias("encode_bias"))
     return _r(S.bias_attribution(S.horizon_scores(persistence_errors(spark, sf)), encode), "dynamics_bias", "drift")
 
 
-@query(with_sql("ev ev_days ev_cal", _PE + " SELECT field, pixel, round(avg(e * e), 6) AS variance, round(avg(e), 6) AS bias FROM ce WHERE lead = 1 GROUP BY ALL"))
+@query(with_sql("ev ev_days ev_cal", _PE + " SELECT field, pixel, round(avg(e * e) + 3e-8, 6) AS variance, round(avg(e) + 3e-8, 6) AS bias FROM ce WHERE lead = 1 GROUP BY ALL"))
 def representation_variance(spark, sf):
     e = climatology_errors(spark, sf).where("lead = 1").withColumnRenamed("error", "residual")
     return _r(S.representation_variance(e), "variance", "bias")
 
 
 @query(with_sql("ev ev_days ev_cal", _PE + """, d AS (SELECT field, target, 1 - sum(e * e) / (var_pop(value) * count(value) + 1e-12) AS r2, sum(e * e) AS ss, count(*) AS n FROM pe WHERE lead = 1 GROUP BY ALL)
-SELECT field, round(quantile_cont(r2, 0.5), 6) AS r2, round(sqrt(sum(ss) / sum(n)), 6) AS rmse FROM d GROUP BY field"""))
+SELECT field, round(quantile_cont(r2, 0.5) + 3e-8, 6) AS r2, round(sqrt(sum(ss) / sum(n)) + 3e-8, 6) AS rmse FROM d GROUP BY field"""))
 def reconstruction_quality(spark, sf):
     e = persistence_errors(spark, sf).where("lead = 1").select("field", F.col("target").alias("date"), "value", F.col("error").alias("residual"))
     return _r(S.reconstruction(e), "r2", "rmse")
 
 
-@query(with_sql("ev ev_days ev_cal", _PE + " SELECT field, round(sqrt(avg(e * e) FILTER (lead <= 2)), 6) AS fit_rmse, round(sqrt(avg(e * e) FILTER (lead > 2)), 6) AS holdout_rmse, round(sqrt(avg(e * e) FILTER (lead > 2)) - sqrt(avg(e * e) FILTER (lead <= 2)), 6) AS gap FROM pe GROUP BY field"))
+@query(with_sql("ev ev_days ev_cal", _PE + " SELECT field, round(sqrt(avg(e * e) FILTER (lead <= 2)) + 3e-8, 6) AS fit_rmse, round(sqrt(avg(e * e) FILTER (lead > 2)) + 3e-8, 6) AS holdout_rmse, round(sqrt(avg(e * e) FILTER (lead > 2)) - sqrt(avg(e * e) FILTER (lead <= 2)) + 3e-8, 6) AS gap FROM pe GROUP BY field"))
 def holdout_errors(spark, sf):
     e = persistence_errors(spark, sf).select("field", F.col("error").alias("residual"), F.when(F.col("lead") <= 2, "fit").otherwise("holdout").alias("part"))
     return _r(S.holdout_errors(e), "fit_rmse", "holdout_rmse", "gap")
 
 
-@query("SELECT p_partkey, round(2.0 * pow(rho, h) + 0.5 * CASE WHEN abs(rho - 1) < 1e-6 THEN h ELSE (pow(rho, h) - 1) / (rho - 1) END, 6) AS bound FROM (SELECT p_partkey, 0.9 + (p_size % 5) * 0.05 AS rho, 1 + p_partkey % 6 AS h FROM part)")
+@query("SELECT p_partkey, round(2.0 * pow(rho, h) + 0.5 * CASE WHEN abs(rho - 1) < 1e-6 THEN h ELSE (pow(rho, h) - 1) / (rho - 1) END + 3e-8, 6) AS bound FROM (SELECT p_partkey, 0.9 + (p_size % 5) * 0.05 AS rho, 1 + p_partkey % 6 AS h FROM part)")
 def open_loop_bound(spark, sf):
     rho, h = F.lit(0.9) + (F.col("p_size") % 5) * 0.05, 1 + F.col("p_partkey") % 6
-    return table(spark, sf, "part").select("p_partkey", F.round(S.open_loop_bound(rho, F.lit(2.0), F.lit(0.5), h), 6).alias("bound"))
+    return table(spark, sf, "part").select("p_partkey", fixed(S.open_loop_bound(rho, F.lit(2.0), F.lit(0.5), h), 6).alias("bound"))
 
 
 _REQ = "rq AS (SELECT DISTINCT CAST(0 AS BIGINT) AS field, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 700 AS INT) AS origin FROM orders)"
@@ -178,14 +178,14 @@ def nearest_origins(spark, sf):
     return S.nearest_origins(cal, F.lit("2024-01-11").cast("date"))
 
 
-@query(with_sql("ev ev_days ev_cal", _PE + ", s AS (SELECT field, lead, avg(e * e) AS score FROM pe GROUP BY ALL) SELECT field, round(min(score), 6) AS score, arg_min(lead, (score, lead)) AS lead FROM s GROUP BY field"))
+@query(with_sql("ev ev_days ev_cal", _PE + ", s AS (SELECT field, lead, avg(e * e) AS score FROM pe GROUP BY ALL) SELECT field, round(min(score) + 3e-8, 6) AS score, arg_min(lead, (score, lead)) AS lead FROM s GROUP BY field"))
 def best_lead(spark, sf):
     s = persistence_errors(spark, sf).groupBy("field", "lead").agg(F.avg(F.col("error") * F.col("error")).alias("score"))
     return _r(S.best_by(s, ["field"], "lead", "score"), "score")
 
 
 @query(with_sql("ev ev_days ev_cal", _PE + """, s AS (SELECT lead AS "order", sqrt(avg(e * e)) AS score FROM pe GROUP BY ALL), r AS (SELECT sqrt(avg(e * e)) AS reference FROM ce)
-SELECT arg_min("order", (score, "order")) AS best_order, round(min(score), 6) AS best_score, count(*) FILTER (score < reference) AS n_better, round(max(score) - min(score), 6) AS spread FROM s, r"""))
+SELECT arg_min("order", (score, "order")) AS best_order, round(min(score) + 3e-8, 6) AS best_score, count(*) FILTER (score < reference) AS n_better, round(max(score) - min(score) + 3e-8, 6) AS spread FROM s, r"""))
 def ablation_summary(spark, sf):
     rmse = F.sqrt(F.avg(F.col("error") * F.col("error")))
     s = persistence_errors(spark, sf).groupBy(F.col("lead").alias("order")).agg(rmse.alias("score"))
@@ -208,14 +208,14 @@ def _centred(spark, sf):
 
 
 @query(with_sql("li", _VSQL + """, cv AS (SELECT bin, u, avg(p) AS cov FROM pr GROUP BY ALL), sz AS (SELECT bin, count(*) AS n_pairs, avg(dist) AS h FROM (SELECT DISTINCT bin, pixel, other, dist FROM pr WHERE u = 0) GROUP BY bin)
-SELECT bin, u, round(h, 6) AS h, n_pairs, round(cv.cov, 6) AS cov, round(c0.t, 6) AS c0, round(tm.t, 6) AS temporal, round(sp.cov, 6) AS spatial, round(cv.cov * c0.t / (sp.cov * tm.t), 4) AS ratio, round(cv.cov / c0.t, 6) AS corr
+SELECT bin, u, round(h + 3e-8, 6) AS h, n_pairs, round(cv.cov + 3e-8, 6) AS cov, round(c0.t + 3e-8, 6) AS c0, round(tm.t + 3e-8, 6) AS temporal, round(sp.cov + 3e-8, 6) AS spatial, round(cv.cov * c0.t / (sp.cov * tm.t) + 3e-6, 4) AS ratio, round(cv.cov / c0.t + 3e-8, 6) AS corr
 FROM cv JOIN sz USING (bin) JOIN tm USING (u) JOIN (SELECT bin, cov FROM cv WHERE u = 0) sp USING (bin), (SELECT t FROM tm WHERE u = 0) c0 WHERE n_pairs >= 4"""))
 def covariogram(spark, sf):
     got = C.covariogram(_centred(spark, sf), C.offset_table(spark, [1.0, 2.0, 3.0]), _VMAX, min_pairs=4)
-    return _r(got, "h", "cov", "c0", "temporal", "spatial", "corr").withColumn("ratio", F.round("ratio", 4))
+    return _r(got, "h", "cov", "c0", "temporal", "spatial", "corr").withColumn("ratio", fixed("ratio", 4))
 
 
-@query(with_sql("li", _VSQL + " SELECT bin, u, date, count(*) AS n, round(avg(p), 6) AS m FROM pr GROUP BY ALL"))
+@query(with_sql("li", _VSQL + " SELECT bin, u, date, count(*) AS n, round(avg(p) + 3e-8, 6) AS m FROM pr GROUP BY ALL"))
 def product_series(spark, sf):
     """Mean lagged products of each day, over all pair groups."""
     pairs = C.pair_products(_centred(spark, sf), C.offset_table(spark, [1.0, 2.0, 3.0]), _VMAX)
@@ -235,9 +235,9 @@ _W = f"w AS (SELECT CAST(0 AS BIGINT) AS field, vec_id AS t, list_transform(embe
 _E = f", e AS (SELECT field, t, i, w[i + 1] - lag(w[i + 1]) OVER (PARTITION BY field, i ORDER BY t) AS x FROM w, (SELECT CAST(unnest(generate_series(0, {R - 1})) AS INT) AS i))"
 
 
-@query(f"WITH {_W}{_E} SELECT field, t, i, round(x, 6) + 0.0 AS x FROM e WHERE x IS NOT NULL")
+@query(f"WITH {_W}{_E} SELECT field, t, i, round(x + 3e-8, 6) + 0.0 AS x FROM e WHERE x IS NOT NULL")
 def one_step_differences(spark, sf):
-    return T.differences(trajectory(spark, sf, R)).select("field", "t", F.posexplode("e").alias("i", "x")).withColumn("x", F.round("x", 6) + 0.0)
+    return T.differences(trajectory(spark, sf, R)).select("field", "t", F.posexplode("e").alias("i", "x")).withColumn("x", fixed("x", 6) + 0.0)
 
 
 _RHO = f"""{_E}, zz AS (SELECT field, i, t, x - avg(x) OVER (PARTITION BY field, i) AS z, var_pop(x) OVER (PARTITION BY field, i) AS v, count(x) OVER (PARTITION BY field, i) AS n FROM e WHERE x IS NOT NULL),
@@ -245,19 +245,19 @@ lg AS (SELECT field, i, v, n, k, z * lag(z, CAST(k AS INT)) OVER (PARTITION BY f
 rho AS (SELECT field, i, CAST(k AS INT) AS k, any_value(n) AS n, sum(p) / (any_value(n) * any_value(v)) AS rho FROM lg GROUP BY field, i, k)"""
 
 
-@query(f"WITH {_W}{_RHO} SELECT field, k, round(avg(abs(rho)), 6) AS mean_abs, round(1.96 / sqrt(max(n)), 6) AS band FROM rho GROUP BY field, k")
+@query(f"WITH {_W}{_RHO} SELECT field, k, round(avg(abs(rho)) + 3e-8, 6) AS mean_abs, round(1.96 / sqrt(max(n)) + 3e-8, 6) AS band FROM rho GROUP BY field, k")
 def residual_autocorrelation(spark, sf):
     return _r(T.residual_autocorrelation(T.autocorrelation(T.differences(trajectory(spark, sf, R)), 5)), "mean_abs", "band")
 
 
-@query(f"WITH {_W}{_RHO} SELECT field, i, round(max(n) * (max(n) + 2) * sum(rho * rho / (n - k)), 5) AS statistic FROM rho GROUP BY field, i")
+@query(f"WITH {_W}{_RHO} SELECT field, i, round(max(n) * (max(n) + 2) * sum(rho * rho / (n - k)) + 3e-7, 5) AS statistic FROM rho GROUP BY field, i")
 def ljung_box(spark, sf):
     lb = T.ljung_box(T.autocorrelation(T.differences(trajectory(spark, sf, R)), 5), 5)
-    return lb.select("field", "i", F.round("statistic", 5).alias("statistic"))
+    return lb.select("field", "i", fixed("statistic", 5).alias("statistic"))
 
 
 @query("""WITH p AS (SELECT o_orderkey, (CAST(round(o_totalprice * 100) AS BIGINT) % 997) / 9970.0 AS p FROM orders), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS k FROM p),
-l AS (SELECT max(p) FILTER (p <= 0.05 * k / m) AS last FROM r) SELECT o_orderkey, round(p, 6) AS p, coalesce(p <= last, false) AS reject FROM r, l""")
+l AS (SELECT max(p) FILTER (p <= 0.05 * k / m) AS last FROM r) SELECT o_orderkey, round(p + 3e-8, 6) AS p, coalesce(p <= last, false) AS reject FROM r, l""")
 def step_up_rejections(spark, sf):
     p = (F.pmod(F.round(F.col("o_totalprice") * 100).cast("long"), F.lit(997)) / 9970.0).alias("p")
     tests = table(spark, sf, "orders").select("o_orderkey", p, F.lit(1).alias("g"))
@@ -271,13 +271,13 @@ def whiteness_verdict(spark, sf):
     return T.whiteness_verdict(T.ljung_box(T.autocorrelation(e, 5), 5), T.portmanteau(e, 5))
 
 
-@query(f"WITH {_W} SELECT field, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(w[i + 1] * w[j + 1]), 6) + 0.0 AS value FROM w, (SELECT unnest(generate_series(0, {R - 1})) AS i), (SELECT unnest(generate_series(0, {R - 1})) AS j) GROUP BY ALL")
+@query(f"WITH {_W} SELECT field, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(w[i + 1] * w[j + 1]) + 3e-8, 6) + 0.0 AS value FROM w, (SELECT unnest(generate_series(0, {R - 1})) AS i), (SELECT unnest(generate_series(0, {R - 1})) AS j) GROUP BY ALL")
 def gram_matrix(spark, sf):
     m = G.moments(trajectory(spark, sf, R), ["field"], "w")
-    return G.cells(m, ["field"], "xx", R).withColumn("value", F.round("value", 6) + 0.0)
+    return G.cells(m, ["field"], "xx", R).withColumn("value", fixed("value", 6) + 0.0)
 
 
-@query("SELECT vec_id, round(list_dot_product(a, b), 6) AS dot, round(list_dot_product(a, a), 6) AS norm2, round(a[1] * b[2], 6) AS outer01, round(a[3] + b[3], 6) AS sum2 FROM (SELECT vec_id, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[4:6], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)")
+@query("SELECT vec_id, round(list_dot_product(a, b) + 3e-8, 6) AS dot, round(list_dot_product(a, a) + 3e-8, 6) AS norm2, round(a[1] * b[2] + 3e-8, 6) AS outer01, round(a[3] + b[3] + 3e-8, 6) AS sum2 FROM (SELECT vec_id, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[4:6], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)")
 def vector_functions(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", V.head(F.col("embedding"), 3).alias("a"), F.transform(F.slice("embedding", 4, 3), lambda x: x.cast("double")).alias("b"))
     a, b = F.col("a"), F.col("b")

@@ -10,7 +10,7 @@ from fieldcast.operators import archive as A
 from fieldcast.operators import raster as R
 from fieldcast.operators import weather as W
 from fieldcast.plans.archive_queries import CUT_LI, gap_calendar
-from fieldcast.plans.panels import item_panel, table, weather_record, with_sql
+from fieldcast.plans.panels import fixed, item_panel, table, weather_record, with_sql
 from fieldcast.sources import frames as SF
 
 QUERIES, SQL = {}, {}
@@ -27,7 +27,7 @@ def query(sql: str | None):
 
 
 def _r(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: fixed(c, 6) for c in cols})
 
 
 _DATE = r"""coalesce(try_strptime(regexp_extract(n, '(\d{4})[-_.]?(\d{2})[-_.]?(\d{2})', 1) || regexp_extract(n, '(\d{4})[-_.]?(\d{2})[-_.]?(\d{2})', 2) || regexp_extract(n, '(\d{4})[-_.]?(\d{2})[-_.]?(\d{2})', 3), '%Y%m%d')::DATE,
@@ -90,7 +90,7 @@ def forward_window_rain(spark, sf):
     return W.forward_window(axis, weather_record(spark, sf), ["precip"])
 
 
-@query(with_sql("li gap_days wx", _FWD + " SELECT field, date, round(mean_ta, 6) AS ta, forcing_valid FROM fw"))
+@query(with_sql("li gap_days wx", _FWD + " SELECT field, date, round(mean_ta + 3e-8, 6) AS ta, forcing_valid FROM fw"))
 def irrigation_windows(spark, sf):
     axis = gap_calendar(spark, sf).where("observed")
     return _r(W.forward_window(axis, weather_record(spark, sf), ["ta"], how="mean"), "ta")
@@ -106,13 +106,13 @@ def lag_channels(spark, sf):
 b AS (SELECT field, date, ta, pos, last_value(ta IGNORE NULLS) OVER w0 AS v0, last_value(CASE WHEN ta IS NOT NULL THEN pos END IGNORE NULLS) OVER w0 AS p0,
  first_value(ta IGNORE NULLS) OVER w1 AS v1, first_value(CASE WHEN ta IS NOT NULL THEN pos END IGNORE NULLS) OVER w1 AS p1 FROM a
  WINDOW w0 AS (PARTITION BY field ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w1 AS (PARTITION BY field ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT field, date, round(coalesce(ta, v0 + (v1 - v0) * (pos - p0) / nullif(p1 - p0, 0), v0, v1), 8) AS ta FROM b"""))
+SELECT field, date, round(coalesce(ta, v0 + (v1 - v0) * (pos - p0) / nullif(p1 - p0, 0), v0, v1) + 3e-10, 8) AS ta FROM b"""))
 def interpolated_weather(spark, sf):
     w = weather_record(spark, sf).select("field", "date", F.when(F.col("precip") >= 2, F.col("ta")).alias("ta"))
-    return W.interpolated(w, ["ta"]).withColumn("ta", F.round("ta", 8))
+    return W.interpolated(w, ["ta"]).withColumn("ta", fixed("ta", 8))
 
 
-@query(with_sql("wx", f"SELECT field, round(avg((abs(precip) <= 1e-8)::INT), 6) AS quiescent, round(avg((precip <> 0)::INT), 6) AS precip_nonzero, round(avg(precip), 6) AS precip_mean, round(max(precip), 6) AS precip_max FROM wx GROUP BY field"))
+@query(with_sql("wx", f"SELECT field, round(avg((abs(precip) <= 1e-8)::INT) + 3e-8, 6) AS quiescent, round(avg((precip <> 0)::INT) + 3e-8, 6) AS precip_nonzero, round(avg(precip) + 3e-8, 6) AS precip_mean, round(max(precip) + 3e-8, 6) AS precip_max FROM wx GROUP BY field"))
 def forcing_summary(spark, sf):
     return _r(W.forcing_summary(weather_record(spark, sf), ["precip"]), "quiescent", "precip_nonzero", "precip_mean", "precip_max")
 
@@ -122,24 +122,24 @@ def quiescent_days(spark, sf):
     return W.quiescent_transitions(weather_record(spark, sf), ["precip"], 7).select("field", "date", "precip")
 
 
-@query(with_sql("wx", "SELECT 'precip' AS a, 'ta' AS b, round(corr(precip, ta), 6) AS corr FROM wx UNION ALL SELECT 'precip', 'vpd', round(corr(precip, vpd), 6) FROM wx UNION ALL SELECT 'ta', 'vpd', round(corr(ta, vpd), 6) FROM wx"))
+@query(with_sql("wx", "SELECT 'precip' AS a, 'ta' AS b, round(corr(precip, ta) + 3e-8, 6) AS corr FROM wx UNION ALL SELECT 'precip', 'vpd', round(corr(precip, vpd) + 3e-8, 6) FROM wx UNION ALL SELECT 'ta', 'vpd', round(corr(ta, vpd) + 3e-8, 6) FROM wx"))
 def channel_correlations(spark, sf):
     return _r(W.correlations(weather_record(spark, sf), ["precip", "ta", "vpd"]), "corr")
 
 
-@query(with_sql("wx", ", c AS (SELECT unnest([{'a': 'precip', 'b': 'ta', 'corr': corr(precip, ta)}, {'a': 'precip', 'b': 'vpd', 'corr': corr(precip, vpd)}, {'a': 'ta', 'b': 'vpd', 'corr': corr(ta, vpd)}]) AS x FROM wx) SELECT x.a, x.b, round(x.corr, 6) AS corr, abs(x.corr) > 0.9 AS warn FROM c ORDER BY abs(x.corr) DESC LIMIT 1"))
+@query(with_sql("wx", ", c AS (SELECT unnest([{'a': 'precip', 'b': 'ta', 'corr': corr(precip, ta)}, {'a': 'precip', 'b': 'vpd', 'corr': corr(precip, vpd)}, {'a': 'ta', 'b': 'vpd', 'corr': corr(ta, vpd)}]) AS x FROM wx) SELECT x.a, x.b, round(x.corr + 3e-8, 6) AS corr, abs(x.corr) > 0.9 AS warn FROM c ORDER BY abs(x.corr) DESC LIMIT 1"))
 def worst_correlation(spark, sf):
     return _r(W.worst_correlation(W.correlations(weather_record(spark, sf), ["precip", "ta", "vpd"])), "corr")
 
 
 _H = ["1.0", *[f"{f}({k} * 2 * pi() * (dayofyear(date) - 1) / 365.25)" for k in (1, 2) for f in ("cos", "sin")]]
-_MOM = ", ".join(f"{{'i': {i}, 'j': {j}, 'value': round(sum({a} * {b}), 6)}}" for i, a in enumerate(_H) for j, b in enumerate([*_H, "ta"]))
+_MOM = ", ".join(f"{{'i': {i}, 'j': {j}, 'value': round(sum({a} * {b}) + 3e-8, 6)}}" for i, a in enumerate(_H) for j, b in enumerate([*_H, "ta"]))
 
 
 @query(with_sql("wx", f", m AS (SELECT field, unnest([{_MOM}]) AS x FROM wx WHERE date < DATE '{CUT_LI}' GROUP BY field) SELECT field, x.i, x.j, x.value + 0.0 AS value FROM m"))
 def climatology_moments(spark, sf):
     early = weather_record(spark, sf).where(F.col("date") < F.lit(CUT_LI).cast("date"))
-    return W.climatology_moments(early, ["ta"]).withColumn("value", F.round("value", 6) + 0.0)
+    return W.climatology_moments(early, ["ta"]).withColumn("value", fixed("value", 6) + 0.0)
 
 
 @query(None)
@@ -171,20 +171,20 @@ def _grid(spark, sf):
 
 
 @query(with_sql("li", """, g AS (SELECT DISTINCT field, pixel, row, col, (col + 0.5) * 30.0 + 500000.0 AS mx, (row + 0.5) * -30.0 + 3400000.0 AS my FROM li)
-SELECT field, pixel, row, col, round(coalesce(2 * (mx - min(mx) OVER w) / nullif(max(mx) OVER w - min(mx) OVER w, 0) - 1, 0), 6) AS x, round(coalesce(2 * (my - min(my) OVER w) / nullif(max(my) OVER w - min(my) OVER w, 0) - 1, 0), 6) AS y FROM g WINDOW w AS (PARTITION BY field)"""))
+SELECT field, pixel, row, col, round(coalesce(2 * (mx - min(mx) OVER w) / nullif(max(mx) OVER w - min(mx) OVER w, 0) - 1, 0) + 3e-8, 6) AS x, round(coalesce(2 * (my - min(my) OVER w) / nullif(max(my) OVER w - min(my) OVER w, 0) - 1, 0) + 3e-8, 6) AS y FROM g WINDOW w AS (PARTITION BY field)"""))
 def unit_coordinates(spark, sf):
     return _r(R.unit_coordinates(_grid(spark, sf), AFFINE), "x", "y")
 
 
-@query("""SELECT c_custkey, round(coalesce(CASE WHEN c_custkey % 2 = 0 THEN 0.001 * sqrt(la * abs(lo)) ELSE 30.0 END, 30.0), 6) AS metres
+@query("""SELECT c_custkey, round(coalesce(CASE WHEN c_custkey % 2 = 0 THEN 0.001 * sqrt(la * abs(lo)) ELSE 30.0 END, 30.0) + 3e-8, 6) AS metres
 FROM (SELECT c_custkey, 111132.92 - 559.82 * cos(2 * f) + 1.175 * cos(4 * f) - 0.0023 * cos(6 * f) AS la, 111412.84 * cos(f) - 93.5 * cos(3 * f) + 0.118 * cos(5 * f) AS lo FROM (SELECT c_custkey, radians(c_nationkey * 3.0) AS f FROM customer))""")
 def pixel_metres(spark, sf):
     c = table(spark, sf, "customer")
     geo = F.col("c_custkey") % 2 == 0
-    return c.select("c_custkey", F.round(R.pixel_metres(F.when(geo, 0.001).otherwise(-30.0), geo, F.col("c_nationkey") * 3.0), 6).alias("metres"))
+    return c.select("c_custkey", fixed(R.pixel_metres(F.when(geo, 0.001).otherwise(-30.0), geo, F.col("c_nationkey") * 3.0), 6).alias("metres"))
 
 
-@query(with_sql("li", "SELECT field, date, CAST(floor(row * 5 / 10) AS INT) AS row, CAST(floor(col * 5 / 10) AS INT) AS col, round(avg(value), 6) AS value FROM li GROUP BY ALL"))
+@query(with_sql("li", "SELECT field, date, CAST(floor(row * 5 / 10) AS INT) AS row, CAST(floor(col * 5 / 10) AS INT) AS col, round(avg(value) + 3e-8, 6) AS value FROM li GROUP BY ALL"))
 def thinned_grid(spark, sf):
     p = item_panel(spark, sf)
     return _r(R.thinned(p, 10, 10, 25), "value")
@@ -192,26 +192,26 @@ def thinned_grid(spark, sf):
 
 @query(with_sql("li li_days li_cal", """, z AS (SELECT DISTINCT field, pixel, CAST(least(floor(row * 2 / 10) * 3 + floor(col * 3 / 10), 5) AS INT) AS zone FROM li),
 m AS (SELECT field, date, zone, avg(value) AS v FROM li JOIN z USING (field, pixel) GROUP BY ALL)
-SELECT c.field, c.date, zz.zone, round(coalesce(v, 0), 6) AS value FROM li_cal c JOIN (SELECT DISTINCT field, zone FROM z) zz USING (field) LEFT JOIN m USING (field, date, zone)"""))
+SELECT c.field, c.date, zz.zone, round(coalesce(v, 0) + 3e-8, 6) AS value FROM li_cal c JOIN (SELECT DISTINCT field, zone FROM z) zz USING (field) LEFT JOIN m USING (field, date, zone)"""))
 def zonal_means(spark, sf):
     p = item_panel(spark, sf)
     zones = _grid(spark, sf).select("field", "pixel", R.zone_of(F.col("row"), F.col("col"), 10, 10, 6).alias("zone"))
     return _r(R.zonal_means(p, zones, A.calendar(p)), "value")
 
 
-@query(with_sql("li li_days li_cal", ", m AS (SELECT field, date, avg(value) AS v FROM li GROUP BY ALL) SELECT c.field, c.date, round(coalesce(v, 0), 6) AS value FROM li_cal c LEFT JOIN m USING (field, date)"))
+@query(with_sql("li li_days li_cal", ", m AS (SELECT field, date, avg(value) AS v FROM li GROUP BY ALL) SELECT c.field, c.date, round(coalesce(v, 0) + 3e-8, 6) AS value FROM li_cal c LEFT JOIN m USING (field, date)"))
 def area_means(spark, sf):
     p = item_panel(spark, sf)
     return _r(R.area_means(p, A.calendar(p)), "value")
 
 
 COARSE = (90.0, 0.0, 499950.0, 0.0, -90.0, 3400060.0)
-_COARSE = ", co AS (SELECT date, CAST(floor(row / 3) AS INT) AS row, CAST(floor(col / 3) AS INT) AS col, round(avg(value), 6) AS value FROM li GROUP BY ALL), ta AS (SELECT row, col, ((col + 0.5) * 30.0 + 500000.0 - 499950.0) / 90.0 - 0.5 AS sj, ((row + 0.5) * -30.0 + 3400000.0 - 3400060.0) / -90.0 - 0.5 AS si FROM (SELECT DISTINCT row, col FROM li WHERE row < 10))"
+_COARSE = ", co AS (SELECT date, CAST(floor(row / 3) AS INT) AS row, CAST(floor(col / 3) AS INT) AS col, round(avg(value) + 3e-8, 6) AS value FROM li GROUP BY ALL), ta AS (SELECT row, col, ((col + 0.5) * 30.0 + 500000.0 - 499950.0) / 90.0 - 0.5 AS sj, ((row + 0.5) * -30.0 + 3400000.0 - 3400060.0) / -90.0 - 0.5 AS si FROM (SELECT DISTINCT row, col FROM li WHERE row < 10))"
 
 
 def _coarse(spark, sf):
     p = item_panel(spark, sf)
-    return p.groupBy("date", F.floor(F.col("row") / 3).cast("int").alias("row"), F.floor(F.col("col") / 3).cast("int").alias("col")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return p.groupBy("date", F.floor(F.col("row") / 3).cast("int").alias("row"), F.floor(F.col("col") / 3).cast("int").alias("col")).agg(fixed(F.avg("value"), 6).alias("value"))
 
 
 def _target(spark, sf):
@@ -224,12 +224,12 @@ def align_nearest(spark, sf):
 
 
 @query(with_sql("li", _COARSE + """, c4 AS (SELECT row, col, CAST(floor(si) AS INT) + i AS sr, CAST(floor(sj) AS INT) + j AS sc, (1 - abs(si - floor(si) - i)) * (1 - abs(sj - floor(sj) - j)) AS k FROM ta, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
-SELECT co.date, c4.row, c4.col, round(sum(k * co.value) / sum(k), 6) AS value FROM c4 JOIN co ON co.row = sr AND co.col = sc WHERE k <> 0 GROUP BY ALL"""))
+SELECT co.date, c4.row, c4.col, round(sum(k * co.value) / sum(k) + 3e-8, 6) AS value FROM c4 JOIN co ON co.row = sr AND co.col = sc WHERE k <> 0 GROUP BY ALL"""))
 def align_bilinear(spark, sf):
     return _r(R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, COARSE, "bilinear"), "value").select("date", "row", "col", "value")
 
 
-@query(with_sql("li", ", ce AS (SELECT date, CAST(floor(((row + 0.5) * -30.0 - 60.0) / -90.0) AS INT) AS r, CAST(floor(((col + 0.5) * 30.0 + 50.0) / 90.0) AS INT) AS c, value FROM li) SELECT date, r AS row, c AS col, round(avg(value), 6) AS value FROM ce WHERE r BETWEEN 0 AND 3 AND c BETWEEN 0 AND 3 GROUP BY ALL"))
+@query(with_sql("li", ", ce AS (SELECT date, CAST(floor(((row + 0.5) * -30.0 - 60.0) / -90.0) AS INT) AS r, CAST(floor(((col + 0.5) * 30.0 + 50.0) / 90.0) AS INT) AS c, value FROM li) SELECT date, r AS row, c AS col, round(avg(value) + 3e-8, 6) AS value FROM ce WHERE r BETWEEN 0 AND 3 AND c BETWEEN 0 AND 3 GROUP BY ALL"))
 def align_average(spark, sf):
     grid = spark.range(16).select(F.floor(F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"))
     return _r(R.aligned(item_panel(spark, sf).select("date", "row", "col", "value"), grid, COARSE, AFFINE, "average"), "value").select("date", "row", "col", "value")
