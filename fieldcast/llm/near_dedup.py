@@ -210,10 +210,10 @@ def link_classes(classes: DataFrame, texts: DataFrame, k: int, percent: int) ->
         return labels
     cored = stored(sigs.drop("n", "c").join(cores, "node"), "cored")
 
-    # Then to the member with most links, and to one that differs from key to key.
+    # Then to the member with most links, and to one more.
     rows = stored(rows.join(_degrees(edges), "node", "left"), "unsettled")
     most = _pivots(rows, [-F.coalesce("degree", F.lit(0)), F.col("node")])
-    some = _pivots(rows, [F.when(F.col("degree").isNull(), 1).otherwise(0), F.xxhash64("node", "key", F.lit(1))])
+    some = _pivots(rows, [F.when(F.col("degree").isNull(), 1).otherwise(0), F.xxhash64("node", F.col("key") % 4, F.lit(1))])
     pairs = rows.join(most.union(some).distinct(), "key").where("comp <> pivot_comp")
     new = _confirmed(stored(_close(pairs.select(*_ordered("node", "pivot")).distinct(), cored, percent), "near"), sets, percent, "links")
     edges = stored(edges.union(new).distinct(), "all-links")
