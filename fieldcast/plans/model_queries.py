@@ -212,3 +212,14 @@ def modality_keys(spark, sf):
     from fieldcast.functions.modality import resolve
 
     return table(spark, sf, "part").select("p_partkey", resolve(F.col("p_type")).alias("key"))
+
+
+@query(None)
+def error_budget(spark, sf):
+    """What representation and truncation cost against persistence; the parts are tested one by one."""
+    pixels, basis, w = item_panel(spark, sf), _basis(spark, sf), _weights(spark, sf)
+    left = X.project(w.where("observed"), X.fit_subspace(w.where("observed"), 0.9, least=2, most=3)).select("field", "t", "complement")
+    part = basis.join(left, "field").select("field", "t", "pixel", dot(F.col("phi"), F.col("complement")).alias("part"))
+    origins = w.where("observed").select("field", "date")
+    now = S.with_truth(S.persistence(pixels, origins, 1), pixels).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
+    return S.error_budget(X.residuals(pixels, _states(spark, sf), basis), part, now, 1.5)

@@ -246,3 +246,12 @@ SELECT CAST(0 AS BIGINT) AS field, k, pixel FROM (SELECT k, pixel, row_number()
 def nearest_pixels(spark, sf):
     c = table(spark, sf, "region").select(F.lit(0).cast("long").alias("field"), F.col("r_regionkey").alias("k"), (F.col("r_regionkey") * 2.1).alias("cx"), (F.col("r_regionkey") * 1.3).alias("cy"))
     return R.nearest_pixel(_grid(spark, sf).withColumns({"x": F.col("col").cast("double"), "y": F.col("row").cast("double")}), c)
+
+
+@query(None)
+def weather_summary(spark, sf):
+    """Quiet share, annual amplitude against residual spread, by channel; built on climatology_fit, tested there."""
+    w = weather_record(spark, sf)
+    axis = w.select("field", "date")
+    built, climate = W.build_weather(axis, w, ["ta", "rs"], CUT_LI, lags=1)
+    return W.weather_summary(built, ["ta", "rs"], climate, ["precip", "precip_lag1"], CUT_LI)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pickle
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -108,3 +110,13 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all that is there now into a Parquet table in the folder of spark.checkpoint.dir (a temporary one where that is unset)."""
+    spark = stream.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    path = f"{place}/{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
