@@ -29,13 +29,18 @@ def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    if place:
+        return place
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _own[app]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
