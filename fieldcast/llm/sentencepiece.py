@@ -23,7 +23,7 @@ from fieldcast.llm.common import table
 
 MARK = "▁"
 #: Distinct chunks whose ids a task keeps, and the longest such chunk.
-KEPT, KEPT_LENGTH = 300_000, 64
+KEPT, KEPT_LENGTH = 800_000, 64
 #: No piece goes over a boundary between another character and a space mark, so these chunks can be encoded apart.
 _chunks = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+").findall
 
@@ -53,10 +53,19 @@ class Pieces:
         self.longest = max(map(len, self.score))
         # One byte costs more than any piece, so that bytes are used only where no piece fits.
         self.byte_score = min(s for s, _ in self.score.values()) - 10.0
-        self.text = own
+        #: What each id stands for in a text.
+        self.raw = [bytes((self.of_byte[i],)) if i in self.of_byte else p.replace(MARK, " ").encode() for i, p in enumerate(own)]
         # Each beginning of a piece: the piece that it is itself, or None.
         self.tree: dict[str, tuple[float, int] | None] = {p[:n]: None for p in self.score for n in range(1, len(p))}
         self.tree.update(self.score)
+        #: The same by characters: [next characters, score, id], id -1 where no piece ends.
+        self.root: dict[str, list] = {}
+        for p, (score, i) in self.score.items():
+            level = self.root
+            for c in p:
+                node = level.setdefault(c, [{}, 0.0, -1])
+                level = node[0]
+            node[1], node[2] = score, i
 
 
 class StreamingViterbi:
@@ -139,25 +148,32 @@ class Codec:
         self.pieces, self.kept = Pieces(path), {}
 
     def _short(self, w: str) -> list[int]:
-        """The same recurrence for a chunk that is held whole anyway."""
-        tree, size = self.pieces.tree, len(w)
-        best, back, byte = [0.0] + [-math.inf] * size, [(0, ())] * (size + 1), self.pieces.byte_score
+        """The same recurrence for a chunk that is held whole anyway, over a tree of characters."""
+        root, byte, size = self.pieces.root, self.pieces.byte_score, len(w)
+        best, prev, last = [-math.inf] * (size + 1), [0] * (size + 1), [0] * (size + 1)
+        best[0] = 0.0
         for i in range(size):
-            base = best[i]
-            if tree.get(w[i]) is None:
-                raw = w[i].encode("utf-8", "surrogatepass")
-                if base + byte * len(raw) > best[i + 1]:
-                    best[i + 1], back[i + 1] = base + byte * len(raw), (i, tuple(self.pieces.bytes[b] for b in raw))
-            for j in range(i + 1, size + 1):
-                got = tree.get(w[i:j], False)
-                if got is False:
+            base, j = best[i], i
+            node = root.get(w[i])
+            if node is None or node[2] < 0:
+                s = base + byte * len(w[i].encode("utf-8", "surrogatepass"))
+                if s > best[i + 1]:
+                    best[i + 1], prev[i + 1], last[i + 1] = s, i, -1
+            while node is not None:
+                j += 1
+                if node[2] >= 0 and base + node[1] > best[j]:
+                    best[j], prev[j], last[j] = base + node[1], i, node[2]
+                if j == size:
                     break
-                if got and base + got[0] > best[j]:
-                    best[j], back[j] = base + got[0], (i, got[1:])
+                node = node[0].get(w[j])
         out, j = [], size
         while j:
-            j, ids = back[j]
-            out[:0] = ids
+            if last[j] >= 0:
+                out.append(last[j])
+            else:
+                out += [self.pieces.bytes[b] for b in reversed(w[prev[j]].encode("utf-8", "surrogatepass"))]
+            j = prev[j]
+        out.reverse()
         return out
 
     def _chunk(self, chunk: str) -> list[int]:
@@ -175,16 +191,17 @@ class Codec:
             return out
         if MARK in text:
             return self._marked(text)
-        kept = self.kept
+        kept, raw = self.kept, bytearray()
         if len(kept) > KEPT:
             kept.clear()
         for chunk in _chunks(MARK + text.replace(" ", MARK)):
             ids = kept.get(chunk)
             if ids is None:
-                ids = array("i", self._chunk(chunk))
+                ids = array("i", self._chunk(chunk)).tobytes()
                 if len(chunk) <= KEPT_LENGTH:
                     kept[chunk] = ids
-            out += ids
+            raw += ids
+        out.frombytes(raw)
         return out
 
     def _marked(self, text: str) -> array:
@@ -199,12 +216,7 @@ class Codec:
 
     def decode(self, ids) -> str:
         """The text of ids: pieces and bytes in order, marks as spaces, without the mark put in front."""
-        text, of_byte = self.pieces.text, self.pieces.of_byte
-        out: list[bytes] = []
-        for i in ids:
-            b = of_byte.get(i)
-            out.append(bytes((b,)) if b is not None else text[i].replace(MARK, " ").encode())
-        return b"".join(out).decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(self.pieces.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 _codecs: dict[str, Codec] = {}
