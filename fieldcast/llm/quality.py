@@ -60,14 +60,12 @@ def features(text: str | None) -> tuple[int, ...]:
         repeats = int(covered.sum())
     lines = text.split("\n")
     with_words = [x for x in lines if x.strip(" \t\n\x0b\x0c\r")]
-    chars = np.frombuffer(raw, np.uint8)
-    count = np.bincount(chars, minlength=256)
-    starts = len(text)
+    count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     spaces = int(count[[9, 10, 11, 12, 13, 32]].sum())
     upper = sum(map(str.isupper, text)) if count[0x80:].any() else int(count[65:91].sum())
     letters = sum(map(str.isalpha, text)) if count[0x80:].any() else int(count[65:91].sum() + count[97:123].sum())
     return (
-        n, starts - spaces, int(count[list(SYMBOLS)].sum()), len(with_words) - len(set(with_words)), repeats,
+        n, len(text) - spaces, int(count[list(SYMBOLS)].sum()), len(with_words) - len(set(with_words)), repeats,
         letters, upper, int(count[33]), int(count[[46, 63]].sum()), int(np.bincount(ids).max()) if n else 0, len(lines),
     )
 
