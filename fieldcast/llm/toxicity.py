@@ -1,4 +1,10 @@
-"""Toxicity: the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index, vote by distance."""
+"""Toxicity: the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index, vote by distance.
+
+All words of all examples are terms. A term's weight is TF times IDF times its relevance, the share of the label's
+variance that the word's presence explains (chi-square over the number of examples). Without relevance, some hundred
+words of topic outweigh the few that the label is about; it drops no word and has no threshold. The votes' share is
+calibrated on a fold of the examples by isotonic regression.
+"""
 
 from __future__ import annotations
 
@@ -15,219 +21,218 @@ from pyspark.sql import functions as F
 
 from fieldcast.llm.common import fresh, in_fold, stored, table
 
-#: Labelled rows that the index holds, picked by a hash of the id; terms that tell the classes apart; neighbours; and
-#: the examples in a block of the index. The first two bound the model, whatever the number of labels.
-TRAIN_ROWS, MAX_TERMS, NEIGHBOURS, BLOCK = 6000, 2048, 24, 64
-#: A term tells when its chi-square is past this (one test in 10 million), its rate in one class is thrice that in the
-#: other, and so many rows and such a share of the rows have it.
-CHI2, LIFT, LEAST_ROWS, LEAST_SHARE = 28.4, 3.0, 5, 0.002
-#: Besides whole words, the word beginnings of these lengths are terms: inflections and compounds share them.
-BEGINNINGS = range(3, 9)
+#: The labelled sample: rows are picked by a hash of the id so that about so many, of so many characters, are taken at
+#: most. These two bound the model, whatever the number of labels.
+TRAIN_ROWS, TRAIN_CHARS = 6000, 24_000_000
+#: Neighbours that vote, and examples in a block of the index.
+NEIGHBOURS, BLOCK = 24, 64
+#: Terms are summed at once until the others' largest weights make up less than the rest of this.
+HEAD = 0.97
+#: One in so many examples is kept apart to calibrate on, with an index of the others.
+CALIBRATE = 4
 _words = re.compile(r"[^\W\d_]+").findall
 
 
-def words(text: str | None) -> list[str]:
-    return _words(text.lower()) if text else []
-
-
-def terms_of(word: str) -> list[str]:
-    """The word, and its beginnings marked by a hyphen at their end."""
-    return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)]
-
-
-def term_counts(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(words(text)).items():
-        for t in terms_of(w):
-            out[t] += n
-    return out
-
-
-class Lookup(dict):
-    """The terms of a vocabulary that a word holds, kept for the words seen last."""
-
-    def __init__(self, vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
+def word_counts(text: str | None) -> Counter:
+    return Counter(_words(text.lower())) if text else Counter()
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        got = self[word] = tuple(t for t in terms_of(word) if t in self.vocabulary)
-        return got
 
-
-#: The term that stands for all words without a telling term; every text has it, so its IDF is 1.
-OTHER = ""
-
-
-def telling_counts(own: list[str], held: Lookup) -> Counter:
-    """The telling terms of a text, and OTHER as often as it has words, to a power of two: few telling words in a long
-    text weigh less than in a short one."""
-    out = Counter(t for w in own for t in held[w])
-    if own:
-        out[OTHER] = 1 << (len(own).bit_length() - 1)
-    return out
-
-
-def look(counts: Counter) -> int:
-    """The smallest hash of a text's long words: most near copies of a text share it, other texts seldom do."""
-    return min((xxhash.xxh3_64_intdigest(w) >> 1 for w in [w for w in counts if len(w) >= 8 and w[-1] != "-"] or counts), default=0)
+def _by(n: int, of: np.ndarray) -> np.ndarray:
+    """Where each of n groups begins in an array sorted by group, and its end."""
+    return np.searchsorted(of, np.arange(n + 1))
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of labelled examples, by term, with the largest weight of each term in each block.
+    """Unit vectors of labelled examples by term, with the largest weight of each term in each block of examples.
 
-    A query takes blocks by falling upper bound (the sum over its terms of its weight times the block's largest) and
-    stops at the first whose bound is under the k-th best cosine so far: the k nearest are exact.
+    A query first sums the postings of the terms that can add most. What its other terms can add is bounded for each
+    block by their largest weights there; only examples whose sum and bound reach the k-th best sum are scored in full.
+    So the k nearest are exact. `examples` are word counts, `copies` and `toxic` how many rows each stands for.
     """
 
-    def __init__(self, idf: dict[str, float], examples: list[Counter], labels: np.ndarray, k: int = NEIGHBOURS):
-        self.terms = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.k, self.base = k, float((labels.sum() + 1) / (len(labels) + 2))
+    def __init__(self, df: dict[str, int], total: int, examples: list[Counter], copies: np.ndarray, toxic: np.ndarray, k: int = NEIGHBOURS):
+        self.k, self.base = k, float((toxic.sum() + 1) / (copies.sum() + 2))
+        words = sorted({w for x in examples for w in x})
+        self.terms = {w: i for i, w in enumerate(words)}
+        # Each distinct text counts once here, else one text of many copies would make its own words tell.
+        label, has, bad = toxic > 0, np.zeros(len(words)), np.zeros(len(words))
+        for x, one in zip(examples, label, strict=True):
+            at = [self.terms[w] for w in x]
+            has[at] += 1
+            bad[at] += one
+        n, n1 = len(examples), float(label.sum())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            relevance = np.nan_to_num(n * (bad * n - has * n1) ** 2 / (has * (n - has) * n1 * (n - n1)) / n, posinf=0.0)
+        idf = np.array([np.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in words])
+        self.weight = idf * (relevance + 1e-6)  # a word that tells nothing still counts a little
+
         vectors = [self.vector(x) for x in examples]
         some = [i for i, (at, _) in enumerate(vectors) if len(at)]
         # Examples with like terms come together, so that a block's largest weights say much.
-        some.sort(key=lambda i: (tuple(vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3]), i))
-        self.example, self.label = np.array(some, np.int64), labels[some].astype(float)
-        empty = np.setdiff1d(np.arange(len(examples)), self.example)
-        self.none = float((labels[empty].sum() + self.base) / (len(empty) + 1))  # the rate of examples without a term
-        self.blocks = -(-len(some) // BLOCK)
-        self.largest = np.zeros((len(self.idf), self.blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in self.idf]
-        by_term: list[list[tuple[int, float]]] = [[] for _ in self.idf]
-        for place, i in enumerate(some):
-            for t, w in zip(*vectors[i], strict=True):
-                by_term[t].append((place, w))
-        for t, own in enumerate(by_term):
-            if own:
-                place, weight = np.array([p for p, _ in own]), np.array([w for _, w in own])
-                np.maximum.at(self.largest[t], place // BLOCK, weight)
-                for b in np.unique(place // BLOCK):
-                    mine = place // BLOCK == b
-                    self.postings[t][int(b)] = (place[mine] % BLOCK, weight[mine])
+        some.sort(key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3].tolist(), i))
+        self.example, self.copies, self.toxic = np.array(some, np.int64), copies[some].astype(float), toxic[some].astype(float)
+        empty = np.setdiff1d(np.arange(n), self.example)
+        self.none = float((toxic[empty].sum() + self.base) / (copies[empty].sum() + 1))
+        # By example, then by term, then by term and block.
+        self.of = np.concatenate([vectors[i][0] for i in some] or [np.zeros(0, np.int64)])
+        self.value = np.concatenate([vectors[i][1] for i in some] or [np.zeros(0)])
+        place = np.repeat(np.arange(len(some)), [len(vectors[i][0]) for i in some])
+        self.begins = _by(len(some), place)
+        order = np.lexsort((place, self.of))
+        places, posted, term = place[order].astype(np.int32), self.value[order], self.of[order]
+        ends = _by(len(words), term)
+        self.postings = [(places[a:b], posted[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        block = places // BLOCK
+        first = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(term) else np.zeros(0, np.int64)
+        self.block, self.largest = block[first], np.maximum.reduceat(posted, first) if len(first) else np.zeros(0)
+        self.block_begins = _by(len(words), term[first])
+        self.top = np.zeros(len(words))
+        np.maximum.at(self.top, self.of, self.value)
+        self.blocks, self.query = -(-len(some) // BLOCK), np.zeros(len(words))
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        own = sorted((self.terms[w], n) for w, n in counts.items() if w in self.terms)
-        at = np.array([t for t, _ in own], np.int64)
-        weight = (1 + np.log(np.array([n for _, n in own], float))) * self.idf[at] if own else np.zeros(0)
+        """(terms in order, unit weights); words that no example has change all cosines alike and are left out."""
+        own = [w for w in counts if w in self.terms]
+        at, n = np.array([self.terms[w] for w in own], np.int64), np.array([counts[w] for w in own], float)
+        order = np.argsort(at)
+        at, n = at[order], n[order]
+        weight = (1 + np.log(n)) * self.weight[at]
         size = np.sqrt((weight**2).sum())
         return (at, weight / size) if size else (at[:0], weight[:0])
 
+    @staticmethod
+    def _slices(begins: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of all entries of the groups `at`, number of entries of each)."""
+        n = begins[at + 1] - begins[at]
+        return np.repeat(begins[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()), n
+
     def nearest(self, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, cosine) of the k nearest examples of positive cosine; ties go to the lower place."""
-        bound = weight @ self.largest[at]
-        best_p, best_c = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_c) == self.k and bound[b] < best_c[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at, weight, strict=True):
-                if (own := self.postings[t].get(int(b))) is not None:
-                    score[own[0]] += w * own[1]
-            got = np.flatnonzero(score > 0)
-            best_p, best_c = np.concatenate([best_p, got + b * BLOCK]), np.concatenate([best_c, score[got]])
-            order = np.lexsort((best_p, -best_c.round(12)))[: self.k]
-            best_p, best_c = best_p[order], best_c[order]
-        return best_p, best_c
-
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
-        """(share of toxic votes, weighted by cosine, with one vote at the base rate; positions of the neighbours)."""
+        most = weight * self.top[at]
+        order = np.argsort(-most, kind="stable")
+        head = np.searchsorted(np.cumsum(most[order]), HEAD * most.sum()) + 1
+        first, rest = order[:head], order[head:]
+        own = [self.postings[t] for t in at[first]]
+        score = np.bincount(np.concatenate([p for p, _ in own]), np.concatenate([w * v for (_, v), w in zip(own, weight[first], strict=True)]), len(self.example))
+        b, n = self._slices(self.block_begins, at[rest])
+        bound = score + np.repeat(np.bincount(self.block[b], np.repeat(weight[rest], n) * self.largest[b], self.blocks), BLOCK)[: len(score)]
+        best = np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0.0
+        able = np.flatnonzero((bound >= best - 1e-12) & (bound > 0))
+        # The examples that can be among the nearest, in full.
+        self.query[at] = weight
+        p, n = self._slices(self.begins, able)
+        cosine = np.bincount(np.repeat(np.arange(len(able)), n), self.query[self.of[p]] * self.value[p], len(able))
+        self.query[at] = 0.0
+        able, cosine = able[cosine > 0], cosine[cosine > 0]
+        order = np.lexsort((able, -cosine.round(12)))[: self.k]
+        return able[order], cosine[order]
+
+    def votes(self, counts: Counter) -> tuple[float, list[int]]:
+        """(toxic share of the votes, each weighted by its squared cosine, with half a vote at the base rate; neighbours)."""
         at, weight = self.vector(counts)
-        if not len(at) or not len(self.label):
+        if not len(at):
             return self.none, []
         place, cosine = self.nearest(at, weight)
         near = cosine**2
-        return float((near @ self.label[place] + 0.5 * self.base) / (near.sum() + 0.5)), self.example[place].tolist()
+        share = (near * self.toxic[place]).sum() + 0.5 * self.base
+        return float(share / ((near * self.copies[place]).sum() + 0.5)), self.example[place].tolist()
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """(knots, values): the rising step function nearest to y over x, by pooling neighbours; each step's rate is drawn to
+    `base` by one row. Between steps the values are interpolated."""
+    pools: list[list[float]] = []  # sum of w * y, sum of w, sum of w * x
+    order = np.lexsort((y, x))
+    for a, b, c in zip(x[order], y[order], w[order], strict=True):
+        pools.append([b * c, c, a * c])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
+    values = np.array([(p[0] + base) / (p[1] + 1) for p in pools])
+    return np.array([p[2] / p[1] for p in pools]), np.maximum.accumulate(values)
 
 
 class Model:
-    """The index, the ids of its examples, and scores already made for equal term counts."""
+    """The index, the ids of its examples, and what share of votes stands for which probability."""
 
-    def __init__(self, index: BlockMaxIndex, ids: list):
-        self.index, self.ids, self.memo, self.held = index, ids, {}, Lookup(index.terms)
+    def __init__(self, index: BlockMaxIndex, ids: list, knots: np.ndarray, values: np.ndarray):
+        self.index, self.ids, self.knots, self.values = index, ids, knots, values
 
     def judge(self, text: str | None) -> tuple[float, list]:
-        counts = telling_counts(words(text), self.held)
-        key = frozenset(counts.items())
-        if key not in self.memo:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            self.memo[key] = self.index.score(counts)
-        score, near = self.memo[key]
-        return score, [self.ids[i] for i in near]
-
+        share, near = self.index.votes(word_counts(text))
+        score = float(np.interp(share, self.knots, self.values)) if len(self.knots) else share
+        return min(max(score, 0.0), 1.0), [self.ids[i] for i in near]
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, doc_counts: DataFrame | None = None) -> Model:
-    """An index of about `rows` labelled rows at most; labels must hold training rows alone.
 
-    Terms are chosen on these rows; their document frequencies, for the IDF, are counted over all rows of doc_counts
-    (docs unless given).
-    """
-    spark, every = docs.sparkSession, docs if doc_counts is None else doc_counts
+def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int, chars: int) -> pd.DataFrame:
+    """id, copies, toxic, word, n of the labelled rows, one row for each distinct sequence of words."""
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("label"))
-    n = own.count()
-    picked = own.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < min(1.0, rows / max(n, 1)) * (1 << 20))
-    pairs = docs.select(doc_id, text).join(picked, doc_id)  # at most about `rows` texts
+    own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(own.withColumnRenamed(doc_id, "id"), "id")
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    share = min(1.0, rows / max(size.n, 1), chars / max(size.chars, 1))
+    picked = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
 
     def condense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [term_counts(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(map(look, counts), pa.int64()), pa.array([sum(n for w, n in c.items() if w[-1] != "-") for c in counts], pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["id", "label", "look", "size", "word", "n"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    condensed = pairs.select(doc_id, text, "label").mapInArrow(condense, f"id {kind}, label int, look long, size long, word array<string>, n array<int>")
-    # One of the copies of a text is enough: else a text of many copies would make its own words tell.
-    sample = stored(condensed.groupBy("look", "label").agg(F.min_by(F.struct("id", "size", "word", "n"), "id").alias("x")).select("label", "x.*"), "toxic-sample")
-    # What tells is chosen by sums over the sample; only telling terms and their counts reach the driver.
-    got = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
-    n0 = got.n - got.n1
-    presence = sample.select("label", F.explode("word").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = F.lit(float(got.n)) * F.pow(a * (n0 - b) - b * (got.n1 - a), 2) / ((a + b) * (got.n - a - b) * float(max(got.n1, 1)) * float(max(n0, 1)))
-    ratio = ((a + 0.5) / (got.n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    telling = (
-        presence.where((a + b >= max(LEAST_ROWS, LEAST_SHARE * got.n)) & (a + b < got.n) & F.lit(bool(got.n1 and n0)))
-        .withColumn("chi", chi)
-        .where((F.col("chi") >= CHI2) & (F.greatest(ratio, 1 / ratio) >= LIFT))
-        .orderBy(F.desc("chi"), "word")
-        .limit(MAX_TERMS)
-    )
-    terms = frozenset(r.word for r in telling.select("word").collect())
-
-    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows, held = Counter(), 0, Lookup(terms)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                df.update({t for w in words(x) for t in held[w]})
-                rows += 1
-        df[""] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(df)), pa.array(list(df.values()), pa.int64())], ["word", "n"])
-
-    counted = every.select(text).mapInArrow(frequency, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = {r.word: r.n for r in counted}
-    total = df.pop("", 0)
-    idf = {w: float(np.log((1 + total) / (1 + df.get(w, 0))) + 1) for w in terms}
-    wanted = F.array(*[F.lit(w) for w in sorted(terms)]) if terms else F.array().cast("array<string>")
-    held = F.filter(F.arrays_zip("word", "n"), lambda x: F.array_contains(wanted, x["word"]))
-    examples = sample.select("id", "label", "size", held.alias("held")).toPandas().sort_values("id", kind="stable")
-    counts = [Counter({x["word"]: x["n"] for x in h}) for h in examples["held"]]
-    for x, n in zip(counts, examples["size"], strict=True):
-        if n:
-            x[OTHER] = 1 << (int(n).bit_length() - 1)
-    idf[OTHER] = 1.0
-    return Model(BlockMaxIndex(idf, counts, examples["label"].to_numpy(np.int64)), examples["id"].tolist())
+            texts = b.column(1).to_pylist()
+            counts = [word_counts(x) for x in texts]
+            same = [xxhash.xxh3_128_hexdigest(" ".join(_words((x or "").lower()))) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(same, pa.string()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["id", "label", "same", "word", "n"])
+
+    kind = picked.schema["id"].dataType.simpleString()
+    condensed = picked.select("id", "text", "label").mapInArrow(condense, f"id {kind}, label int, same string, word array<string>, n array<int>")
+    one = condensed.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.sum("label").alias("toxic"), F.first(F.struct("word", "n")).alias("x"))
+    return stored(one.select("id", "copies", "toxic", "x.*"), "toxic-sample").toPandas().sort_values("id", kind="stable")
+
+
+def _frequencies(docs: DataFrame, text: str, words: set[str]) -> tuple[dict[str, int], int]:
+    """(in how many rows of docs each of the words stands, rows)."""
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, own = Counter(), held.value
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for x in texts:
+                if x:
+                    df.update(own.intersection(_words(x.lower())))
+            df[""] += len(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["word", "n"])
+
+    got = docs.select(f"`{text}`").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    df = dict(zip(got["word"], got["n"].tolist(), strict=True))
+    return df, df.pop("", 0)
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, doc_counts: DataFrame | None = None) -> Model:
+    """An index of about `rows` labelled rows at most; labels must hold training rows alone.
+
+    Rows whose words are the same sequence are one example that votes as often as it has rows. Document frequencies are
+    counted over all rows of doc_counts (docs unless given), for the examples' words: no other can match.
+    """
+    got = _sample(docs, labels, doc_id, text, label, rows, chars)
+    counts = [Counter(dict(zip(w, map(int, n), strict=True))) for w, n in zip(got["word"], got["n"], strict=True)]
+    copies, toxic = got["copies"].to_numpy(np.int64), got["toxic"].to_numpy(np.int64)
+    df, total = _frequencies(docs if doc_counts is None else doc_counts, text, {w for x in counts for w in x})
+    index = BlockMaxIndex(df, total, counts, copies, toxic)
+    # A fold of the examples is scored with an index of the others, to learn what share of votes means what.
+    fold = np.array([xxhash.xxh3_64_intdigest(str(i)) % CALIBRATE == 0 for i in got["id"]], bool)
+    knots = values = np.zeros(0)
+    if fold.any() and not fold.all():
+        part = BlockMaxIndex(df, total, [x for x, f in zip(counts, fold, strict=True) if not f], copies[~fold], toxic[~fold])
+        share = np.array([part.votes(x)[0] for x, f in zip(counts, fold, strict=True) if f])
+        knots, values = isotonic(share, toxic[fold] / copies[fold], np.ones(fold.sum()), index.base)
+    return Model(index, got["id"].tolist(), knots, values)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", cut: float = 0.3) -> DataFrame:
     """docs with score, predicted and evidence (the ids of the neighbours, nearest first), from the whole text alone.
 
-    Null and empty texts score as the empty examples do, at the base rate if there are none. Repeated
+    Null and empty texts, and texts without a word of any example, score as the examples without words do, at the base
+    rate if there are none. Examples of equal cosine come in a fixed order; a score of just `cut` is predicted. Repeated
     rows score alike; an empty table gives no rows; columns named score, predicted or evidence are replaced.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     (made,) = fresh(docs.columns, "made")
 
     @F.pandas_udf("score double, evidence array<string>")
@@ -235,8 +240,10 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", cut: float
         got = [shared.value.judge(x if isinstance(x, str) else None) for x in t]
         return pd.DataFrame({"score": [s for s, _ in got], "evidence": pd.Series([[str(i) for i in e] for _, e in got], dtype=object)})
 
-    out = docs.withColumn(made, judge(text))
-    return out.withColumns({"score": F.col(f"{made}.score"), "evidence": F.col(f"{made}.evidence"), "predicted": (F.col(f"{made}.score") >= cut).cast("int")}).drop(made)
+    out = docs.withColumn(made, judge(f"`{text}`"))
+    out = out.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted", "evidence")])
+    got = F.col(made)
+    return out.withColumns({"score": got["score"], "evidence": got["evidence"], "predicted": (got["score"] >= cut).cast("int")}).drop(made)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
