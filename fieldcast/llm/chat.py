@@ -11,22 +11,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldcast.llm.common import in_fold, stored, table
+from fieldcast.llm.common import fresh, in_fold, stored, table
 
 SEGMENT = 1024
 #: Speaker markers at the start of a message, by the role that they mostly stand for.
 MARKERS = {"user": "user|human|customer|q|question|you", "assistant": "assistant|bot|ai|a|answer|agent|model", "system": "system|instructions?|context"}
-_OPEN, _CLOSE = r"^\s*(?:#{1,4}\s*|<\|?(?:im_start\|>)?|\[|\*\*)?", r"(?:\s*\|?>|\s*\]|\*\*\s*:|\s*:|\s*\n)"
+#: A bare word is a marker before a colon or closing bracket; with a line of its own only behind a heading's opening.
+_HEAD, _OPEN, _CLOSE = r"(?:#{1,4}\s*|<\|im_start\|>)", r"(?:#{1,4}\s*|<\|?|\[|\*\*)?", r"(?:\s*\|?>|\s*\]|\*\*\s*:|\s*:)"
 LENGTHS, LINES = 16, 4
 CODES = (len(MARKERS) + 1) * LENGTHS * LINES * 2
 
 
 def marker_pattern(words: str) -> str:
-    return f"(?i){_OPEN}(?:{words}){_CLOSE}"
+    return f"(?i)^\\s*(?:{_HEAD}(?:{words})\\s*:?\\s*\\n|{_OPEN}(?:{words}){_CLOSE})"
 
 
 def feature_code(text: Column) -> Column:
@@ -41,11 +43,17 @@ def feature_code(text: Column) -> Column:
     return (((marker * LENGTHS + length) * LINES + lines) * 2 + asks).cast("int")
 
 
-def split_transcripts(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
-    """(conv_id, turn, text): raw transcripts cut before each line that begins with a speaker marker."""
+def split_transcripts(docs: DataFrame, text: str = "text", part: str = "part") -> DataFrame:
+    """docs with one row for each turn of its text, which is cut before each line that begins with a speaker marker.
+
+    `part` numbers the turns of a text from 0. A text without such a line, null or empty is one turn, as it is.
+    """
     cut = f"(?im)(?=^[#<\\[*]{{0,4}}\\s*(?:{'|'.join(MARKERS.values())})(?:\\|?>|\\]|\\*\\*:|:))"
-    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), cut, -1), lambda x: F.trim(x) != "")
-    return docs.select(F.col(doc_id).alias("conv_id"), F.posexplode(parts).alias("turn", "text")).withColumn("turn", F.col("turn").cast("long"))
+    parts = F.filter(F.split(F.col(f"`{text}`"), cut, -1), lambda x: F.trim(x) != "")
+    parts = F.when(F.size(parts) > 1, parts).otherwise(F.array(f"`{text}`"))
+    (own,) = fresh([*docs.columns, part], "turn_text")
+    rows = docs.select("*", F.posexplode(parts).alias(part, own))
+    return rows.withColumn(text, F.col(own)).drop(own)
 
 
 class RoleModel:
@@ -65,28 +73,35 @@ class RoleModel:
 
 
 def sequenced(messages: DataFrame) -> DataFrame:
-    """messages (conv, turn, role, text) with code, and seg, pos: their place in the order of conv, turn, text.
+    """messages (conv, turn, role, text, part if any) with code, and seg, pos: their place in the order of conv, turn, part.
 
-    The table is sorted over all tasks, so that a long conversation is spread like any other rows; null turns come first.
+    The table is sorted over all tasks, so that a long conversation is spread like any other rows; null turns come first,
+    and the messages of a null conversation are one conversation.
     """
 
-    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, pos, conv = (TaskContext.get().partitionId() << 32) - 1, 0, None
-        for f in frames:
-            convs = f["conv"].tolist()
-            segs, places = np.zeros(len(f), np.int64), np.zeros(len(f), np.int32)
-            for i, c in enumerate(convs):
+        for b in batches:
+            segs, places = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int32)
+            for i, c in enumerate(b.column(0).to_pylist()):
+                c = "NaN" if c != c else c
                 if (c, pos < SEGMENT) != (conv, True) or seg & 0xFFFFFFFF == 0xFFFFFFFF:
                     seg, pos, conv = seg + 1, 0, c
                 segs[i], places[i] = seg, pos
                 pos += 1
-            yield f.assign(seg=segs, pos=places)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(segs), pa.array(places)], [*b.schema.names, "seg", "pos"])
 
-    rows = messages.withColumns({"code": feature_code(F.col("text")), "tie": F.xxhash64("text", "role")})
-    n = messages.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = rows.repartitionByRange(int(n), "conv", "turn", "tie").sortWithinPartitions("conv", "turn", "tie").drop("tie")
+    rows = messages.select("conv", *[c for c in messages.columns if c != "conv"])
+    rows = rows.withColumns({"code": feature_code(F.col("text")), "tie": F.xxhash64("text", "role")})
+    order = ["conv", "turn", *[c for c in ("part",) if c in rows.columns], "tie"]
+    ordered = rows.repartitionByRange(_tasks(rows), *order).sortWithinPartitions(*order).drop("tie")
     kinds = ", ".join(f"{c} {k}" for c, k in ordered.dtypes)
-    return stored(ordered.mapInPandas(number, f"{kinds}, seg long, pos int"), "messages")
+    return stored(ordered.mapInArrow(number, f"{kinds}, seg long, pos int"), "messages")
+
+
+def _tasks(df: DataFrame) -> int:
+    """How many tasks the passes over messages are dealt to, so that these are not merged by their few bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def train(rows: DataFrame, learn: Column) -> RoleModel:
@@ -146,7 +161,7 @@ def _matrices(model: RoleModel):
                 more = lengths > t
                 m[more] = (m[more][:, :, :, None] + model.after[None, None]).max(2) + emit[more, t][:, None, :]
                 opening[more] = (opening[more][:, :, None] + model.after[None]).max(1) + emit[more, t]
-            yield pd.DataFrame({"conv": f["conv"].to_numpy()[starts], "seg": f["seg"].to_numpy()[starts], "m": [x.ravel() for x in m], "opening": list(opening)})
+            yield pd.DataFrame({"seg": f["seg"].to_numpy()[starts], "m": [x.ravel() for x in m], "opening": list(opening)})
 
     return task
 
@@ -198,39 +213,49 @@ def _paths(model: RoleModel):
 
 def recover_roles(rows: DataFrame, model: RoleModel) -> DataFrame:
     """rows of sequenced() with role_pred, the Viterbi path of each conversation."""
-    kind = dict(rows.dtypes)["conv"]
-    features = rows.select("conv", "seg", "pos", "code")
-    several = features.where("pos = 0").groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").select("conv")
-    long = features.join(several, "conv", "left_semi").repartition("seg").sortWithinPartitions("seg", "pos")
-    matrices = stored(long.mapInPandas(_matrices(model), f"conv {kind}, seg long, m array<double>, opening array<double>"), "matrices")
-    ends = matrices.groupBy("conv").applyInPandas(_chained(model), "seg long, before int, end int")
-    placed = features.drop("conv").join(ends, "seg", "left").fillna(-1, ["before", "end"])
-    paths = placed.repartition("seg").sortWithinPartitions("seg", "pos").mapInPandas(_paths(model), "seg long, pos int, role_pred string")
+    features, n = rows.select("seg", "pos", "code"), _tasks(rows)
+    # Conversations do not go through pandas, where one null would turn all their ids into doubles.
+    opened = rows.where("pos = 0").select("conv", "seg")
+    several = opened.groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv").alias("own"))
+    chains = stored(opened.join(several, F.col("conv").eqNullSafe(F.col("own"))).select("conv", "seg"), "chains")
+    long = features.join(chains.select("seg"), "seg", "left_semi").repartition(n, "seg").sortWithinPartitions("seg", "pos")
+    matrices = stored(long.mapInPandas(_matrices(model), "seg long, m array<double>, opening array<double>"), "matrices")
+    ends = matrices.join(chains, "seg").groupBy("conv").applyInPandas(_chained(model), "seg long, before int, end int")
+    placed = features.join(ends, "seg", "left").fillna(-1, ["before", "end"])
+    paths = placed.repartition(n, "seg").sortWithinPartitions("seg", "pos").mapInPandas(_paths(model), "seg long, pos int, role_pred string")
     return rows.join(paths, ["seg", "pos"])
 
 
 def render(role: Column, text: Column) -> Column:
-    """The canonical turn: role header, the text without a speaker marker and without blanks around it, end mark."""
+    """The canonical turn: role header, the text without blanks around it, end mark.
+
+    One speaker marker goes from the text's beginning, if it is of this role; any other is content.
+    """
     body = F.coalesce(text, F.lit(""))
-    for words in MARKERS.values():
-        body = F.regexp_replace(body, marker_pattern(words), "")
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim(body), F.lit("<|end|>\n"))
+    own = body
+    for name, words in MARKERS.items():
+        own = F.when(role == name, F.regexp_replace(body, marker_pattern(words), "")).otherwise(own)
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim(own), F.lit("<|end|>\n"))
 
 
 def format_chats(messages: DataFrame, learn: Column, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role_pred, rendered for each message; roles where `learn` (over the column conv) holds are learned from.
+    """conv_id, turn, part, role_pred, rendered; roles where `learn` (over the column conv) holds are learned from.
 
-    * Null text is '', null roles are not learned from, null turns come first, messages that share a turn are in a
-      fixed order, and repeated rows are messages each. Without any known role all are `user`. No rows: no rows.
+    * A message that is a transcript itself, with lines that begin with speaker markers, is cut into its turns, numbered
+      by part; its own role is known for the first one only. Any other message is one row of part 0.
+    * Null text is '', null roles are not learned from, null turns come first, null conversations are one, messages that
+      share a turn are in a fixed order, and repeated rows are messages each. Without any known role all are `user`. No
+      rows: no rows.
     * Only the four named columns are read.
     """
-    rows = messages.select(F.col(conv_id).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    rows = messages.select(*[F.col(f"`{c}`").alias(x) for c, x in ((conv_id, "conv"), (turn, "turn"), (role, "role"), (text, "text"))])
+    rows = split_transcripts(rows).withColumn("role", F.when(F.col("part") == 0, F.col("role")))
     rows = sequenced(rows)
     out = recover_roles(rows, train(rows, learn))
-    return out.select(F.col("conv").alias(conv_id), F.col("turn").alias(turn), "role_pred", render(F.col("role_pred"), F.col("text")).alias("rendered"))
+    return out.select(F.col("conv").alias(conv_id), F.col("turn").alias(turn), "part", "role_pred", render(F.col("role_pred"), F.col("text")).alias("rendered"))
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles are learned from conversations outside the held-out fold."""
     out = format_chats(table(spark, sf_dir, "conversations"), ~in_fold(F.col("conv")))
-    return out.select("conv_id", "turn", in_fold(F.col("conv_id")).alias("held_out"), "role_pred", "rendered")
+    return out.select("conv_id", "turn", "part", in_fold(F.col("conv_id")).alias("held_out"), "role_pred", "rendered")
