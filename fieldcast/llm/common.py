@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The characters [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -33,10 +34,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local
+    mode, and an error on a cluster, whose executors could not read it."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         return place
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -50,6 +54,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_count(df: DataFrame, name: str, what: Column) -> tuple[DataFrame, int]:
+    """stored(), and in how many rows `what` held while they were written (or more, if a task ran twice)."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count_if(what).alias("n")), name)
+    return out, seen.get["n"]
+
+
+def map_arrow(df: DataFrame, task, schema: StructType) -> DataFrame:
+    """df.mapInArrow(task, schema), for columns of any name: inside, those of df and of the result are c0, c1, and so on."""
+    inside = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(task, inside).toDF(*schema.names)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

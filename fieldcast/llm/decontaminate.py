@@ -65,7 +65,7 @@ def find_contained(
     bounds = sketches.groupBy("class").agg(F.max(F.element_at("sketch", -1)).alias("bound")).collect()
     found = ["r1", "r2", "set", "item_id", "n_shared", "n_item", "containment"]
     names = fresh([*found, *doc_keys], *[f"k{i}" for i in range(len(doc_keys))])
-    keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(doc_keys, names, strict=True)], F.col(text).alias("text"))
+    keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(doc_keys, names, strict=True)], F.col(f"`{text}`").alias("text"))
     keyed = keyed.withColumns({"r1": F.xxhash64(*names, "text"), "r2": F.xxhash64("text", *names, F.lit(1))})
     size = F.size("set")
     bound = F.greatest(*[F.when(size >= _least(F.lit(2**b["class"]), containment), F.lit(b["bound"])) for b in bounds], F.lit(None).cast("bigint"), F.lit(None).cast("bigint"))
@@ -90,7 +90,7 @@ def find_contained(
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without the rows that hold a benchmark item; all columns stay. Rows that hold one are known by id and text."""
     r1, r2 = fresh(docs.columns, "r1", "r2")
-    keyed = docs.withColumns({r1: F.xxhash64(doc_id, text), r2: F.xxhash64(text, doc_id, F.lit(1))})
+    keyed = docs.withColumns({r1: F.xxhash64(f"`{doc_id}`", f"`{text}`"), r2: F.xxhash64(f"`{text}`", f"`{doc_id}`", F.lit(1))})
     bad = stored(find_contained(keyed, items, [r1, r2], text=text, **options).select(r1, r2).distinct(), "contaminated")
     return keyed.join(bad, [r1, r2], "left_anti").drop(r1, r2)
 

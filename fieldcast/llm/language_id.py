@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldcast.llm.common import fresh, in_fold, table
@@ -166,10 +166,11 @@ def train(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int = TRAIN_
     rate = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     top = rate.groupBy("gram").agg(F.max("rate").alias("top"))
     chosen = rate.join(top, "gram").where((F.col("n") >= 3) & (F.col("rate") >= LEAST_SHARE * F.col("top")))
-    got = chosen.select("lang", "gram", "n").toPandas()  # n-grams of a bounded sample
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    got = chosen.withColumn("place", place).where(F.col("place") <= most).select("lang", "gram", "n").toPandas()  # `most` a language
     grams = {l: np.zeros(0, np.uint64) for l in sizes}
     for l, f in got.sort_values(["n", "gram"], ascending=[False, True]).groupby("lang"):
-        grams[l] = f["gram"].to_numpy(np.int64)[:most].view(np.uint64)
+        grams[l] = f["gram"].to_numpy(np.int64).view(np.uint64)
     return LanguageFilters(grams, slots)
 
 
@@ -187,7 +188,8 @@ def identify(docs: DataFrame, model: LanguageFilters, text: str = "text") -> Dat
         lang, score = model.predict([x if isinstance(x, str) else None for x in t])
         return pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": score})
 
-    return docs.withColumn(made, guess(text)).withColumns({"lang_pred": F.col(f"{made}.lang_pred"), "score": F.col(f"{made}.score")}).drop(made)
+    out = docs.withColumn(made, guess(f"`{text}`")).drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
+    return out.withColumns({"lang_pred": F.col(f"{made}.lang_pred"), "score": F.col(f"{made}.score")}).drop(made)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

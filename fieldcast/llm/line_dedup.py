@@ -21,7 +21,7 @@ def _lines(text: Column) -> Column:
 
 def frequent_lines(docs: DataFrame, text: str, min_docs: int, min_chars: int) -> DataFrame:
     """(h1, h2, n_docs) of every line key with at least min_chars code points that min_docs rows or more contain."""
-    keys = F.array_distinct(F.transform(_lines(F.col(text)), line_key))
+    keys = F.array_distinct(F.transform(_lines(F.col(f"`{text}`")), line_key))
     hashed = (
         docs.select(F.explode(keys).alias("key"))
         .where(F.char_length("key") >= min_chars)
@@ -60,10 +60,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
     r1, r2, pos, lines, gone, q1, q2 = fresh([*docs.columns, "n_lines", "n_dropped", "h1", "h2", "key", "n_docs"], "r1", "r2", "pos", "lines", "gone", "q1", "q2")
     frequent = stored(frequent_lines(docs, text, min_docs, min_chars), "lines")
     # A row is known by its own content: equal rows lose equal lines.
-    own = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant")) and "map<" not in kind]
+    own = [f"`{c}`" for c, kind in docs.dtypes if not kind.startswith(("map", "variant")) and "map<" not in kind]
     keyed = docs.withColumns({r1: F.xxhash64(*own), r2: F.xxhash64(*reversed(own), F.lit(1))})
     hits = (
-        keyed.select(r1, r2, F.posexplode(F.transform(_lines(F.col(text)), line_key)).alias(pos, "key"))
+        keyed.select(r1, r2, F.posexplode(F.transform(_lines(F.col(f"`{text}`")), line_key)).alias(pos, "key"))
         .where(F.char_length("key") >= min_chars)
         .select(r1, r2, pos, F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
     )
@@ -72,14 +72,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
         .groupBy(F.col(r1).alias(q1), F.col(r2).alias(q2))
         .agg(F.collect_set(pos).alias(gone))
     )
-    both = keyed.join(dropped, (F.col(r1) == F.col(q1)) & (F.col(r2) == F.col(q2)), "left").withColumn(lines, _lines(F.col(text)))
+    both = keyed.join(dropped, (F.col(r1) == F.col(q1)) & (F.col(r2) == F.col(q2)), "left").withColumn(lines, _lines(F.col(f"`{text}`")))
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(F.col(gone), F.array().cast("array<int>"))),
         lambda i: F.get(F.col(lines), i),
     )
     # One new row for each old one: all columns come from the left side.
     return both.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_lines", "n_dropped")],
+        *[F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in ("n_lines", "n_dropped")],
         F.array_join(kept, "\n").alias(text),
         F.size(lines).cast("long").alias("n_lines"),
         F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"),

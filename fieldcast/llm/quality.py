@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm.common import fresh, stored, table
+from fieldcast.llm.common import fresh, map_arrow, stored, table
 
 SYMBOLS = b"#*$%&|<>"
 GOOD, BAD, ABSTAIN = 1, 2, 0
@@ -171,7 +171,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["code", "n"])
 
-    counted = docs.select(text).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     share, p = _fitted(counted, "code")
     at = docs.columns.index(text)
 
@@ -182,7 +182,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
             ok[ok] &= posterior(votes(x)[ok], share, p) >= 0.5
             yield b.filter(pa.array(ok))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

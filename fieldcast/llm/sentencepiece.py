@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from fieldcast.llm.common import table
+from fieldcast.llm.common import map_arrow, table
 
 MARK = "▁"
 #: What a piece of a BPE model costs besides the logarithm of its rank: of the words of prose, 83 % then get the ids of
@@ -250,10 +250,10 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     rows.append(c.encode(x))
                     size += len(x or "")
                 part = b.slice(first, len(rows))
-                yield pa.RecordBatch.from_arrays([*part.columns, _arrays(rows), pa.array([len(r) for r in rows], pa.int64())], [*keep, "ids", "n_ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _arrays(rows), pa.array([len(r) for r in rows], pa.int64())], [f"c{i}" for i in range(len(keep) + 2)])
                 first += len(rows)
 
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(task, schema)
+    return map_arrow(docs.select(*[f"`{c}`" for c in keep]), task, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -265,9 +265,9 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(x or ()) for x in b.column(at).to_pylist()], pa.string())], [*keep, text])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(x or ()) for x in b.column(at).to_pylist()], pa.string())], [f"c{i}" for i in range(len(keep) + 1)])
 
-    return rows.select(*[f"`{c}`" for c in keep]).mapInArrow(task, schema)
+    return map_arrow(rows.select(*[f"`{c}`" for c in keep]), task, schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def count_tokens(docs: DataFrame, keys: list[str], path: str, text: str = "text"
     total = pieces.agg(F.sum("freq")).first()[0] or 0
     heavy = pieces.where(F.col("freq") > total / HEAVY)
     rest = pieces.where(F.col("freq") <= total / HEAVY).select("piece", "n_tokens")
-    known = spark.sparkContext.broadcast({w: n for w, n in zip(*(heavy.select("piece", "n_tokens").toPandas()[c].tolist() for c in ("piece", "n_tokens")), strict=True)} if total else {})
+    known = spark.sparkContext.broadcast({r.piece: r.n_tokens for r in heavy.select("piece", "n_tokens").collect()} if total else {})
 
     kinds = {k: docs.schema[k].dataType.simpleString() for k in keys}
     schema = "piece string, freq long, uid long, n_bytes long" + "".join(f", `k{i}` {kinds[k]}" for i, k in enumerate(keys))
@@ -161,7 +161,8 @@ def count_tokens(docs: DataFrame, keys: list[str], path: str, text: str = "text"
                 first = at
 
     rows = docs.select(*keys, text).mapInArrow(split, schema)
-    n = F.when(F.col("n_bytes").isNotNull(), F.col("freq")).otherwise(F.col("freq") * F.col("n_tokens"))
+    each = F.coalesce("n_tokens", F.raise_error(F.lit("a pre-token without a count")).cast("long"))
+    n = F.when(F.col("n_bytes").isNotNull(), F.col("freq")).otherwise(F.col("freq") * each)
     sums = (
         rows.join(rest, "piece", "left")
         .groupBy("uid")

@@ -106,7 +106,7 @@ def build(listed: list[str], universe: DataFrame) -> Cascade:
         cascade = Cascade()
         cascade.levels.append(Level(listed, bits, 0))
         wrong = stored(_mistaken(universe, cascade, inside), "cascade")
-        if bits >= 4096 or wrong.count() <= max(1024, len(listed)):
+        if wrong.count() <= max(1024, len(listed)):
             break
         bits *= 2
     others, mine = [r.key for r in wrong.toLocalIterator()], listed

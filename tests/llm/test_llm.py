@@ -141,10 +141,9 @@ def near_copies(seed: int = 7) -> list:
     return rows + [rows[0], rows[1].upper()] + ODD
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_near_dedup(spark, monkeypatch, small):
-    monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+@pytest.mark.parametrize("rounds", [1, 0, 2])
+def test_near_dedup(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
     rows = near_copies()
     want = brute_components(rows, 2)
     got = {r.doc_id: r for r in near_dedup.near_duplicates(frame(spark, rows, True), k=2).collect()}
@@ -287,49 +286,141 @@ def test_sentencepiece(spark):
             v, out = sentencepiece.StreamingViterbi(c.pieces), []
             for ch in m:
                 out += v.feed(ch)
-            assert out + v.end() == full_viterbi(c.pieces, m) == list(c.encode(t))
-    long = "".join(rng.choice("abcdethn") for _ in range(30_000))
-    v, out, most = sentencepiece.StreamingViterbi(c.pieces), [], 0
-    for i in range(0, len(long), 50):
-        out += v.feed(long[i : i + 50])
-        most = max(most, len(v.window), len(v.back))
-    assert out + v.end() == full_viterbi(c.pieces, long) and most < 16 * c.pieces.longest
+            assert out + list(v.end()) == full_viterbi(c.pieces, m) == list(c.encode(t))
     path = P.path("piece_bpe_32k.model")
     got = sentencepiece.decode(sentencepiece.encode(frame(spark, rows, True), path), path)
     assert {r.doc_id: r.text for r in got.collect()} == {i: t or "" for i, t in enumerate(rows)}
     assert sentencepiece.encode(empty(spark), path).count() == 0
 
 
+@pytest.mark.parametrize("cuts", [True, False])
+def test_streaming_viterbi_commits_early(cuts, monkeypatch):
+    c = sentencepiece.Codec(P.path("piece_bpe_32k.model"))
+    c.pieces.cuts = cuts
+    prose = sentencepiece.MARK + texts(1, 21, 400, 400)[0].replace(" ", sentencepiece.MARK)
+    v, out, before = sentencepiece.StreamingViterbi(c.pieces), [], 0
+    for ch in prose:
+        out += v.feed(ch)
+        assert len(v.window) <= 4 * c.pieces.longest + 1
+    assert len(out) > 0.9 * len(full_viterbi(c.pieces, prose)) and v.commits > 50
+    assert out + list(v.end()) == full_viterbi(c.pieces, prose)
+    # one word without an end
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdethn") for _ in range(1_000_000 if cuts else 30_000))
+    v, out, most = sentencepiece.StreamingViterbi(c.pieces), [], 0
+    for i in range(0, len(long), 50):
+        out += v.feed(long[i : i + 50])
+        most = max(most, len(v.window), len(v.best))
+    out += v.end()
+    assert most < 16 * c.pieces.longest and b"".join(c.pieces.raw[i] for i in out).decode() == long
+    # the same in one feed, and against the whole lattice as far as that can be held
+    whole = sentencepiece.StreamingViterbi(c.pieces)
+    assert [*whole.feed(long), *whole.end()] == out
+    assert [*whole.feed(long[:30_000]), *whole.end()] == full_viterbi(c.pieces, long[:30_000])
+
+
 # ---- toxicity and chat
 
 
-def test_block_max_is_exact():
+def dense(index, counts: list[Counter]) -> np.ndarray:
+    """The same vectors by their definition, over the whole vocabulary."""
+    out = np.zeros((len(counts), len(index.terms)))
+    for row, c in zip(out, counts, strict=True):
+        for w, n in c.items():
+            if w in index.terms:
+                row[index.terms[w]] = (1 + np.log(n)) * index.weight[index.terms[w]]
+    size = np.sqrt((out**2).sum(1, keepdims=True))
+    return out / np.where(size > 0, size, 1)
+
+
+@pytest.mark.parametrize("vocabulary, k", [(60, 7), (2000, 24), (12, 3)])
+def test_block_max_is_exact(vocabulary, k):
     rng = random.Random(3)
-    words = [f"w{i}" for i in range(60)]
-    idf = {w: 1 + rng.random() * 4 for w in words} | {toxicity.OTHER: 1.0}
-    examples = [Counter(rng.choices(words, k=rng.randint(1, 8))) for _ in range(500)]
-    labels = np.array([rng.random() < 0.2 for _ in examples], int)
-    index = toxicity.BlockMaxIndex(idf, examples, labels, k=7)
-    dense = np.zeros((len(examples), len(index.idf)))
-    for row, i in enumerate(index.example):
-        at, w = index.vector(examples[i])
-        dense[row, at] = w
-    for _ in range(50):
-        at, w = index.vector(Counter(rng.choices(words, k=5)))
-        cos = dense[: len(index.example), at] @ w
-        want = np.sort(cos[cos > 0])[::-1][:7]
-        assert np.allclose(np.sort(index.nearest(at, w)[1])[::-1], want)
+    words = [f"w{i}" for i in range(vocabulary)]
+    examples = [Counter(rng.choices(words, k=rng.randint(0, 30))) for _ in range(500)]
+    toxic = np.array([rng.random() < 0.2 for _ in examples], int)
+    index = toxicity.BlockMaxIndex({w: rng.randint(1, 900) for w in words}, 1000, examples, np.ones(500, int), toxic, k=k)
+    held = dense(index, examples)[index.example]
+    for _ in range(60):
+        c = Counter(rng.choices(words, k=rng.randint(1, 25)))
+        cos = held @ dense(index, [c])[0]
+        place, got = index.nearest(*index.vector(c))
+        want = np.lexsort((np.arange(len(cos)), -cos.round(12)))[:k]  # ties: the lower place
+        want = want[cos[want] > 0]
+        assert np.allclose(got, cos[want]) and place.tolist() == want.tolist()
+
+
+def test_isotonic():
+    rng = np.random.default_rng(0)
+    x = rng.random(4000)
+    knots, values = toxicity.isotonic(x, (rng.random(4000) < x**2).astype(float), np.ones(4000), 0.3)
+    assert (np.diff(values) >= 0).all() and abs(np.interp(0.7, knots, values) - 0.49) < 0.07
 
 
-def test_toxicity(spark):
+def toxic_rows(n: int = 300):
     rng = random.Random(12)
-    rows = [" ".join("".join(rng.choices(WORDS, k=3)) for _ in range(rng.randint(20, 60))) for _ in range(300)]
-    bad = set(range(0, 300, 6))
-    rows = [t + " vile rotten" if i in bad else t for i, t in enumerate(rows)] + ODD
-    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(300)], "doc_id long, toxic int")
-    df = frame(spark, rows, True)
-    got = {r.doc_id: r for r in toxicity.score_toxicity(df, toxicity.train(df.select("doc_id", "text"), labels.where(~in_fold(F.col("doc_id"))))).collect()}
+    rows = [" ".join("".join(rng.choices(WORDS, k=3)) for _ in range(rng.randint(20, 60))) for _ in range(n)]
+    bad = set(range(0, n, 6))
+    return [t + " vile rotten vile" if i in bad else t for i, t in enumerate(rows)], bad
+
+
+def brute_scores(rows: list, labels: dict[int, int], texts_to_score: list) -> list[float]:
+    """TF-IDF with relevance, cosine, votes and calibration, over dense vectors."""
+    import re
+
+    import xxhash
+
+    count = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    sequence = lambda t: tuple(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    df = Counter(w for t in rows for w in count(t))
+    seen: dict = {}
+    for i in sorted(labels):
+        one = seen.setdefault(sequence(rows[i]), [i, 0, 0])
+        one[1], one[2] = one[1] + 1, one[2] + labels[i]
+    ids, copies, toxic = (np.array(x) for x in zip(*seen.values(), strict=True))
+    fold = np.array([xxhash.xxh3_64_intdigest(str(i)) % toxicity.CALIBRATE == 0 for i in ids])
+
+    def votes(use: np.ndarray, queries: list[Counter]) -> list[float]:
+        own, c, y = [count(rows[i]) for i in ids[use]], copies[use], toxic[use]
+        base = (y.sum() + 1) / (c.sum() + 2)
+        words = sorted({w for x in own for w in x})
+        has = np.array([[w in x for w in words] for x in own], float)
+        n, n1, m = len(own), (y > 0).sum(), has.sum(0)
+        phi2 = np.nan_to_num((n * (has * (y > 0)[:, None]).sum(0) - m * n1) ** 2 / np.maximum(m * (n - m) * n1 * (n - n1), 1e-9))
+        weight = (np.log((1 + len(rows)) / (1 + np.array([df[w] for w in words]))) + 1) * (phi2 * (m < n) + 1e-6)
+        vec = lambda q: np.array([(1 + np.log(q[w])) if q[w] else 0 for w in words]) * weight
+        unit = lambda v: v / (np.sqrt((v**2).sum()) or 1)
+        held, out = np.array([unit(vec(x)) for x in own]), []
+        for q in queries:
+            v = unit(vec(q))
+            if not v.any():
+                none = [i for i, x in enumerate(own) if not x]
+                out.append((y[none].sum() + base) / (c[none].sum() + 1))
+                continue
+            near = np.sort(-(held @ v))[: toxicity.NEIGHBOURS]
+            at = np.argsort(-(held @ v), kind="stable")[: len(near)]
+            w = np.maximum(-near, 0) ** 2
+            out.append(((w * y[at]).sum() + 0.5 * base) / ((w * c[at]).sum() + 0.5))
+        return out
+
+    share = votes(~fold, [count(rows[i]) for i in ids[fold]])
+    every = np.ones(len(ids), bool)
+    knots, values = toxicity.isotonic(np.array(share), toxic[fold] / copies[fold], np.ones(fold.sum()), (toxic.sum() + 1) / (copies.sum() + 2))
+    return np.interp(votes(every, [count(t) for t in texts_to_score]), knots, values).tolist()
+
+
+def test_toxicity(spark):
+    rows, bad = toxic_rows()
+    rows += [*ODD, rows[1], rows[6], rows[6], "vile " * 200_000]
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(300)] + [(309, 0), (310, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    df = frame(spark, rows, True).withColumns({"Evidence": F.lit("mine"), "a.b": F.lit(1)})
+    learn = labels.where(~in_fold(F.col("doc_id")))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, toxicity.train(df.select("doc_id", "text"), learn)).collect()}
     assert all(got[i].predicted == int(i in bad) for i in range(300)) and all(0 <= r.score <= 1 for r in got.values()) and got[0].evidence
+    own = {r.doc_id: r.toxic for r in learn.where("toxic is not null and doc_id is not null").collect()}
+    want = brute_scores(rows, own, rows)
+    assert np.allclose([got[i].score for i in range(len(rows))], want, atol=1e-6)
+    assert got[301].score == got[300].score == got[302].score and got[len(rows) - 1].predicted == 1
     none = toxicity.train(df.select("doc_id", "text"), labels.limit(0))
     assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(df, none).collect())
     assert toxicity.score_toxicity(empty(spark), none).count() == 0
@@ -373,8 +464,31 @@ def test_chat(spark, monkeypatch, segment):
 
 
 def test_split_transcripts(spark):
-    raw = spark.createDataFrame([(1, "User: hi\nthere\nAssistant: yes\nUSER: ok"), (2, None)], "doc_id long, text string")
-    assert [r.text.strip() for r in chat.split_transcripts(raw, "doc_id").orderBy("turn").collect()] == ["User: hi\nthere", "Assistant: yes", "USER: ok"]
+    raw = spark.createDataFrame([(1, "User: hi\nthere\nAssistant: yes\nUSER: ok"), (2, None), (3, ""), (4, "no marker: at all")], "conv_id long, text string")
+    got = chat.split_transcripts(raw).orderBy("conv_id", "part").collect()
+    assert [(r.conv_id, r.part, r.text and r.text.strip()) for r in got] == [(1, 0, "User: hi\nthere"), (1, 1, "Assistant: yes"), (1, 2, "USER: ok"), (2, 0, None), (3, 0, ""), (4, 0, "no marker: at all")]
+
+
+def test_chat_ids_nulls_and_transcripts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT", 2)
+    big = 2**53 + 1
+    rows = [(c, t, ("user", "assistant")[t % 2], "short?" if t % 2 == 0 else "a long answer " * 9) for c in (big, big + 1, big + 2) for t in range(6)]
+    rows += [(None, t, ("user", "assistant")[t % 2], "short?" if t % 2 == 0 else "a long answer " * 9) for t in range(5)]
+    rows += [(7, 0, "user", "User: hi?\nAssistant: " + "a long answer " * 9 + "\nUser: ok?")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    placed = chat.sequenced(df.withColumnRenamed("conv_id", "conv")).collect()
+    assert len({r.seg for r in placed if r.conv is None}) == 3  # five messages of one conversation in segments of two
+    got = chat.format_chats(df, F.lit(True)).collect()
+    assert Counter((r.conv_id, r.turn) for r in got if r.conv_id != 7) == Counter((c, t) for c, t, _, _ in rows if c != 7)
+    assert all(r.role_pred == ("user", "assistant")[r.turn % 2] for r in got if r.conv_id != 7)
+    own = sorted((r.part, r.role_pred, r.rendered) for r in got if r.conv_id == 7)
+    assert [x[:2] for x in own] == [(0, "user"), (1, "assistant"), (2, "user")] and own[2][2] == "<|user|>\nok?<|end|>\n"
+
+
+def test_render_strips_one_marker_of_the_role(spark):
+    cases = [("user", "User: Human: x", "Human: x"), ("user", "Context: the sea", "Context: the sea"), ("user", "You\nare late", "You\nare late"), ("assistant", "Question: what is it?", "Question: what is it?"), ("user", "### User\nhi", "hi"), ("assistant", "**Bot**: ok", "ok"), ("user", None, ""), ("system", "[system] be brief", "be brief")]
+    df = spark.createDataFrame(cases, "role string, text string, want string")
+    assert all(r.got == f"<|{r.role}|>\n{r.want}<|end|>\n" for r in df.select("*", chat.render(F.col("role"), F.col("text")).alias("got")).collect())
 
 
 def test_digest_of_kept_lines(spark):
