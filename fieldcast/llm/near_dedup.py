@@ -6,10 +6,10 @@ by the pigeonhole principle, two signatures within DISTANCE differ in one positi
 2 * CHUNKS > DISTANCE. So each chunk is indexed five times, each time without one position, and equal keys give all
 pairs within the distance.
 
-Pairs of a bucket are never all made. Two rounds of pivots link the members of large groups first: in each, every
-member of a bucket is compared to a few. What then still lies in different components, and shares enough with any
-others at all, is compared in full: small components by pairs, filtered inside the join by size, shared core and
-signature distance; members that share keys with a large component as queries against blocks of it.
+Pairs of a bucket are never all made. First each text is compared to one other, the smallest of all that it shares a
+bucket with. Components of what is linked then count as one, and each is compared to a few members of others that it
+shares buckets with. What still lies in different components, and shares enough with any others at all, is
+compared in full through an index of rare shingles, with filters by place and size inside the join.
 """
 
 from __future__ import annotations
@@ -19,17 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from fieldcast.llm.common import fresh, stored, table
+from fieldcast.llm.common import fresh, stored, stored_count, table
 
 CHUNK, CHUNKS = 5, 19
 POSITIONS, WORDS_OF_8 = CHUNK * CHUNKS, 12
 #: Signatures that differ in more positions are not compared.
 DISTANCE = 2 * CHUNKS - 1
-#: Components of up to SMALL members are compared pair by pair, larger ones in blocks of about BLOCK members.
-SMALL, BLOCK = 16, 256
+#: Pairs by which a component is compared to those before it, before all is compared in full.
+TRIES = 8
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64)
@@ -97,16 +98,17 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Labels take the smallest of their neighbours' and then jump to their label's label, until nothing changes.
     Every round is written out; nothing but its count of changes reaches the driver.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "to").distinct(), f"{name}-edges")
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "to"), f"{name}-edges")
     labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("comp")), f"{name}-labels")
-    while True:
+    changed = 1
+    while changed:
         near = both.join(labels.withColumnsRenamed({"node": "to"}), "to").groupBy("node").agg(F.min("comp").alias("near"))
         low = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        labels = stored(low.join(jump, "comp", "left").select("node", "was", F.least("comp", "top").alias("comp")), f"{name}-labels")
-        if not labels.where("comp < was").limit(1).count():
-            return labels.select("node", "comp")
+        rows = low.join(jump, "comp", "left").select("node", "was", F.least("comp", "top").alias("comp"))
+        labels, changed = stored_count(rows, f"{name}-labels", F.col("comp") < F.col("was"))
         labels = labels.select("node", "comp")
+    return labels
 
 
 def _measured(docs: DataFrame, keys: list[str], text: str, k: int) -> DataFrame:
@@ -130,185 +132,173 @@ def _measured(docs: DataFrame, keys: list[str], text: str, k: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """(node, set) of texts (node, text)."""
+    """texts (any columns, text last) with the column set in place of text."""
+    kept = texts.columns[:-1]
+    schema = texts.drop("text").schema.add("set", ArrayType(LongType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x, k) for x in b.column(1).to_pylist()]
+            sets = [shingle_set(x, k) for x in b.column(len(kept)).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)])
             values = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], [*kept, "set"])
 
-    return texts.select("node", "text").mapInArrow(task, "node long, set array<long>")
+    return texts.mapInArrow(task, schema)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union on the full sets."""
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """The rows of pairs (a, b, ca, cb) whose signatures are within DISTANCE and for which 100 * intersection >=
+    percent * union on the full sets; and whether there are any."""
+    side = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", *_SIG, "set")])
+    fits = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (signature_distance("a_", "b_") <= DISTANCE)
+    both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node")).where(fits)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for i in range(batch.num_rows):
-                x, y = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
+                x, y = (batch.column(c)[i].values.to_numpy() for c in (4, 5))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "ca", "cb"]).filter(pa.array(ok, pa.bool_()))
 
-    return stored(both.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long"), name)
+    return stored_count(both.select("a", "b", "ca", "cb", "a_set", "b_set").mapInArrow(task, "a long, b long, ca long, cb long"), "links", F.lit(True))
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
-    """Whether two sets of sizes n with cores c can reach the similarity: no more than the smaller core is shared."""
-    most = F.least(f"{a}c", f"{b}c")
-    return 100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most)
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with comp, which is the node itself where it has no label."""
+    return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _cores(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, n, c): the size of each set, and how many of its shingles some other set has too.
+def _by_key(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of left, a stored table, with right, which has one row for each key.
+
+    right is stored first: between two plain shuffles a key that holds a large part of left is split over tasks.
+    """
+    return left.join(stored(right, "keyed"), on)
+
+
+def _shares(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, c, signature): the size of each set, and how many of its shingles some other set has too.
 
     Sets that could not reach the similarity with any other are left out: they have no links. In a large group of near
-    copies these are the copies with many changes of their own, which would else be compared to all the others.
+    copies these are the copies with many changes of their own, which would else be compared to many others.
     """
     alone = sets.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1")
     own = alone.groupBy("node").agg(F.count("*").alias("own"))
-    size = sets.select("node", F.size("set").cast("long").alias("n"))
-    got = size.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
+    got = sets.drop("set").join(own, "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     return got.where(100 * F.col("c") >= percent * F.col("n"))
 
 
-def _close(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures are within DISTANCE and whose sizes allow the similarity. sigs: node, n, c, signature."""
-    side = lambda x: sigs.select(F.col("node").alias(x), *[F.col(s).alias(f"{x}_{s}") for s in ("n", "c", *_SIG)])
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("a_", "b_", percent) & (signature_distance("a_", "b_") <= DISTANCE)).select("a", "b")
-
+def _next_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): each component with TRIES members of earlier ones that it shares keys with, those nearest by
+    signature. Earlier are components of several members before single ones, and smaller names before others.
 
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    For each key a component is stood for by the member with the largest share of shingles that others have too, and by
+    one picked by hash, another in each key. rows: key, node, comp, n, c, signature.
+    """
+    own = F.struct("node", *_SIG)
+    best, some = [-(F.col("c") / F.col("n")), F.col("node")], [F.xxhash64("node", "key"), F.col("node")]
+    stand = [F.min_by(own, F.struct(*o)).alias(x) for x, o in (("best", best), ("some", some))]
+    met = stored(rows.groupBy("key", F.col("single"), "comp").agg(*stand), "met")
+    ends = met.groupBy("key").agg(F.min(F.struct("single", "comp", "best", "some")).alias("low"))
+    asks = _by_key(met, ends, ["key"]).where("comp <> low.comp")
+    asks = asks.select("comp", F.col("low.comp").alias("cb"), F.col("some").alias("a"), F.explode(F.array_distinct(F.array("low.best", "low.some"))).alias("b"))
+    near = asks.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("comp").alias("ca"), "cb", signature_distance("a.", "b.").alias("d")).distinct()
+    nearest = F.row_number().over(Window.partitionBy("ca").orderBy("d", "a", "b"))
+    return near.withColumn("rank", nearest).where(F.col("rank") <= TRIES).select("a", "b", "ca", "cb")
+
+
+def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): the nodes of different components that can still have a link, by their rarest shingles.
+
+    Sets of n that reach the similarity share one of the n - ceil(percent n / 100) + 1 rarest of each, in any common
+    order; at the first that they share, at places i and j, no more than 1 + min(n - i, m - j) - 1 are shared in all.
+    Shingles of one set alone come first in the order and make no pair. rest: node, comp, n, signature.
+    """
+    tokens = stored(sets.join(rest, "node", "left_semi").select("node", "n", F.explode("set").alias("h")), "tokens")
+    df = tokens.groupBy("h").agg(F.count("*").alias("df"))
+    ordered = _by_key(tokens, df, ["h"]).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
+    rarest = F.slice("all", F.lit(1), (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int"))
+    placed = ordered.select("node", F.posexplode(rarest).alias("i", "x")).where("x.df > 1")
+    placed = stored(placed.select("node", "i", F.col("x.h").alias("h")).join(rest, "node"), "rarest")
+    # The largest set that a set of n can reach the similarity with, from its place i on; a key without such a set goes.
+    top = ((100 + percent) * (F.col("n") - F.col("i")) - percent * F.col("n")) / percent
+    keys = placed.groupBy("h").agg(F.min("n").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    kept = stored(_by_key(placed, keys.select("h", "least"), ["h"]).where(top >= F.col("least")).drop("least"), "rarest")
+    side = lambda x: kept.select("h", *[F.col(c).alias(f"{x}{c}") for c in kept.columns if c != "h"])
+    most = F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi"))
+    apart = (F.col("acomp") < F.col("bcomp")) & ((100 + percent) * most >= percent * (F.col("an") + F.col("bn")))
+    left, right = side("a"), side("b")
+    met = left.join(right, (left["h"] == right["h"]) & apart & (signature_distance("a", "b") <= DISTANCE))
+    return met.select(F.col("anode").alias("a"), F.col("bnode").alias("b"), F.col("acomp").alias("ca"), F.col("bcomp").alias("cb")).distinct()
 
 
 def link_classes(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, comp) of the classes that have a link to another: classes has node, n and the signature, texts r1, r2, text."""
-    sigs = classes.select("node", "n", F.col("n").alias("c"), *_SIG)
-    buckets = sigs.select("node", F.explode(_keys()).alias("key"))
+    """(node, comp) of the classes that have a link to an earlier one: classes has node, n, r1, r2 and the signature, texts
+    r1, r2, text."""
+    buckets = classes.select("node", F.explode(_keys()).alias("key"))
     # Most keys are one class's own; these go before anything else is done.
-    shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     buckets = stored(buckets.join(shared, "key"), "buckets")
-    wanted = buckets.select("node").distinct().join(classes.select("node", "r1", "r2"), "node")
-    sets = stored(_sets(texts.join(wanted, ["r1", "r2"]).dropDuplicates(["node"]), k), "sets")
-
-    # First every member of a bucket is compared to its pivot, of which a group of copies has a few.
-    pairs = buckets.join(_pivots(buckets, [F.xxhash64("node", F.col("key") % 4)]), "key").where("node <> pivot")
-    edges = _confirmed(stored(_close(pairs.select(*_ordered("node", "pivot")).distinct(), sigs, percent), "near"), sets, percent, "links")
-    labels = components(edges, "first")
-
-    # Buckets with members in several components go on, without those members that cannot have a link.
-    rows = stored(_unsettled(buckets, labels), "unsettled")
-    cores = stored(_cores(sets.join(rows.select("node").distinct(), "node", "left_semi"), percent), "cores")
-    rows = stored(_unsettled(rows.select("key", "node").join(cores.select("node"), "node", "left_semi"), labels), "unsettled")
-    if not rows.limit(1).count():
-        return labels
-    cored = stored(sigs.drop("n", "c").join(cores, "node"), "cored")
-
-    # Then to the member with most links, and to one more.
-    rows = stored(rows.join(_degrees(edges), "node", "left"), "unsettled")
-    most = _pivots(rows, [-F.coalesce("degree", F.lit(0)), F.col("node")])
-    some = _pivots(rows, [F.when(F.col("degree").isNull(), 1).otherwise(0), F.xxhash64("node", F.col("key") % 4, F.lit(1))])
-    pairs = rows.join(most.union(some).distinct(), "key").where("comp <> pivot_comp")
-    new = _confirmed(stored(_close(pairs.select(*_ordered("node", "pivot")).distinct(), cored, percent), "near"), sets, percent, "links")
-    edges = stored(edges.union(new).distinct(), "all-links")
-    labels = components(edges, "second")
-
-    # What still lies in different components is compared in full: members of small components with each other inside
-    # the join on their keys, and each member that shares a key with a larger component with all of that, in blocks.
-    rest = _unsettled(rows.select("key", "node"), labels)
-    size = rest.select("comp", "node").distinct().groupBy("comp").agg(F.count("*").alias("size"))
-    rest = stored(rest.join(size, "comp"), "rest")
-    if not rest.limit(1).count():
-        return labels
-    small = rest.where(F.col("size") <= SMALL).join(cored, "node").select("key", "node", "comp", "n", "c", *_SIG)
-    side = lambda x: small.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "n", "c", *_SIG)])
-    left, right = side("a"), side("b")
-    apart = (F.col("a_comp") != F.col("b_comp")) & (F.col("a_node") < F.col("b_node"))
-    pairs = left.join(right, (left["key"] == right["key"]) & apart & _possible("a_", "b_", percent) & (signature_distance("a_", "b_") <= DISTANCE))
-    new = _confirmed(stored(pairs.select(*_ordered("a_node", "b_node")).distinct(), "near"), sets, percent, "links")
-    new = stored(new.union(_block_links(rest, sets, percent)).distinct(), "links")
-    return components(stored(edges.union(new).distinct(), "all-links"), "last") if new.limit(1).count() else labels
-
-
-def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a link from each member that shares a key with a larger component than its own into that component, if any.
-
-    The component's members and those that ask are dealt into blocks of about BLOCK sets, bounded in shingles too; a
-    task meets two blocks and gives out one link for each asking member at most.
-    """
-    large = rest.where(F.col("size") > SMALL)
-    into = large.select("key", F.col("comp").alias("into"), F.col("size").alias("into_size")).distinct()
-    bigger = F.struct("size", "comp") < F.struct("into_size", "into")
-    asks = stored(rest.join(into, "key").where(bigger).select("node", "into").distinct(), "asks")
-    cost = sets.select("node", F.size("set").alias("n"))
-    blocks = lambda: F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / (BLOCK * 4096))).cast("int")
-    members = large.select("node", F.col("comp").alias("into")).distinct()
-    plan = members.join(cost, "node").groupBy("into").agg(blocks().alias("bx")).join(asks.join(cost, "node").groupBy("into").agg(blocks().alias("by")), "into")
-    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = members.join(plan, "into").select("into", "node", at("bx").alias("x"), every("by").alias("y"), F.lit(False).alias("asks"))
-    asking = asks.join(plan, "into").select("into", "node", every("bx").alias("x"), at("by").alias("y"), F.lit(True).alias("asks"))
-    dealt = held.union(asking).join(sets, "node")
-
-    def meet(f):
-        import pandas as pd
-
-        own, ask = f[~f["asks"]].reset_index(drop=True), f[f["asks"]].reset_index(drop=True)
-        out = []
-        if len(own) and len(ask):
-            sizes = own["set"].map(len).to_numpy()
-            values = np.concatenate(own["set"].to_numpy())
-            owner = np.repeat(np.arange(len(own)), sizes)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            for node, s in zip(ask["node"], ask["set"], strict=True):
-                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                shared = np.bincount(owner[at], minlength=len(own))
-                hit = np.flatnonzero(100 * shared >= percent * (len(s) + sizes - shared))
-                if len(hit):
-                    out.append((min(node, own["node"][hit[0]]), max(node, own["node"][hit[0]])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-    return dealt.groupBy("into", "x", "y").applyInPandas(meet, "a long, b long")
-
-
-def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, comp) of the keys whose members are not all in one component."""
-    rows = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    wanted = classes.join(buckets, "node", "left_semi").select("node", "n", *_SIG, "r1", "r2")
+    own = wanted.join(texts.select("r1", "r2", "text"), ["r1", "r2"]).select("node", "n", *_SIG, "text")
+    sets = stored(_sets(own, k).dropDuplicates(["node"]), "sets")
+
+    # First each node is compared to one other: the smallest of all that share a key with it.
+    first = buckets.groupBy("node").agg(F.min("low").alias("b")).where("b < node")
+    links, some = _confirmed(first.select(F.col("node").alias("a"), "b", F.col("node").alias("ca"), F.col("b").alias("cb")), sets, percent)
+    labels = rooted(links.select(F.col("ca").alias("node"), F.col("cb").alias("comp")))
+    rows = stored(_labelled(buckets.select("key", "node"), labels), "labelled")
+    # Keys with members in several components go on, without those members that cannot have a link at all.
     several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    return rows.join(several, "key")
-
-
-def _pivots(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """(key, pivot, pivot_comp): the first member of each key in the order."""
-    comp = F.col("comp") if "comp" in rows.columns else F.col("node")
-    first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("node").alias("pivot"), comp.alias("pivot_comp"))).alias("x")
-    return rows.groupBy("key").agg(first).select("key", "x.pivot", "x.pivot_comp")
+    rows, more = stored_count(_by_key(rows, several, ["key"]), "unsettled", F.lit(True))
+    if not more:
+        return labels
+    shares = stored(_shares(sets.join(rows, "node", "left_semi"), percent), "shares")
+    single = rows.groupBy("comp").agg((F.min("node") == F.max("node")).alias("single"))
+    met = stored(_by_key(rows, single, ["comp"]).join(shares, "node"), "unsettled")
+    links, some = _confirmed(_next_pairs(met), sets, percent)
+    if some:
+        # Each component joins one earlier one that it has a link to.
+        up = rooted(links.groupBy("ca").agg(F.min("cb").alias("comp")).withColumnRenamed("ca", "node"))
+        labels = stored(_moved(labels, up), "labels")
+    # What still lies in different components is compared in full, by rare shingles.
+    rest = stored(_labelled(shares.drop("c"), labels), "rest")
+    links, some = _confirmed(_rare_pairs(rest, sets, percent), sets, percent)
+    return _moved(labels, components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "last").where("comp <> node")) if some else labels
+
+
+def rooted(up: DataFrame) -> DataFrame:
+    """(node, comp) of a table of trees, (node, comp) with comp the node above: comp becomes the root, by jumps of doubling
+    length. Roots have no row. Nothing but the count of changes reaches the driver."""
+    labels, changed = stored(up, "trees"), 1
+    while changed:
+        above = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        both = labels.join(above, "comp", "left").select("node", F.col("comp").alias("was"), F.coalesce("top", "comp").alias("comp"))
+        labels, changed = stored_count(both, "trees", F.col("comp") != F.col("was"))
+        labels = labels.select("node", "comp")
+    return labels
 
 
-def _degrees(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+def _moved(labels: DataFrame, up: DataFrame) -> DataFrame:
+    """labels after their roots have got roots of their own, in up."""
+    moved = labels.join(up.toDF("comp", "top"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return moved.unionByName(up)
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """doc_id as id, r1, r2 (the row's own key), n and comp (null for an empty set), one row for each row of docs."""
-    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumns({"r1": F.xxhash64("id", "text"), "r2": F.xxhash64("text", "id", F.lit(1))})
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumns({"r1": F.xxhash64("id", "text"), "r2": F.xxhash64("text", "id", F.lit(1))})
     rows = stored(_measured(keyed, ["id", "r1", "r2"], "text", k), "signatures")
     # Equal sets are one class from here on.
     least = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "r1", "r2", "n", *_SIG)).alias("v")
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(least).select("d1", "d2", "v.r1", "v.r2", "v.n", *[f"v.{s}" for s in _SIG])
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    labels = link_classes(classes, keyed, k, percent)
-    named = classes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("comp"))
-    return rows.select("id", "r1", "r2", "n", "d1", "d2").join(named, ["d1", "d2"], "left").drop("d1", "d2")
+    named = _labelled(classes.select("d1", "d2", "node"), link_classes(classes, keyed, k, percent)).select("d1", "d2", "comp")
+    rows = rows.select("id", "r1", "r2", "n", "d1", "d2")
+    some = _by_key(rows.where("n > 0"), named, ["d1", "d2"])
+    return some.unionByName(rows.where("n = 0").withColumn("comp", F.lit(None).cast("long"))).drop("d1", "d2")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -321,8 +311,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     * Only the two named columns are read.
     """
     rows = stored(_grouped(docs, doc_id, text, k, percent), "grouped")
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
-    out = rows.join(least, "comp", "left").withColumn("component", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")))
+    some = rows.where("comp is not null")
+    least = some.groupBy("comp").agg(F.min("id").alias("component"))
+    out = _by_key(some, least, ["comp"]).unionByName(rows.where("comp is null").withColumn("component", F.col("id")))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
@@ -330,14 +321,16 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """One row of docs for each component, that of the smallest doc_id, with all its columns; of rows with equal id and
     text one stays. Rows with an empty set all stay, but for such repeats."""
     r1, r2, m1, m2 = fresh(docs.columns, "r1", "r2", "m1", "m2")
-    rows = _grouped(docs, doc_id, text, k, percent)
-    group = F.coalesce(F.col("comp"), F.xxhash64("r1", "r2", F.lit("empty")))
-    first = rows.groupBy(group.alias("g"), F.col("comp").isNull().alias("e")).agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "r1", "r2")).alias("v"), F.count("*").alias("m"))
-    kept = stored(first.select(F.col("v.r1").alias(m1), F.col("v.r2").alias(m2), "m"), "kept")
-    keyed = docs.withColumns({r1: F.xxhash64(doc_id, text), r2: F.xxhash64(text, doc_id, F.lit(1))})
-    out = keyed.join(kept.select(m1, m2), (F.col(r1) == F.col(m1)) & (F.col(r2) == F.col(m2)), "left_semi")
-    if out.count() > kept.count():  # rows with equal id and text
-        out = out.dropDuplicates([r1, r2])
+    rows = stored(_grouped(docs, doc_id, text, k, percent), "grouped")
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "r1", "r2")).alias("v")).select("v.r1", "v.r2")
+    kept = stored(first.unionByName(rows.where("comp is null").select("r1", "r2")).groupBy("r1", "r2").count(), "kept")
+    again = stored(rows.groupBy("r1", "r2").count().where("count > 1").select("r1", "r2").join(kept, ["r1", "r2"], "left_semi"), "repeats")
+    keyed = docs.withColumns({r1: F.xxhash64(f"`{doc_id}`", f"`{text}`"), r2: F.xxhash64(f"`{text}`", f"`{doc_id}`", F.lit(1))})
+    of = lambda keys: keys.select(F.col("r1").alias(m1), F.col("r2").alias(m2))
+    same = (F.col(r1) == F.col(m1)) & (F.col(r2) == F.col(m2))
+    out = keyed.join(of(kept), same, "left_semi")
+    if again.limit(1).count():  # rows with equal id and text: one of each
+        out = out.join(of(again), same, "left_anti").unionByName(keyed.join(of(again), same, "left_semi").dropDuplicates([r1, r2]))
     return out.drop(r1, r2)
 
 
