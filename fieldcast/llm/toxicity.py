@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,68 +38,95 @@ def word_counts(text: str | None) -> Counter:
     return Counter(_words(text.lower())) if text else Counter()
 
 
-def _by(n: int, of: np.ndarray) -> np.ndarray:
-    """Where each of n groups begins in an array sorted by group, and its end."""
+def _begins(n: int, of: np.ndarray) -> np.ndarray:
+    """Where each of n groups begins in an array sorted by group, and the end of the last."""
     return np.searchsorted(of, np.arange(n + 1))
 
 
+class Examples:
+    """Word counts of examples as arrays: word numbers and counts of one after another, and for how many rows each
+    stands, how many of these toxic. words: the distinct words, an Arrow array."""
+
+    def __init__(self, words: pa.Array, begins: np.ndarray, word: np.ndarray, n: np.ndarray, copies: np.ndarray, toxic: np.ndarray):
+        self.words, self.begins, self.word, self.n, self.copies, self.toxic = words, begins, word, n, copies, toxic
+
+    @classmethod
+    def of(cls, words: pa.ListArray, n: pa.ListArray, copies: np.ndarray, toxic: np.ndarray) -> Examples:
+        coded = pa.compute.dictionary_encode(words.flatten())
+        begins = np.r_[0, np.cumsum(pa.compute.list_value_length(words).to_numpy(zero_copy_only=False))].astype(np.int64)
+        return cls(coded.dictionary, begins, coded.indices.to_numpy().astype(np.int64), n.flatten().to_numpy().astype(float), copies, toxic)
+
+    def where(self, some: np.ndarray) -> Examples:
+        size = np.diff(self.begins)
+        inside = np.repeat(some, size)
+        return Examples(self.words, np.r_[0, np.cumsum(size[some])], self.word[inside], self.n[inside], self.copies[some], self.toxic[some])
+
+    def counts(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.begins[i : i + 2]
+        return self.word[a:b], self.n[a:b]
+
+
 class BlockMaxIndex:
     """Unit vectors of labelled examples by term, with the largest weight of each term in each block of examples.
 
     A query first sums the postings of the terms that can add most. What its other terms can add is bounded for each
     block by their largest weights there; only examples whose sum and bound reach the k-th best sum are scored in full.
-    So the k nearest are exact. `examples` are word counts, `copies` and `toxic` how many rows each stands for.
+    So the k nearest are exact. df: in how many of `total` rows each word stands.
     """
 
-    def __init__(self, df: dict[str, int], total: int, examples: list[Counter], copies: np.ndarray, toxic: np.ndarray, k: int = NEIGHBOURS):
-        self.k, self.base = k, float((toxic.sum() + 1) / (copies.sum() + 2))
-        words = sorted({w for x in examples for w in x})
-        self.terms = {w: i for i, w in enumerate(words)}
+    def __init__(self, examples: Examples, df: np.ndarray, total: int, k: int = NEIGHBOURS):
+        copies, toxic, n, size = examples.copies, examples.toxic, len(examples.copies), len(examples.words)
+        self.k, self.base, self.words, self.terms = k, float((toxic.sum() + 1) / (copies.sum() + 2)), examples.words, None
         # Each distinct text counts once here, else one text of many copies would make its own words tell.
-        label, has, bad = toxic > 0, np.zeros(len(words)), np.zeros(len(words))
-        for x, one in zip(examples, label, strict=True):
-            at = [self.terms[w] for w in x]
-            has[at] += 1
-            bad[at] += one
-        n, n1 = len(examples), float(label.sum())
+        of = np.repeat(np.arange(n), np.diff(examples.begins))
+        has = np.bincount(examples.word, minlength=size).astype(float)
+        bad, n1 = np.bincount(examples.word, (toxic > 0)[of], size), float((toxic > 0).sum())
         with np.errstate(divide="ignore", invalid="ignore"):
-            relevance = np.nan_to_num(n * (bad * n - has * n1) ** 2 / (has * (n - has) * n1 * (n - n1)) / n, posinf=0.0)
-        idf = np.array([np.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in words])
-        self.weight = idf * (relevance + 1e-6)  # a word that tells nothing still counts a little
-
-        vectors = [self.vector(x) for x in examples]
-        some = [i for i, (at, _) in enumerate(vectors) if len(at)]
+            relevance = np.nan_to_num((bad * n - has * n1) ** 2 / (has * (n - has) * n1 * (n - n1)), posinf=0.0)
+        # A word that tells nothing still counts a little; one that no example has changes all cosines alike, and is left out.
+        self.weight = np.where(has > 0, (np.log((1 + total) / (1 + df)) + 1) * (relevance + 1e-6), 0.0)
+        value = (1 + np.log(examples.n)) * self.weight[examples.word]
+        value /= np.sqrt(np.bincount(of, value**2, n))[of]
         # Examples with like terms come together, so that a block's largest weights say much.
-        some.sort(key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3].tolist(), i))
-        self.example, self.copies, self.toxic = np.array(some, np.int64), copies[some].astype(float), toxic[some].astype(float)
-        empty = np.setdiff1d(np.arange(n), self.example)
-        self.none = float((toxic[empty].sum() + self.base) / (copies[empty].sum() + 1))
+        order = np.lexsort((examples.word, -value, of))
+        place_in, first = np.arange(len(of)) - np.repeat(examples.begins[:-1], np.diff(examples.begins)), np.full((3, n), -1)
+        for j in range(3):
+            first[j, of[order][place_in == j]] = examples.word[order][place_in == j]
+        self.example = np.lexsort((np.arange(n), *first[::-1]))
+        some = np.diff(examples.begins) > 0
+        self.none = float((toxic[~some].sum() + self.base) / (copies[~some].sum() + 1))
+        self.example = self.example[some[self.example]]
+        self.copies, self.toxic = copies[self.example].astype(float), toxic[self.example].astype(float)
         # By example, then by term, then by term and block.
-        self.of = np.concatenate([vectors[i][0] for i in some] or [np.zeros(0, np.int64)])
-        self.value = np.concatenate([vectors[i][1] for i in some] or [np.zeros(0)])
-        place = np.repeat(np.arange(len(some)), [len(vectors[i][0]) for i in some])
-        self.begins = _by(len(some), place)
+        rank = np.zeros(n, np.int64)
+        rank[self.example] = np.arange(len(self.example))
+        order = np.lexsort((examples.word, rank[of]))
+        self.of, self.value, place = examples.word[order].astype(np.int32), value[order], rank[of][order]
+        self.begins = _begins(len(self.example), place)
         order = np.lexsort((place, self.of))
-        places, posted, term = place[order].astype(np.int32), self.value[order], self.of[order]
-        ends = _by(len(words), term)
-        self.postings = [(places[a:b], posted[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        block = places // BLOCK
-        first = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(term) else np.zeros(0, np.int64)
-        self.block, self.largest = block[first], np.maximum.reduceat(posted, first) if len(first) else np.zeros(0)
-        self.block_begins = _by(len(words), term[first])
-        self.top = np.zeros(len(words))
+        self.place, self.posted, term = place[order].astype(np.int32), self.value[order], self.of[order]
+        self.term_begins = _begins(size, term)
+        block = self.place // BLOCK
+        start = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(term) else np.zeros(0, np.int64)
+        self.block, self.largest = block[start], np.maximum.reduceat(self.posted, start) if len(start) else np.zeros(0)
+        self.block_begins = _begins(size, term[start])
+        self.top = np.zeros(size)
         np.maximum.at(self.top, self.of, self.value)
-        self.blocks, self.query = -(-len(some) // BLOCK), np.zeros(len(words))
+        self.blocks, self.query = -(-len(self.example) // BLOCK), np.zeros(size)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(terms in order, unit weights); words that no example has change all cosines alike and are left out."""
+        """(terms in order, unit weights) of word counts."""
+        if self.terms is None:
+            self.terms = {w: i for i, w in enumerate(self.words.to_pylist())}
         own = [w for w in counts if w in self.terms]
-        at, n = np.array([self.terms[w] for w in own], np.int64), np.array([counts[w] for w in own], float)
+        return self.unit(np.array([self.terms[w] for w in own], np.int64), np.array([counts[w] for w in own], float))
+
+    def unit(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(at)
         at, n = at[order], n[order]
         weight = (1 + np.log(n)) * self.weight[at]
         size = np.sqrt((weight**2).sum())
-        return (at, weight / size) if size else (at[:0], weight[:0])
+        return (at[weight > 0], weight[weight > 0] / size) if size else (at[:0], weight[:0])
 
     @staticmethod
     def _slices(begins: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +140,8 @@ class BlockMaxIndex:
         order = np.argsort(-most, kind="stable")
         head = np.searchsorted(np.cumsum(most[order]), HEAD * most.sum()) + 1
         first, rest = order[:head], order[head:]
-        own = [self.postings[t] for t in at[first]]
-        score = np.bincount(np.concatenate([p for p, _ in own]), np.concatenate([w * v for (_, v), w in zip(own, weight[first], strict=True)]), len(self.example))
+        own = [slice(a, b) for a, b in zip(self.term_begins[at[first]], self.term_begins[at[first] + 1], strict=True)]
+        score = np.bincount(np.concatenate([self.place[x] for x in own]), np.concatenate([w * self.posted[x] for x, w in zip(own, weight[first], strict=True)]), len(self.example))
         b, n = self._slices(self.block_begins, at[rest])
         bound = score + np.repeat(np.bincount(self.block[b], np.repeat(weight[rest], n) * self.largest[b], self.blocks), BLOCK)[: len(score)]
         best = np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0.0
@@ -127,9 +155,8 @@ class BlockMaxIndex:
         order = np.lexsort((able, -cosine.round(12)))[: self.k]
         return able[order], cosine[order]
 
-    def votes(self, counts: Counter) -> tuple[float, list[int]]:
+    def votes(self, at: np.ndarray, weight: np.ndarray) -> tuple[float, list[int]]:
         """(toxic share of the votes, each weighted by its squared cosine, with half a vote at the base rate; neighbours)."""
-        at, weight = self.vector(counts)
         if not len(at):
             return self.none, []
         place, cosine = self.nearest(at, weight)
@@ -159,13 +186,13 @@ class Model:
         self.index, self.ids, self.knots, self.values = index, ids, knots, values
 
     def judge(self, text: str | None) -> tuple[float, list]:
-        share, near = self.index.votes(word_counts(text))
+        share, near = self.index.votes(*self.index.vector(word_counts(text)))
         score = float(np.interp(share, self.knots, self.values)) if len(self.knots) else share
         return min(max(score, 0.0), 1.0), [self.ids[i] for i in near]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int, chars: int) -> pd.DataFrame:
-    """id, copies, toxic, word, n of the labelled rows, one row for each distinct sequence of words."""
+def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int, chars: int) -> pa.Table:
+    """id, copies, toxic, word, n of the labelled rows, one row for each distinct sequence of words, by id."""
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("label"))
     own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(own.withColumnRenamed(doc_id, "id"), "id")
     size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
@@ -182,26 +209,29 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
     kind = picked.schema["id"].dataType.simpleString()
     condensed = picked.select("id", "text", "label").mapInArrow(condense, f"id {kind}, label int, same string, word array<string>, n array<int>")
     one = condensed.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.sum("label").alias("toxic"), F.first(F.struct("word", "n")).alias("x"))
-    return stored(one.select("id", "copies", "toxic", "x.*"), "toxic-sample").toPandas().sort_values("id", kind="stable")
+    return stored(one.select("id", "copies", "toxic", "x.*"), "toxic-sample").toArrow().sort_by("id").combine_chunks()
 
 
-def _frequencies(docs: DataFrame, text: str, words: set[str]) -> tuple[dict[str, int], int]:
+def _frequencies(docs: DataFrame, text: str, words: pa.Array) -> tuple[np.ndarray, int]:
     """(in how many rows of docs each of the words stands, rows)."""
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, own = Counter(), held.value
+        own, df, rows = {w: i for i, w in enumerate(held.value.to_pylist())}, np.zeros(len(held.value), np.int64), 0
         for b in batches:
             texts = b.column(0).to_pylist()
             for x in texts:
                 if x:
-                    df.update(own.intersection(_words(x.lower())))
-            df[""] += len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["word", "n"])
+                    df[[own[w] for w in set(_words(x.lower())) if w in own]] += 1
+            rows += len(texts)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[df[some], rows])], ["word", "n"])
 
-    got = docs.select(f"`{text}`").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    df = dict(zip(got["word"], got["n"].tolist(), strict=True))
-    return df, df.pop("", 0)
+    got = docs.select(f"`{text}`").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    word, n = got["word"].to_numpy(), got["n"].to_numpy()
+    df = np.zeros(len(words), np.int64)
+    df[word[word >= 0]] = n[word >= 0]
+    return df, int(n[word < 0].sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, doc_counts: DataFrame | None = None) -> Model:
@@ -211,18 +241,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     counted over all rows of doc_counts (docs unless given), for the examples' words: no other can match.
     """
     got = _sample(docs, labels, doc_id, text, label, rows, chars)
-    counts = [Counter(dict(zip(w, map(int, n), strict=True))) for w, n in zip(got["word"], got["n"], strict=True)]
-    copies, toxic = got["copies"].to_numpy(np.int64), got["toxic"].to_numpy(np.int64)
-    df, total = _frequencies(docs if doc_counts is None else doc_counts, text, {w for x in counts for w in x})
-    index = BlockMaxIndex(df, total, counts, copies, toxic)
+    ids, flat = got["id"].to_pylist(), lambda c: got[c].combine_chunks() if len(got) else pa.array([], got.schema.field(c).type)
+    examples = Examples.of(flat("word"), flat("n"), flat("copies").to_numpy(), flat("toxic").to_numpy())
+    df, total = _frequencies(docs if doc_counts is None else doc_counts, text, examples.words)
+    index = BlockMaxIndex(examples, df, total)
     # A fold of the examples is scored with an index of the others, to learn what share of votes means what.
-    fold = np.array([xxhash.xxh3_64_intdigest(str(i)) % CALIBRATE == 0 for i in got["id"]], bool)
+    fold = np.array([xxhash.xxh3_64_intdigest(str(i)) % CALIBRATE == 0 for i in ids], bool)
     knots = values = np.zeros(0)
     if fold.any() and not fold.all():
-        part = BlockMaxIndex(df, total, [x for x, f in zip(counts, fold, strict=True) if not f], copies[~fold], toxic[~fold])
-        share = np.array([part.votes(x)[0] for x, f in zip(counts, fold, strict=True) if f])
-        knots, values = isotonic(share, toxic[fold] / copies[fold], np.ones(fold.sum()), index.base)
-    return Model(index, got["id"].tolist(), knots, values)
+        part, apart = BlockMaxIndex(examples.where(~fold), df, total), examples.where(fold)
+        share = np.array([part.votes(*part.unit(*apart.counts(i)))[0] for i in range(int(fold.sum()))])
+        knots, values = isotonic(share, apart.toxic / apart.copies, np.ones(len(share)), index.base)
+    return Model(index, ids, knots, values)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", cut: float = 0.3) -> DataFrame:

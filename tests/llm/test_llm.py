@@ -322,6 +322,14 @@ def test_streaming_viterbi_commits_early(cuts, monkeypatch):
 # ---- toxicity and chat
 
 
+def indexed(df: dict, total: int, examples: list[Counter], toxic: np.ndarray, k: int):
+    """An index of word counts, each example one row."""
+    import pyarrow as pa
+
+    own = toxicity.Examples.of(pa.array([list(x) for x in examples], pa.list_(pa.string())), pa.array([list(x.values()) for x in examples], pa.list_(pa.int32())), np.ones(len(examples), int), toxic)
+    return toxicity.BlockMaxIndex(own, np.array([df.get(w, 0) for w in own.words.to_pylist()]), total, k)
+
+
 def dense(index, counts: list[Counter]) -> np.ndarray:
     """The same vectors by their definition, over the whole vocabulary."""
     out = np.zeros((len(counts), len(index.terms)))
@@ -339,7 +347,8 @@ def test_block_max_is_exact(vocabulary, k):
     words = [f"w{i}" for i in range(vocabulary)]
     examples = [Counter(rng.choices(words, k=rng.randint(0, 30))) for _ in range(500)]
     toxic = np.array([rng.random() < 0.2 for _ in examples], int)
-    index = toxicity.BlockMaxIndex({w: rng.randint(1, 900) for w in words}, 1000, examples, np.ones(500, int), toxic, k=k)
+    index = indexed({w: rng.randint(1, 900) for w in words}, 1000, examples, toxic, k)
+    index.vector(Counter())
     held = dense(index, examples)[index.example]
     for _ in range(60):
         c = Counter(rng.choices(words, k=rng.randint(1, 25)))
