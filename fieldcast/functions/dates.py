@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Season by month, months of its first and last day, and its printed name. Fixed values.
 SEASONS = {
-    "kharif": (6, 9, "Monsoon (Kharif)"),
-    "zaid": (3, 5, "Summer (Zaid)"),
+    "kharif": (6, 9, "Summer (Kharif)"),
+    "zaid": (3, 5, "Spring (Zaid)"),
     "rabi": (10, 2, "Winter (Rabi)"),
 }
 YEAR_DAYS = 365.25

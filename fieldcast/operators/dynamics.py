@@ -6,6 +6,7 @@ weights: (field, t, date, observed, w); forcing: (field, t or date, u array<doub
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,35 +37,54 @@ def delay_line(weights: DataFrame, lags: int, horizon: int = 1, forcing: str | N
     return weights.withColumns(cols).where("ok").select("field", "t", "x", "y", *(["u"] if forcing else []))
 
 
+def fit_table(design: DataFrame, mu: float = 1e-3, forced: bool = False, increment: bool = False) -> DataFrame:
+    """(field, k, lags, a, b, q): the models of fit_operator as rows, matrices row by row; nothing reaches the driver."""
+    z = design.withColumn("z", F.concat("x", "u") if forced else F.col("x"))
+    sized = z.select("field", F.concat("z", "y").alias("zy"), F.size("x").alias("p"), F.size("z").alias("q"), F.size("y").alias("k"))
+    kind = dict(design.dtypes)["field"]
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                m = np.asarray(r.xx).reshape(len(r.sx), -1)
+                p, q, k = int(r.p), int(r.q), int(r.k)
+                zz, zy, yy = m[:q, :q], m[:q, q:], m[q:, q:]
+                if increment:
+                    zy, yy = zy - zz[:, :k], yy - zy[:k] - zy[:k].T + zz[:k, :k]
+                theta = ridge(zz, zy, mu).T
+                res = yy - theta @ zy - (theta @ zy).T + theta @ zz @ theta.T
+                if increment:
+                    theta[:, :k] += np.eye(k)
+                if not np.isfinite(theta).all():
+                    raise ValueError(f"field {r.field}: the fit is not finite")
+                blocks = [theta[:, j * k : (j + 1) * k] for j in range(p // k)]
+                out.append((r.field, k, p // k, np.ravel(blocks), theta[:, p:].ravel(), (symmetric(res) / max(r.n - 1, 1) + 1e-8 * np.eye(k)).ravel()))
+            yield pd.DataFrame(out, columns=["field", "k", "lags", "a", "b", "q"])
+
+    sums = moments(sized, ["field", "p", "q", "k"], "zy")
+    return sums.mapInPandas(solve, f"field {kind}, k int, lags int, a array<double>, b array<double>, q array<double>")
+
+
+def unpacked(r) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(A blocks, B, Q) of a row of fit_table."""
+    k = int(r.k)
+    return list(np.asarray(r.a).reshape(int(r.lags), k, k)), np.asarray(r.b).reshape(k, -1), np.asarray(r.q).reshape(k, k)
+
+
 def fit_operator(design: DataFrame, mu: float = 1e-3, forced: bool = False, increment: bool = False) -> dict:
     """{field: (A blocks, B, Q)} of y = A x (+ B u) by ridge from one pass of moments; Q is the residual covariance plus jitter.
 
-    increment fits y - w[t] and adds the identity back to the first block.
+    increment fits y - w[t] and adds the identity back to the first block. For few fields: many stay in fit_table.
     """
-    z = design.withColumn("z", F.concat("x", "u") if forced else F.col("x"))
-    out = {}
-    size = z.select(F.size("x").alias("p"), F.size("z").alias("q"), F.size("y").alias("r")).first()
-    for r in moments(z.withColumn("zy", F.concat("z", "y")), ["field"], "zy").collect():  # one matrix a field
-        m = np.asarray(r.xx).reshape(len(r.sx), -1)
-        p, q, k = size.p, size.q, size.r
-        zz, zy, yy = m[:q, :q], m[:q, q:], m[q:, q:]
-        if increment:
-            zy, yy = zy - zz[:, :k], yy - zy[:k] - zy[:k].T + zz[:k, :k]
-        theta = ridge(zz, zy, mu).T
-        res = yy - theta @ zy - (theta @ zy).T + theta @ zz @ theta.T
-        if increment:
-            theta[:, :k] += np.eye(k)
-        blocks = [theta[:, j * k : (j + 1) * k] for j in range(p // k)]
-        out[r.field] = (blocks, theta[:, p:], symmetric(res) / max(r.n - 1, 1) + 1e-8 * np.eye(k))
-        if not np.isfinite(theta).all():
-            raise ValueError(f"field {r.field}: the fit is not finite")
-    return out
+    return {r.field: unpacked(r) for r in fit_table(design, mu, forced, increment).collect()}
 
 
 def two_stage(design: DataFrame, quiet: Column, mu: float = 1e-3, lags: int = 1) -> dict:
-    """{field: (A blocks, B)}: A from the rows that quiet holds for (all if fewer than max(4 lags, 32)), B from all residuals."""
-    n = {r.field: r.n for r in design.where(quiet).groupBy("field").agg(F.count("*").alias("n")).collect()}
-    calm = design.where(quiet) if n and min(n.values()) >= max(4 * lags, 32) else design
+    """{field: (A blocks, B)}: A from a field's rows that quiet holds for, all if these are fewer than max(4 lags, 32), B
+    from the residuals of all its rows."""
+    enough = F.coalesce(F.count_if(quiet).over(Window.partitionBy("field")), F.lit(0)) >= max(4 * lags, 32)
+    calm = design.withColumns({"calm": F.coalesce(quiet, F.lit(False)), "enough": enough}).where("calm or not enough").drop("calm", "enough")
     first = fit_operator(calm, mu)
     blocks = {f: np.hstack(a) for f, (a, _, _) in first.items()}
     out = {}
@@ -164,12 +184,17 @@ def limit_gain(blocks: list[np.ndarray], horizon: int, cap: float = GAIN_CAP) ->
 
 
 def limit_radius(blocks: list[np.ndarray], most: float = 1.0) -> list[np.ndarray]:
-    """The blocks scaled by c, c^2, .. with the largest c, by bisection, that keeps the spectral radius within `most`."""
-    rho = spectral_radius(companion(blocks))
-    if rho <= most:
+    """All blocks times one factor, the largest by bisection that keeps the spectral radius within `most`.
+
+    One factor for all lags keeps the memory's shape, the weight of each lag against the others.
+    """
+    if spectral_radius(companion(blocks)) <= most:
         return blocks
-    c = most / rho
-    return [x * c ** (j + 1) for j, x in enumerate(blocks)]
+    lo, hi = 0.0, 1.0
+    while hi - lo >= 1e-12:
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if spectral_radius(companion([x * mid for x in blocks])) > most else (mid, hi)
+    return [x * lo for x in blocks]
 
 
 def blend_with_persistence(blocks: list[np.ndarray], tail: np.ndarray, horizon: int, cap: float = GAIN_CAP) -> tuple[list[np.ndarray], float]:

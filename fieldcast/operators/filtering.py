@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from fieldcast.functions.linalg import companion, symmetric
+from fieldcast.operators.dynamics import limit_radius, unpacked
 
 
 class Lifted:
@@ -83,28 +84,45 @@ def _run(f: pd.DataFrame, model: dict):
         yield i, lift, z, p, e
 
 
-def filtered(rows: DataFrame, models: dict) -> DataFrame:
+def _by_field(rows: DataFrame, models: dict | DataFrame, one, schema: str) -> DataFrame:
+    """one(rows of a field, its model) for each field. Models of many fields are rows of dynamics.fit_table with the
+    further columns r (noise of frames) and rho (the most that the spectral radius may be; null: any), met by field."""
+    if isinstance(models, dict):
+        return rows.groupBy("field").applyInPandas(lambda f: one(f, models[f["field"].iloc[0]]), schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def both(f: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(f) or not len(m):
+            return pd.DataFrame(columns=names)
+        row = next(m.itertuples())
+        a, b, q = unpacked(row)
+        return one(f, {"A": a if row.rho is None or np.isnan(row.rho) else limit_radius(a, row.rho), "B": b, "Q": q, "R": row.r * np.eye(len(q))})
+
+    return rows.groupBy("field").cogroup(models.groupBy("field")).applyInPandas(both, schema)
+
+
+def filtered(rows: DataFrame, models: dict | DataFrame) -> DataFrame:
     """(field, t, w, cov_trace, innovation, smoothed, smoothed_t): the filtered vector of each day from the first seen one on.
 
     smoothed is the last block of the lifted state: the vector of day t - L + 1 with all that came until t.
     """
     kind = dict(rows.dtypes)["field"]
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
+    def one(f: pd.DataFrame, model: dict) -> pd.DataFrame:
         f = f.sort_values("t").reset_index(drop=True)
         out = [
             (f["field"].iloc[i], int(f["t"].iloc[i]), z[: m.k].tolist(), float(np.trace(p[: m.k, : m.k])), None if e is None else e.tolist(), z[-m.k :].tolist(), int(f["t"].iloc[i]) - m.L + 1)
-            for i, m, z, p, e in _run(f, models[f["field"].iloc[0]])
+            for i, m, z, p, e in _run(f, model)
         ]
         return pd.DataFrame(out, columns=["field", "t", "w", "cov_trace", "innovation", "smoothed", "smoothed_t"])
 
-    return rows.groupBy("field").applyInPandas(one, f"field {kind}, t long, w array<double>, cov_trace double, innovation array<double>, smoothed array<double>, smoothed_t long")
+    return _by_field(rows, models, one, f"field {kind}, t long, w array<double>, cov_trace double, innovation array<double>, smoothed array<double>, smoothed_t long")
 
 
 VARIANTS = ({"variant": "recursive", "direct": False, "weather": False}, {"variant": "recursive+weather", "direct": False, "weather": True})
 
 
-def rolling_forecasts(rows: DataFrame, models: dict, origins: set[int] | None, horizon: int, variants: tuple = VARIANTS, assimilate: bool = False) -> DataFrame:
+def rolling_forecasts(rows: DataFrame, models: dict | DataFrame, origins: set[int] | None, horizon: int, variants: tuple = VARIANTS, assimilate: bool = False) -> DataFrame:
     """(field, variant, origin, lead, w, cov_trace, valid): forecasts of each origin day by each variant from one filter pass.
 
     recursive variants iterate the model; direct ones use model["direct"][lead], a k x L k map of the origin's state.
@@ -114,10 +132,9 @@ def rolling_forecasts(rows: DataFrame, models: dict, origins: set[int] | None, h
     """
     kind = dict(rows.dtypes)["field"]
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
+    def one(f: pd.DataFrame, model: dict) -> pd.DataFrame:
         f = f.sort_values("t").reset_index(drop=True)
         field, n = f["field"].iloc[0], len(f)
-        model = models[field]
         us = f["u"].to_list() if "u" in f else [None] * n
         ms = f["m"].to_list() if "m" in f else [None] * n
         ws, seen, ts = f["w"].to_list(), f["observed"].to_numpy(bool), f["t"].to_numpy()
@@ -141,7 +158,7 @@ def rolling_forecasts(rows: DataFrame, models: dict, origins: set[int] | None, h
                         z, p, _ = lift.update(z, p, y, np.eye(lift.k), lift.R)
         return pd.DataFrame(out, columns=["field", "variant", "origin", "lead", "w", "cov_trace", "valid"])
 
-    return rows.groupBy("field").applyInPandas(one, f"field {kind}, variant string, origin long, lead int, w array<double>, cov_trace double, valid boolean")
+    return _by_field(rows, models, one, f"field {kind}, variant string, origin long, lead int, w array<double>, cov_trace double, valid boolean")
 
 
 def dense_forecast(blocks: list[np.ndarray], z: np.ndarray, horizon: int) -> list[np.ndarray]:

@@ -72,18 +72,60 @@ def cross_moments(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame
     return head.join(sums, keys)
 
 
-def solve_states(pixels: DataFrame, basis: DataFrame, noise: float, cov: bool = False) -> DataFrame:
+#: Up to so many components the products of phi are summed as columns, beyond as matrices in tasks.
+SHORT = 16
+
+
+def solve_states(pixels: DataFrame, basis: DataFrame, noise: float, cov: bool = False, r: int | None = None) -> DataFrame:
     """(field, date, w, n_valid, r2[, cov]) of every date that has a frame; w = (F'F + noise I)^-1 F'(y - offset).
 
-    Dates with the same mask share one Gram matrix: the mask is known by a sum of hashes of its pixels. Fewer than two
-    valid pixels give zeros, with the covariance of no information.
+    Fewer than two valid pixels give zeros, with the covariance of no information. r is the length of phi, read from the
+    basis unless given. Short vectors take one aggregation by date, whatever the masks; long ones share a Gram matrix
+    between the dates of a mask.
     """
+    if r is None:
+        first = basis.select(F.size("phi").alias("r")).first()
+        r = first.r if first else 1
+    return _by_date(pixels, basis, noise, cov, r) if r <= SHORT else _by_mask(pixels, basis, noise, cov)
+
+
+def _by_date(pixels: DataFrame, basis: DataFrame, noise: float, cov: bool, r: int) -> DataFrame:
+    got = pixels.where("value is not null").join(basis.select("field", "pixel", "phi", "offset"), ["field", "pixel"])
+    phi, y = [F.col("phi")[i] for i in range(r)], F.col("value") - F.coalesce("offset", F.lit(0.0))
+    upper = [(i, j) for i in range(r) for j in range(i, r)]
+    sums = [F.sum(phi[i] * phi[j]) for i, j in upper] + [F.sum(p * y) for p in phi] + [F.sum(y * y), F.sum(y)]
+    rows = got.groupBy("field", "date").agg(F.count("*").alias("n_valid"), F.array(*sums).alias("sums"))
+    kind = dict(pixels.dtypes)["field"]
+    schema = f"field {kind}, date date, w array<double>, n_valid long, r2 double" + (", cov array<double>" if cov else "")
+    at = np.array(upper).T
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            s, n = np.stack(f["sums"].to_numpy()), f["n_valid"].to_numpy()
+            m = np.empty((len(f), r, r))
+            m[:, at[0], at[1]] = m[:, at[1], at[0]] = s[:, : len(upper)]
+            b, yy, sy = s[:, len(upper) : len(upper) + r], s[:, -2], s[:, -1]
+            inv = np.linalg.inv(m + noise * np.eye(r))
+            w = np.einsum("tij,tj->ti", inv, b)
+            few = n < 2
+            w[few] = 0
+            left = yy - 2 * (w * b).sum(1) + np.einsum("ti,tij,tj->t", w, m, w)
+            out = f[["field", "date", "n_valid"]].assign(w=list(w), r2=1 - left / (yy - sy**2 / n + 1e-12))
+            if cov:
+                out["cov"] = [(NO_INFORMATION * np.eye(r) if x else noise * v).ravel() for x, v in zip(few, inv, strict=True)]
+            yield out[["field", "date", "w", "n_valid", "r2", *(["cov"] if cov else [])]]
+
+    return rows.mapInPandas(solve, schema)
+
+
+def _by_mask(pixels: DataFrame, basis: DataFrame, noise: float, cov: bool) -> DataFrame:
+    """States by one Gram matrix for each distinct mask, which a sum of hashes of its pixels stands for."""
     valid = pixels.where("value is not null").select("field", "date", "pixel", "value")
     mask = valid.groupBy("field", "date").agg(F.sum(F.shiftright(F.xxhash64("pixel"), 20)).alias("mask"), F.count("*").alias("n_valid"))
     got = valid.join(basis, ["field", "pixel"]).withColumn("y", F.col("value") - F.coalesce("offset", F.lit(0.0)))
     rhs = cross_moments(got, ["field", "date"], "phi", "y").join(mask, ["field", "date"])
     one = mask.groupBy("field", "mask").agg(F.min("date").alias("date"))
-    gram = moments(got.join(F.broadcast(one), ["field", "date"]), ["field", "mask"], "phi").select("field", "mask", F.col("xx").alias("gram"))
+    gram = moments(got.join(one, ["field", "date"]), ["field", "mask"], "phi").select("field", "mask", F.col("xx").alias("gram"))
     kind = dict(pixels.dtypes)["field"]
     schema = f"field {kind}, date date, w array<double>, n_valid long, r2 double" + (", cov array<double>" if cov else "")
 
@@ -117,14 +159,25 @@ def on_calendar(states: DataFrame, cal: DataFrame, r: int, cov: bool = False) ->
     return out.withColumn("cov", F.coalesce("cov", wide)) if cov else out
 
 
+#: Parts that the rows of a field are dealt into where they meet all its pixels, so that one field is not one task.
+DEALT = 32
+
+
+def _met(basis: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with each pixel of its field: rows are dealt out by their keys, the pixels go to each part."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(DEALT)))
+    every = basis.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    return every.join(dealt.withColumn("part", F.col("part").cast("int")), ["field", "part"]).drop("part")
+
+
 def decode(weights: DataFrame, basis: DataFrame, keys: list[str]) -> DataFrame:
-    """(field, keys, pixel, pred): phi . w + offset for each row of weights (field, keys, w). Weights are met on the pixel side."""
-    return basis.join(weights.select("field", *keys, "w"), "field").select("field", *keys, "pixel", (dot(F.col("phi"), F.col("w")) + F.coalesce("offset", F.lit(0.0))).alias("pred"))
+    """(field, keys, pixel, pred): phi . w + offset for each row of weights (field, keys, w)."""
+    return _met(basis, weights.select("field", *keys, "w"), keys).select("field", *keys, "pixel", (dot(F.col("phi"), F.col("w")) + F.coalesce("offset", F.lit(0.0))).alias("pred"))
 
 
 def decoded_variance(basis: DataFrame, covs: DataFrame, keys: list[str], noise: float) -> DataFrame:
     """(field, keys, pixel, variance): phi' S phi + noise for each row of covs (field, keys, cov)."""
-    both = basis.select("field", "pixel", "phi").join(covs.select("field", *keys, "cov"), "field")
+    both = _met(basis.select("field", "pixel", "phi"), covs.select("field", *keys, "cov"), keys)
     kinds = dict(both.dtypes)
     schema = f"field {kinds['field']}, pixel {kinds['pixel']}" + "".join(f", `{k}` {kinds[k]}" for k in keys) + ", variance double"
 

@@ -148,7 +148,7 @@ _SEASON = """CASE WHEN month(date) BETWEEN 6 AND 9 THEN 'kharif' WHEN month(date
  CASE WHEN month(date) <= 2 THEN year(date) - 1 ELSE year(date) END AS start_year"""
 _INST = """, se AS (SELECT DISTINCT field, season, start_year FROM (SELECT field, """ + _SEASON + """ FROM {0})),
 inst AS (SELECT *, CAST("end" - start AS INT) + 1 AS nominal_days,
-  CASE season WHEN 'kharif' THEN 'Monsoon (Kharif) ' || start_year WHEN 'zaid' THEN 'Summer (Zaid) ' || start_year ELSE 'Winter (Rabi) ' || start_year || '/' || lpad(CAST((start_year + 1) % 100 AS VARCHAR), 2, '0') END AS label
+  CASE season WHEN 'kharif' THEN 'Summer (Kharif) ' || start_year WHEN 'zaid' THEN 'Spring (Zaid) ' || start_year ELSE 'Winter (Rabi) ' || start_year || '/' || lpad(CAST((start_year + 1) % 100 AS VARCHAR), 2, '0') END AS label
  FROM (SELECT *, make_date(start_year, CASE season WHEN 'kharif' THEN 6 WHEN 'zaid' THEN 3 ELSE 10 END, 1) AS start,
   CASE season WHEN 'kharif' THEN make_date(start_year, 9, 30) WHEN 'zaid' THEN make_date(start_year, 5, 31) ELSE last_day(make_date(start_year + 1, 2, 1)) END AS "end" FROM se))"""
 

@@ -14,7 +14,8 @@ from fieldcast.operators import raster as R
 from fieldcast.operators import scoring as S
 from fieldcast.operators import state as X
 from fieldcast.plans.archive_queries import CUT_LI
-from fieldcast.plans.panels import fixed, item_panel, table, trajectory, weather_record, with_sql
+from fieldcast.plans.panels import block_panel, fixed, item_panel, table, trajectory, weather_record, with_sql
+from fieldcast.sources.stages import stored
 
 QUERIES, SQL = {}, {}
 
@@ -35,7 +36,11 @@ _BASIS = f"bs AS (SELECT DISTINCT field, pixel, [{_PHI}] AS phi FROM li)"
 
 
 def _basis(spark, sf, offset: float | None = 25.0):
-    grid = item_panel(spark, sf).select("field", "pixel", "row", "col").distinct()
+    return _rbf(item_panel(spark, sf), offset)
+
+
+def _rbf(pixels, offset):
+    grid = pixels.select("field", "pixel", "row", "col").distinct()
     phi = X.rbf_features(F.col("col").cast("double"), F.col("row").cast("double"), CENTRES, LENGTH)
     return grid.select("field", "pixel", phi.alias("phi"), F.lit(offset).alias("offset"))
 
@@ -58,8 +63,12 @@ def frame_moments(spark, sf):
     return m.select("field", "date", "n", F.posexplode("xy").alias("i", "v")).withColumn("v", fixed("v", 5) + 0.0)
 
 
+def _block_basis(spark, sf):
+    return _rbf(block_panel(spark, sf), 25.0)
+
+
 def _states(spark, sf, cov=False):
-    return X.solve_states(item_panel(spark, sf), _basis(spark, sf), NOISE, cov)
+    return X.solve_states(block_panel(spark, sf), _block_basis(spark, sf), NOISE, cov, len(CENTRES))
 
 
 @query(None)
@@ -77,12 +86,12 @@ def decoded_states(spark, sf):
 @query(None)
 def state_residuals(spark, sf):
     """Representation variance of each pixel by the states' reconstruction."""
-    return S.representation_variance(X.residuals(item_panel(spark, sf), _states(spark, sf), _basis(spark, sf)))
+    return S.representation_variance(X.residuals(block_panel(spark, sf), _states(spark, sf), _block_basis(spark, sf)))
 
 
 def _weights(spark, sf):
-    """The states on the calendar of the item archive."""
-    return X.on_calendar(_states(spark, sf), A.calendar(item_panel(spark, sf)), len(CENTRES))
+    """The states of all fields on the calendar of the item archive, as a stored stage."""
+    return stored(X.on_calendar(_states(spark, sf), A.calendar(block_panel(spark, sf)), len(CENTRES)), "weights")
 
 
 @query(None)
@@ -103,15 +112,16 @@ def delay_line(spark, sf):
 
 
 def _models(spark, sf, w):
-    fit = Y.fit_operator(Y.delay_line(w, LAGS), mu=1.0)
-    return {f: {"A": Y.limit_radius(a), "Q": q, "R": NOISE * np.eye(len(q))} for f, (a, _, q) in fit.items()}
+    return stored(Y.fit_table(Y.delay_line(w, LAGS), mu=1.0).withColumns({"r": F.lit(NOISE), "rho": F.lit(1.0)}), "models")
 
 
 @query(None)
 def memory_operator(spark, sf):
     """The blocks of the memory model in long form."""
-    rows = [(int(f), j, i, k, float(v)) for f, (a, _, _) in Y.fit_operator(Y.delay_line(_weights(spark, sf), LAGS), mu=1.0).items() for j, b in enumerate(a) for i, r in enumerate(b) for k, v in enumerate(r)]
-    return spark.createDataFrame(rows, "field long, lag int, i int, j int, value double")
+    fit = Y.fit_table(Y.delay_line(_weights(spark, sf), LAGS), mu=1.0)
+    at = lambda d, m: (F.floor(F.col("at") / d) % m).cast("int")
+    cells = fit.select("field", "k", F.posexplode("a").alias("at", "value"))
+    return cells.select("field", at(F.col("k") * F.col("k"), 10**6).alias("lag"), at(F.col("k"), F.col("k")).alias("i"), at(1, F.col("k")).alias("j"), "value")
 
 
 @query(None)
@@ -127,7 +137,7 @@ def horizon_family(spark, sf):
 @query(None)
 def emission_fit(spark, sf):
     """Weather measures from states: hold-out R squared by channel."""
-    w = _weights(spark, sf).where("observed").join(weather_record(spark, sf), ["field", "date"])
+    w = _weights(spark, sf).where("observed").join(weather_record(spark, sf).drop("field"), "date")
     got = Y.emission_fit(w.select("field", "t", "w", F.array("ta", "rs").alias("y")))
     return spark.createDataFrame([(int(f), i, float(r), m["usable"]) for f, m in got.items() for i, r in enumerate(m["r2"])], "field long, channel int, r2 double, usable boolean")
 
@@ -155,9 +165,9 @@ def end_to_end_scores(spark, sf):
     w, f = rolling(spark, sf)
     days = w.select("field", "t", "date", "observed", F.when(F.col("date") < F.lit(CUT_LI).cast("date"), "train").otherwise("test").alias("split"))
     origins = days.where("observed and split = 'test'")
-    own = f.where("valid").join(F.broadcast(origins.select("field", F.col("t").alias("origin"), "date")), ["field", "origin"]).select("field", "variant", F.col("date").alias("day"), "lead", "w")
-    pred = X.decode(own, _basis(spark, sf), ["variant", "day", "lead"]).withColumnRenamed("day", "origin")
-    pixels = item_panel(spark, sf)
+    own = f.where("valid").join(origins.select("field", F.col("t").alias("origin"), "date"), ["field", "origin"]).select("field", "variant", F.col("date").alias("day"), "lead", "w")
+    pred = X.decode(own, _block_basis(spark, sf), ["variant", "day", "lead"]).withColumnRenamed("day", "origin")
+    pixels = block_panel(spark, sf)
     scores = S.horizon_scores(S.with_truth(pred, pixels))
     return S.compare_methods([scores, S.horizon_scores(S.with_truth(S.persistence(pixels, origins, 3), pixels))])
 
@@ -190,7 +200,7 @@ def index_coordinates(spark, sf):
 
 @query("SELECT label, k, round(energy + 3e-8, 6) AS energy FROM (SELECT label, k, sum(s) OVER (PARTITION BY label ORDER BY k) / sum(s) OVER (PARTITION BY label) AS energy FROM (SELECT label, CAST(vec_id % 8 AS INT) AS k, sum(pow(round(CAST(embedding[1] AS DOUBLE), 6), 2)) AS s FROM embeddings GROUP BY ALL))")
 def cumulative_energy(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 8).cast("int").alias("k"), F.pow(fixed(F.col("embedding")[0].cast("double"), 6), 2).alias("s"))
+    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 8).cast("int").alias("k"), F.pow(F.round(F.col("embedding")[0].cast("double"), 6), 2).alias("s"))
     s = e.groupBy("label", "k").agg(F.sum("s").alias("s"))
     w = Window.partitionBy("label")
     return s.select("label", "k", fixed(F.sum("s").over(w.orderBy("k")) / F.sum("s").over(w), 6).alias("energy"))
@@ -198,7 +208,7 @@ def cumulative_energy(spark, sf):
 
 @query("SELECT label, min(k) AS k FROM (SELECT label, k, sum(s) OVER (PARTITION BY label ORDER BY k) / sum(s) OVER (PARTITION BY label) AS share FROM (SELECT label, CAST(vec_id % 8 AS INT) AS k, sum(pow(round(CAST(embedding[1] AS DOUBLE), 6), 2)) AS s FROM embeddings GROUP BY ALL)) WHERE share >= 0.8 - 1e-12 GROUP BY label")
 def energy_rank(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 8).cast("int").alias("k"), F.pow(fixed(F.col("embedding")[0].cast("double"), 6), 2).alias("s"))
+    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 8).cast("int").alias("k"), F.pow(F.round(F.col("embedding")[0].cast("double"), 6), 2).alias("s"))
     return S.first_reaching(e.groupBy("label", "k").agg(F.sum("s").alias("energy")), ["label"], 0.8)
 
 
@@ -217,9 +227,9 @@ def modality_keys(spark, sf):
 @query(None)
 def error_budget(spark, sf):
     """What representation and truncation cost against persistence; the parts are tested one by one."""
-    pixels, basis, w = item_panel(spark, sf), _basis(spark, sf), _weights(spark, sf)
-    left = X.project(w.where("observed"), X.fit_subspace(w.where("observed"), 0.9, least=2, most=3)).select("field", "t", "complement")
-    part = basis.join(left, "field").select("field", "t", "pixel", dot(F.col("phi"), F.col("complement")).alias("part"))
+    pixels, basis, w = block_panel(spark, sf), _block_basis(spark, sf), _weights(spark, sf)
+    left = X.project(w.where("observed"), X.fit_subspace(w.where("observed"), 0.9, least=2, most=3)).select("field", "t", F.col("complement").alias("w"))
+    part = X.decode(left, basis.withColumn("offset", F.lit(0.0)), ["t"]).withColumnRenamed("pred", "part")
     origins = w.where("observed").select("field", "date")
     now = S.with_truth(S.persistence(pixels, origins, 1), pixels).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
     return S.error_budget(X.residuals(pixels, _states(spark, sf), basis), part, now, 1.5)

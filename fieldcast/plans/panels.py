@@ -29,6 +29,13 @@ def item_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.withColumns({"row": F.floor(F.col("pixel") / 10).cast("int"), "col": (F.col("pixel") % 10).cast("int")})
 
 
+def block_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_panel with many fields: each hundred suppliers are a field, a grid of ten by ten."""
+    own = item_panel(spark, sf_dir)
+    at = F.col("pixel")
+    return own.withColumns({"field": F.floor(at / 100).cast("long"), "row": F.floor(at % 100 / 10).cast("int"), "col": (at % 10).cast("int")})
+
+
 def weather_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field, date, precip, ta, rs, vpd): a row a day of orders; days without orders are missing."""
     own = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_totalprice", "o_orderpriority")

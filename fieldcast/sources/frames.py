@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -104,11 +105,22 @@ def read_weather_csv(spark: SparkSession, path: str, field: str = "") -> DataFra
     return placed.select(F.lit(field).alias("field"), F.to_date(F.to_timestamp(date, fmt)).alias("date"), *others).orderBy("date")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path).schema  # noqa: B018  resolves the path
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_irrigation(spark: SparkSession, path: str | None, axis: DataFrame, columns: list[str], how: str = "sum") -> DataFrame:
-    """Irrigation on the windows of the axis; without a file all channels are zero, without a named column it is an error."""
+    """Irrigation on the windows of the axis; without a path, or a file there, all channels are zero, without a named column
+    it is an error."""
     from fieldcast.operators.weather import forward_window
 
-    if path is None:
+    if path is None or not _exists(spark, path):
         return axis.select("field", "date").distinct().select("*", *[F.lit(0.0).alias(c) for c in columns])
     raw = spark.read.option("header", True).csv(path)
     lost = [c for c in ("date", *columns) if c not in raw.columns]
@@ -116,4 +128,4 @@ def read_irrigation(spark: SparkSession, path: str | None, axis: DataFrame, colu
         raise ValueError(f"columns {lost} are missing from {path}")
     daily = raw.select(F.to_date("date").alias("date"), *[F.col(c).try_cast("double").alias(c) for c in columns])
     fields = axis.select("field").distinct()
-    return forward_window(axis, daily.join(F.broadcast(fields)), columns, how)
+    return forward_window(axis, daily.crossJoin(fields), columns, how)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.operators.filtering import Lifted, _vector
+from fieldcast.sources.stages import shared_dir
 
 
 def daily_means(stream: DataFrame, delay: str = "3 days") -> DataFrame:
@@ -113,10 +113,9 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over all that is there now into a Parquet table in the folder of spark.checkpoint.dir (a temporary one where that is unset)."""
+    """Runs a stream over all that is there now into a Parquet table in the folder that driver and executors share."""
     spark = stream.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    path = f"{place}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
