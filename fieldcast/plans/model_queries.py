@@ -77,9 +77,38 @@ def state_extraction(spark, sf):
     return _states(spark, sf)
 
 
-@query(with_sql("li", f", {_BASIS}, w AS (SELECT DISTINCT CAST(0 AS BIGINT) AS field, CAST(vec_id AS BIGINT) AS t, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 6)) AS w FROM embeddings WHERE vec_id < 50) SELECT field, t, pixel, round(list_dot_product(phi, w) + 25 + 3e-8, 6) AS pred FROM bs JOIN w USING (field)"))
+_BLOCKS = "lb AS (SELECT CAST(pixel // 100 AS BIGINT) AS field, date, pixel, CAST(pixel % 100 // 10 AS INT) AS row, CAST(pixel % 10 AS INT) AS col, value FROM li)"
+_BB = _BASIS.replace("bs AS", "bb AS").replace("FROM li", "FROM lb")
+
+
+@query(with_sql("li", f", {_BLOCKS}, {_BB} SELECT field, date, CAST(j - 1 AS INT) AS i, count(*) AS n_valid, round(sum(phi[j] * (value - 25)) + 3e-7, 5) + 0.0 AS v FROM lb JOIN bb USING (field, pixel), (SELECT CAST(unnest(generate_series(1, 4)) AS INT) AS j) GROUP BY ALL HAVING count(*) >= 2"))
+def state_equations(spark, sf):
+    """The left sides of the states' normal equations, (F'F + noise I) w: the SQL has the right sides, F'(y - offset)."""
+    pixels, basis, r = block_panel(spark, sf), _block_basis(spark, sf), len(CENTRES)
+    got = pixels.join(_states(spark, sf), ["field", "date"]).join(basis, ["field", "pixel"])
+    phi, w = [F.col("phi")[i] for i in range(r)], [F.first(F.col("w")[i]) for i in range(r)]
+    left = [sum((F.sum(phi[i] * phi[j]) * w[j] for j in range(r)), w[i] * NOISE) for i in range(r)]
+    rows = got.groupBy("field", "date").agg(F.count("*").alias("n_valid"), F.array(*left).alias("left")).where("n_valid >= 2")
+    return rows.select("field", "date", F.posexplode("left").alias("i", "v"), "n_valid").withColumn("v", fixed("v", 5) + 0.0)
+
+
+@query("""WITH w AS (SELECT CAST(label AS BIGINT) AS field, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, round(CAST(embedding[1] AS DOUBLE), 6) AS a, round(CAST(embedding[2] AS DOUBLE), 6) AS b FROM embeddings),
+d AS (SELECT field, a, b, lag(a) OVER v AS a1, lag(b) OVER v AS b1, lead(a) OVER v AS ya, lead(b) OVER v AS yb FROM w WINDOW v AS (PARTITION BY field ORDER BY t)), k AS (SELECT * FROM d WHERE a1 IS NOT NULL AND ya IS NOT NULL)
+SELECT field, j, i, round(v + 3e-8, 6) + 0.0 AS v FROM (SELECT field, unnest([0, 0, 0, 0, 1, 1, 1, 1]) AS i, unnest([0, 1, 2, 3, 0, 1, 2, 3]) AS j, unnest([sum(ya * a), sum(ya * b), sum(ya * a1), sum(ya * b1), sum(yb * a), sum(yb * b), sum(yb * a1), sum(yb * b1)]) AS v FROM k GROUP BY field)""")
+def memory_equations(spark, sf):
+    """The left sides of a memory model's normal equations, A (XX' + mu I): the SQL has the right sides, YX'."""
+    w = trajectory(spark, sf, 2, per_field=True).withColumn("observed", F.lit(True))
+    design, mu = stored(Y.delay_line(w, 2), "design"), 0.5
+    fit = Y.fit_table(design, mu=mu).select("field", "a")
+    gram = design.groupBy("field").agg(F.array(*[F.array(*[F.sum(F.col("x")[p] * F.col("x")[q]) + (mu if p == q else 0.0) for q in range(4)]) for p in range(4)]).alias("g"))
+    a = lambda i, p: F.col("a")[(p // 2) * 4 + i * 2 + p % 2]  # noqa: E731  row i, place p of the blocks side by side
+    cells = [F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), sum((a(i, p) * F.col("g")[p][j] for p in range(1, 4)), a(i, 0) * F.col("g")[0][j]).alias("v")) for i in range(2) for j in range(4)]
+    return fit.join(gram, "field").select("field", F.explode(F.array(*cells)).alias("c")).select("field", "c.j", "c.i", (fixed("c.v", 6) + 0.0).alias("v"))
+
+
+@query(with_sql("li", f", {_BASIS}, w AS (SELECT DISTINCT CAST(0 AS BIGINT) AS field, CAST(vec_id AS BIGINT) AS t, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 6)) AS w FROM embeddings) SELECT field, t, pixel, round(list_dot_product(phi, w) + 25 + 3e-8, 6) AS pred FROM bs JOIN w USING (field)"))
 def decoded_states(spark, sf):
-    w = trajectory(spark, sf, 4).where("t < 50")
+    w = trajectory(spark, sf, 4)
     return X.decode(w, _basis(spark, sf), ["t"]).withColumn("pred", fixed("pred", 6))
 
 

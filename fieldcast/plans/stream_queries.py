@@ -28,7 +28,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     folder, name = batch.inputFiles()[0].rsplit("/", 1)
     reader = spark.readStream.schema(batch.schema)
     raw = (reader if folder.endswith("events.parquet") else reader.option("pathGlobFilter", name)).parquet(folder)
-    return raw.select((F.col("user_id") % 3).alias("field"), (F.col("user_id") % 12).alias("zone"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return raw.select("user_id", (F.col("user_id") % 3).alias("field"), (F.col("user_id") % 12).alias("zone"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
 _OPEN = "CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY"
@@ -50,8 +50,8 @@ def stream_trailing_totals(spark, sf):
     return J.run_to_table(J.trailing_totals(_events(spark, sf), 8), "totals").withColumn("total", fixed("total", 4))
 
 
-@query(None)
+@query("""WITH d AS (SELECT DISTINCT user_id AS field, CAST(ts AS DATE) AS day FROM events), g AS (SELECT field, day, day - CAST(row_number() OVER (PARTITION BY field ORDER BY day) AS INT) AS run FROM d)
+SELECT field, min(day) AS first, max(day) AS last, CAST(count(*) AS INT) AS days, count(*) >= 3 AS enough FROM g GROUP BY field, run HAVING max(day) + 2 <= (SELECT max(CAST(ts AS DATE)) FROM events) - 3""")
 def stream_observed_runs(spark, sf):
-    """Runs of days with events by user; tested on a made-up stream."""
-    own = _events(spark, sf).withColumn("field", F.col("zone"))
-    return J.run_to_table(J.observed_runs(own, 3), "runs")
+    """Runs of days with events of each user; the last run of a user, which may go on, is not given out."""
+    return J.run_to_table(J.observed_runs(_events(spark, sf).withColumn("field", F.col("user_id")), 3), "runs")
