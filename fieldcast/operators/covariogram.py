@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcast.functions.linalg import chi2_sf
@@ -34,96 +35,156 @@ def offset_table(spark, edges: list[float], pixel_size: float = 1.0) -> DataFram
     return spark.createDataFrame(offsets(edges, pixel_size), "bin int, dr int, dc int, dist double")
 
 
-def always_valid(pixels: DataFrame, n_dates: int, least: int = 16) -> DataFrame:
-    """(pixel): valid on every date; if these are fewer than `least`, on over 90 % of them."""
-    n = pixels.where("value is not null").groupBy("pixel", "row", "col").agg(F.count("*").alias("n"))
-    enough = n.agg((F.count_if(F.col("n") == n_dates) >= least).alias("enough"))
-    return n.join(F.broadcast(enough)).where(F.when(F.col("enough"), F.col("n") == n_dates).otherwise(F.col("n") > 0.9 * n_dates)).select("pixel", "row", "col")
+def always_valid(pixels: DataFrame, least: int = 16) -> DataFrame:
+    """(field, pixel, row, col): valid on every date of the field; if these are fewer than `least`, on over 90 % of them."""
+    dates = pixels.groupBy("field").agg(F.count_distinct("date").alias("n_dates"))
+    n = pixels.where("value is not null").groupBy("field", "pixel", "row", "col").agg(F.count("*").alias("n")).join(dates, "field")
+    enough = n.groupBy("field").agg((F.count_if(F.col("n") == F.col("n_dates")) >= least).alias("enough"))
+    return n.join(enough, "field").where(F.when(F.col("enough"), F.col("n") == F.col("n_dates")).otherwise(F.col("n") > 0.9 * F.col("n_dates"))).select("field", "pixel", "row", "col")
 
 
 def centred(pixels: DataFrame, centring: str, mask: DataFrame) -> DataFrame:
-    """(date, pixel, row, col, z) on the pixels of mask: less the pixel's mean (anomaly) or the mean over mask (global)."""
-    own = pixels.where("value is not null").join(mask.select("pixel"), "pixel", "left_semi")
-    if centring == "anomaly":
-        mean = own.groupBy("pixel").agg(F.avg("value").alias("m"))
-        got = own.join(mean, "pixel")
-    elif centring == "global":
-        got = own.join(F.broadcast(own.agg(F.avg("value").alias("m"))))
-    else:
+    """(field, date, pixel, row, col, z) on the pixels of mask (field, pixel): less the pixel's mean (anomaly), or the
+    field's mean over mask (global)."""
+    by = {"anomaly": ["field", "pixel"], "global": ["field"]}
+    if centring not in by:
         raise ValueError("centring is anomaly or global")
-    return got.select("date", "pixel", "row", "col", (F.col("value") - F.col("m")).alias("z"))
+    own = pixels.where("value is not null").join(mask.select("field", "pixel"), ["field", "pixel"], "left_semi")
+    got = own.join(own.groupBy(*by[centring]).agg(F.avg("value").alias("m")), by[centring])
+    return got.select("field", "date", "pixel", "row", "col", (F.col("value") - F.col("m")).alias("z"))
 
 
-def pair_products(z: DataFrame, offs: DataFrame, max_lag: int, sample: float = 1.0, seed: int = 0) -> DataFrame:
-    """(bin, u, date, pair, dist, product) for lags 0 .. max_lag, symmetrised.
+#: Days of a pixel's series that one row holds.
+SPAN = 256
 
-    Two equi-joins: the offsets are exploded on one side of the pair, then the other pixel is met at (date, row, col),
-    for lag u at date + u. A share `sample` of the pairs is taken by a hash of pixel, offset and seed.
+
+def series_blocks(z: DataFrame, max_lag: int) -> DataFrame:
+    """(field, block, pixel, row, col, z): for each pixel and SPAN days its values, and those of max_lag days after, null
+    where there is none."""
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    block, at = F.floor(day / SPAN).cast("int"), F.pmod(day, F.lit(SPAN))
+    places = F.array(F.struct(block.alias("block"), at.alias("at")), F.when(at < max_lag, F.struct((block - 1).alias("block"), (at + SPAN).alias("at"))))
+    rows = z.select("field", "pixel", "row", "col", "z", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p"))
+    held = F.map_from_entries(F.collect_list(F.struct("p.at", "z")))
+    blocks = rows.groupBy("field", "p.block", "pixel", "row", "col").agg(held.alias("m"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(SPAN + max_lag - 1)), lambda i: F.try_element_at("m", i))
+    return blocks.select("field", "block", "pixel", "row", "col", values.alias("z"))
+
+
+def _met(z: DataFrame, offs: DataFrame, max_lag: int, sample: float, seed: int) -> DataFrame:
+    """(field, block, bin, dist, pixel, other, za, zb): each pair of pixels at one of the offsets, with a block of both series.
+
+    The offsets are exploded on one side, then the other pixel is met at (field, block, row, col): a pair's days are one
+    row. A share `sample` of the pairs is taken by a hash of pixel, offset and seed.
     """
-    ends = z.join(F.broadcast(offs)).select("date", "pixel", "bin", "dist", F.col("z").alias("za"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
+    blocks = series_blocks(z, max_lag)
+    ends = blocks.crossJoin(F.broadcast(offs)).select("field", "block", "pixel", "bin", "dist", F.col("z").alias("za"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
     if sample < 1:
         ends = ends.where(F.pmod(F.xxhash64("pixel", "row", "col", F.lit(seed)), F.lit(1 << 20)) < sample * (1 << 20))
-    now = ends.join(z.select("date", "row", "col", F.col("pixel").alias("other"), F.col("z").alias("zb")), ["date", "row", "col"])
-    pairs = now.select("date", "bin", "dist", "pixel", "other", "za", "zb")
-    zero = pairs.select("bin", F.lit(0).alias("u"), "date", "pixel", "other", "dist", (F.col("za") * F.col("zb")).alias("product"))
-    if max_lag == 0:
-        return zero
-    later = pairs.select("pixel", "other", F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("u"), F.col("date").alias("then"), F.col("za").alias("ya"), F.col("zb").alias("yb"))
-    later = later.withColumn("date", F.expr("date_sub(then, u)")).drop("then")
-    both = pairs.join(later, ["pixel", "other", "date"])
-    lagged = both.select("bin", "u", "date", "pixel", "other", "dist", (0.5 * (F.col("za") * F.col("yb") + F.col("zb") * F.col("ya"))).alias("product"))
-    return zero.unionByName(lagged)
+    other = blocks.select("field", "block", "row", "col", F.col("pixel").alias("other"), F.col("z").alias("zb"))
+    return ends.join(other, ["field", "block", "row", "col"]).select("field", "block", "bin", "dist", "pixel", "other", "za", "zb")
+
+
+def _dense(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(x, float) for x in column])
+
+
+def _products(a: np.ndarray, b: np.ndarray, lag: int) -> np.ndarray:
+    """The products of each row's first SPAN days, NaN where a value is missing; symmetrised over the pair for a lag."""
+    if not lag:
+        return a[:, :SPAN] * b[:, :SPAN]
+    return 0.5 * (a[:, :SPAN] * b[:, lag : SPAN + lag] + b[:, :SPAN] * a[:, lag : SPAN + lag])
+
+
+def _by_lag(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.nansum(x, axis=1), np.isfinite(x).sum(1)
+
+
+def pair_sums(z: DataFrame, offs: DataFrame, max_lag: int, sample: float = 1.0, seed: int = 0) -> DataFrame:
+    """(field, bin, dist, pixel, other, s, n): for each pair and block, sums and counts of the products at lags 0 .. max_lag."""
+    met = _met(z, offs, max_lag, sample, seed)
+    kinds = dict(met.dtypes)
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            a, b = _dense(f["za"]), _dense(f["zb"])
+            got = [_by_lag(_products(a, b, u)) for u in range(max_lag + 1)]
+            yield f[["field", "bin", "dist", "pixel", "other"]].assign(s=list(np.array([x for x, _ in got]).T), n=list(np.array([x for _, x in got]).T))
+
+    return met.mapInPandas(task, f"field {kinds['field']}, bin int, dist double, pixel {kinds['pixel']}, other {kinds['pixel']}, s array<double>, n array<long>")
 
 
 def covariogram(z: DataFrame, offs: DataFrame, max_lag: int = 6, min_pairs: int = 32, sample: float = 1.0) -> DataFrame:
-    """(bin, u, h, n_pairs, cov, c0, temporal, spatial, ratio, corr) of each distance bin and lag.
+    """(field, bin, u, h, n_pairs, cov, c0, temporal, spatial, ratio, corr) of each field, distance bin and lag.
 
     A pair counts if it is seen at lag 0; bins of fewer pixel pairs than min_pairs are left out.
     """
-    products = pair_products(z, offs, max_lag, sample)
-    cov = products.groupBy("bin", "u").agg(F.avg("product").alias("cov"))
-    size = products.where("u = 0").groupBy("bin", "pixel", "other").agg(F.first("dist").alias("dist")).groupBy("bin").agg(F.count("*").alias("n_pairs"), F.avg("dist").alias("h"))
+    parts = pair_sums(z, offs, max_lag, sample)
+    pairs = parts.groupBy("field", "bin", "pixel", "other").agg(F.first("dist").alias("dist"), *[F.sum(F.col(c)[u]).alias(f"{c}{u}") for u in range(max_lag + 1) for c in ("s", "n")])
+    bins = pairs.where("n0 > 0").groupBy("field", "bin").agg(F.count("*").alias("n_pairs"), F.avg("dist").alias("h"), *[F.sum(f"{c}{u}").alias(f"{c}{u}") for u in range(max_lag + 1) for c in ("s", "n")])
+    lags = F.array(*[F.struct(F.lit(u).alias("u"), F.try_divide(f"s{u}", f"n{u}").alias("cov")) for u in range(max_lag + 1)])
+    cov = bins.where(F.col("n_pairs") >= min_pairs).withColumn("spatial", F.try_divide("s0", "n0")).select("field", "bin", "h", "n_pairs", "spatial", F.explode(lags).alias("l")).select("*", "l.u", "l.cov").drop("l").where("cov is not null")
     temporal = temporal_marginal(z, max_lag)
-    c0 = temporal.where("u = 0").select(F.col("temporal").alias("c0"))
-    spatial = cov.where("u = 0").select("bin", F.col("cov").alias("spatial"))
-    got = cov.join(size.where(F.col("n_pairs") >= min_pairs), "bin").join(F.broadcast(temporal), "u").join(F.broadcast(spatial), "bin").join(F.broadcast(c0))
+    c0 = temporal.where("u = 0").select("field", F.col("temporal").alias("c0"))
+    got = cov.join(temporal, ["field", "u"]).join(c0, "field")
     ratio = F.try_divide(F.col("cov") * F.col("c0"), F.col("spatial") * F.col("temporal"))
-    return got.select("bin", "u", "h", "n_pairs", "cov", "c0", "temporal", "spatial", ratio.alias("ratio"), F.try_divide("cov", "c0").alias("corr"))
+    return got.select("field", "bin", "u", "h", "n_pairs", "cov", "c0", "temporal", "spatial", ratio.alias("ratio"), F.try_divide("cov", "c0").alias("corr"))
+
+
+def _own(z: DataFrame, max_lag: int) -> DataFrame:
+    """(field, u, date, s, n): sums and counts of each pixel's products with itself u days later, by day."""
+    w = Window.partitionBy("field", "pixel").orderBy("day").rangeBetween(0, 0)
+    days = z.select("field", "pixel", "date", "z", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"))
+    ahead = [F.first("z").over(w.rangeBetween(u, u)) for u in range(max_lag + 1)]
+    lags = days.withColumn("ahead", F.array(*ahead)).select("field", "date", "z", F.posexplode("ahead").alias("u", "y")).where("y is not null")
+    return lags.groupBy("field", "u", "date").agg(F.sum(F.col("z") * F.col("y")).alias("s"), F.count("*").alias("n"))
 
 
 def temporal_marginal(z: DataFrame, max_lag: int) -> DataFrame:
-    later = z.select("pixel", F.col("z").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("u"), F.col("date").alias("then"))
-    later = later.withColumn("date", F.expr("date_sub(then, u)")).drop("then")
-    return z.join(later, ["pixel", "date"]).groupBy("u").agg(F.avg(F.col("z") * F.col("y")).alias("temporal"))
+    return _own(z, max_lag).groupBy("field", "u").agg((F.sum("s") / F.sum("n")).alias("temporal"))
+
 
+def product_series(z: DataFrame, offs: DataFrame, max_lag: int, groups: int = 20, sample: float = 1.0, seed: int = 0) -> DataFrame:
+    """(field, kind, bin, u, g, date, m, n): mean products of each day by bin, lag and pair group, and how many; kind
+    temporal has bin -1, g -1. Each task sums its own pairs by block before anything is shuffled."""
+    met = _met(z, offs, max_lag, sample, seed).withColumn("g", F.pmod(F.xxhash64("pixel", "other"), F.lit(groups)).cast("int"))
+    kind = dict(met.dtypes)["field"]
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            a, b, out = _dense(f["za"]), _dense(f["zb"]), []
+            for key, at in f.groupby(["field", "block", "bin", "g"], sort=False).indices.items():
+                for u in range(max_lag + 1):
+                    x = _products(a[at], b[at], u)
+                    out.append((*key, u, np.nansum(x, axis=0), np.isfinite(x).sum(0)))
+            yield pd.DataFrame(out, columns=["field", "block", "bin", "g", "u", "s", "n"])
 
-def product_series(z: DataFrame, offs: DataFrame, max_lag: int, groups: int = 20, sample: float = 1.0) -> DataFrame:
-    """(kind, bin, u, g, date, m): mean products of each day by bin, lag and pair group; kind temporal has bin -1, g -1."""
-    g = F.pmod(F.xxhash64("pixel", "other"), F.lit(groups)).cast("int")
-    pairs = pair_products(z, offs, max_lag, sample).groupBy("bin", "u", g.alias("g"), "date").agg(F.avg("product").alias("m"))
-    later = z.select("pixel", F.col("z").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("u"), F.col("date").alias("then"))
-    later = later.withColumn("date", F.expr("date_sub(then, u)")).drop("then")
-    own = z.join(later, ["pixel", "date"]).groupBy("u", "date").agg(F.avg(F.col("z") * F.col("y")).alias("m"))
-    return pairs.select(F.lit("pair").alias("kind"), "bin", "u", "g", "date", "m").unionByName(own.select(F.lit("temporal").alias("kind"), F.lit(-1).alias("bin"), "u", F.lit(-1).alias("g"), "date", "m"))
+    parts = met.select("field", "block", "bin", "g", "za", "zb").mapInPandas(task, f"field {kind}, block int, bin int, g int, u int, s array<double>, n array<long>")
+    days = parts.select("field", "block", "bin", "g", "u", F.posexplode(F.arrays_zip("s", "n")).alias("at", "x")).where("x.n > 0")
+    date = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("block") * SPAN + F.col("at")).cast("int")).alias("date")
+    pairs = days.groupBy("field", "bin", "u", "g", date).agg((F.sum("x.s") / F.sum("x.n")).alias("m"), F.sum("x.n").alias("n"))
+    own = _own(z, max_lag).select("field", F.lit("temporal").alias("kind"), F.lit(-1).alias("bin"), "u", F.lit(-1).alias("g"), "date", (F.col("s") / F.col("n")).alias("m"), "n")
+    return pairs.select("field", F.lit("pair").alias("kind"), "bin", "u", "g", "date", "m", "n").unionByName(own)
 
 
 def contrasts(series: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(bin, u, contrast) with G = C(h,u) - C(h,0) C(0,u) / C(0,0): means over time blocks (start, end); products stay inside a block."""
-    days = series.join(F.broadcast(blocks), (F.col("date") >= F.col("start")) & (F.date_add(F.col("date"), F.col("u")) < F.col("end")))
-    pair = days.where("kind = 'pair'").groupBy("bin", "u", "start", "date").agg(F.avg("m").alias("m")).groupBy("bin", "u").agg(F.avg("m").alias("c"))
-    own = days.where("kind = 'temporal'").groupBy("u").agg(F.avg("m").alias("t"))
-    zero = pair.where("u = 0").select("bin", F.col("c").alias("c_h0"))
-    c00 = own.where("u = 0").select(F.col("t").alias("c00"))
-    got = pair.where("u > 0").join(zero, "bin").join(F.broadcast(own), "u").join(F.broadcast(c00))
-    return got.select("bin", "u", (F.col("c") - F.col("c_h0") * F.col("t") / F.greatest("c00", F.lit(1e-30))).alias("contrast"))
+    """(field, bin, u, contrast) with G = C(h,u) - C(h,0) C(0,u) / C(0,0): means over time blocks (start, end), of which each
+    day has one at most; products stay inside a block."""
+    days = series.join(blocks, (F.col("date") >= F.col("start")) & (F.date_add(F.col("date"), F.col("u")) < F.col("end")))
+    pair = days.where("kind = 'pair'").groupBy("field", "bin", "u", "date").agg(F.avg("m").alias("m")).groupBy("field", "bin", "u").agg(F.avg("m").alias("c"))
+    own = days.where("kind = 'temporal'").groupBy("field", "u").agg(F.avg("m").alias("t"))
+    zero = pair.where("u = 0").select("field", "bin", F.col("c").alias("c_h0"))
+    c00 = own.where("u = 0").select("field", F.col("t").alias("c00"))
+    got = pair.where("u > 0").join(zero, ["field", "bin"]).join(own, ["field", "u"]).join(c00, "field")
+    return got.select("field", "bin", "u", (F.col("c") - F.col("c_h0") * F.col("t") / F.greatest("c00", F.lit(1e-30))).alias("contrast"))
 
 
 def separability_test(series: DataFrame, lags: list[int], replicates: int = 200, block: int = 30, alpha: float = 0.05, seed: int = 0) -> dict:
-    """Chi-square test of the contrasts, their covariance from a bootstrap over time blocks and pair groups.
+    """Chi-square test of the contrasts of one field, their covariance from a bootstrap over time blocks and pair groups.
 
     The series is one number a day, bin, lag and group; replicates are shared out over tasks.
     """
-    s = series.toPandas()
+    s = series.where(F.col("u").isin([0, *lags])).select("kind", "bin", "u", "g", "date", "m").toPandas()
     first = s["date"].min()
     s["t"] = (pd.to_datetime(s["date"]) - pd.to_datetime(first)).dt.days
     n, lags = int(s["t"].max()) + 1, sorted(lags)

@@ -193,7 +193,7 @@ def ablation_summary(spark, sf):
 
 
 _VMAX = 2
-_V = """, z AS (SELECT date, pixel, row, col, value - avg(value) OVER (PARTITION BY pixel) AS z FROM li WHERE row < 8 AND col < 10 AND date < DATE '1996-06-01'),
+_V = """, z AS (SELECT date, pixel, row, col, value - avg(value) OVER (PARTITION BY pixel) AS z FROM li),
 of AS (SELECT * FROM (VALUES {0}) t(bin, dr, dc, dist)),
 ps AS (SELECT a.date, bin, dist, a.pixel, b.pixel AS other, a.z AS za, b.z AS zb FROM z a, of, z b WHERE b.date = a.date AND b.row = a.row + dr AND b.col = a.col + dc),
 pr AS (SELECT bin, 0 AS u, date, pixel, other, dist, za * zb AS p FROM ps UNION ALL SELECT a.bin, CAST(u AS INT), a.date, a.pixel, a.other, a.dist, 0.5 * (a.za * b.zb + a.zb * b.za) FROM ps a, (SELECT unnest(generate_series(1, 2)) AS u), ps b WHERE b.pixel = a.pixel AND b.other = a.other AND b.date = a.date + CAST(u AS INT)),
@@ -203,12 +203,12 @@ _VSQL = _V.format(", ".join(f"({b}, {r}, {c}, CAST({d!r} AS DOUBLE))" for b, r,
 
 
 def _centred(spark, sf):
-    p = item_panel(spark, sf).where((F.col("row") < 8) & (F.col("date") < F.lit("1996-06-01").cast("date")))
-    return C.centred(p, "anomaly", p.select("pixel").distinct())
+    p = item_panel(spark, sf)
+    return C.centred(p, "anomaly", p.select("field", "pixel").distinct())
 
 
 @query(with_sql("li", _VSQL + """, cv AS (SELECT bin, u, avg(p) AS cov FROM pr GROUP BY ALL), sz AS (SELECT bin, count(*) AS n_pairs, avg(dist) AS h FROM (SELECT DISTINCT bin, pixel, other, dist FROM pr WHERE u = 0) GROUP BY bin)
-SELECT bin, u, round(h + 3e-8, 6) AS h, n_pairs, round(cv.cov + 3e-8, 6) AS cov, round(c0.t + 3e-8, 6) AS c0, round(tm.t + 3e-8, 6) AS temporal, round(sp.cov + 3e-8, 6) AS spatial, round(cv.cov * c0.t / (sp.cov * tm.t) + 3e-6, 4) AS ratio, round(cv.cov / c0.t + 3e-8, 6) AS corr
+SELECT CAST(0 AS BIGINT) AS field, bin, u, round(h + 3e-8, 6) AS h, n_pairs, round(cv.cov + 3e-8, 6) AS cov, round(c0.t + 3e-8, 6) AS c0, round(tm.t + 3e-8, 6) AS temporal, round(sp.cov + 3e-8, 6) AS spatial, round(cv.cov * c0.t / (sp.cov * tm.t) + 3e-6, 4) AS ratio, round(cv.cov / c0.t + 3e-8, 6) AS corr
 FROM cv JOIN sz USING (bin) JOIN tm USING (u) JOIN (SELECT bin, cov FROM cv WHERE u = 0) sp USING (bin), (SELECT t FROM tm WHERE u = 0) c0 WHERE n_pairs >= 4"""))
 def covariogram(spark, sf):
     got = C.covariogram(_centred(spark, sf), C.offset_table(spark, [1.0, 2.0, 3.0]), _VMAX, min_pairs=4)
@@ -218,16 +218,27 @@ def covariogram(spark, sf):
 @query(with_sql("li", _VSQL + " SELECT bin, u, date, count(*) AS n, round(avg(p) + 3e-8, 6) AS m FROM pr GROUP BY ALL"))
 def product_series(spark, sf):
     """Mean lagged products of each day, over all pair groups."""
-    pairs = C.pair_products(_centred(spark, sf), C.offset_table(spark, [1.0, 2.0, 3.0]), _VMAX)
-    return _r(pairs.groupBy("bin", "u", "date").agg(F.count("*").alias("n"), F.avg("product").alias("m")), "m")
+    series = C.product_series(_centred(spark, sf), C.offset_table(spark, [1.0, 2.0, 3.0]), _VMAX, groups=1)
+    return _r(series.where("kind = 'pair'").select("bin", "u", "date", "n", "m"), "m")
 
 
-@query(None)
+@query(with_sql("li", _VSQL + """, bl AS (SELECT DATE '1995-01-01' + CAST(k * 60 AS INT) AS s, DATE '1995-01-01' + CAST(k * 60 + 60 AS INT) AS e FROM (SELECT unnest(generate_series(0, 59)) AS k)),
+pd AS (SELECT bin, u, avg(m) AS c FROM (SELECT bin, u, date, avg(p) AS m FROM pr JOIN bl ON date >= s AND date + u < e GROUP BY ALL) GROUP BY ALL),
+td AS (SELECT u, avg(m) AS t FROM (SELECT CAST(u AS INT) AS u, a.date, avg(a.z * b.z) AS m FROM z a, (SELECT unnest(generate_series(0, 2)) AS u), z b, bl WHERE b.pixel = a.pixel AND b.date = a.date + CAST(u AS INT) AND a.date >= s AND a.date + CAST(u AS INT) < e GROUP BY ALL) GROUP BY u)
+SELECT CAST(0 AS BIGINT) AS field, pd.bin, pd.u, round(pd.c - z0.c * td.t / greatest(t0.t, 1e-30) + 3e-6, 4) + 0.0 AS contrast FROM pd JOIN pd z0 ON z0.bin = pd.bin AND z0.u = 0 JOIN td ON td.u = pd.u, (SELECT t FROM td WHERE u = 0) t0 WHERE pd.u > 0"""))
 def separability_contrasts(spark, sf):
-    """Contrasts over blocks of 60 days; tested against NumPy."""
-    series = C.product_series(_centred(spark, sf), C.offset_table(spark, [1.0, 2.0, 3.0]), _VMAX)
-    blocks = spark.sql("select date_add(date'1995-01-01', cast(id * 60 as int)) as start, date_add(date'1995-01-01', cast(id * 60 + 60 as int)) as end from range(9)")
-    return C.contrasts(series, blocks)
+    """Contrasts over blocks of 60 days."""
+    series = C.product_series(_centred(spark, sf), C.offset_table(spark, [1.0, 2.0, 3.0]), _VMAX, groups=1)
+    blocks = spark.sql("select date_add(date'1995-01-01', cast(id * 60 as int)) as start, date_add(date'1995-01-01', cast(id * 60 + 60 as int)) as end from range(60)")
+    return C.contrasts(series, blocks).withColumn("contrast", fixed("contrast", 4) + 0.0)
+
+
+@query(None)
+def separability_verdict(spark, sf):
+    """The bootstrap test of the whole archive; its size and power are tested on made-up fields."""
+    series = C.product_series(_centred(spark, sf), C.offset_table(spark, [1.0, 2.0, 3.0]), _VMAX, groups=8)
+    got = C.separability_test(series, [1, 2], replicates=60)
+    return spark.createDataFrame([tuple(got[k] for k in ("statistic", "dof", "p_value", "reject", "max_ratio_deviation", "temporal_correlation"))], "statistic double, dof int, p_value double, reject boolean, max_ratio_deviation double, temporal_correlation double")
 
 
 R = 4

@@ -241,8 +241,12 @@ def field(spark, moving: float, n: int = 80, size: int = 10):
 
 def test_covariogram_and_separability(spark):
     x, df = field(spark, 0.0, 60, 8)
-    z = C.centred(df, "anomaly", df.select("pixel").distinct())
-    got = {(r.bin, r.u): r for r in C.covariogram(z, C.offset_table(spark, [1.0, 2.0]), 1, min_pairs=4).collect()}
+    df = df.withColumn("field", F.lit("a"))
+    z = C.centred(df, "anomaly", C.always_valid(df))
+    two = z.unionByName(z.withColumns({"field": F.lit("b"), "z": 2 * F.col("z")}))
+    both = {(r.field, r.bin, r.u): r for r in C.covariogram(two, C.offset_table(spark, [1.0, 2.0]), 1, min_pairs=4).collect()}
+    got = {(b, u): r for (f, b, u), r in both.items() if f == "a"}
+    assert all(abs(both["b", b, u].cov - 4 * r.cov) < 1e-9 for (b, u), r in got.items())
     c = x - x.mean(0)
     pairs = [(c[:, i, j], c[:, i + a, j + b]) for _, a, b, _ in C.offsets([1.0, 2.0]) for i in range(8) for j in range(8) if 0 <= i + a < 8 and 0 <= j + b < 8]
     assert abs(got[0, 0].cov - np.mean([p * q for p, q in pairs])) < 1e-9
