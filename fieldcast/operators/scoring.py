@@ -5,6 +5,10 @@ forecasts: (field, variant, origin, lead, pixel, pred); truth: (field, date, pix
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +55,43 @@ def centred_correlation(a: Column, b: Column) -> Column:
     return F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b) + 1e-12)
 
 
+def interval_z(level: float) -> float:
+    """How many standard deviations a central interval of this level reaches to each side."""
+    return NormalDist().inv_cdf((1 + level) / 2)
+
+
+def windowed_ssim(frames: DataFrame, keys: list[str], side: int = 7) -> DataFrame:
+    """keys, ssim: the mean structural similarity over all whole windows of side x side pixels of each frame.
+
+    frames: keys, row, col, pred, value. The data range is the truth's. Frames smaller than a window, or with missing
+    cells, take the centred correlation of what they have. A frame is one group.
+    """
+    kinds = dict(frames.dtypes)
+
+    def box(x: np.ndarray) -> np.ndarray:
+        total = np.pad(x, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+        return (total[side:, side:] - total[:-side, side:] - total[side:, :-side] + total[:-side, :-side]) / side**2
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        r, c = f["row"] - f["row"].min(), f["col"] - f["col"].min()
+        grid = np.full((2, int(r.max()) + 1, int(c.max()) + 1), np.nan)
+        grid[0, r, c], grid[1, r, c] = f["pred"], f["value"]
+        if min(grid.shape[1:]) < side or not np.isfinite(grid).all():
+            a, b = (v - np.nanmean(v) for v in grid)
+            ok = np.isfinite(a * b)
+            score = float((a[ok] * b[ok]).sum() / (np.sqrt((a[ok] ** 2).sum() * (b[ok] ** 2).sum()) + 1e-12))
+        else:
+            a, b = grid
+            span = b.max() - b.min() + 1e-8
+            c1, c2, n = (0.01 * span) ** 2, (0.03 * span) ** 2, side**2 / (side**2 - 1)
+            ma, mb = box(a), box(b)
+            va, vb, vab = n * (box(a * a) - ma**2), n * (box(b * b) - mb**2), n * (box(a * b) - ma * mb)
+            score = float(((2 * ma * mb + c1) * (2 * vab + c2) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+        return f[keys].iloc[:1].assign(ssim=score)
+
+    return frames.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ssim double")
+
+
 def sequence_scores(errors: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics of each frame, then their mean over the frames of keys."""
     each = errors.groupBy(*keys, "target").agg(*metrics(F.col("error")))

@@ -201,6 +201,49 @@ def end_to_end_scores(spark, sf):
     return S.compare_methods([scores, S.horizon_scores(S.with_truth(S.persistence(pixels, origins, 3), pixels))])
 
 
+@query(None)
+def memory_ablation(spark, sf):
+    """Memory orders 1 to 3, fitted on the training days and scored from shared test origins, with their models' facts."""
+    from fieldcast.operators import operational as O
+
+    split = F.when(F.col("date") < F.lit(CUT_LI).cast("date"), "train").otherwise("test")
+    w = _weights(spark, sf).withColumn("split", split)
+    forecasts, models = (stored(x, "orders") for x in O.order_forecasts(w, [1, 2, 3], 3, 1.0, NOISE))
+    facts = O.model_facts(models, 3, ["field", "order"]).groupBy("order").agg(*[F.avg(c).alias(c) for c in ("rho", "gain", "norm_budget", "last_ratio")], F.max("n_parameters").alias("n_parameters"))
+    latent = O.latent_scores(forecasts, w, ["order"])
+    return O.ablation_scores(forecasts, _block_basis(spark, sf), block_panel(spark, sf)).join(latent, ["order", "lead"]).join(facts, "order")
+
+
+def _requested(spark, sf):
+    """The last three days with frames of each field, and one day past its calendar, which has none."""
+    days = A.calendar(block_panel(spark, sf)).where("observed").select("field", "date")
+    last = days.withColumn("nth", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("date")))).where("nth <= 3")
+    past = days.groupBy("field").agg(F.date_add(F.max("date"), 5).alias("date"))
+    return last.select("field", "date").unionByName(past).withColumnRenamed("date", "origin")
+
+
+@query(with_sql("li", f""", {_BLOCKS}, d AS (SELECT DISTINCT field, date FROM lb), n AS (SELECT field, date, row_number() OVER (PARTITION BY field ORDER BY date DESC) AS nth, max(date) OVER (PARTITION BY field) AS last FROM d),
+q AS (SELECT field, date AS origin, last FROM n WHERE nth <= 3 UNION ALL SELECT DISTINCT field, last + 5, last FROM n)
+SELECT field, origin, CASE WHEN origin > last THEN 'not observed' WHEN (SELECT count(*) FROM d WHERE d.field = q.field AND d.date BETWEEN q.origin - 2 AND q.origin) < 3 THEN 'fewer than 3 observed days behind' END AS reason,
+NOT (origin > last) AND (SELECT count(*) FROM d WHERE d.field = q.field AND d.date BETWEEN q.origin - 2 AND q.origin) = 3 AND origin + 3 <= last AS scoreable FROM q"""))
+def requested_origins(spark, sf):
+    """Which requested days can be forecast from, and why the others cannot."""
+    from fieldcast.operators import operational as O
+
+    got = O.checked_requests(_requested(spark, sf), A.calendar(block_panel(spark, sf)), LAGS, 3)
+    return got.select("field", "origin", "reason", "scoreable")
+
+
+@query(None)
+def operational_forecast(spark, sf):
+    """Forecasts of the requested days from stored models, over windows of 30 days."""
+    from fieldcast.operators import operational as O
+
+    models = _models(spark, sf, _weights(spark, sf))
+    got = O.operational_forecasts(_requested(spark, sf), block_panel(spark, sf), _block_basis(spark, sf), models, NOISE, LAGS, 3)
+    return got.select("field", "variant", "origin", "lead", "w", "cov_trace")
+
+
 @query(None)
 def kernel_observer_scores(spark, sf):
     """The kernel-observer baseline: centres by k-means, bandwidth by marginal likelihood, a one-step operator, scores."""
