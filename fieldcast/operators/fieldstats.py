@@ -38,10 +38,10 @@ def with_season(rows: DataFrame) -> DataFrame:
 
 def season_report(pixels: DataFrame, splits: DataFrame, min_frames: int = 20) -> DataFrame:
     """(field, split, season, n_frames, digest): seasons with fewer frames than min_frames are left out."""
-    rows = with_season(pixels.join(F.broadcast(splits.select("field", "date", "split")), ["field", "date"]))
+    rows = with_season(pixels.join(splits.select("field", "date", "split"), ["field", "date"]))
     keys = ["field", "split", "season"]
     frames = rows.select(*keys, "date").distinct().groupBy(*keys).agg(F.count("*").alias("n_frames")).where(F.col("n_frames") >= min_frames)
-    digest = stats_digest(field_stats(rows.join(F.broadcast(frames), keys, "left_semi"), [*keys, "pixel"]), keys)
+    digest = stats_digest(field_stats(rows.join(frames, keys, "left_semi"), [*keys, "pixel"]), keys)
     return frames.join(digest, keys)
 
 
@@ -59,7 +59,7 @@ def overlap_days(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def season_coverage(cal: DataFrame) -> DataFrame:
     """(split, season, coverage): how many instances of a season each split covers, in whole seasons; season null is the total."""
     windows = cal.groupBy("field", "split").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    pairs = season_instances(cal).join(F.broadcast(windows), "field")
+    pairs = season_instances(cal).join(windows, "field")
     share = overlap_days(F.col("start"), F.col("end"), F.col("first"), F.col("last")) / F.col("nominal_days")
     return pairs.withColumn("share", share).rollup("field", "split", "season").agg(F.sum("share").alias("coverage")).where("field is not null and split is not null")
 

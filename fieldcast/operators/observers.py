@@ -33,7 +33,7 @@ def choose_bandwidth(pixels: DataFrame, grid: DataFrame, centres: list[tuple[flo
     Frames are about their own mean. Only moments (one matrix and one vector a frame and length) reach the driver.
     """
     mean = pixels.groupBy("field", "date").agg(F.avg("value").alias("m"))
-    y = pixels.where("value is not null").join(F.broadcast(mean), ["field", "date"]).withColumn("y", F.col("value") - F.col("m"))
+    y = pixels.where("value is not null").join(mean, ["field", "date"]).withColumn("y", F.col("value") - F.col("m"))
     best = (-np.inf, lengths[0], noises[0])
     for length in lengths:
         phi = grid.select("field", "pixel", rbf_features(F.col("x"), F.col("y"), centres, length).alias("phi"))

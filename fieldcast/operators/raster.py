@@ -120,7 +120,7 @@ def zonal_means(pixels: DataFrame, zones: DataFrame, cal: DataFrame) -> DataFram
     zones has (field, pixel, zone). Pixels are summed before anything is shuffled.
     """
     mean = pixels.join(zones, ["field", "pixel"]).groupBy("field", "date", "zone").agg(F.avg("value").alias("value"))
-    want = cal.select("field", "date").join(F.broadcast(zones.select("field", "zone").distinct()), "field")
+    want = cal.select("field", "date").join(zones.select("field", "zone").distinct(), "field")
     return want.join(mean, ["field", "date", "zone"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
@@ -133,7 +133,7 @@ def area_means(pixels: DataFrame, cal: DataFrame) -> DataFrame:
 def nearest_pixel(grid: DataFrame, centroids: DataFrame) -> DataFrame:
     """(field, k, pixel): the grid pixel nearest to each centroid (field, k, cx, cy), the lowest at equal distance."""
     d = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
-    return grid.join(F.broadcast(centroids), "field").groupBy("field", "k").agg(F.min_by("pixel", F.struct(d, F.col("pixel"))).alias("pixel"))
+    return grid.join(centroids, "field").groupBy("field", "k").agg(F.min_by("pixel", F.struct(d, F.col("pixel"))).alias("pixel"))
 
 
 def tile(row: Column, col: Column, size: int = 64) -> Column:
@@ -144,5 +144,5 @@ def tile(row: Column, col: Column, size: int = 64) -> Column:
 def ranked_by_distance(grid: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     """The n nearest pixels of each centroid, from which distinct ones are picked."""
     d = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
-    near = grid.join(F.broadcast(centroids), "field").withColumn("d", d)
+    near = grid.join(centroids, "field").withColumn("d", d)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("field", "k").orderBy("d", "pixel"))).where(F.col("rank") <= n)

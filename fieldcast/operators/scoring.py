@@ -105,7 +105,7 @@ def horizon_scores(errors: DataFrame, keys: tuple[str, ...] = ("variant",), scal
 
 def persistence(pixels: DataFrame, origins: DataFrame, horizon: int) -> DataFrame:
     """Forecasts that keep each pixel's value of the origin day."""
-    own = pixels.where("value is not null").join(F.broadcast(origins.select("field", F.col("date"))), ["field", "date"], "left_semi")
+    own = pixels.where("value is not null").join(origins.select("field", F.col("date")), ["field", "date"], "left_semi")
     now = own.select("field", F.col("date").alias("origin"), "pixel", F.col("value").alias("pred"), F.lit("persistence").alias("variant"))
     return now.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
 
@@ -113,7 +113,7 @@ def persistence(pixels: DataFrame, origins: DataFrame, horizon: int) -> DataFram
 def climatology(pixels: DataFrame, splits: DataFrame, origins: DataFrame, horizon: int) -> DataFrame:
     """Forecasts by each pixel's mean over the training days."""
     train = splits.where("split = 'train'").select("field", "date")
-    mean = pixels.join(F.broadcast(train), ["field", "date"]).groupBy("field", "pixel").agg(F.avg("value").alias("pred"))
+    mean = pixels.join(train, ["field", "date"]).groupBy("field", "pixel").agg(F.avg("value").alias("pred"))
     leads = add_leads(origins.select("field", F.col("date").alias("origin")), horizon).drop("target")
     return mean.join(F.broadcast(leads), "field").withColumn("variant", F.lit("climatology"))
 
@@ -232,7 +232,7 @@ def evenly_spaced(rows: DataFrame, n: int) -> DataFrame:
     m = rows.groupBy("field").agg(F.count("*").alias("m"))
     k = F.least(F.lit(n), F.col("m").cast("int"))
     at = m.select("field", F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.bround(i * (F.col("m") - 1) / F.greatest(k - 1, F.lit(1)), 0).cast("int"))).alias("nth")).distinct()
-    return rows.withColumn("nth", F.row_number().over(w) - 1).join(F.broadcast(at), ["field", "nth"], "left_semi").drop("nth")
+    return rows.withColumn("nth", F.row_number().over(w) - 1).join(at, ["field", "nth"], "left_semi").drop("nth")
 
 
 def latest_complete_origin(leads: DataFrame, cal: DataFrame) -> DataFrame:

@@ -214,7 +214,7 @@ def residuals(pixels: DataFrame, states: DataFrame, basis: DataFrame) -> DataFra
 
 def climatology_offset(pixels: DataFrame, train: DataFrame, basis: DataFrame) -> DataFrame:
     """basis with the pixel's training mean as its offset."""
-    mean = pixels.join(F.broadcast(train.select("field", "date")), ["field", "date"]).groupBy("field", "pixel").agg(F.avg("value").alias("offset"))
+    mean = pixels.join(train.select("field", "date"), ["field", "date"]).groupBy("field", "pixel").agg(F.avg("value").alias("offset"))
     return basis.drop("offset").join(mean, ["field", "pixel"], "left").withColumn("offset", F.coalesce("offset", F.lit(0.0)))
 
 

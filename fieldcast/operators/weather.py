@@ -158,7 +158,7 @@ def anomalies(table: DataFrame, columns: list[str], climate: DataFrame, order: i
     """table with each channel less its climatology."""
     wide = climate.groupBy("field").pivot("channel", columns).agg(F.first("coef"))
     wide = wide.select("field", *[F.col(c).alias(f"{c}_coef") for c in columns])
-    got = table.join(F.broadcast(wide), "field")
+    got = table.join(wide, "field")
     return got.withColumns({c: F.col(c) - climatology_at(F.col("date"), F.col(f"{c}_coef"), order) for c in columns}).drop(*[f"{c}_coef" for c in columns])
 
 

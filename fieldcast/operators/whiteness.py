@@ -21,7 +21,7 @@ def autocorrelation(e: DataFrame, max_lag: int) -> DataFrame:
     """(field, i, k, rho, n) of each component, about its mean."""
     long = e.select("field", "t", F.posexplode("e").alias("i", "x"))
     mean = long.groupBy("field", "i").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.count("x").alias("n"))
-    z = long.join(F.broadcast(mean), ["field", "i"]).select("field", "i", "t", (F.col("x") - F.col("m")).alias("z"), "v", "n")
+    z = long.join(mean, ["field", "i"]).select("field", "i", "t", (F.col("x") - F.col("m")).alias("z"), "v", "n")
     w = Window.partitionBy("field", "i").orderBy("t")
     lagged = z.select("field", "i", "v", "n", *[(F.col("z") * F.lag("z", k).over(w)).alias(f"p{k}") for k in range(1, max_lag + 1)])
     sums = lagged.groupBy("field", "i").agg(F.first("v").alias("v"), F.first("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, max_lag + 1)])
