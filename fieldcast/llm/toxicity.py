@@ -28,7 +28,11 @@ TRAIN_ROWS, TRAIN_CHARS = 6000, 24_000_000
 #: Neighbours that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 24, 64
 #: Terms are summed at once until the others' largest weights make up less than the rest of this.
-HEAD = 0.97
+HEAD = 0.995
+#: A term that more than one in so many examples has is also held as a whole column.
+FREQUENT = 12
+#: Words of the vocabulary that are counted in one row.
+SLICE = 4096
 #: One in so many examples is kept apart to calibrate on, with an index of the others.
 CALIBRATE = 4
 _words = re.compile(r"[^\W\d_]+").findall
@@ -43,6 +47,28 @@ def _begins(n: int, of: np.ndarray) -> np.ndarray:
     return np.searchsorted(of, np.arange(n + 1))
 
 
+def _gathered(begins: np.ndarray, groups: np.ndarray, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the columns' entries of all the groups, one group after another; number of entries of each)."""
+    n = begins[groups + 1] - begins[groups]
+    at = np.arange(n.sum())
+    at += np.repeat(begins[groups] - (np.cumsum(n) - n), n)
+    return [c.take(at) for c in columns], n
+
+
+class Numbers(dict):
+    """What blanks part in a lower-cased text, by the numbers of its words that are known; kept for what was seen last."""
+
+    def __init__(self, words: list[str]):
+        super().__init__()
+        self.known = {w: i for i, w in enumerate(words)}
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[token] = tuple(i for w in _words(token) if (i := self.known.get(w)) is not None)
+        return got
+
+
 class Examples:
     """Word counts of examples as arrays: word numbers and counts of one after another, and for how many rows each
     stands, how many of these toxic. words: the distinct words, an Arrow array."""
@@ -101,11 +127,16 @@ class BlockMaxIndex:
         rank = np.zeros(n, np.int64)
         rank[self.example] = np.arange(len(self.example))
         order = np.lexsort((examples.word, rank[of]))
-        self.of, self.value, place = examples.word[order].astype(np.int32), value[order], rank[of][order]
+        self.of, self.value, place = examples.word[order], value[order], rank[of][order]
         self.begins = _begins(len(self.example), place)
         order = np.lexsort((place, self.of))
-        self.place, self.posted, term = place[order].astype(np.int32), self.value[order], self.of[order]
+        self.place, self.posted, term = place[order], self.value[order], self.of[order]
         self.term_begins = _begins(size, term)
+        often = np.flatnonzero(np.diff(self.term_begins) > len(self.example) / FREQUENT)
+        self.column, self.columns = np.full(size, -1), np.zeros((len(often), len(self.example)))
+        self.column[often] = np.arange(len(often))
+        dense = self.column[term] >= 0
+        self.columns[self.column[term[dense]], self.place[dense]] = self.posted[dense]
         block = self.place // BLOCK
         start = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(term) else np.zeros(0, np.int64)
         self.block, self.largest = block[start], np.maximum.reduceat(self.posted, start) if len(start) else np.zeros(0)
@@ -114,42 +145,43 @@ class BlockMaxIndex:
         np.maximum.at(self.top, self.of, self.value)
         self.blocks, self.query = -(-len(self.example) // BLOCK), np.zeros(size)
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(terms in order, unit weights) of word counts."""
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, unit weights) of a text."""
         if self.terms is None:
-            self.terms = {w: i for i, w in enumerate(self.words.to_pylist())}
-        own = [w for w in counts if w in self.terms]
-        return self.unit(np.array([self.terms[w] for w in own], np.int64), np.array([counts[w] for w in own], float))
+            self.terms = Numbers(self.words.to_pylist())
+        numbers = self.terms
+        own = np.array([i for w in (text.lower().split() if text else ()) for i in numbers[w]], np.int64)
+        return self.unit(*np.unique(own, return_counts=True))
 
     def unit(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(at)
-        at, n = at[order], n[order]
         weight = (1 + np.log(n)) * self.weight[at]
-        size = np.sqrt((weight**2).sum())
-        return (at[weight > 0], weight[weight > 0] / size) if size else (at[:0], weight[:0])
-
-    @staticmethod
-    def _slices(begins: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions of all entries of the groups `at`, number of entries of each)."""
-        n = begins[at + 1] - begins[at]
-        return np.repeat(begins[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()), n
+        size = np.sqrt(weight @ weight)
+        some = weight > 0
+        return (at[some], weight[some] / size) if size else (at[:0], weight[:0])
 
     def nearest(self, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, cosine) of the k nearest examples of positive cosine; ties go to the lower place."""
         most = weight * self.top[at]
         order = np.argsort(-most, kind="stable")
-        head = np.searchsorted(np.cumsum(most[order]), HEAD * most.sum()) + 1
+        total = np.cumsum(most[order])
+        head = np.searchsorted(total, HEAD * total[-1]) + 1
         first, rest = order[:head], order[head:]
-        own = [slice(a, b) for a, b in zip(self.term_begins[at[first]], self.term_begins[at[first] + 1], strict=True)]
-        score = np.bincount(np.concatenate([self.place[x] for x in own]), np.concatenate([w * self.posted[x] for x, w in zip(own, weight[first], strict=True)]), len(self.example))
-        b, n = self._slices(self.block_begins, at[rest])
-        bound = score + np.repeat(np.bincount(self.block[b], np.repeat(weight[rest], n) * self.largest[b], self.blocks), BLOCK)[: len(score)]
+        column = self.column[at[first]]
+        some = first[column < 0]
+        place, n = _gathered(self.term_begins, at[some], self.place, self.posted)
+        score = np.bincount(place[0], np.repeat(weight[some], n) * place[1], len(self.example)).astype(float)
+        for c, w in zip(column[column >= 0].tolist(), weight[first[column >= 0]].tolist(), strict=True):
+            score += w * self.columns[c]
+        block, n = _gathered(self.block_begins, at[rest], self.block, self.largest)
+        bound = score + np.repeat(np.bincount(block[0], np.repeat(weight[rest], n) * block[1], self.blocks), BLOCK)[: len(score)]
         best = np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0.0
-        able = np.flatnonzero((bound >= best - 1e-12) & (bound > 0))
+        able = np.flatnonzero(bound >= max(best - 1e-12, 1e-300))
+        if not len(able):
+            return able, np.zeros(0)
         # The examples that can be among the nearest, in full.
         self.query[at] = weight
-        p, n = self._slices(self.begins, able)
-        cosine = np.bincount(np.repeat(np.arange(len(able)), n), self.query[self.of[p]] * self.value[p], len(able))
+        (of, value), n = _gathered(self.begins, able, self.of, self.value)
+        cosine = np.add.reduceat(self.query.take(of) * value, np.cumsum(n) - n)
         self.query[at] = 0.0
         able, cosine = able[cosine > 0], cosine[cosine > 0]
         order = np.lexsort((able, -cosine.round(12)))[: self.k]
@@ -186,7 +218,7 @@ class Model:
         self.index, self.ids, self.knots, self.values = index, ids, knots, values
 
     def judge(self, text: str | None) -> tuple[float, list]:
-        share, near = self.index.votes(*self.index.vector(word_counts(text)))
+        share, near = self.index.votes(*self.index.vector(text))
         score = float(np.interp(share, self.knots, self.values)) if len(self.knots) else share
         return min(max(score, 0.0), 1.0), [self.ids[i] for i in near]
 
@@ -217,21 +249,25 @@ def _frequencies(docs: DataFrame, text: str, words: pa.Array) -> tuple[np.ndarra
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, df, rows = {w: i for i, w in enumerate(held.value.to_pylist())}, np.zeros(len(held.value), np.int64), 0
+        numbers, df, rows = Numbers(held.value.to_pylist()), np.zeros(-(-len(held.value) // SLICE) * SLICE, np.int64), 0
         for b in batches:
             texts = b.column(0).to_pylist()
             for x in texts:
                 if x:
-                    df[[own[w] for w in set(_words(x.lower())) if w in own]] += 1
+                    df[list({i for w in set(x.lower().split()) for i in numbers[w]})] += 1
             rows += len(texts)
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[df[some], rows])], ["word", "n"])
-
-    got = docs.select(f"`{text}`").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    word, n = got["word"].to_numpy(), got["n"].to_numpy()
-    df = np.zeros(len(words), np.int64)
-    df[word[word >= 0]] = n[word >= 0]
-    return df, int(n[word < 0].sum())
+        # Slices of the vocabulary, not words: a task's rows are few, however many words it has seen.
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df) // SLICE)), pa.array([[rows], *df.reshape(-1, SLICE).tolist()], pa.list_(pa.int64()))], ["slice", "n"])
+
+    def total(key: tuple, batches: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": [key[0]], "n": [np.sum(np.stack(batches["n"].to_numpy()), axis=0)]})
+
+    parts = docs.select(f"`{text}`").mapInArrow(count, "slice long, n array<long>")
+    got = parts.groupBy("slice").applyInPandas(total, "slice long, n array<long>").orderBy("slice").toArrow()
+    if not len(got):
+        return np.zeros(len(words), np.int64), 0
+    n = got["n"].combine_chunks().flatten().to_numpy()
+    return n[1 : len(words) + 1], int(n[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, doc_counts: DataFrame | None = None) -> Model:
