@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from fieldcast.sources.stages import stored  # noqa: F401  the operators take it from here
+
 #: The characters [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,30 +30,6 @@ def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local
-    mode, and an error on a cluster, whose executors could not read it."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        return place
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _own[app]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and rereads it: lineage is cut, a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def stored_count(df: DataFrame, name: str, what: Column) -> tuple[DataFrame, int]:
     """stored(), and in how many rows `what` held while they were written (or more, if a task ran twice)."""
     seen = Observation()
