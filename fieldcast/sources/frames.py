@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,19 +77,34 @@ def resolve_columns(columns: list[str], aliases: dict[str, tuple[str, ...]] = AL
 def pick_date_format(table: DataFrame, column: str, position: str, formats: tuple[str, ...] = DATE_FORMATS) -> str:
     """The format that parses every row; of several the one under which dates do not go back in file order, else the first.
 
-    One pass over the column; position orders the rows of the file.
+    One pass over the column, dealt out by ranges of position, which orders the rows of the file: a row for each task
+    reaches the driver.
     """
-    from pyspark.sql import Window
-
-    tries = {f"f{i}": F.try_to_timestamp(column, F.lit(f)) for i, f in enumerate(formats)}
-    parsed = table.select(F.col(position).alias("pos"), *[t.alias(n) for n, t in tries.items()])
-    w = Window.orderBy("pos")
-    back = parsed.select(*[F.col(n).isNull().cast("int").alias(f"{n}_bad") for n in tries], *[(F.col(n) < F.lag(n).over(w)).cast("int").alias(f"{n}_back") for n in tries])
-    row = back.agg(*[F.sum(f"{n}_{k}").alias(f"{n}_{k}") for n in tries for k in ("bad", "back")]).first()
-    whole = [i for i in range(len(formats)) if row[f"f{i}_bad"] == 0]
+    names = [f"f{i}" for i in range(len(formats))]
+    tries = [F.unix_micros(F.try_to_timestamp(column, F.lit(f))).alias(n) for n, f in zip(names, formats, strict=True)]
+    placed = table.select(F.col(position).alias("pos"), *tries).repartitionByRange("pos").sortWithinPartitions("pos")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, rows = None, 0
+        bad, back, first, last = ([0] * len(formats), [0] * len(formats), [None] * len(formats), [None] * len(formats))
+        for b in batches:
+            begin = b.column(0)[0].as_py() if begin is None and b.num_rows else begin
+            rows += b.num_rows
+            for i in range(len(formats)):
+                seen = b.column(i + 1).drop_null().to_pylist()
+                bad[i] += b.num_rows - len(seen)
+                if seen:
+                    back[i] += sum(y < x for x, y in zip([seen[0] if last[i] is None else last[i], *seen], seen, strict=False))
+                    first[i], last[i] = seen[0] if first[i] is None else first[i], seen[-1]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([begin], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in (bad, back, first, last))], ["pos", "bad", "back", "first", "last"])
+
+    parts = sorted(placed.mapInArrow(task, "pos long, bad array<long>, back array<long>, first array<long>, last array<long>").collect(), key=lambda r: r.pos)
+    whole = [i for i in range(len(formats)) if not sum(r.bad[i] for r in parts)]
     if not whole:
         raise ValueError(f"no format parses all of column {column}")
-    steady = [i for i in whole if not row[f"f{i}_back"]]
+    between = lambda i: sum(y.first[i] < x.last[i] for x, y in zip(parts, parts[1:], strict=False))
+    steady = [i for i in whole if not sum(r.back[i] for r in parts) + between(i)]
     return formats[steady[0] if len(steady) == 1 else whole[0]]
 
 
