@@ -12,9 +12,9 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from test_llm import ODD, WORDS, brute_components, brute_features, brute_lines, brute_scores, full_viterbi, near_copies, texts, toxic_rows  # noqa: E402
+from test_llm import ODD, brute_components, brute_features, brute_lines, brute_scores, full_viterbi, near_copies, texts, toxic_rows  # noqa: E402
 
-from fieldcast.llm import quality, sentencepiece, toxicity  # noqa: E402
+from fieldcast.llm import quality, sentencepiece  # noqa: E402
 from fieldcast.llm.queries import QUERIES  # noqa: E402
 
 LANGS = {"aa": "kabo rilu mesa tofi".split(), "bb": "strong whelp gnash brisk".split()}
