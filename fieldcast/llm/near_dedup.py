@@ -31,6 +31,8 @@ POSITIONS, WORDS_OF_8 = CHUNK * CHUNKS, 12
 DISTANCE = 2 * CHUNKS - 1
 #: Pairs by which a component is compared to those before it, before all is compared in full.
 TRIES = 8
+#: Rare shingles before a place in their order by which a pair that was met before is known; only repeats are saved.
+BEFORE = 32
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64)
@@ -220,8 +222,10 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     df = tokens.groupBy("h").agg(F.count("*").alias("df"))
     ordered = _by_key(tokens, df, ["h"]).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
     rarest = F.slice("all", F.lit(1), (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int"))
-    placed = ordered.select("node", F.posexplode(rarest).alias("i", "x")).where("x.df > 1")
-    placed = stored(placed.select("node", "i", F.col("x.h").alias("h")).join(rest, "node"), "rarest")
+    # The shared ones just before a place: a pair that shares one of these has been met there.
+    before = lambda i: F.transform(F.filter(F.slice("all", F.greatest(i - (BEFORE - 1), F.lit(1)), F.least(i, F.lit(BEFORE))), lambda x: x["df"] > 1), lambda x: x["h"])
+    placed = ordered.select("node", "all", F.posexplode(rarest).alias("i", "x")).where("x.df > 1")
+    placed = stored(placed.select("node", "i", F.col("x.h").alias("h"), before(F.col("i")).alias("before")).join(rest, "node"), "rarest")
     # The largest set that a set of n can reach the similarity with, from its place i on; a key without such a set goes.
     top = ((100 + percent) * (F.col("n") - F.col("i")) - percent * F.col("n")) / percent
     keys = placed.groupBy("h").agg(F.min("n").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
@@ -230,7 +234,8 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     most = F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi"))
     apart = (F.col("acomp") < F.col("bcomp")) & ((100 + percent) * most >= percent * (F.col("an") + F.col("bn")))
     left, right = side("a"), side("b")
-    met = left.join(right, (left["h"] == right["h"]) & apart & (signature_distance("a", "b") <= DISTANCE))
+    again = F.arrays_overlap("abefore", "bbefore")
+    met = left.join(right, (left["h"] == right["h"]) & apart & ~again & (signature_distance("a", "b") <= DISTANCE))
     return met.select(F.col("anode").alias("a"), F.col("bnode").alias("b"), F.col("acomp").alias("ca"), F.col("bcomp").alias("cb")).distinct()
 
 
