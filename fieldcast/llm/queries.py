@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldcast.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, near_dedup, quality, ranked_search, sentencepiece, token_counts, toxicity, url_filter
+from fieldcast.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, near_dedup, quality, ranked_search, repair, sentencepiece, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     "op13_ranked_search": ranked_search.op13_ranked_search,
 }
@@ -22,5 +23,6 @@ SQL = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op11_conversation_repair": repair.OP11_SQL,
     "op13_ranked_search": ranked_search.OP13_SQL,
 }

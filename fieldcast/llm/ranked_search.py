@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from fieldcast.llm.common import table
 
@@ -134,7 +136,7 @@ def _block_stats(docs: DataFrame, text: str, words: list[bytes]) -> tuple[int, i
     return int(out[0]), int(out[1]), out[2:]
 
 
-def _search_block(docs: DataFrame, items: list[tuple], kinds: tuple[str, str], doc_id: str, text: str, k: int) -> DataFrame:
+def _search_block(docs: DataFrame, items: list[tuple], kinds: tuple[DataType, DataType], doc_id: str, text: str, k: int) -> DataFrame:
     """q (number of the item), item_id, doc_id, score: the k best of each task for each of the items (id, text)."""
     own = [terms(t) for _, t in items]
     words = sorted({w for x in own for w in x})
@@ -165,8 +167,8 @@ def _search_block(docs: DataFrame, items: list[tuple], kinds: tuple[str, str], d
             made = [pa.array(q), pa.array([item_ids[i] for i in q.tolist()], like), best.rows["id"].combine_chunks(), best.rows["score"].combine_chunks()]
             yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in made], ["q", "item_id", "doc_id", "score"])
 
-    like = pa.array([i for i, _ in items if i is not None] or [0]).type
-    schema = f"q long, item_id {kinds[0]}, doc_id {kinds[1]}, score long"
+    like = to_arrow_type(kinds[0])
+    schema = f"q long, item_id {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score long"
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(search, schema)
 
 
@@ -197,7 +199,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     asked = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text")).distinct()
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-size.chars // BLOCK_CHARS))
-    kinds = asked.schema["item_id"].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
+    kinds = asked.schema["item_id"].dataType, docs.schema[doc_id].dataType
     out = None
     for i in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else asked
