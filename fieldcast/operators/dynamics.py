@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcast.functions.linalg import companion, ridge, spectral_radius, symmetric
+from fieldcast.functions.windows import numbered, over_days
 from fieldcast.operators.moments import moments
 
 #: Weights of the persistence blend that are tried, and the largest gain allowed. Fixed values.
@@ -23,18 +24,22 @@ BLENDS, GAIN_CAP = tuple(i / 20 for i in range(21)), 2.0
 def delay_line(weights: DataFrame, lags: int, horizon: int = 1, forcing: str | None = None) -> DataFrame:
     """(field, t, x, y[, u]): x stacks w at t .. t - lags + 1, y is w at t + horizon, u the inputs t .. t + horizon - 1.
 
-    Only rows whose whole window, t - lags + 1 .. t + horizon, is in the calendar and observed.
+    Only rows whose whole window, t - lags + 1 .. t + horizon, is in the calendar and observed. A row a day; long fields
+    are cut into blocks of days.
     """
-    w = Window.partitionBy("field").orderBy("t")
-    span = w.rowsBetween(-(lags - 1), horizon)
-    cols = {
-        "x": F.flatten(F.array(*[F.lag("w", j).over(w) if j else F.col("w") for j in range(lags)])),
-        "y": F.lead("w", horizon).over(w),
-        "ok": (F.min(F.col("observed").cast("int")).over(span) == 1) & (F.count("*").over(span) == lags + horizon),
-    }
-    if forcing:
-        cols["u"] = F.flatten(F.array(*[F.lead(forcing, j).over(w) if j else F.col(forcing) for j in range(horizon)]))
-    return weights.withColumns(cols).where("ok").select("field", "t", "x", "y", *(["u"] if forcing else []))
+
+    def columns(w):
+        span = w.rowsBetween(-(lags - 1), horizon)
+        cols = {
+            "x": F.flatten(F.array(*[F.lag("w", j).over(w) if j else F.col("w") for j in range(lags)])),
+            "y": F.lead("w", horizon).over(w),
+            "ok": (F.min(F.col("observed").cast("int")).over(span) == 1) & (F.count("*").over(span) == lags + horizon),
+        }
+        if forcing:
+            cols["u"] = F.flatten(F.array(*[F.lead(forcing, j).over(w) if j else F.col(forcing) for j in range(horizon)]))
+        return cols
+
+    return over_days(weights, columns, lags - 1, horizon).where("ok").select("field", "t", "x", "y", *(["u"] if forcing else []))
 
 
 def fit_table(design: DataFrame, mu: float = 1e-3, forced: bool = False, increment: bool = False) -> DataFrame:
@@ -229,36 +234,11 @@ def horizon_fit(zz: np.ndarray, zy: np.ndarray, target: np.ndarray, mu: float, n
 
 
 def horizon_family(weights: DataFrame, lags: int, horizon: int, mu: float = 1e-3, grid: tuple[float, ...] = (0.0, 1.0, 10.0, 100.0, 1e3, math.inf), holdout: float = 0.2) -> pd.DataFrame:
-    """For each field and lead the direct map shrunk to the iterated one, with nu of the least hold-out error, from moments.
+    """horizons.horizon_rows for few fields, as a pandas table: field, lead, nu, error on the held out rows, defect, map."""
+    from fieldcast.operators import horizons
 
-    Columns: field, lead, nu, error, defect (norm of direct less iterated over the iterated), map (k x lags k, row by row).
-    The moments of all leads and both parts are summed in one pass for each lead.
-    """
-    span = weights.groupBy("field").agg(F.max("t").alias("hi"), F.min("t").alias("lo"))
-    rows = []
-    iterated: dict = {}
-    for h in range(1, horizon + 1):
-        d = delay_line(weights, lags, h).join(F.broadcast(span), "field")
-        part = F.when(F.col("t") <= F.col("hi") - F.lit(holdout) * (F.col("hi") - F.col("lo")), "fit").otherwise("val")
-        got: dict = {}
-        for r in moments(d.select("field", part.alias("part"), F.concat("x", "y").alias("xy_")), ["field", "part"], "xy_").collect():
-            m = np.asarray(r.xx).reshape(len(r.sx), -1)
-            k = len(m) // (lags + 1)
-            got[r.field, r.part] = (m[: lags * k, : lags * k], m[: lags * k, lags * k :], np.trace(m[lags * k :, lags * k :]), r.n)
-        for field in sorted({f for f, _ in got}):
-            zz, zy, _, _ = got[field, "fit"]
-            k = zy.shape[1]
-            if h == 1:
-                one = ridge(zz, zy, mu).T
-                iterated[field] = companion([one[:, j * k : (j + 1) * k] for j in range(lags)])
-            target = np.linalg.matrix_power(iterated[field], h)[:k]
-            vz, vy, vt, n = got.get((field, "val"), got[field, "fit"])
-            score = lambda m: float((vt - 2 * np.trace(m @ vy) + np.trace(m @ vz @ m.T)) / max(n, 1))  # noqa: B023, E731
-            fits = [(score(m), nu, m) for nu in grid for m in [horizon_fit(zz, zy, target, mu, nu)]]
-            err, nu, m = min(fits, key=lambda x: (x[0], x[1]))
-            direct = horizon_fit(zz, zy, target, mu, 0.0)
-            rows.append((field, h, nu, err, float(np.linalg.norm(direct - target) / max(np.linalg.norm(target), 1e-300)), m.ravel().tolist()))
-    return pd.DataFrame(rows, columns=["field", "lead", "nu", "error", "defect", "map"])
+    rows = horizons.horizon_rows(horizons.horizon_design(weights, lags, horizon), lags, horizon, criterion="holdout", mu=mu, grid=grid, holdout=holdout)
+    return rows.orderBy("field", "lead").toPandas().rename(columns={"score": "error"})[["field", "lead", "nu", "error", "defect", "map"]]
 
 
 def memory_sweep(weights: DataFrame, most: int, mu: float = 1e-3) -> DataFrame:

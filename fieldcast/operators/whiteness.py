@@ -9,21 +9,22 @@ from pyspark.sql.types import DoubleType
 
 from fieldcast.functions.linalg import chi2_sf
 from fieldcast.functions.vectors import minus
+from fieldcast.functions.windows import numbered, over_days
 
 
 def differences(weights: DataFrame, value: str = "w") -> DataFrame:
     """(field, t, e): one-step differences; the first row of a field has none."""
-    before = F.lag(value).over(Window.partitionBy("field").orderBy("t"))
-    return weights.select("field", "t", F.when(before.isNotNull(), minus(F.col(value), before)).alias("e")).where("e is not null")
+    rows = over_days(numbered(weights.select("field", "t", value)), lambda w: {"before": F.lag(value).over(w)}, 1, 0, t="nth")
+    return rows.select("field", "t", F.when(F.col("before").isNotNull(), minus(F.col(value), F.col("before"))).alias("e")).where("e is not null")
 
 
 def autocorrelation(e: DataFrame, max_lag: int) -> DataFrame:
     """(field, i, k, rho, n) of each component, about its mean."""
-    long = e.select("field", "t", F.posexplode("e").alias("i", "x"))
+    long = numbered(e.select("field", "t", "e")).select("field", F.col("nth").alias("t"), F.posexplode("e").alias("i", "x"))
     mean = long.groupBy("field", "i").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.count("x").alias("n"))
     z = long.join(mean, ["field", "i"]).select("field", "i", "t", (F.col("x") - F.col("m")).alias("z"), "v", "n")
-    w = Window.partitionBy("field", "i").orderBy("t")
-    lagged = z.select("field", "i", "v", "n", *[(F.col("z") * F.lag("z", k).over(w)).alias(f"p{k}") for k in range(1, max_lag + 1)])
+    products = lambda w: {f"p{k}": F.col("z") * F.lag("z", k).over(w) for k in range(1, max_lag + 1)}
+    lagged = over_days(z, products, max_lag, 0, ("field", "i"))
     sums = lagged.groupBy("field", "i").agg(F.first("v").alias("v"), F.first("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, max_lag + 1)])
     return sums.select("field", "i", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.try_divide(F.col(f"p{k}"), F.col("n") * F.col("v")).alias("rho")) for k in range(1, max_lag + 1)])).alias("x"), "v").select("field", "i", "x.k", "x.rho", "n")
 
