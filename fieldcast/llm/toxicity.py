@@ -31,8 +31,6 @@ NEIGHBOURS, BLOCK = 24, 64
 HEAD = 0.995
 #: A term that more than one in so many examples has is also held as a whole column.
 FREQUENT = 12
-#: Words of the vocabulary that are counted in one row.
-SLICE = 4096
 #: One in so many examples is kept apart to calibrate on, with an index of the others.
 CALIBRATE = 4
 _words = re.compile(r"[^\W\d_]+").findall
@@ -249,25 +247,21 @@ def _frequencies(docs: DataFrame, text: str, words: pa.Array) -> tuple[np.ndarra
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, df, rows = Numbers(held.value.to_pylist()), np.zeros(-(-len(held.value) // SLICE) * SLICE, np.int64), 0
+        numbers, df, rows = Numbers(held.value.to_pylist()), np.zeros(len(held.value), np.int64), 0
         for b in batches:
             texts = b.column(0).to_pylist()
             for x in texts:
                 if x:
                     df[list({i for w in set(x.lower().split()) for i in numbers[w]})] += 1
             rows += len(texts)
-        # Slices of the vocabulary, not words: a task's rows are few, however many words it has seen.
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df) // SLICE)), pa.array([[rows], *df.reshape(-1, SLICE).tolist()], pa.list_(pa.int64()))], ["slice", "n"])
-
-    def total(key: tuple, batches: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": [key[0]], "n": [np.sum(np.stack(batches["n"].to_numpy()), axis=0)]})
-
-    parts = docs.select(f"`{text}`").mapInArrow(count, "slice long, n array<long>")
-    got = parts.groupBy("slice").applyInPandas(total, "slice long, n array<long>").orderBy("slice").toArrow()
-    if not len(got):
-        return np.zeros(len(words), np.int64), 0
-    n = got["n"].combine_chunks().flatten().to_numpy()
-    return n[1 : len(words) + 1], int(n[0])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[rows, df[some]])], ["word", "n"])
+
+    # Words go as numbers, and Spark adds their counts up in each task and then by word: no group holds what all tasks have.
+    got = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(words) + 1, np.int64)
+    out[got["word"].to_numpy() + 1] = got["n"].to_numpy()
+    return out[1:], int(out[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, doc_counts: DataFrame | None = None) -> Model:
