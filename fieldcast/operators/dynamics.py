@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcast.functions.linalg import companion, ridge, spectral_radius, symmetric
+from fieldcast.functions.vectors import dot
 from fieldcast.functions.windows import numbered, over_days
 from fieldcast.operators.moments import moments
 
@@ -264,28 +265,92 @@ def memory_sweep(weights: DataFrame, most: int, mu: float = 1e-3) -> DataFrame:
     return wide.groupBy("field", "order").applyInPandas(one, f"field {kind}, order int, rho double, gain double, last_ratio double, n_parameters int, rmse double")
 
 
-def emission_fit(rows: DataFrame, mu: float = 1e-3, holdout: float = 0.15, jitter: float = 1e-6) -> dict:
-    """{field: dict} of y = C w by ridge: C, noise covariance, hold-out R^2 by channel on the last rows in time, usable.
+def emission_rows(rows: DataFrame, mu: float = 1e-3, holdout: float = 0.15, full: bool = True) -> DataFrame:
+    """(field, k, c, s, r2, r2_fit, correlation, usable, n): a field's model y = C w of weather from states, matrices row by row.
 
-    rows: (field, t, w, y). R^2 comes from a fit on the first rows; C and the noise from all.
+    rows: (field, t, w, y). r2 is that of the last `holdout` of a field's rows, by channel, with C from those before; C and the
+    noise covariance s (its diagonal unless full) then come from all, r2_fit too. usable: any channel has a positive r2.
     """
-    nth = F.row_number().over(Window.partitionBy("field").orderBy("t"))
-    n = F.count("*").over(Window.partitionBy("field"))
-    cut = rows.withColumns({"part": F.when(nth <= n - F.floor(n * holdout), "fit").otherwise("val"), "all_": F.concat("w", "y"), "k": F.size("w")})
-    out: dict = {}
-    k = cut.select("k").first().k
-    parts: dict = {}
-    for r in moments(cut.select("field", "part", "all_"), ["field", "part"], "all_").collect():
-        parts.setdefault(r.field, {})[r.part] = (r.n, np.asarray(r.xx).reshape(len(r.sx), -1), np.asarray(r.sx))
-    for field, p in parts.items():
-        n0, m0, _ = p["fit"]
-        c0 = ridge(m0[:k, :k], m0[:k, k:], mu).T
-        nv, mv, sv = p.get("val", p["fit"])
-        res = np.diag(mv[k:, k:] - c0 @ mv[:k, k:] - (c0 @ mv[:k, k:]).T + c0 @ mv[:k, :k] @ c0.T)
-        total = np.diag(mv[k:, k:]) - sv[k:] ** 2 / nv
-        r2 = 1 - res / (total + 1e-12)
-        m, na = m0 + (mv if "val" in p else 0), n0 + (nv if "val" in p else 0)
-        c = ridge(m[:k, :k], m[:k, k:], mu).T
-        noise = symmetric(m[k:, k:] - c @ m[:k, k:] - (c @ m[:k, k:]).T + c @ m[:k, :k] @ c.T) / max(na - 1, 1)
-        out[field] = {"C": c, "R": noise + jitter * np.eye(len(noise)), "r2": r2.tolist(), "usable": bool((r2 > 0).any())}
-    return out
+    kind = dict(rows.dtypes)["field"]
+    held = F.round(F.col("n") * holdout) if holdout > 0 else F.lit(0)
+    cut = numbered(rows.select("field", "t", F.concat("w", "y").alias("z"), F.size("w").alias("k"))).withColumn("part", (F.col("nth") > F.col("n") - held).cast("int"))
+    schema = f"field {kind}, k int, c array<double>, s array<double>, r2 array<double>, r2_fit array<double>, correlation array<double>, usable boolean, n long"
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:
+        k, size = int(f["k"].iloc[0]), len(f["sx"].iloc[0])
+        zero = (0, np.zeros((size, size)), np.zeros(size))
+        part = {int(r.part): (int(r.n), np.asarray(r.xx).reshape(size, size), np.asarray(r.sx)) for r in f.itertuples()}
+        fit, val = part.get(0, zero), part.get(1, zero)
+        every = tuple(a + b for a, b in zip(fit, val, strict=True))
+        solved = lambda m: ridge(m[1][:k, :k], m[1][:k, k:], mu).T
+
+        def rest(c: np.ndarray, m: tuple) -> np.ndarray:
+            cross = c @ m[1][:k, k:]
+            return symmetric(m[1][k:, k:] - cross - cross.T + c @ m[1][:k, :k] @ c.T)
+
+        def r2(c: np.ndarray, m: tuple) -> np.ndarray:
+            total = np.diag(m[1])[k:] - m[2][k:] ** 2 / max(m[0], 1)
+            return 1 - np.diag(rest(c, m)) / np.maximum(total, 1e-30)
+
+        outside = r2(solved(fit), val) if val[0] else None
+        c = solved(every)
+        cov = rest(c, every) / max(every[0] - 1, 1)
+        cov = cov if full else np.diag(np.diag(cov))
+        cov = cov + 1e-8 * max(np.trace(cov) / len(cov), 1e-12) * np.eye(len(cov))
+        d = np.sqrt(np.maximum(np.diag(cov), 1e-30))
+        usable = outside is None or bool((outside > 0).any())
+        return pd.DataFrame([(f["field"].iloc[0], k, c.ravel(), cov.ravel(), outside, r2(c, every), (cov / np.outer(d, d)).ravel(), usable, every[0])], columns=[x.split()[0] for x in schema.split(", ")])
+
+    return moments(cut.select("field", "part", "k", "z"), ["field", "part", "k"], "z").groupBy("field").applyInPandas(solve, schema)
+
+
+def emission_fit(rows: DataFrame, mu: float = 1e-3, holdout: float = 0.15) -> dict:
+    """emission_rows of few fields as {field: C, R, r2, usable}."""
+    of = lambda r, x: np.asarray(x).reshape(-1, r.k)
+    return {r.field: {"C": of(r, r.c), "R": np.asarray(r.s).reshape(len(r.r2_fit), -1), "r2": r.r2, "usable": r.usable} for r in emission_rows(rows, mu, holdout).collect()}
+
+
+def information_gain(emissions: DataFrame, covs: DataFrame) -> DataFrame:
+    """covs (field, .., cov: k x k row by row) with trace_prior, trace_posterior and removed, the share of the state's variance that
+    one weather update takes away."""
+    names, kinds = covs.columns, covs.schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", trace_prior double, trace_posterior double, removed double"
+
+    def one(f: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(f) or not len(e):
+            return pd.DataFrame(columns=[*names, "trace_prior", "trace_posterior", "removed"])
+        k = int(e["k"].iloc[0])
+        c = np.asarray(e["c"].iloc[0]).reshape(-1, k)
+        s = np.asarray(e["s"].iloc[0]).reshape(len(c), -1)
+        p = np.stack(f["cov"].to_numpy()).reshape(-1, k, k)
+        cp = c @ p
+        less = np.einsum("nij,nij->n", np.linalg.solve(cp @ c.T + s, cp), cp)
+        prior = np.trace(p, axis1=1, axis2=2)
+        return f.assign(trace_prior=prior, trace_posterior=prior - less, removed=less / np.maximum(prior, 1e-30))
+
+    return covs.groupBy("field").cogroup(emissions.groupBy("field")).applyInPandas(one, schema)
+
+
+def response_maps(models: DataFrame, basis: DataFrame) -> DataFrame:
+    """(field, pixel, channel, response): what a unit of each input does to each pixel in a day, phi . B[:, channel]."""
+    width = F.size("b") / F.col("k")
+    own = models.where(F.size("b") > 0).select("field", F.transform(F.sequence(F.lit(0), (width - 1).cast("int")), lambda j: F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.col("b")[(i * width + j).cast("int")])).alias("columns"))
+    each = own.select("field", F.posexplode("columns").alias("channel", "column"))
+    return basis.select("field", "pixel", "phi").join(each, "field").select("field", "pixel", "channel", dot(F.col("phi"), F.col("column")).alias("response"))
+
+
+def excitation(design: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """(field, rank, required, deficiency, satisfied, condition) of the states and inputs together: fewer independent directions
+    than columns, and their parts in a fit cannot be told apart. design: (field, x, u)."""
+    kind = dict(design.dtypes)["field"]
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                s = np.sqrt(np.maximum(np.linalg.eigvalsh(np.asarray(r.xx).reshape(len(r.sx), -1)), 0))
+                rank = int((s > max(tolerance, 1e-8) * s.max()).sum())
+                out.append((r.field, rank, len(s), len(s) - rank, rank >= len(s), float(s.max() / max(s.min(), 1e-30))))
+            yield pd.DataFrame(out, columns=["field", "rank", "required", "deficiency", "satisfied", "condition"])
+
+    return moments(design.select("field", F.concat("x", "u").alias("z")), ["field"], "z").mapInPandas(task, f"field {kind}, rank int, required int, deficiency int, satisfied boolean, condition double")
