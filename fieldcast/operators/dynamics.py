@@ -334,7 +334,7 @@ def information_gain(emissions: DataFrame, covs: DataFrame) -> DataFrame:
 def response_maps(models: DataFrame, basis: DataFrame) -> DataFrame:
     """(field, pixel, channel, response): what a unit of each input does to each pixel in a day, phi . B[:, channel]."""
     width = F.size("b") / F.col("k")
-    own = models.where(F.size("b") > 0).select("field", F.transform(F.sequence(F.lit(0), (width - 1).cast("int")), lambda j: F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.col("b")[(i * width + j).cast("int")])).alias("columns"))
+    own = models.where(F.size("b") > 0).select("field", F.transform(F.sequence(F.lit(0), (width - 1).cast("int")), lambda j: F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.get("b", (i * width + j).cast("int")))).alias("columns"))
     each = own.select("field", F.posexplode("columns").alias("channel", "column"))
     return basis.select("field", "pixel", "phi").join(each, "field").select("field", "pixel", "channel", dot(F.col("phi"), F.col("column")).alias("response"))
 
