@@ -224,10 +224,13 @@ class Model:
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int, chars: int) -> pa.Table:
     """id, copies, toxic, word, n of the labelled rows, one row for each distinct sequence of words, by id."""
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("label"))
-    own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(own.withColumnRenamed(doc_id, "id"), "id")
-    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    named = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    # Labels meet ids and lengths; texts stay where they are, and meet the sample's ids, of which there are about `rows` at most.
+    sized = stored(named.select("id", F.length("text").alias("chars")).join(own.withColumnRenamed(doc_id, "id"), "id"), "toxic-sizes")
+    size = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")).first()
     share = min(1.0, rows / max(size.n, 1), chars / max(size.chars, 1))
-    picked = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
+    ids = sized.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("id", "label").distinct()
+    picked = named.join(F.broadcast(ids), "id")
 
     def condense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
