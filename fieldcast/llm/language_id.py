@@ -8,16 +8,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcast.llm.common import fresh, in_fold, table
 
-#: Letters in an n-gram, code points handled at once, slots of the filter (a mask of languages each), probes.
+#: Letters in an n-gram, code points handled at once, least slots of the filter (a mask of languages each), probes.
 N, BLOCK, SLOTS, PROBES = 4, 400_000, 1 << 20, 3
-#: Labelled rows of each language from which filters are fitted, n-grams of each language in its filter, and how
+#: Slots of the filter for each n-gram of the language that has most.
+SPARSE = 16
+#: Labelled rows of each language from which filters are fitted, and the code points in them, which bound the model; and how
 #: frequent in a language an n-gram must be at least, against the language in which it is most frequent.
-TRAIN_ROWS, MAX_NGRAMS, LEAST_SHARE = 4000, 40_000, 0.2
+TRAIN_ROWS, TRAIN_CHARS, LEAST_SHARE = 4000, 16_000_000, 0.2
 UNKNOWN = "und"
 
 
@@ -136,18 +138,19 @@ class LanguageFilters:
         return [self.langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0)
 
 
-def train(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int = TRAIN_ROWS, most: int = MAX_NGRAMS, slots: int = SLOTS) -> LanguageFilters:
-    """Filters for each lang, from about `rows` rows of each at most, picked by a hash of the id.
+def train(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> LanguageFilters:
+    """Filters for each lang, from about `rows` rows and `chars` code points of each at most, picked by a hash of the id.
 
     Of an n-gram a language's filter holds those at least LEAST_SHARE times as frequent in it as in the language
-    that has them most, seen three times or more, and of these the `most` most frequent. So the model is bounded by
-    the number of languages alone, and passages in a second language inside a text do little harm.
+    that has them most, seen three times or more, all of them: the sample bounds their number, and the slots are as many
+    as they need. So passages in a second language inside a text do little harm.
     """
     own = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in own.groupBy(lang).count().collect()}  # a row for each language
+    sums = own.groupBy(lang).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"))
+    sizes = {r[0]: min(1.0, rows / r.n, chars / max(r.chars, 1)) for r in sums.collect()}  # a row for each language
     if not sizes:
-        return LanguageFilters({}, slots)
-    share = F.try_element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n))]), F.col(lang))
+        return LanguageFilters({})
+    share = F.try_element_at(F.create_map(*[F.lit(x) for k, part in sizes.items() for x in (k, part)]), F.col(lang))
     picked = own.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < share * (1 << 20)).select(lang, text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +169,12 @@ def train(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int = TRAIN_
     rate = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     top = rate.groupBy("gram").agg(F.max("rate").alias("top"))
     chosen = rate.join(top, "gram").where((F.col("n") >= 3) & (F.col("rate") >= LEAST_SHARE * F.col("top")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    got = chosen.withColumn("place", place).where(F.col("place") <= most).select("lang", "gram", "n").toPandas()  # `most` a language
+    got = chosen.select("lang", "gram").toPandas()
     grams = {l: np.zeros(0, np.uint64) for l in sizes}
-    for l, f in got.sort_values(["n", "gram"], ascending=[False, True]).groupby("lang"):
+    for l, f in got.groupby("lang"):
         grams[l] = f["gram"].to_numpy(np.int64).view(np.uint64)
-    return LanguageFilters(grams, slots)
+    most = max(map(len, grams.values()))
+    return LanguageFilters(grams, max(SLOTS, 1 << (SPARSE * most).bit_length()))
 
 
 def identify(docs: DataFrame, model: LanguageFilters, text: str = "text") -> DataFrame:

@@ -91,19 +91,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+#: A row of documents is a document, as in dedup_lines, also where rows share a doc_id.
 OP5_SQL = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (
+  SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+  FROM d),
 k AS (
-  SELECT doc_id, pos, line,
+  SELECT r, doc_id, pos, line,
          translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l),
-f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f ON k.key = f.key
-GROUP BY k.doc_id
+GROUP BY k.r, k.doc_id
 """
