@@ -182,8 +182,11 @@ def contrasts(series: DataFrame, blocks: DataFrame) -> DataFrame:
 def separability_test(series: DataFrame, lags: list[int], replicates: int = 200, block: int = 30, alpha: float = 0.05, seed: int = 0) -> dict:
     """Chi-square test of the contrasts of one field, their covariance from a bootstrap over time blocks and pair groups.
 
-    The series is one number a day, bin, lag and group; replicates are shared out over tasks.
+    The series is one number a day, bin, lag and group; replicates are shared out over tasks. A series of several fields is an
+    error: their days would be taken for one another's.
     """
+    if "field" in series.columns and series.select("field").distinct().limit(2).count() > 1:
+        raise ValueError("the series has several fields; test one at a time")
     s = series.where(F.col("u").isin([0, *lags])).select("kind", "bin", "u", "g", "date", "m").toPandas()
     first = s["date"].min()
     s["t"] = (pd.to_datetime(s["date"]) - pd.to_datetime(first)).dt.days

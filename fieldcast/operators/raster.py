@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Length of a degree in metres by latitude: coefficients of cos 2k phi, and of cos (2k + 1) phi. Fixed values.
-DEGREE_LAT = (111132.92, -559.82, 1.175, -0.0023)
-DEGREE_LON = (111412.84, -93.5, 0.118)
+from fieldcast.sources.stages import stored
+
+#: Length of a degree in metres by latitude phi: coefficients of 1 and cos 2 phi, and of cos phi and cos 3 phi. Fixed values.
+DEGREE_LAT = (111132.92, -559.82)
+DEGREE_LON = (111412.84, -93.5)
 
 
 def map_coordinates(row: Column, col: Column, affine: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
@@ -24,35 +27,53 @@ def unit_coordinates(grid: DataFrame, affine: tuple[float, ...]) -> DataFrame:
     g = grid.withColumns({"mx": x, "my": y})
     span = g.groupBy("field").agg(*[f(c).alias(f"{c}_{n}") for c in ("mx", "my") for n, f in (("lo", F.min), ("hi", F.max))])
     unit = lambda c: F.coalesce(F.try_divide(2 * (F.col(c) - F.col(f"{c}_lo")), F.col(f"{c}_hi") - F.col(f"{c}_lo")) - 1, F.lit(0.0))
-    return g.join(F.broadcast(span), "field").select(*grid.columns, unit("mx").alias("x"), unit("my").alias("y"))
+    return g.join(span, "field").select(*grid.columns, unit("mx").alias("x"), unit("my").alias("y"))
 
 
 def index_coordinates(grid: DataFrame) -> DataFrame:
     """grid with x and y evenly spaced from -1 to 1 by column and row number."""
     size = grid.groupBy("field").agg(F.max("row").alias("h"), F.max("col").alias("w"))
     line = lambda c, n: F.coalesce(F.try_divide(F.col(c) * 2.0, F.col(n)) - 1, F.lit(-1.0))
-    return grid.join(F.broadcast(size), "field").select(*grid.columns, line("col", "w").alias("x"), line("row", "h").alias("y"))
+    return grid.join(size, "field").select(*grid.columns, line("col", "w").alias("x"), line("row", "h").alias("y"))
 
 
-def pixel_metres(step: Column, geographic: Column, latitude: Column, fallback: float = 30.0) -> Column:
-    """Ground distance between samples: the step itself if projected, else the geometric mean of the degree's lengths."""
+def pixel_metres(dx: Column, dy: Column, geographic: Column, latitude: Column, fallback: float = 30.0) -> Column:
+    """Ground distance between samples. dx and dy: the steps along both axes. Projected: the first. In degrees: the geometric mean
+    of both steps in metres at the latitude. What is not positive gives the fallback."""
     phi = F.radians(latitude)
     lat = sum((F.cos(phi * (2 * k)) * c for k, c in enumerate(DEGREE_LAT)), F.lit(0.0))
     lon = sum((F.cos(phi * (2 * k + 1)) * c for k, c in enumerate(DEGREE_LON)), F.lit(0.0))
-    return F.coalesce(F.when(geographic, F.abs(step) * F.sqrt(lat * F.abs(lon))).otherwise(F.abs(step)), F.lit(fallback))
+    x, y = F.abs(dx) * F.abs(lon), F.abs(dy) * F.abs(lat)
+    ground = F.when(geographic, F.when((x > 0) & (y > 0), F.sqrt(x * y))).otherwise(F.when(F.abs(dx) > 0, F.abs(dx)))
+    return F.coalesce(ground, F.lit(fallback))
+
+
+def grid_sizes(grid: DataFrame) -> DataFrame:
+    """(field, height, width) of grids of (field, row, col)."""
+    return grid.groupBy("field").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+
 
+def thinned(pixels: DataFrame, max_pixels: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Block means of (field, date, row, col, value), on a grid of about max_pixels cells at most for each field, both axes by one
+    factor. sizes: (field, height, width), from the pixels themselves unless given."""
+    k = F.least(F.lit(1.0), F.sqrt(F.lit(float(max_pixels)) / (F.col("height") * F.col("width"))))
+    to = {f"to_{c}": F.greatest(F.lit(1.0), F.rint(F.col(c) * k)) for c in ("height", "width")}
+    own = (grid_sizes(pixels) if sizes is None else sizes).withColumns(to)
+    cell = lambda c, n: F.floor(F.col(c) * F.col(f"to_{n}") / F.col(n)).cast("int")
+    cells = pixels.join(own, "field").withColumns({"row": cell("row", "height"), "col": cell("col", "width")})
+    return cells.groupBy("field", "date", "row", "col").agg(F.avg("value").alias("value"))
 
-def thinned(pixels: DataFrame, height: int, width: int, max_pixels: int) -> DataFrame:
-    """Block means of (field, date, row, col, value) on a grid of max_pixels cells at most."""
-    k = min(1.0, math.sqrt(max_pixels / (height * width)))
-    h, w = max(1, round(height * k)), max(1, round(width * k))
-    cell = pixels.withColumns({"row": F.floor(F.col("row") * h / height).cast("int"), "col": F.floor(F.col("col") * w / width).cast("int")})
-    return cell.groupBy("field", "date", "row", "col").agg(F.avg("value").alias("value"))
 
+#: A map projection: columns x, y of one reference system to x, y of another.
+Projection = Callable[[Column, Column], tuple[Column, Column]]
 
-def source_index(grid: DataFrame, to: tuple[float, ...], source: tuple[float, ...]) -> DataFrame:
-    """grid with (si, sj): the fractional row and column of each target centre in the source grid (no rotation)."""
+
+def source_index(grid: DataFrame, to: tuple[float, ...], source: tuple[float, ...], project: Projection | None = None) -> DataFrame:
+    """grid with (si, sj): the fractional row and column of each target centre in the source grid (no rotation). project: from the
+    target's reference system to the source's, if they differ."""
     x, y = map_coordinates(F.col("row"), F.col("col"), to)
+    if project:
+        x, y = project(x, y)
     return grid.withColumns({"sj": (x - source[2]) / source[0] - 0.5, "si": (y - source[5]) / source[4] - 0.5})
 
 
@@ -63,57 +84,97 @@ def _cubic(t: Column, a: float = -0.5) -> Column:
     return F.when(t <= 1, near).when(t < 2, far).otherwise(0.0)
 
 
-def aligned(source: DataFrame, grid: DataFrame, to: tuple[float, ...], affine: tuple[float, ...], how: str = "bilinear", floor_zero: bool = True) -> DataFrame:
-    """source (date, row, col, value) on the cells of grid (row, col): nearest, bilinear, cubic or average.
+def aligned(
+    source: DataFrame, grid: DataFrame, to: tuple[float, ...], affine: tuple[float, ...], how: str = "bilinear", floor_zero: bool = True, project: Projection | None = None,
+    back: Projection | None = None,
+) -> DataFrame:
+    """source (field, date, row, col, value) on the cells of grid (field, row, col) of the same field: nearest, bilinear, cubic or
+    average; field, date, row, col, value. A grid without the column field is that of all fields; a source without has one.
 
-    Weights of missing cells are left out and the rest made to sum to one. The map of cells is worked out once and
-    joined to each date; rain is clamped at 0 and what is not finite is null.
+    Weights of missing cells are left out and the rest made to sum to one. The map of cells is worked out once a field and
+    joined to each date; rain is clamped at 0 and what is not finite is null. Grids of two reference systems: project takes
+    target places to the source's system; for average, back takes source places to the target's.
     """
+    keys = ["field"] if "field" in source.columns else []
+    own = ["field"] if keys and "field" in grid.columns else []
     if how == "average":
         x, y = map_coordinates(F.col("row"), F.col("col"), affine)
-        cell = source.withColumns({"trow": F.floor((y - to[5]) / to[4]).cast("int"), "tcol": F.floor((x - to[2]) / to[0]).cast("int")})
-        out = cell.where("value is not null").groupBy("date", F.col("trow").alias("row"), F.col("tcol").alias("col")).agg(F.avg("value").alias("value"))
-        out = out.join(grid.select("row", "col"), ["row", "col"], "left_semi")
+        where = lambda x, y: {"trow": F.floor((y - to[5]) / to[4]).cast("int"), "tcol": F.floor((x - to[2]) / to[0]).cast("int")}
+        if back:  # each place once, not on each date
+            places = source.select("row", "col").distinct()
+            cell = source.join(stored(places.withColumns(where(*back(x, y))), "cells"), ["row", "col"])
+        else:
+            cell = source.withColumns(where(x, y))
+        out = cell.where("value is not null").groupBy(*keys, "date", F.col("trow").alias("row"), F.col("tcol").alias("col")).agg(F.avg("value").alias("value"))
+        out = out.join(grid.select(*own, "row", "col"), [*own, "row", "col"], "left_semi")
     else:
-        at = source_index(grid.select("row", "col"), to, affine)
+        at = source_index(grid.select(*own, "row", "col"), to, affine, project)
+        at = stored(at, "cells") if project else at
         reach = {"nearest": [0], "bilinear": [0, 1], "cubic": [-1, 0, 1, 2]}[how]
         base = (lambda c: F.floor(F.col(c) + 0.5)) if how == "nearest" else (lambda c: F.floor(F.col(c)))
         weight = {"nearest": lambda t: F.lit(1.0), "bilinear": lambda t: 1 - F.abs(t), "cubic": _cubic}[how]
         steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach]))
         near = at.withColumns({"bi": base("si").cast("int"), "bj": base("sj").cast("int")}).select("*", steps.alias("p"))
         near = near.withColumns({"srow": F.col("bi") + F.col("p.i"), "scol": F.col("bj") + F.col("p.j")})
-        cells = near.select("row", "col", "srow", "scol", (weight(F.col("si") - F.col("srow")) * weight(F.col("sj") - F.col("scol"))).alias("k")).where("k <> 0")
-        own = source.where("value is not null").select("date", F.col("row").alias("srow"), F.col("col").alias("scol"), "value")
-        out = own.join(cells, ["srow", "scol"]).groupBy("date", "row", "col").agg((F.sum(F.col("k") * F.col("value")) / F.sum("k")).alias("value"))
+        cells = near.select(*own, "row", "col", "srow", "scol", (weight(F.col("si") - F.col("srow")) * weight(F.col("sj") - F.col("scol"))).alias("k")).where("k <> 0")
+        seen = source.where("value is not null").select(*keys, "date", F.col("row").alias("srow"), F.col("col").alias("scol"), "value")
+        out = seen.join(cells, [*own, "srow", "scol"]).groupBy(*keys, "date", "row", "col").agg((F.sum(F.col("k") * F.col("value")) / F.sum("k")).alias("value"))
     value = F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value"))
-    return out.withColumn("value", F.greatest(value, F.lit(0.0)) if floor_zero else value)
+    return out.withColumn("value", F.greatest(value, F.lit(0.0)) if floor_zero else value).select(*keys, "date", "row", "col", "value")
+
+
+#: The ellipsoid of WGS84, half its axis and its flattening, and the scale on a zone's meridian. Fixed values.
+AXIS, FLATTENING, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
+_n = FLATTENING / (2 - FLATTENING)
+_RADIUS = AXIS / (1 + _n) * (1 + _n**2 / 4 + _n**4 / 64)
+#: Series of the transverse Mercator projection to the third power of the flattening's n: forward, back, and to latitude.
+_ALPHA = (_n / 2 - 2 * _n**2 / 3 + 5 * _n**3 / 16, 13 * _n**2 / 48 - 3 * _n**3 / 5, 61 * _n**3 / 240)
+_BETA = (_n / 2 - 2 * _n**2 / 3 + 37 * _n**3 / 96, _n**2 / 48 + _n**3 / 15, 17 * _n**3 / 480)
+_DELTA = (2 * _n - 2 * _n**2 / 3 - 2 * _n**3, 7 * _n**2 / 3 - 8 * _n**3 / 5, 56 * _n**3 / 15)
 
 
 def utm(lon: Column, lat: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
-    """Easting and northing on WGS84 by the transverse Mercator series of sixth order."""
-    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
-    n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    """Easting and northing on WGS84 by the transverse Mercator series."""
     phi, lam = F.radians(lat), F.radians(lon - (6 * zone - 183))
-    e = 2 * math.sqrt(n) / (1 + n)
+    e = 2 * math.sqrt(_n) / (1 + _n)
     s = F.sin(phi)
     t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
     east, northing = eta, xi
-    for j, c in enumerate(alpha, 1):
+    for j, c in enumerate(_ALPHA, 1):
         east = east + F.cos(2 * j * xi) * F.sinh(2 * j * eta) * c
         northing = northing + F.sin(2 * j * xi) * F.cosh(2 * j * eta) * c
-    return east * (k0 * radius) + 500000.0, northing * (k0 * radius) + (0.0 if north else 10000000.0)
+    return east * (SCALE * _RADIUS) + 500000.0, northing * (SCALE * _RADIUS) + (0.0 if north else 10000000.0)
 
 
-def zone_of(row: Column, col: Column, height: int, width: int, n: int) -> Column:
+def from_utm(easting: Column, northing: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
+    """Longitude and latitude of a place in a zone: utm() backwards."""
+    xi = (northing - (0.0 if north else 10000000.0)) / (SCALE * _RADIUS)
+    eta = (easting - 500000.0) / (SCALE * _RADIUS)
+    x, y = xi, eta
+    for j, c in enumerate(_BETA, 1):
+        x = x - F.sin(2 * j * xi) * F.cosh(2 * j * eta) * c
+        y = y - F.cos(2 * j * xi) * F.sinh(2 * j * eta) * c
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    lat = chi
+    for j, c in enumerate(_DELTA, 1):
+        lat = lat + F.sin(2 * j * chi) * c
+    return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (6 * zone - 183), F.degrees(lat)
+
+
+def zone_of(row: Column, col: Column, height: Column | int, width: Column | int, n: int) -> Column:
     """Zones in a near-square grid of floor(sqrt n) rows."""
     rows = max(1, math.isqrt(n))
     cols = -(-n // rows)
     return F.least(F.floor(row * rows / height) * cols + F.floor(col * cols / width), F.lit(n - 1)).cast("int")
 
 
+def zones(grid: DataFrame, n: int) -> DataFrame:
+    """(field, pixel, zone) of a grid (field, pixel, row, col): n zones over each field's own height and width."""
+    at = zone_of(F.col("row"), F.col("col"), F.col("height"), F.col("width"), n)
+    return grid.join(grid_sizes(grid), "field").select("field", "pixel", at.alias("zone"))
+
+
 def zonal_means(pixels: DataFrame, zones: DataFrame, cal: DataFrame) -> DataFrame:
     """(field, date, zone, value): the mean of a zone's valid pixels on each day of the calendar, 0 where none is.
 
@@ -141,8 +202,21 @@ def tile(row: Column, col: Column, size: int = 64) -> Column:
     return F.format_string("%d_%d", F.floor(row / size), F.floor(col / size))
 
 
-def ranked_by_distance(grid: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
-    """The n nearest pixels of each centroid, from which distinct ones are picked."""
-    d = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
-    near = grid.join(centroids, "field").withColumn("d", d)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("field", "k").orderBy("d", "pixel"))).where(F.col("rank") <= n)
+def distinct_pixels(grid: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(field, k, pixel): a pixel of its own for each centroid (field, k, cx, cy), the nearest that no smaller k takes.
+
+    As if taken one after another by k, but in rounds: all that are left ask for their nearest free pixel, the lowest at equal
+    distance, and those before the first whose wish a smaller k has too get it. There are as many rounds as such clashes, not
+    centroids. Fields with more centroids than pixels leave the last without.
+    """
+    free, left, got = grid.select("field", "pixel", "x", "y"), stored(centroids.select("field", "k", "cx", "cy"), "centroids"), None
+    while True:
+        wish = stored(nearest_pixel(free, left), "wishes")
+        if not wish.limit(1).count():
+            return got if got is not None else wish
+        first = wish.withColumn("least", F.min("k").over(Window.partitionBy("field", "pixel")))
+        clash = first.where("k > least").groupBy("field").agg(F.min("k").alias("stop"))
+        settled = stored(wish.join(clash, "field", "left").where(F.col("stop").isNull() | (F.col("k") < F.col("stop"))).select("field", "k", "pixel"), "settled")
+        got = settled if got is None else got.unionByName(settled)
+        left = stored(left.join(settled, ["field", "k"], "left_anti"), "centroids")
+        free = stored(free.join(settled, ["field", "pixel"], "left_anti"), "free")

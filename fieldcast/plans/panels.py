@@ -59,6 +59,8 @@ def trajectory(spark: SparkSession, sf_dir: str, r: int, per_field: bool = False
 SQL = {
     "ev": "ev AS (SELECT user_id % 3 AS field, CAST(ts AS DATE) AS date, user_id AS pixel, avg(value) AS value FROM events GROUP BY ALL)",
     "li": "li AS (SELECT CAST(0 AS BIGINT) AS field, CAST(l_shipdate AS DATE) AS date, l_suppkey AS pixel, CAST(l_suppkey // 10 AS INT) AS row, CAST(l_suppkey % 10 AS INT) AS col, avg(l_quantity) AS value FROM lineitem GROUP BY ALL)",
+    # li with many fields, as block_panel.
+    "lb": "lb AS (SELECT CAST(pixel // 100 AS BIGINT) AS field, date, pixel, CAST(pixel % 100 // 10 AS INT) AS row, CAST(pixel % 10 AS INT) AS col, value FROM li)",
     "wx": "wx AS (SELECT CAST(0 AS BIGINT) AS field, CAST(o_orderdate AS DATE) AS date, CAST(count(*) FILTER (o_orderpriority = '1-URGENT') AS DOUBLE) AS precip, avg(o_totalprice) / 1000 AS ta, min(o_totalprice) / 1000 AS rs, max(o_totalprice) / 1000 AS vpd FROM orders GROUP BY ALL)",
     "ev_days": "ev_days AS (SELECT DISTINCT field, date, true AS seen FROM ev)",
     "ev_cal": "ev_cal AS (SELECT field, date, CAST(date - lo AS INT) AS t, seen IS NOT NULL AS observed FROM (SELECT field, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT field, min(date) AS lo, max(date) AS hi FROM ev GROUP BY field)) LEFT JOIN ev_days USING (field, date))",

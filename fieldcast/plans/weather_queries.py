@@ -10,7 +10,7 @@ from fieldcast.operators import archive as A
 from fieldcast.operators import raster as R
 from fieldcast.operators import weather as W
 from fieldcast.plans.archive_queries import CUT_LI, gap_calendar
-from fieldcast.plans.panels import fixed, item_panel, table, weather_record, with_sql
+from fieldcast.plans.panels import block_panel, fixed, item_panel, table, weather_record, with_sql
 from fieldcast.sources import frames as SF
 
 QUERIES, SQL = {}, {}
@@ -176,27 +176,30 @@ def unit_coordinates(spark, sf):
     return _r(R.unit_coordinates(_grid(spark, sf), AFFINE), "x", "y")
 
 
-@query("""SELECT c_custkey, round(coalesce(CASE WHEN c_custkey % 2 = 0 THEN 0.001 * sqrt(la * abs(lo)) ELSE 30.0 END, 30.0) + 3e-8, 6) AS metres
-FROM (SELECT c_custkey, 111132.92 - 559.82 * cos(2 * f) + 1.175 * cos(4 * f) - 0.0023 * cos(6 * f) AS la, 111412.84 * cos(f) - 93.5 * cos(3 * f) + 0.118 * cos(5 * f) AS lo FROM (SELECT c_custkey, radians(c_nationkey * 3.0) AS f FROM customer))""")
+@query("""SELECT c_custkey, round(CASE WHEN c_custkey % 3 = 0 THEN sqrt(0.001 * abs(lo) * 0.002 * abs(la)) WHEN c_custkey % 3 = 1 THEN 30.0 ELSE 25.0 END + 3e-8, 6) AS metres
+FROM (SELECT c_custkey, 111132.92 - 559.82 * cos(2 * f) AS la, 111412.84 * cos(f) - 93.5 * cos(3 * f) AS lo FROM (SELECT c_custkey, radians(c_nationkey * 3.0) AS f FROM customer))""")
 def pixel_metres(spark, sf):
+    """Oblong pixels in degrees, projected ones, and ones without a step."""
     c = table(spark, sf, "customer")
-    geo = F.col("c_custkey") % 2 == 0
-    return c.select("c_custkey", fixed(R.pixel_metres(F.when(geo, 0.001).otherwise(-30.0), geo, F.col("c_nationkey") * 3.0), 6).alias("metres"))
+    kind = F.col("c_custkey") % 3
+    dx = F.when(kind == 0, 0.001).when(kind == 1, -30.0).otherwise(0.0)
+    return c.select("c_custkey", fixed(R.pixel_metres(dx, F.when(kind == 0, -0.002).otherwise(-60.0), kind == 0, F.col("c_nationkey") * 3.0, 25.0), 6).alias("metres"))
 
 
-@query(with_sql("li", "SELECT field, date, CAST(floor(row * 5 / 10) AS INT) AS row, CAST(floor(col * 5 / 10) AS INT) AS col, round(avg(value) + 3e-8, 6) AS value FROM li GROUP BY ALL"))
+_SIZES = "sz AS (SELECT field, max(row) + 1 AS h, max(col) + 1 AS w FROM lb GROUP BY field)"
+
+
+@query(with_sql("li lb", f", {_SIZES}, k AS (SELECT field, h, w, greatest(1, round_even(h * f, 0)) AS th, greatest(1, round_even(w * f, 0)) AS tw FROM (SELECT *, least(1.0, sqrt(25.0 / (h * w))) AS f FROM sz)) SELECT field, date, CAST(floor(row * th / h) AS INT) AS row, CAST(floor(col * tw / w) AS INT) AS col, round(avg(value) + 3e-8, 6) AS value FROM lb JOIN k USING (field) GROUP BY ALL"))
 def thinned_grid(spark, sf):
-    p = item_panel(spark, sf)
-    return _r(R.thinned(p, 10, 10, 25), "value")
+    return _r(R.thinned(block_panel(spark, sf), 25), "value")
 
 
-@query(with_sql("li li_days li_cal", """, z AS (SELECT DISTINCT field, pixel, CAST(least(floor(row * 2 / 10) * 3 + floor(col * 3 / 10), 5) AS INT) AS zone FROM li),
+@query(with_sql("li li_days li_cal", """, sz AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM li), z AS (SELECT DISTINCT field, pixel, CAST(least(floor(row * 2 / h) * 3 + floor(col * 3 / w), 5) AS INT) AS zone FROM li, sz),
 m AS (SELECT field, date, zone, avg(value) AS v FROM li JOIN z USING (field, pixel) GROUP BY ALL)
 SELECT c.field, c.date, zz.zone, round(coalesce(v, 0) + 3e-8, 6) AS value FROM li_cal c JOIN (SELECT DISTINCT field, zone FROM z) zz USING (field) LEFT JOIN m USING (field, date, zone)"""))
 def zonal_means(spark, sf):
     p = item_panel(spark, sf)
-    zones = _grid(spark, sf).select("field", "pixel", R.zone_of(F.col("row"), F.col("col"), 10, 10, 6).alias("zone"))
-    return _r(R.zonal_means(p, zones, A.calendar(p)), "value")
+    return _r(R.zonal_means(p, R.zones(_grid(spark, sf), 6), A.calendar(p)), "value")
 
 
 @query(with_sql("li li_days li_cal", ", m AS (SELECT field, date, avg(value) AS v FROM li GROUP BY ALL) SELECT c.field, c.date, round(coalesce(v, 0) + 3e-8, 6) AS value FROM li_cal c LEFT JOIN m USING (field, date)"))
@@ -206,39 +209,66 @@ def area_means(spark, sf):
 
 
 COARSE = (90.0, 0.0, 499950.0, 0.0, -90.0, 3400060.0)
-_COARSE = ", co AS (SELECT date, CAST(floor(row / 3) AS INT) AS row, CAST(floor(col / 3) AS INT) AS col, round(avg(value) + 3e-8, 6) AS value FROM li GROUP BY ALL), ta AS (SELECT row, col, ((col + 0.5) * 30.0 + 500000.0 - 499950.0) / 90.0 - 0.5 AS sj, ((row + 0.5) * -30.0 + 3400000.0 - 3400060.0) / -90.0 - 0.5 AS si FROM (SELECT DISTINCT row, col FROM li WHERE row < 10))"
+_COARSE = ", co AS (SELECT field, date, CAST(floor(row / 3) AS INT) AS row, CAST(floor(col / 3) AS INT) AS col, round(avg(value) + 3e-8, 6) AS value FROM lb GROUP BY ALL), ta AS (SELECT field, row, col, ((col + 0.5) * 30.0 + 500000.0 - 499950.0) / 90.0 - 0.5 AS sj, ((row + 0.5) * -30.0 + 3400000.0 - 3400060.0) / -90.0 - 0.5 AS si FROM (SELECT DISTINCT field, row, col FROM lb))"
 
 
 def _coarse(spark, sf):
-    p = item_panel(spark, sf)
-    return p.groupBy("date", F.floor(F.col("row") / 3).cast("int").alias("row"), F.floor(F.col("col") / 3).cast("int").alias("col")).agg(fixed(F.avg("value"), 6).alias("value"))
+    p = block_panel(spark, sf)
+    return p.groupBy("field", "date", F.floor(F.col("row") / 3).cast("int").alias("row"), F.floor(F.col("col") / 3).cast("int").alias("col")).agg(fixed(F.avg("value"), 6).alias("value"))
 
 
 def _target(spark, sf):
-    return item_panel(spark, sf).where("row < 10").select("row", "col").distinct()
+    return block_panel(spark, sf).select("field", "row", "col").distinct()
 
 
-@query(with_sql("li", _COARSE + " SELECT co.date, ta.row, ta.col, co.value FROM ta JOIN co ON co.row = CAST(floor(si + 0.5) AS INT) AND co.col = CAST(floor(sj + 0.5) AS INT)"))
+@query(with_sql("li lb", _COARSE + " SELECT ta.field, co.date, ta.row, ta.col, co.value FROM ta JOIN co ON co.field = ta.field AND co.row = CAST(floor(si + 0.5) AS INT) AND co.col = CAST(floor(sj + 0.5) AS INT)"))
 def align_nearest(spark, sf):
-    return R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, COARSE, "nearest").select("date", "row", "col", "value")
+    return R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, COARSE, "nearest")
+
 
+def _weighted(k: str, reach: str) -> str:
+    """SQL of the weighted mean of the cells within reach; di and dj are the distances to a cell."""
+    return f""", c4 AS (SELECT *, {k} AS k FROM (SELECT field, row, col, CAST(floor(si) AS INT) + i AS sr, CAST(floor(sj) AS INT) + j AS sc, abs(si - floor(si) - i) AS di, abs(sj - floor(sj) - j) AS dj FROM ta, (SELECT unnest({reach}) AS i), (SELECT unnest({reach}) AS j)))
+SELECT c4.field, co.date, c4.row, c4.col, round(greatest(sum(k * co.value) / sum(k), 0) + 3e-8, 6) AS value FROM c4 JOIN co ON co.field = c4.field AND co.row = sr AND co.col = sc WHERE k <> 0 GROUP BY ALL"""
 
-@query(with_sql("li", _COARSE + """, c4 AS (SELECT row, col, CAST(floor(si) AS INT) + i AS sr, CAST(floor(sj) AS INT) + j AS sc, (1 - abs(si - floor(si) - i)) * (1 - abs(sj - floor(sj) - j)) AS k FROM ta, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
-SELECT co.date, c4.row, c4.col, round(sum(k * co.value) / sum(k) + 3e-8, 6) AS value FROM c4 JOIN co ON co.row = sr AND co.col = sc WHERE k <> 0 GROUP BY ALL"""))
+
+@query(with_sql("li lb", _COARSE + _weighted("(1 - di) * (1 - dj)", "[0, 1]")))
 def align_bilinear(spark, sf):
-    return _r(R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, COARSE, "bilinear"), "value").select("date", "row", "col", "value")
+    return _r(R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, COARSE, "bilinear"), "value")
 
 
-@query(with_sql("li", ", ce AS (SELECT date, CAST(floor(((row + 0.5) * -30.0 - 60.0) / -90.0) AS INT) AS r, CAST(floor(((col + 0.5) * 30.0 + 50.0) / 90.0) AS INT) AS c, value FROM li) SELECT date, r AS row, c AS col, round(avg(value) + 3e-8, 6) AS value FROM ce WHERE r BETWEEN 0 AND 3 AND c BETWEEN 0 AND 3 GROUP BY ALL"))
+@query(with_sql("li lb", """, ce AS (SELECT field, date, CAST(floor(((row + 0.5) * -30.0 - 60.0) / -90.0) AS INT) AS row, CAST(floor(((col + 0.5) * 30.0 + 50.0) / 90.0) AS INT) AS col, value FROM lb) SELECT field, date, row, col, round(avg(value) + 3e-8, 6) AS value FROM ce GROUP BY ALL"""))
 def align_average(spark, sf):
-    grid = spark.range(16).select(F.floor(F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"))
-    return _r(R.aligned(item_panel(spark, sf).select("date", "row", "col", "value"), grid, COARSE, AFFINE, "average"), "value").select("date", "row", "col", "value")
+    """Onto all coarse cells that the fine grids touch."""
+    x, y = R.map_coordinates(F.col("row"), F.col("col"), AFFINE)
+    grid = _target(spark, sf).select("field", F.floor((y - COARSE[5]) / COARSE[4]).cast("int").alias("row"), F.floor((x - COARSE[2]) / COARSE[0]).cast("int").alias("col")).distinct()
+    return _r(R.aligned(block_panel(spark, sf), grid, COARSE, AFFINE, "average"), "value")
 
 
-@query(None)
+_CUBIC = "(CASE WHEN {0} <= 1 THEN 1.5 * {0} * {0} * {0} - 2.5 * {0} * {0} + 1 WHEN {0} < 2 THEN -0.5 * {0} * {0} * {0} + 2.5 * {0} * {0} - 4 * {0} + 2 ELSE 0 END)"
+
+
+@query(with_sql("li lb", _COARSE + _weighted(f"{_CUBIC.format('di')} * {_CUBIC.format('dj')}", "[-1, 0, 1, 2]")))
 def align_cubic(spark, sf):
-    """Tested against a loop over cells."""
-    return R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, COARSE, "cubic")
+    return _r(R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, COARSE, "cubic"), "value")
+
+
+#: A coarse grid in degrees of longitude and latitude over the same ground.
+DEGREES = (0.001, 0.0, 74.998, 0.0, -0.001, 30.733)
+ZONE = 43
+
+
+@query(None)
+def align_projected(spark, sf):
+    """A grid in degrees on a projected one, bilinear; tested against a loop over cells and the projection's inverse."""
+    return R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, DEGREES, "bilinear", project=lambda x, y: R.from_utm(x, y, ZONE))
+
+
+@query(None)
+def distinct_picks(spark, sf):
+    """A pixel of its own for each nation's place; tested against a loop that takes them one after another."""
+    c = table(spark, sf, "nation").select(F.lit(0).cast("long").alias("field"), F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 3 * 2.1).alias("cx"), (F.col("n_nationkey") % 4 * 1.3).alias("cy"))
+    return R.distinct_pixels(_grid(spark, sf).withColumns({"x": F.col("col").cast("double"), "y": F.col("row").cast("double")}), c)
 
 
 @query(with_sql("li", """, g AS (SELECT DISTINCT pixel, row, col FROM li), c AS (SELECT DISTINCT r_regionkey AS k, r_regionkey * 2.1 AS cx, r_regionkey * 1.3 AS cy FROM region)

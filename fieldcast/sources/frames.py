@@ -13,16 +13,19 @@ from pyspark.sql.types import StructType
 from fieldcast.functions.dates import parse_date
 from fieldcast.functions.names import plain
 
-#: Names under which a weather file may hold each channel, in the order in which they are tried. Fixed values.
+#: Spellings of each channel in weather files, in the order in which they are tried. Fixed values.
 ALIASES = {
-    "date": ("date", "datetime", "time", "day", "timestamp"),
-    "precip": ("precipmm", "precip", "precipitation", "rain", "rainmm", "rainfall", "prcp"),
-    "rs": ("swradmjm2", "swrad", "srad", "solarradiation", "rs"),
-    "ta": ("tameanc", "tac", "ta", "tmean", "temperature", "airtemperature"),
-    "vpd": ("vpdmeankpa", "vpdkpa", "vpd"),
+    "precip": ("precip_mm", "precipitation", "precipitation_sum", "precip", "p", "p_mm", "rain", "rain_mm", "prcp"),
+    "rs": ("swrad_mj_m2", "sw_rad_mj_m2", "shortwave_radiation_sum", "shortwave_radiation", "swr", "rs", "sw_rad", "srad", "solar_radiation", "par"),
+    "ta": ("ta_mean_c", "ta_c", "ta", "temperature_2m_mean", "temperature_2m", "air_temperature", "t2m", "tair", "temp_c"),
+    "vpd": ("vpd_mean_kpa", "vpd_kpa", "vpd", "vapour_pressure_deficit_mean", "vapour_pressure_deficit", "vapor_pressure_deficit"),
+    "ta_max": ("ta_max_c", "temperature_2m_max", "tmax", "t_max_c"),
+    "ta_min": ("ta_min_c", "temperature_2m_min", "tmin", "t_min_c"),
+    "vpd_max": ("vpd_max_kpa", "vapour_pressure_deficit_max", "vpd_max"),
+    "date": ("date", "time", "datetime", "day", "timestamp"),
 }
-#: Date formats of a text column, in the order of preference.
-DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "M-d-yyyy", "yyyyMMdd")
+#: Date formats of a text column, in the order of preference. Fixed values.
+DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "d-M-yyyy", "yyyyMMdd")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -69,9 +72,9 @@ def decode_rasters(files: DataFrame, decode: Callable, schema: str | StructType)
 
 
 def resolve_columns(columns: list[str], aliases: dict[str, tuple[str, ...]] = ALIASES) -> dict[str, str]:
-    """{column: its canonical name} by the first alias that is there."""
+    """{column: its canonical name} by the first alias that is there; case and punctuation do not count."""
     own = {plain(c): c for c in reversed(columns)}
-    return {own[a]: name for name, tries in aliases.items() for a in [next((t for t in tries if t in own), None)] if a}
+    return {own[a]: name for name, tries in aliases.items() for a in [next((t for t in map(plain, tries) if t in own), None)] if a}
 
 
 def pick_date_format(table: DataFrame, column: str, position: str, formats: tuple[str, ...] = DATE_FORMATS) -> str:
