@@ -168,3 +168,25 @@ def input_response_maps(spark, sf):
     """What a unit of rain does to each pixel in a day."""
     rows = _days(spark, sf)
     return Y.response_maps(R.fit_kernels(Y.delay_line(rows, LAGS, 1, "u"), "full", mu=1.0), _block_basis(spark, sf))
+
+
+def _mode_report(spark, sf):
+    from fieldcast.operators.modes import augmented_basis
+    from fieldcast.plans.panels import block_panel
+
+    pixels = block_panel(spark, sf)
+    train = pixels.where(F.col("date") < F.lit(CUT_LI).cast("date")).select("field", "date").distinct()
+    # Fields of a few pixels cannot hold more modes than pixels; what is left of so few is noise.
+    return augmented_basis(pixels, _block_basis(spark, sf), train, most=32)
+
+
+@query(None)
+def mode_counts(spark, sf):
+    """Reconstruction of held out days by the number of empirical modes; tested against NumPy in test_modes."""
+    return _mode_report(spark, sf)[1]
+
+
+@query(None)
+def augmented_bases(spark, sf):
+    """The basis with its modes, climatology and held out variance of each pixel."""
+    return _mode_report(spark, sf)[0]
