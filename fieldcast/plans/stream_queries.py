@@ -55,3 +55,35 @@ SELECT field, min(day) AS first, max(day) AS last, CAST(count(*) AS INT) AS days
 def stream_observed_runs(spark, sf):
     """Runs of days with events of each user; the last run of a user, which may go on, is not given out."""
     return J.run_to_table(J.observed_runs(_events(spark, sf).withColumn("field", F.col("user_id")), 3), "runs")
+
+
+def _daily(spark, sf):
+    e = _events(spark, sf).withWatermark("ts", "3 days")
+    return e.groupBy(F.window("ts", "1 day"), F.col("user_id").alias("field")).agg(F.avg("value").alias("value"))
+
+
+@query("""WITH d AS (SELECT user_id AS field, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY ALL)
+SELECT f.field, f.day + 1 AS day, round(f.value + 3e-8, 6) AS pred, round(t.value + 3e-8, 6) AS value FROM d f LEFT JOIN d t ON f.field = t.field AND t.day = f.day + 1 WHERE f.day + 2 <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY""")
+def stream_live_scores(spark, sf):
+    """Forecasts of each user's next day, met with that day when it closes; null where it passed without events."""
+    got = J.run_to_table(J.chained_scores(_daily(spark, sf), _daily(spark, sf)), "scores")
+    return got.withColumns({c: fixed(c) for c in ("pred", "value")})
+
+
+#: A memory model of two components, mean and largest value of a day, as a stored one would be read.
+_MODEL = {"A": [[[0.5, 0.1], [0.0, 0.4]], [[0.2, 0.0], [0.1, 0.2]]], "Q": [[4.0, 1.0], [1.0, 9.0]], "R": [[2.0, 0.0], [0.0, 4.0]]}
+
+
+@query(None)
+def stream_live_forecasts(spark, sf):
+    """Forecasts for each user from the daily means and maxima of its events, as the days close; tested against the batch filter."""
+    e = _events(spark, sf).withWatermark("ts", "1 day")
+    daily = e.groupBy(F.window("ts", "1 day"), F.col("user_id").alias("field")).agg(F.array(F.avg("value"), F.max("value")).alias("w"))
+    frames = daily.select("field", F.window_time("window").alias("ts"), "w")
+    path = J.run_to_table(frames, "frames")
+    # The days' frames are a stream of their own, as they would be written by another job.
+    again = spark.readStream.schema(path.schema).parquet(path.inputFiles()[0].rsplit("/", 1)[0]) if path.limit(1).count() else None
+    if again is None:
+        return spark.createDataFrame([], J.LIVE)
+    with J.rocks(spark):
+        return J.run_to_table(J.live_filter(again, _MODEL, 3), "live")
