@@ -90,7 +90,7 @@ def pixel_coverage(pixels: DataFrame, cal: DataFrame) -> DataFrame:
     seen = cal.where("observed")
     total = seen.groupBy("field").agg(F.count("*").alias("n_dates"))
     n = pixels.join(seen.select("field", "date"), ["field", "date"]).groupBy("field", "pixel").agg(F.count("value").alias("n_valid"))
-    return n.join(F.broadcast(total), "field").select("field", "pixel", "n_valid", (F.col("n_valid") / F.col("n_dates")).alias("coverage"))
+    return n.join(total, "field").select("field", "pixel", "n_valid", (F.col("n_valid") / F.col("n_dates")).alias("coverage"))
 
 
 def common_mask(coverage: DataFrame, min_pixels: int = 64, ladder: tuple[float, ...] = MASK_LADDER) -> DataFrame:
@@ -105,9 +105,9 @@ def static_mask(pixels: DataFrame, cal: DataFrame, grid: DataFrame) -> DataFrame
     seen = cal.where("observed")
     dates, cells = seen.groupBy("field").agg(F.count("*").alias("n_dates")), grid.groupBy("field").agg(F.count("*").alias("n_cells"))
     valid = pixels.where("value is not null").join(seen.select("field", "date"), ["field", "date"])
-    by_pixel = valid.groupBy("field", "pixel").agg(F.count("*").alias("n")).join(F.broadcast(dates), "field")
+    by_pixel = valid.groupBy("field", "pixel").agg(F.count("*").alias("n")).join(dates, "field")
     fixed = by_pixel.groupBy("field").agg(F.bool_and(F.col("n") == F.col("n_dates")).alias("is_static"))
-    by_date = seen.select("field", "date").join(valid.groupBy("field", "date").agg(F.count("*").alias("n")), ["field", "date"], "left").join(F.broadcast(cells), "field")
+    by_date = seen.select("field", "date").join(valid.groupBy("field", "date").agg(F.count("*").alias("n")), ["field", "date"], "left").join(cells, "field")
     share = F.coalesce("n", F.lit(0)) / F.col("n_cells")
     return by_date.groupBy("field").agg(F.min(share).alias("min_share"), F.max(share).alias("max_share")).join(fixed, "field", "left").select("field", F.coalesce("is_static", F.lit(True)).alias("is_static"), "min_share", "max_share")
 
@@ -121,7 +121,7 @@ def split_by_fraction(cal: DataFrame, fraction: float = 0.85) -> DataFrame:
     n = cal.groupBy("field").agg(F.count("*").alias("n"))
     k = F.greatest(F.lit(2), F.least(F.bround(F.lit(fraction) * F.col("n"), 0).cast("int"), F.col("n") - 1))
     nth = F.row_number().over(Window.partitionBy("field").orderBy("date"))
-    return cal.withColumn("nth", nth).join(F.broadcast(n), "field").withColumn("split", F.when(F.col("nth") <= k, "train").otherwise("test")).drop("nth", "n")
+    return cal.withColumn("nth", nth).join(n, "field").withColumn("split", F.when(F.col("nth") <= k, "train").otherwise("test")).drop("nth", "n")
 
 
 def train_scale(pixels: DataFrame, cal: DataFrame) -> DataFrame:
@@ -131,11 +131,11 @@ def train_scale(pixels: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def normalise(pixels: DataFrame, scale: DataFrame) -> DataFrame:
-    return pixels.join(F.broadcast(scale), "field").withColumn("value", (F.col("value") - F.col("mean")) / (F.col("std") + 1e-6)).drop("mean", "std")
+    return pixels.join(scale, "field").withColumn("value", (F.col("value") - F.col("mean")) / (F.col("std") + 1e-6)).drop("mean", "std")
 
 
 def denormalise(pixels: DataFrame, scale: DataFrame) -> DataFrame:
-    return pixels.join(F.broadcast(scale), "field").withColumn("value", F.col("value") * F.col("std") + F.col("mean")).drop("mean", "std")
+    return pixels.join(scale, "field").withColumn("value", F.col("value") * F.col("std") + F.col("mean")).drop("mean", "std")
 
 
 def value_summary(pixels: DataFrame, exact: bool = True) -> DataFrame:

@@ -243,26 +243,26 @@ def horizon_family(weights: DataFrame, lags: int, horizon: int, mu: float = 1e-3
 
 
 def memory_sweep(weights: DataFrame, most: int, mu: float = 1e-3) -> DataFrame:
-    """(field, order, rho, gain, last_ratio, n_parameters, rmse) for memory depths 1 .. most; a field and depth is one group.
-
-    A field's trajectory in its subspace is small; rows are (field, t, observed, w).
-    """
+    """(field, order, rho, gain, last_ratio, n_parameters, rmse) for memory depths 1 .. most, all from the windows of the deepest: one
+    row of moments a field has every depth's sums in its first rows and columns. weights: (field, t, observed, w)."""
     kind = dict(weights.dtypes)["field"]
-    wide = weights.select("field", "t", "observed", "w", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("order"))
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("t")
-        order, w, seen, t = int(f["order"].iloc[0]), np.stack(f["w"].to_numpy()), f["observed"].to_numpy(bool), f["t"].to_numpy()
-        ok = [i for i in range(most - 1, len(w) - 1) if t[i + 1] - t[i - most + 1] == most and seen[i - most + 1 : i + 2].all()]
-        z = np.stack([np.concatenate([w[i - j] for j in range(order)]) for i in ok])
-        y = w[[i + 1 for i in ok]]
-        theta = ridge(z.T @ z, z.T @ y, mu).T
-        k = w.shape[1]
-        blocks = [theta[:, j * k : (j + 1) * k] for j in range(order)]
-        s = np.linalg.svd(blocks[-1], compute_uv=False)
-        return pd.DataFrame([(f["field"].iloc[0], order, spectral_radius(companion(blocks)), forecast_gain(blocks, 6), float(s[-1] / max(s[0], 1e-300)), theta.size, float(np.sqrt(((z @ theta.T - y) ** 2).mean())))], columns=["field", "order", "rho", "gain", "last_ratio", "n_parameters", "rmse"])
-
-    return wide.groupBy("field", "order").applyInPandas(one, f"field {kind}, order int, rho double, gain double, last_ratio double, n_parameters int, rmse double")
+    rows = delay_line(weights, most).select("field", F.concat("x", "y").alias("z"), F.size("y").alias("k"))
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                k, m = int(r.k), np.asarray(r.xx).reshape(len(r.sx), -1)
+                for order in range(1, most + 1):
+                    zz, zy, yy = m[: order * k, : order * k], m[: order * k, most * k :], m[most * k :, most * k :]
+                    theta = ridge(zz, zy, mu).T
+                    blocks = [theta[:, j * k : (j + 1) * k] for j in range(order)]
+                    s, cross = np.linalg.svd(blocks[-1], compute_uv=False), theta @ zy
+                    rest = np.trace(yy - cross - cross.T + theta @ zz @ theta.T)
+                    out.append((r.field, order, spectral_radius(companion(blocks)), forecast_gain(blocks, 6), float(s[-1] / max(s[0], 1e-300)), theta.size, float(np.sqrt(max(rest, 0.0) / (r.n * k)))))
+            yield pd.DataFrame(out, columns=["field", "order", "rho", "gain", "last_ratio", "n_parameters", "rmse"])
+
+    return moments(rows, ["field", "k"], "z").mapInPandas(task, f"field {kind}, order int, rho double, gain double, last_ratio double, n_parameters int, rmse double")
 
 
 def emission_rows(rows: DataFrame, mu: float = 1e-3, holdout: float = 0.15, full: bool = True) -> DataFrame:

@@ -30,9 +30,9 @@ def checked_requests(requests: DataFrame, cal: DataFrame, lags: int, horizon: in
 
 def operational_forecasts(
     requests: DataFrame, pixels: DataFrame, basis: DataFrame, models: DataFrame, noise: float, lags: int, horizon: int, context: int = 30,
-    variants: tuple = VARIANTS[:1], assimilate: bool = False,
+    variants: tuple = VARIANTS[:1], assimilate: bool = False, covariances: bool = False,
 ) -> DataFrame:
-    """(field, variant, origin, lead, w, cov_trace): forecasts from each requested day, many requests in one run.
+    """(field, variant, origin, lead, w, cov_trace[, cov]): forecasts from each requested day, many requests in one run.
 
     Only the days from context - 1 before an origin (lags at least) to horizon after it are read; the basis and the models
     (rows of fit_table with r and rho) are the stored ones, nothing is fitted. A request is filtered over its own window,
@@ -50,9 +50,39 @@ def operational_forecasts(
     key = F.concat_ws("|", F.col("field").cast("string"), F.col("origin").cast("string"))
     rows = rows.select(key.alias("field"), F.datediff("date", "origin").cast("long").alias("t"), F.col("w").isNotNull().alias("observed"), "w")
     own = models.join(good, "field").withColumn("field", key).drop("origin")
-    got = rolling_forecasts(rows, own, {0}, horizon, variants, assimilate).withColumnRenamed("field", "request").where("valid")
+    got = rolling_forecasts(rows, own, {0}, horizon, variants, assimilate, covariances=covariances).withColumnRenamed("field", "request").where("valid")
     named = good.withColumn("request", key)
-    return got.drop("origin", "valid").join(named, "request").select("field", "variant", "origin", "lead", "w", "cov_trace")
+    return got.drop("origin", "valid").join(named, "request").select("field", "variant", "origin", "lead", "w", "cov_trace", *(["cov"] if covariances else []))
+
+
+def requested_maps(forecasts: DataFrame, pixels: DataFrame, basis: DataFrame, noise: float, scale: DataFrame | None = None, repvar: DataFrame | None = None, units: str = "", most: int | None = 20) -> DataFrame:
+    """Maps of forecasts (field, variant, origin: date, lead, w, cov): field, variant, origin, lead, pixel, forecast, std, error, tags, as
+    sinks.write_maps takes them.
+
+    Of a field's origins `most` evenly spaced ones (None: all). scale (field, mean, std) undoes a normalisation; std is the band
+    of the forecast's own covariance and the noise, in the data's units, with the representation variance (field, pixel,
+    variance) where it is given. Pixels that are not valid on every frame are nodata; error is against the frame of the
+    target day, null without one.
+    """
+    from fieldcast.operators.subspace import bands
+    from fieldcast.sources import sinks
+
+    keys = ["variant", "origin", "lead"]
+    days = forecasts.select("field", "origin").distinct()
+    if most:
+        days = scoring.evenly_spaced(days.withColumnRenamed("origin", "date"), most).withColumnRenamed("date", "origin")
+        forecasts = forecasts.join(days.select("field", "origin"), ["field", "origin"], "left_semi")
+    if scale is None:
+        scale = forecasts.select("field").distinct().withColumns({"mean": F.lit(0.0), "std": F.lit(1.0)})
+    own = forecasts.withColumnRenamed("origin", "day")
+    pred = decode(own.select("field", "variant", "day", "lead", "w"), basis, ["variant", "day", "lead"]).withColumnRenamed("day", "origin")
+    var = bands(basis, forecasts, keys, noise).join(scale.select("field", F.col("std").alias("sd")), "field")
+    rep = repvar.select("field", "pixel", F.col("variance").alias("rep")) if repvar is not None else basis.select("field", "pixel", F.lit(0.0).alias("rep"))
+    std = var.join(rep, ["field", "pixel"], "left").select("field", *keys, "pixel", F.sqrt(F.col("variance") * F.col("sd") * F.col("sd") + F.coalesce("rep", F.lit(0.0))).alias("band"))
+    maps = sinks.forecast_maps(pred, pixels, scale, std, units)
+    mask = archive.common_mask(archive.pixel_coverage(pixels, archive.calendar(pixels))).select("field", "pixel", F.lit(True).alias("_inside"))
+    inside = maps.join(mask, ["field", "pixel"], "left").withColumns({c: F.when(F.col("_inside"), F.col(c)) for c in ("forecast", "std", "error")})
+    return sinks.with_nodata(inside.drop("_inside"))
 
 
 def model_facts(models: DataFrame, horizon: int, keys: list[str]) -> DataFrame:

@@ -115,7 +115,7 @@ def climatology(pixels: DataFrame, splits: DataFrame, origins: DataFrame, horizo
     train = splits.where("split = 'train'").select("field", "date")
     mean = pixels.join(train, ["field", "date"]).groupBy("field", "pixel").agg(F.avg("value").alias("pred"))
     leads = add_leads(origins.select("field", F.col("date").alias("origin")), horizon).drop("target")
-    return mean.join(F.broadcast(leads), "field").withColumn("variant", F.lit("climatology"))
+    return mean.join(leads, "field").withColumn("variant", F.lit("climatology"))
 
 
 def pixel_errors(errors: DataFrame, keys: tuple[str, ...] = ("variant", "lead")) -> DataFrame:

@@ -243,7 +243,7 @@ def residual_modes(resid: DataFrame, field, q: int) -> tuple[DataFrame, list[flo
 def augmented(basis: DataFrame, modes: DataFrame) -> DataFrame:
     """basis with the modes, scaled to the basis's mean column norm, put behind phi."""
     norms = basis.select("field", F.posexplode("phi").alias("j", "v")).groupBy("field", "j").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n")).groupBy("field").agg(F.avg("n").alias("k"))
-    got = basis.join(modes, ["field", "pixel"], "left").join(F.broadcast(norms), "field")
+    got = basis.join(modes, ["field", "pixel"], "left").join(norms, "field")
     return got.withColumn("phi", F.concat("phi", F.transform("modes", lambda m: m * F.col("k")))).drop("modes", "k")
 
 
@@ -266,7 +266,7 @@ def project(weights: DataFrame, model: dict, column: str = "w") -> DataFrame:
     kinds = dict(weights.dtypes)
     rows = [(f, m.tolist(), b.T.tolist()) for f, (m, b, _) in model.items()]
     small = weights.sparkSession.createDataFrame(rows, f"field {kinds['field']}, mean array<double>, axes array<array<double>>")
-    got = weights.join(F.broadcast(small), "field").withColumn("centred", F.zip_with(column, "mean", lambda a, b: a - b))
+    got = weights.join(small, "field").withColumn("centred", F.zip_with(column, "mean", lambda a, b: a - b))
     got = got.withColumn("z", F.transform("axes", lambda a: dot(a, F.col("centred"))))
     back = F.aggregate(F.zip_with("z", "axes", lambda z, a: F.transform(a, lambda v: v * z)), F.transform("mean", lambda v: v), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
     return got.withColumn("complement", F.zip_with(F.col(column), back, lambda a, b: a - b)).drop("mean", "axes", "centred")

@@ -96,7 +96,7 @@ def quiescent(forcing: list[str], tolerance: float = 1e-8) -> Column:
 def quiescent_transitions(table: DataFrame, forcing: list[str], order: int = 1) -> DataFrame:
     """table's rows without forcing; all rows of a field with fewer than max(4 * order, 32) of them."""
     n = table.groupBy("field").agg(F.count_if(quiescent(forcing)).alias("n_quiet"))
-    return table.join(F.broadcast(n), "field").where(quiescent(forcing) | (F.col("n_quiet") < max(4 * order, 32)))
+    return table.join(n, "field").where(quiescent(forcing) | (F.col("n_quiet") < max(4 * order, 32)))
 
 
 def forcing_summary(table: DataFrame, forcing: list[str]) -> DataFrame:
@@ -176,7 +176,7 @@ def build_weather(axis: DataFrame, daily: DataFrame, measures: list[str], cut: s
     climate = fit_climatology(table.where(early), measures)
     table = anomalies(table, measures, climate)
     sd = table.groupBy("field").agg(*[F.stddev_pop(F.when(early, F.col(c))).alias(f"{c}_sd") for c in (*forcing, *measures)])
-    scaled = table.join(F.broadcast(sd), "field")
+    scaled = table.join(sd, "field")
     one = lambda c: F.when(F.col(f"{c}_sd") > 1e-8, F.col(f"{c}_sd")).otherwise(1.0)
     return scaled.withColumns({c: F.col(c) / one(c) for c in (*forcing, *measures)}), climate
 

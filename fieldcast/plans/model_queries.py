@@ -12,6 +12,7 @@ from fieldcast.operators import filtering as K
 from fieldcast.operators import raster as R
 from fieldcast.operators import scoring as S
 from fieldcast.operators import state as X
+from fieldcast.operators import subspace as B
 from fieldcast.plans.archive_queries import CUT_LI
 from fieldcast.plans.panels import block_panel, fixed, item_panel, table, trajectory, weather_record, with_sql
 from fieldcast.sources.stages import stored
@@ -125,7 +126,7 @@ def _weights(spark, sf):
 @query(None)
 def subspace_projection(spark, sf):
     w = _weights(spark, sf)
-    return X.project(w, X.fit_subspace(w.where("observed"), 0.9, least=2, most=3)).select("field", "t", "z", "complement")
+    return B.projected(w.select("field", "t", "w"), B.subspace_rows(w.where("observed"), 0.9, least=2, most=3)).select("field", "t", "z", "complement")
 
 
 _DL = f"""w AS (SELECT CAST(0 AS BIGINT) AS field, vec_id AS t, round(CAST(embedding[1] AS DOUBLE), 6) AS a, vec_id % 7 <> 0 AS observed FROM embeddings)"""
@@ -243,6 +244,19 @@ def operational_forecast(spark, sf):
     return got.select("field", "variant", "origin", "lead", "w", "cov_trace")
 
 
+@query(None)
+def requested_maps(spark, sf):
+    """Requested days from forecast to maps: bands of the forecasts' own covariances, representation variance, errors where there is a
+    frame, nodata outside the mask."""
+    from fieldcast.operators import operational as O
+
+    pixels, basis = block_panel(spark, sf), _block_basis(spark, sf)
+    models = _models(spark, sf, _weights(spark, sf))
+    got = stored(O.operational_forecasts(_requested(spark, sf), pixels, basis, models, NOISE, LAGS, 3, covariances=True), "requested")
+    rep = S.representation_variance(X.residuals(pixels, _states(spark, sf), basis))
+    return O.requested_maps(got, pixels, basis, NOISE, repvar=rep, units="items").drop("tags")
+
+
 @query(None)
 def kernel_observer_scores(spark, sf):
     """The kernel-observer baseline: centres by k-means, bandwidth by marginal likelihood, a one-step operator, scores."""
@@ -299,7 +313,7 @@ def modality_keys(spark, sf):
 def error_budget(spark, sf):
     """What representation and truncation cost against persistence; the parts are tested one by one."""
     pixels, basis, w = block_panel(spark, sf), _block_basis(spark, sf), _weights(spark, sf)
-    left = X.project(w.where("observed"), X.fit_subspace(w.where("observed"), 0.9, least=2, most=3)).select("field", "t", F.col("complement").alias("w"))
+    left = B.projected(w.where("observed").select("field", "t", "w"), B.subspace_rows(w.where("observed"), 0.9, least=2, most=3)).select("field", "t", F.col("complement").alias("w"))
     part = X.decode(left, basis.withColumn("offset", F.lit(0.0)), ["t"]).withColumnRenamed("pred", "part")
     origins = w.where("observed").select("field", "date")
     now = S.with_truth(S.persistence(pixels, origins, 1), pixels).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))

@@ -17,9 +17,10 @@ def forecast_maps(forecasts: DataFrame, truth: DataFrame, scale: DataFrame, std:
     forecasts (field, variant, origin, lead, pixel, pred) are normalised; scale (field, mean, std) undoes it; std
     (field, origin, lead, pixel, band) is the uncertainty; error is null where there is no frame.
     """
-    own = forecasts.withColumn("target", F.expr("date_add(origin, lead)")).join(F.broadcast(scale.withColumnRenamed("std", "sd")), "field")
+    own = forecasts.withColumn("target", F.expr("date_add(origin, lead)")).join(scale.withColumnRenamed("std", "sd"), "field")
     own = own.withColumn("forecast", F.col("pred") * F.col("sd") + F.col("mean"))
-    got = own.join(truth.select("field", F.col("date").alias("target"), "pixel", "value"), ["field", "target", "pixel"], "left").join(std, ["field", "origin", "lead", "pixel"], "left")
+    got = own.join(truth.select("field", F.col("date").alias("target"), "pixel", "value"), ["field", "target", "pixel"], "left")
+    got = got.join(std, ["field", *(["variant"] if "variant" in std.columns else []), "origin", "lead", "pixel"], "left")
     tags = F.create_map(
         F.lit("origin"), F.col("origin").cast("string"), F.lit("target"), F.col("target").cast("string"), F.lit("lead"), F.col("lead").cast("string"),
         F.lit("variant"), F.col("variant"), F.lit("units"), F.lit(units),
