@@ -190,3 +190,27 @@ def mode_counts(spark, sf):
 def augmented_bases(spark, sf):
     """The basis with its modes, climatology and held out variance of each pixel."""
     return _mode_report(spark, sf)[0]
+
+
+WIDE, DEEP, AHEAD = 64, 7, 6
+
+
+def _wide(spark, sf):
+    """All 64 components of the embeddings as the states of each label, every fifth day without a frame."""
+    w = trajectory(spark, sf, WIDE, per_field=True)
+    return stored(w.withColumn("observed", F.col("t") % 5 != 4), "wide")
+
+
+@query(None)
+def wide_filtered_states(spark, sf):
+    """The filter at the width of whole states: 64 components and a memory of seven days, a lifted state of 448."""
+    rows = _wide(spark, sf)
+    models = R.fit_kernels(Y.delay_line(rows.withColumn("observed", F.lit(True)), DEEP), "modal", mu=1.0)
+    return K.filtered(rows, stored(R.railed(models, AHEAD).withColumn("r", F.lit(0.01)), "wide-models")).select("field", "t", "w", "cov_trace")
+
+
+@query(None)
+def wide_horizon_family(spark, sf):
+    """Six leads of that width by generalised cross-validation, a row of 832 by 832 moments a field."""
+    rows = _wide(spark, sf).withColumn("observed", F.lit(True))
+    return H.horizon_rows(H.horizon_design(rows, DEEP, AHEAD), DEEP, AHEAD, mu=1.0).select("field", "lead", "nu", "score", "defect", "relative", "normalised", "trace_direct", "trace_iterated")
