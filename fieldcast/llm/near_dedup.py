@@ -66,21 +66,27 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _place(p: int, of: str = "") -> Column:
-    """Position p of a signature."""
-    return F.shiftrightunsigned(F.col(f"{of}s{p // 8}"), 8 * (p % 8)).bitwiseAND(F.lit(255))
+def bucket_keys(signatures: np.ndarray) -> np.ndarray:
+    """signatures: n by WORDS_OF_8. n by POSITIONS: for each position the other positions of its chunk, with its number in front."""
+    parts = np.ascontiguousarray(signatures).view(np.uint8)[:, :POSITIONS].reshape(-1, CHUNKS, CHUNK).astype(np.int64)
+    out = np.empty((len(signatures), CHUNKS, CHUNK), np.int64)
+    for i in range(CHUNK):
+        others = [j for j in range(CHUNK) if j != i]
+        out[:, :, i] = sum(parts[:, :, j] << 8 * n for n, j in enumerate(others))
+    return out.reshape(-1, POSITIONS) | np.arange(POSITIONS, dtype=np.int64) << 32
 
 
-def _keys() -> Column:
-    """For each position: the other positions of its chunk, with the position's number in front."""
-    out = []
-    for p in range(POSITIONS):
-        key = F.lit(p << 32)
-        others = [q for q in range(p - p % CHUNK, p - p % CHUNK + CHUNK) if q != p]
-        for n, q in enumerate(others):
-            key = key.bitwiseOR(F.shiftleft(_place(q), 8 * n))
-        out.append(key)
-    return F.array(*out)
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(node, key): a row for each class and position."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                b = whole.slice(first, 1024)
+                keys = bucket_keys(np.column_stack([b.column(i + 1).to_numpy() for i in range(WORDS_OF_8)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), POSITIONS)), pa.array(keys.ravel())], ["node", "key"])
+
+    return classes.select("node", *_SIG).mapInArrow(task, "node long, key long")
 
 
 def signature_distance(a: str, b: str) -> Column:
@@ -242,7 +248,7 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_classes(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, comp) of the classes that have a link to an earlier one: classes has node, n, r1, r2 and the signature, texts
     r1, r2, text."""
-    buckets = classes.select("node", F.explode(_keys()).alias("key"))
+    buckets = _buckets(classes)
     # Most keys are one class's own; these go before anything else is done.
     shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     buckets = stored(buckets.join(shared, "key"), "buckets")
