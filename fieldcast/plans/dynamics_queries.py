@@ -214,3 +214,57 @@ def wide_horizon_family(spark, sf):
     """Six leads of that width by generalised cross-validation, a row of 832 by 832 moments a field."""
     rows = _wide(spark, sf).withColumn("observed", F.lit(True))
     return H.horizon_rows(H.horizon_design(rows, DEEP, AHEAD), DEEP, AHEAD, mu=1.0).select("field", "lead", "nu", "score", "defect", "relative", "normalised", "trace_direct", "trace_iterated")
+
+
+def _forecast_errors(spark, sf, horizon: int = 3):
+    """Decoded forecasts of all test origins with their truth and the standard deviation of their own covariance, the noise and the
+    pixel's representation variance on the training days."""
+    from fieldcast.operators import scoring as S
+    from fieldcast.operators.subspace import bands
+    from fieldcast.plans.model_queries import _models, _states
+    from fieldcast.plans.panels import block_panel
+
+    pixels, basis, w = block_panel(spark, sf), _block_basis(spark, sf), _weights(spark, sf)
+    rows = w.select("field", F.col("t").cast("long").alias("t"), "observed", "w")
+    origins = w.where(F.col("observed") & (F.col("date") >= F.lit(CUT_LI).cast("date"))).select("field", F.col("t").cast("long").alias("origin"), F.col("date").alias("day"))
+    f = K.rolling_forecasts(rows, _models(spark, sf, w.where(F.col("date") < F.lit(CUT_LI).cast("date"))), None, horizon, K.VARIANTS[:1], covariances=True)
+    f = stored(f.where("valid").join(origins, ["field", "origin"]).select("field", "variant", "day", "lead", "w", "cov"), "test-forecasts")
+    keys = ["variant", "day", "lead"]
+    both = X.decode(f, basis, keys).join(bands(basis, f, keys, NOISE), ["field", *keys, "pixel"]).withColumnRenamed("day", "origin")
+    left = X.residuals(pixels, _states(spark, sf), basis)
+    rep = S.representation_variance(left.where(F.col("date") < F.lit(CUT_LI).cast("date"))).select("field", "pixel", F.col("variance").alias("rep"))
+    sigma = F.sqrt(F.col("variance") + F.coalesce("rep", F.lit(0.0)))
+    return S.with_truth(both, pixels).join(rep, ["field", "pixel"], "left").withColumn("sigma", sigma), left
+
+
+@query(None)
+def forecast_coverage(spark, sf):
+    """How often 90 % intervals of the forecasts' own variance hold the truth, by lead, and the likelihood under that variance."""
+    from fieldcast.operators import scoring as S
+
+    errors = stored(_forecast_errors(spark, sf)[0], "errors")
+    nll = errors.groupBy("variant", "lead").agg(S.gaussian_nll(F.col("error"), F.col("sigma") * F.col("sigma")).alias("nll"), S.r_squared(F.col("value"), F.col("error")).alias("r2"))
+    return S.interval_coverage(errors, F.col("sigma"), S.interval_z(0.9)).join(nll, ["variant", "lead"])
+
+
+@query(None)
+def forecast_bias_attribution(spark, sf):
+    """The forecasts' bias at the first lead, parted into that of the reconstruction of frames and that of the dynamics."""
+    from fieldcast.operators import scoring as S
+
+    errors, left = _forecast_errors(spark, sf)
+    encode = left.where(F.col("date") >= F.lit(CUT_LI).cast("date")).agg((-F.avg("residual")).alias("encode_bias"))
+    return S.bias_attribution(S.horizon_scores(errors), encode)
+
+
+@query(None)
+def reconstruction_gap(spark, sf):
+    """Reconstruction of training frames against later ones, the offset being the training days' climatology."""
+    from fieldcast.operators import scoring as S
+    from fieldcast.plans.panels import block_panel
+
+    pixels = block_panel(spark, sf)
+    early = F.col("date") < F.lit(CUT_LI).cast("date")
+    basis = X.climatology_offset(pixels, pixels.where(early).select("field", "date").distinct(), _block_basis(spark, sf))
+    left = X.residuals(pixels, X.solve_states(pixels, basis, NOISE), basis)
+    return S.holdout_errors(left.withColumn("part", F.when(early, "fit").otherwise("holdout")))

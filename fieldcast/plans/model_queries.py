@@ -311,10 +311,14 @@ def modality_keys(spark, sf):
 
 @query(None)
 def error_budget(spark, sf):
-    """What representation and truncation cost against persistence; the parts are tested one by one."""
+    """What representation and truncation cost against persistence, through the memory models' own gain; the parts are tested one by
+    one."""
+    from fieldcast.operators import operational as O
+
     pixels, basis, w = block_panel(spark, sf), _block_basis(spark, sf), _weights(spark, sf)
     left = B.projected(w.where("observed").select("field", "t", "w"), B.subspace_rows(w.where("observed"), 0.9, least=2, most=3)).select("field", "t", F.col("complement").alias("w"))
     part = X.decode(left, basis.withColumn("offset", F.lit(0.0)), ["t"]).withColumnRenamed("pred", "part")
     origins = w.where("observed").select("field", "date")
     now = S.with_truth(S.persistence(pixels, origins, 1), pixels).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
-    return S.error_budget(X.residuals(pixels, _states(spark, sf), basis), part, now, 1.5)
+    gain = O.model_facts(_models(spark, sf, w), 3, ["field"]).agg(F.avg("gain")).first()[0]
+    return S.error_budget(X.residuals(pixels, _states(spark, sf), basis), part, now, gain or 1.0)
