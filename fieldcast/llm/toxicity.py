@@ -9,8 +9,10 @@ calibrated on a fold of the examples by isotonic regression.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,10 @@ NEIGHBOURS, BLOCK = 24, 64
 HEAD = 0.995
 #: A term that more than one in so many examples has is also held as a whole column.
 FREQUENT = 12
+#: Words of texts that a task holds before it counts them.
+COUNTED = 1_000_000
+#: Marks that may stand around a word.
+_MARKS = ".,;:!?()[]{}<>\"'#*$%&|-=+/"
 #: One in so many examples is kept apart to calibrate on, with an index of the others.
 CALIBRATE = 4
 _words = re.compile(r"[^\W\d_]+").findall
@@ -63,9 +69,21 @@ class Numbers(dict):
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) > 300_000:
             self.clear()
-        got = self[token] = tuple(i for w in _words(token) if (i := self.known.get(w)) is not None)
+        i = self.known.get(token)
+        if i is None and (bare := token.strip(_MARKS)).isalpha():  # one word between marks: what the pattern would find
+            i = self.known.get(bare)
+            got = () if i is None else (i,)
+        elif i is None:
+            got = tuple(i for w in _words(token) if (i := self.known.get(w)) is not None)
+        else:
+            got = (i,)
+        self[token] = got
         return got
 
+    def of(self, tokens: Iterable[str]) -> Iterator[int]:
+        """The numbers of the known words of tokens, in order."""
+        return chain.from_iterable(map(self.__getitem__, tokens))
+
 
 class Examples:
     """Word counts of examples as arrays: word numbers and counts of one after another, and for how many rows each
@@ -148,7 +166,7 @@ class BlockMaxIndex:
         if self.terms is None:
             self.terms = Numbers(self.words.to_pylist())
         numbers = self.terms
-        own = np.array([i for w in (text.lower().split() if text else ()) for i in numbers[w]], np.int64)
+        own = np.fromiter(numbers.of(text.lower().split() if text else ()), np.int64)
         return self.unit(*np.unique(own, return_counts=True))
 
     def unit(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,13 +268,17 @@ def _frequencies(docs: DataFrame, text: str, words: pa.Array) -> tuple[np.ndarra
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, df, rows = Numbers(held.value.to_pylist()), np.zeros(len(held.value), np.int64), 0
+        numbers, df, rows, found = Numbers(held.value.to_pylist()), np.zeros(len(held.value), np.int64), 0, array("q")
         for b in batches:
             texts = b.column(0).to_pylist()
             for x in texts:
                 if x:
-                    df[list({i for w in set(x.lower().split()) for i in numbers[w]})] += 1
+                    found.extend(set(numbers.of(set(x.lower().split()))))
+                if len(found) > COUNTED:
+                    df += np.bincount(found, minlength=len(df))
+                    found = array("q")
             rows += len(texts)
+        df += np.bincount(found, minlength=len(df))
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[rows, df[some]])], ["word", "n"])
 
