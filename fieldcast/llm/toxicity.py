@@ -32,7 +32,7 @@ NEIGHBOURS, BLOCK = 24, 64
 #: Terms are summed at once until the others' largest weights make up less than the rest of this.
 HEAD = 0.995
 #: A term that more than one in so many examples has is also held as a whole column.
-FREQUENT = 12
+FREQUENT = 4
 #: Words of texts that a task holds before it counts them.
 COUNTED = 1_000_000
 #: Marks that may stand around a word.
