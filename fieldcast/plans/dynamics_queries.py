@@ -206,7 +206,7 @@ def wide_filtered_states(spark, sf):
     """The filter at the width of whole states: 64 components and a memory of seven days, a lifted state of 448."""
     rows = _wide(spark, sf)
     models = R.fit_kernels(Y.delay_line(rows.withColumn("observed", F.lit(True)), DEEP), "modal", mu=1.0)
-    return K.filtered(rows, stored(R.railed(models, AHEAD).withColumn("r", F.lit(0.01)), "wide-models")).select("field", "t", "w", "cov_trace")
+    return K.filtered(rows, stored(models.withColumn("r", F.lit(0.01)), "wide-models")).select("field", "t", "w", "cov_trace")
 
 
 @query(None)
