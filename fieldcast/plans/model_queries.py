@@ -160,15 +160,18 @@ def memory_depth_sweep(spark, sf):
 
 @query(None)
 def horizon_family(spark, sf):
-    return spark.createDataFrame(Y.horizon_family(_weights(spark, sf), LAGS, 3, mu=1.0), "field long, lead int, nu double, error double, defect double, map array<double>")
+    from fieldcast.operators import horizons as H
+
+    rows = H.horizon_rows(H.horizon_design(_weights(spark, sf), LAGS, 3), LAGS, 3, criterion="holdout", mu=1.0, holdout=0.2)
+    return rows.select("field", "lead", "nu", F.col("score").alias("error"), "defect", "map")
 
 
 @query(None)
 def emission_fit(spark, sf):
     """Weather measures from states: hold-out R squared by channel."""
     w = _weights(spark, sf).where("observed").join(weather_record(spark, sf).drop("field"), "date")
-    got = Y.emission_fit(w.select("field", "t", "w", F.array("ta", "rs").alias("y")))
-    return spark.createDataFrame([(int(f), i, float(r), m["usable"]) for f, m in got.items() for i, r in enumerate(m["r2"])], "field long, channel int, r2 double, usable boolean")
+    got = Y.emission_rows(w.select("field", "t", "w", F.array("ta", "rs").alias("y")))
+    return got.select("field", F.posexplode("r2").alias("channel", "r2"), "usable")
 
 
 @query(None)
@@ -265,14 +268,16 @@ def kernel_observer_scores(spark, sf):
     pixels = item_panel(spark, sf)
     grid = pixels.select("field", "pixel", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y")).distinct()
     centres = kernel_centres(grid, 4)
-    frames = pixels.select("field", "date").distinct().orderBy("date").limit(12)
+    # The bandwidth's likelihood takes the first twelve frames of a field.
+    nth = F.row_number().over(Window.partitionBy("field").orderBy("date"))
+    frames = pixels.select("field", "date").distinct().withColumn("nth", nth).where("nth <= 12").drop("nth")
     length, noise = choose_bandwidth(pixels.join(frames, ["field", "date"]), grid, centres, [1.5, 3.0, 6.0], [1.0, 50.0])
     basis = grid.select("field", "pixel", X.rbf_features(F.col("x"), F.col("y"), centres, length).alias("phi"), F.lit(25.0).alias("offset"))
     states = X.on_calendar(X.solve_states(pixels, basis, noise), A.calendar(pixels), len(centres))
-    a = Y.fit_operator(Y.delay_line(states, 1), mu=1.0)
-    rows = [(int(f), b[0].tolist()) for f, (b, _, _) in a.items()]
-    op = spark.createDataFrame(rows, "field long, a array<array<double>>")
-    ahead = states.where("observed").join(F.broadcast(op), "field").select("field", F.col("date").alias("day"), F.transform("a", lambda r: dot(r, F.col("w"))).alias("w"), F.lit("kernel observer").alias("variant"), F.lit(1).alias("lead"))
+    k = len(centres)
+    fit = Y.fit_table(Y.delay_line(states, 1), mu=1.0)
+    op = fit.select("field", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.slice("a", i * k + 1, k)).alias("a"))
+    ahead = states.where("observed").join(op, "field").select("field", F.col("date").alias("day"), F.transform("a", lambda r: dot(r, F.col("w"))).alias("w"), F.lit("kernel observer").alias("variant"), F.lit(1).alias("lead"))
     pred = X.decode(ahead, basis, ["variant", "day", "lead"]).withColumnRenamed("day", "origin")
     return S.horizon_scores(S.with_truth(pred, pixels))
 
