@@ -12,6 +12,7 @@ from fieldcast.operators import weather as W
 from fieldcast.plans.archive_queries import CUT_LI, gap_calendar
 from fieldcast.plans.panels import block_panel, fixed, item_panel, table, weather_record, with_sql
 from fieldcast.sources import frames as SF
+from fieldcast.sources.stages import stored
 
 QUERIES, SQL = {}, {}
 
@@ -212,18 +213,23 @@ COARSE = (90.0, 0.0, 499950.0, 0.0, -90.0, 3400060.0)
 _COARSE = ", co AS (SELECT field, date, CAST(floor(row / 3) AS INT) AS row, CAST(floor(col / 3) AS INT) AS col, round(avg(value) + 3e-8, 6) AS value FROM lb GROUP BY ALL), ta AS (SELECT field, row, col, ((col + 0.5) * 30.0 + 500000.0 - 499950.0) / 90.0 - 0.5 AS sj, ((row + 0.5) * -30.0 + 3400000.0 - 3400060.0) / -90.0 - 0.5 AS si FROM (SELECT DISTINCT field, row, col FROM lb))"
 
 
-def _coarse(spark, sf):
-    p = block_panel(spark, sf)
+def _coarse(p):
     return p.groupBy("field", "date", F.floor(F.col("row") / 3).cast("int").alias("row"), F.floor(F.col("col") / 3).cast("int").alias("col")).agg(fixed(F.avg("value"), 6).alias("value"))
 
 
-def _target(spark, sf):
-    return block_panel(spark, sf).select("field", "row", "col").distinct()
+def _target(p):
+    return p.select("field", "row", "col").distinct()
+
+
+def _panel(spark, sf):
+    """The block archive, worked out once for all that a query does with it."""
+    return stored(block_panel(spark, sf), "panel")
 
 
 @query(with_sql("li lb", _COARSE + " SELECT ta.field, co.date, ta.row, ta.col, co.value FROM ta JOIN co ON co.field = ta.field AND co.row = CAST(floor(si + 0.5) AS INT) AND co.col = CAST(floor(sj + 0.5) AS INT)"))
 def align_nearest(spark, sf):
-    return R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, COARSE, "nearest")
+    p = _panel(spark, sf)
+    return R.aligned(_coarse(p), _target(p), AFFINE, COARSE, "nearest")
 
 
 def _weighted(k: str, reach: str) -> str:
@@ -234,15 +240,17 @@ SELECT c4.field, co.date, c4.row, c4.col, round(greatest(sum(k * co.value) / sum
 
 @query(with_sql("li lb", _COARSE + _weighted("(1 - di) * (1 - dj)", "[0, 1]")))
 def align_bilinear(spark, sf):
-    return _r(R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, COARSE, "bilinear"), "value")
+    p = _panel(spark, sf)
+    return _r(R.aligned(_coarse(p), _target(p), AFFINE, COARSE, "bilinear"), "value")
 
 
 @query(with_sql("li lb", """, ce AS (SELECT field, date, CAST(floor(((row + 0.5) * -30.0 - 60.0) / -90.0) AS INT) AS row, CAST(floor(((col + 0.5) * 30.0 + 50.0) / 90.0) AS INT) AS col, value FROM lb) SELECT field, date, row, col, round(avg(value) + 3e-8, 6) AS value FROM ce GROUP BY ALL"""))
 def align_average(spark, sf):
     """Onto all coarse cells that the fine grids touch."""
     x, y = R.map_coordinates(F.col("row"), F.col("col"), AFFINE)
-    grid = _target(spark, sf).select("field", F.floor((y - COARSE[5]) / COARSE[4]).cast("int").alias("row"), F.floor((x - COARSE[2]) / COARSE[0]).cast("int").alias("col")).distinct()
-    return _r(R.aligned(block_panel(spark, sf), grid, COARSE, AFFINE, "average"), "value")
+    p = _panel(spark, sf)
+    grid = _target(p).select("field", F.floor((y - COARSE[5]) / COARSE[4]).cast("int").alias("row"), F.floor((x - COARSE[2]) / COARSE[0]).cast("int").alias("col")).distinct()
+    return _r(R.aligned(p, grid, COARSE, AFFINE, "average"), "value")
 
 
 _CUBIC = "(CASE WHEN {0} <= 1 THEN 1.5 * {0} * {0} * {0} - 2.5 * {0} * {0} + 1 WHEN {0} < 2 THEN -0.5 * {0} * {0} * {0} + 2.5 * {0} * {0} - 4 * {0} + 2 ELSE 0 END)"
@@ -250,7 +258,8 @@ _CUBIC = "(CASE WHEN {0} <= 1 THEN 1.5 * {0} * {0} * {0} - 2.5 * {0} * {0} + 1 W
 
 @query(with_sql("li lb", _COARSE + _weighted(f"{_CUBIC.format('di')} * {_CUBIC.format('dj')}", "[-1, 0, 1, 2]")))
 def align_cubic(spark, sf):
-    return _r(R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, COARSE, "cubic"), "value")
+    p = _panel(spark, sf)
+    return _r(R.aligned(_coarse(p), _target(p), AFFINE, COARSE, "cubic"), "value")
 
 
 #: A coarse grid in degrees of longitude and latitude over the same ground.
@@ -261,7 +270,8 @@ ZONE = 43
 @query(None)
 def align_projected(spark, sf):
     """A grid in degrees on a projected one, bilinear; tested against a loop over cells and the projection's inverse."""
-    return R.aligned(_coarse(spark, sf), _target(spark, sf), AFFINE, DEGREES, "bilinear", project=lambda x, y: R.from_utm(x, y, ZONE))
+    p = _panel(spark, sf)
+    return R.aligned(_coarse(p), _target(p), AFFINE, DEGREES, "bilinear", project=lambda x, y: R.from_utm(x, y, ZONE))
 
 
 @query(None)
