@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from fieldcast.functions.linalg import chi2_sf
 from fieldcast.functions.vectors import minus
 from fieldcast.functions.windows import numbered, over_days
+from fieldcast.sources.stages import stored
 
 
 def differences(weights: DataFrame, value: str = "w") -> DataFrame:
@@ -42,11 +46,24 @@ def ljung_box(rho: DataFrame, max_lag: int) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, keys: list[str], p: Column, alpha: float = 0.05) -> DataFrame:
-    """tests with reject: step-up control of the false discovery rate inside each group of keys."""
-    w = Window.partitionBy(*keys)
-    ranked = tests.withColumns({"m": F.count("*").over(w), "rank": F.row_number().over(w.orderBy(p))})
-    last = F.max(F.when(p <= alpha * F.col("rank") / F.col("m"), p)).over(w)
-    return ranked.withColumn("reject", F.coalesce(p <= last, F.lit(False))).drop("m", "rank")
+    """tests with reject: step-up control of the false discovery rate inside each group of keys.
+
+    Ranks are running counts of the distinct p of a group, which lie in ranges by key and p: a range is counted in its own
+    task, after the counts of the ranges before it, so that a large group is many tasks.
+    """
+    each = tests.withColumn("_p", p)
+    counts = each.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    ranges = stored(counts.repartitionByRange(*keys, "_p").withColumn("_range", F.spark_partition_id()), "ranges")
+    behind = Window.partitionBy(*keys).orderBy("_range")
+    sums = ranges.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
+    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_at"), (F.sum("_sum").over(behind.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("_m"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_range") == F.col("_at")]
+    run = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_p"))
+    ranked = ranges.join(sums, reduce(and_, same)).withColumn("_rank", run + F.col("_before"))
+    last = ranked.groupBy(*keys).agg(F.max(F.when(F.col("_p") <= alpha * F.col("_rank") / F.col("_m"), F.col("_p"))).alias("_last"))
+    last = last.select(*[F.col(k).alias(f"_{k}") for k in keys], "_last")
+    got = each.join(F.broadcast(last), reduce(and_, same[:-1]), "left") if keys else each.crossJoin(F.broadcast(last))
+    return got.select(*tests.columns, F.coalesce(F.col("_p") <= F.col("_last"), F.lit(False)).alias("reject"))
 
 
 def portmanteau(e: DataFrame, lags: int = 10, seed: int = 0) -> DataFrame:
