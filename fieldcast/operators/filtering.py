@@ -23,8 +23,8 @@ from fieldcast.functions.linalg import companion, symmetric
 from fieldcast.operators.dynamics import limit_radius
 from fieldcast.sources.stages import stored
 
-#: Days of a segment, and elements that are joined in one task.
-SEGMENT, FAN = 365, 32
+#: Days of a segment, elements that are joined in one task at most, and numbers of the matrices that a task so holds.
+SEGMENT, FAN, HELD = 365, 32, 1 << 21
 #: Variance of the first state of each component, where a model row has none of its own.
 FIRST = 1.0
 
@@ -236,7 +236,7 @@ _ELEMENT = "a array<double>, b array<double>, c array<double>, eta array<double>
 
 
 def _flat(e: Element) -> list:
-    return [np.ravel(x).tolist() for x in e]
+    return [np.ravel(x) for x in e]
 
 
 def _elements(f: pd.DataFrame) -> list[tuple[int, Element]]:
@@ -247,9 +247,14 @@ def _elements(f: pd.DataFrame) -> list[tuple[int, Element]]:
     return out
 
 
-def _starts(elements: DataFrame, last: int, kind: str) -> DataFrame:
+def _fan(size: int) -> int:
+    """How many elements of states of a length are joined in one task: wide ones are few, so that their matrices fit."""
+    return min(max(HELD // (3 * size * size), 4), FAN)
+
+
+def _starts(elements: DataFrame, last: int, kind: str, fan: int = FAN) -> DataFrame:
     """(field, seg, m, p): the state on the day before a segment, for all but the first. elements: (field, seg, a, b, c, eta, j)
-    of all but the last, the first of a field a state; last: the largest seg of any. FAN of them are joined in a task, these
+    of all but the last, the first of a field a state; last: the largest seg of any. `fan` of them are joined in a task, these
     results likewise, and so on; on the way back each task goes on from the state before its own."""
     schema = f"field {kind}, seg long, m array<double>, p array<double>"
 
@@ -260,7 +265,7 @@ def _starts(elements: DataFrame, last: int, kind: str) -> DataFrame:
             now = Element.state(m, np.asarray(before["p"].iloc[0]).reshape(len(m), -1))
         for seg, e in _elements(f) if len(f) else ():
             now = e if now is None else now.joined(e)
-            out.append((f["field"].iloc[0], seg + 1, now.b.tolist(), now.c.ravel().tolist()))
+            out.append((f["field"].iloc[0], seg + 1, now.b, now.c.ravel()))
         return pd.DataFrame(out, columns=["field", "seg", "m", "p"])
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
@@ -269,11 +274,11 @@ def _starts(elements: DataFrame, last: int, kind: str) -> DataFrame:
             whole = whole.joined(e)
         return pd.DataFrame([(f["field"].iloc[0], int(f["part"].iloc[0]), *_flat(whole))], columns=["field", "seg", "a", "b", "c", "eta", "j"])
 
-    parted = stored(elements.withColumn("part", F.floor(F.col("seg") / FAN)), "elements")
-    if last <= FAN:
+    parted = stored(elements.withColumn("part", F.floor(F.col("seg") / fan)), "elements")
+    if last <= fan:
         above = elements.sparkSession.createDataFrame([], schema)
     else:
-        above = _starts(parted.groupBy("field", "part").applyInPandas(join, f"field {kind}, seg long, {_ELEMENT}"), (last - 1) // FAN, kind)
+        above = _starts(parted.groupBy("field", "part").applyInPandas(join, f"field {kind}, seg long, {_ELEMENT}"), (last - 1) // fan, kind, fan)
     above = above.withColumnRenamed("seg", "part")
     return parted.groupBy("field", "part").cogroup(above.groupBy("field", "part")).applyInPandas(walk, schema)
 
@@ -309,7 +314,8 @@ def _scanned(rows: DataFrame, models: dict | DataFrame, ahead: int = 0) -> tuple
         return pd.DataFrame([(f["field"].iloc[0], seg, *_flat(e))], columns=["field", "seg", "a", "b", "c", "eta", "j"])
 
     ends = right.join(top, "field").where("seg < top").drop("top")  # the last segment of a field starts nothing
-    starts = _starts(_together(wide, ends, work, f"field {kind}, seg long, {_ELEMENT}"), last, kind)
+    size = models.agg(F.max(F.col("k") * F.col("lags"))).first()[0] or 1
+    starts = _starts(_together(wide, ends, work, f"field {kind}, seg long, {_ELEMENT}"), last, kind, _fan(int(size)))
     return wide, right.join(stored(starts, "starts"), ["field", "seg"], "left")
 
 

@@ -9,15 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts in which the sums of all tasks meet before they meet in one.
-MEET = 64
+#: Parts in which the sums of all tasks meet, and then these, before they meet in one.
+MEET, AGAIN = 64, 8
 
 
 def moments(rows: DataFrame, keys: list[str], x: str = "x", y: str | None = None) -> DataFrame:
     """(keys, n, xx, xy, yy, sx): n, sum x x', sum x y' (row by row), sum y^2 by component, and sum x.
 
     Each task sums its own rows by key with matrix products, so only one row for each task and key is shuffled. These meet
-    in two steps, by key and one of MEET parts first, so that no group has the matrices of all tasks. Rows of a key must have
+    in three steps, by key and one of MEET parts, then of AGAIN, so that no group has more than a few matrices. Rows of a key must have
     vectors of one length.
     """
     cols = [*keys, x, *([y] if y else [])]
@@ -36,17 +36,23 @@ def moments(rows: DataFrame, keys: list[str], x: str = "x", y: str | None = None
                 held[key] = [u + v for u, v in zip(held[key], part, strict=True)] if key in held else part
         yield pd.DataFrame([[*k, v[0], *[m.ravel() for m in v[1:]]] for k, v in held.items()], columns=[*keys, "n", "xx", "xy", "yy", "sx"])
 
-    parts = rows.select(*cols).mapInPandas(task, schema).withColumn("_meet", F.pmod(F.spark_partition_id(), F.lit(MEET)))
+    parts = rows.select(*cols).mapInPandas(task, schema).withColumn("_meet", F.spark_partition_id())
 
-    def total(f: pd.DataFrame) -> pd.DataFrame:
+    def total(f: pd.DataFrame, final: bool) -> pd.DataFrame:
         out = f.iloc[:1].copy()
         out["n"] = f["n"].sum()
         for c in ("xx", "xy", "yy", "sx"):
-            out[c] = [np.sum(np.stack(f[c].to_numpy()), axis=0)]
-        return out[names]
+            first, *rest = f[c]
+            own = np.array(first, float)
+            for v in rest:
+                own += v
+            out[c] = [own]
+        return out[[c.split()[0].strip("`") for c in (schema if final else f"{schema}, _meet int").split(", ")]]
 
-    names = [*keys, "n", "xx", "xy", "yy", "sx"]
-    return parts.groupBy(*keys, "_meet").applyInPandas(total, schema).groupBy(*keys).applyInPandas(total, schema)
+    meet = lambda f: total(f, False)
+    for many in (MEET, AGAIN):
+        parts = parts.groupBy(*keys, F.pmod("_meet", F.lit(many)).alias("_part")).applyInPandas(meet, f"{schema}, _meet int")
+    return parts.groupBy(*keys).applyInPandas(lambda f: total(f, True), schema)
 
 
 def gram_cells(rows: DataFrame, keys: list[str], x: str, r: int) -> DataFrame:
