@@ -12,6 +12,7 @@ from fieldcast.operators import scoring as S
 from fieldcast.operators import whiteness as T
 from fieldcast.plans.archive_queries import CUT_EV, CUT_LI, gap_calendar
 from fieldcast.plans.panels import event_panel, fixed, item_panel, table, trajectory, with_sql
+from fieldcast.sources.stages import stored
 
 QUERIES, SQL = {}, {}
 
@@ -203,8 +204,8 @@ _VSQL = _V.format(", ".join(f"({b}, {r}, {c}, CAST({d!r} AS DOUBLE))" for b, r,
 
 
 def _centred(spark, sf):
-    p = item_panel(spark, sf)
-    return C.centred(p, "anomaly", p.select("field", "pixel").distinct())
+    p = stored(item_panel(spark, sf), "panel")
+    return stored(C.centred(p, "anomaly", p.select("field", "pixel").distinct()), "centred")
 
 
 @query(with_sql("li", _VSQL + """, cv AS (SELECT bin, u, avg(p) AS cov FROM pr GROUP BY ALL), sz AS (SELECT bin, count(*) AS n_pairs, avg(dist) AS h FROM (SELECT DISTINCT bin, pixel, other, dist FROM pr WHERE u = 0) GROUP BY bin)

@@ -55,3 +55,27 @@ def test_step_up_of_one_large_group_is_many_tasks(spark):
         assert {r.i for r in got.where(f"g = {g} and reject").collect()} == {i for p, i in own if 0 <= p <= last} != set()
     whole = T.benjamini_hochberg(tests, [], F.col("p"), 0.2)
     assert whole.columns == ["g", "i", "p", "reject"] and whole.count() == 800
+
+
+def test_a_series_goes_to_a_tile_and_not_to_each_pair(spark, monkeypatch):
+    """Tiles of any size give the same sums, and no join has the series of both pixels in a row."""
+    from fieldcast.operators import covariogram as C
+
+    rng = np.random.default_rng(3)
+    rows = [("a", DAY + dt.timedelta(t), i * 7 + j, i, j, float(rng.standard_normal())) for t in range(40) for i in range(9) for j in range(7) if rng.random() < 0.8]
+    z = spark.createDataFrame(rows, "field string, date date, pixel long, row int, col int, z double")
+    offs = C.offset_table(spark, [1.0, 2.0, 3.0])
+    got = []
+    for size in (32, 4):
+        monkeypatch.setattr(C, "TILE", size)
+        s = C.product_series(z, offs, 2, groups=3)
+        got.append(sorted((r.bin, r.u, r.g, r.date, round(r.m, 9), r.n) for r in s.where("kind = 'pair'").collect()))
+    assert "za" not in plan(s) and "FlatMapCoGroupsInPandas" in plan(s)
+    own = {(r[1], r[3], r[4]): r[5] for r in rows}
+    places = {(r[3], r[4]) for r in rows}
+    day = DAY + dt.timedelta(5)
+    for b in (0, 1):
+        want = [own[day, i, j] * own[day, i + p, j + q] for c, p, q, _ in C.offsets([1.0, 2.0, 3.0]) if c == b for i, j in places if (day, i, j) in own and (day, i + p, j + q) in own]
+        mine = [r for r in got[0] if r[:2] == (b, 0) and r[3] == day]
+        assert sum(r[5] for r in mine) == len(want) and abs(sum(r[4] * r[5] for r in mine) - sum(want)) < 1e-6
+    assert got[0] == got[1]
