@@ -12,7 +12,7 @@ from fieldcast.operators import horizons as H
 from fieldcast.operators import kernels as R
 from fieldcast.operators import state as X
 from fieldcast.plans.archive_queries import CUT_LI
-from fieldcast.plans.model_queries import LAGS, NOISE, _block_basis, _weights
+from fieldcast.plans.model_queries import CENTRES, LAGS, NOISE, _panel, _weights
 from fieldcast.plans.panels import fixed, trajectory, weather_record
 from fieldcast.sources.stages import stored
 
@@ -87,13 +87,11 @@ def emission_equations(spark, sf):
     return fit.join(gram, "field").select("field", "n", F.explode(F.array(*cells)).alias("x")).select("field", "x.j", (fixed("x.v", 6) + 0.0).alias("v"), "n")
 
 
-def _days(spark, sf):
+def _days(spark, sf, panel=None):
     """The block archive's days with states and their covariances, an input (rain) and two weather measures as anomalies."""
-    k = len(_block_basis(spark, sf).select("phi").first().phi)
-    from fieldcast.plans.panels import block_panel
-
-    pixels = block_panel(spark, sf)
-    states = X.on_calendar(X.solve_states(pixels, _block_basis(spark, sf), NOISE, True, k), A.calendar(pixels), k, True)
+    k = len(CENTRES)
+    pixels, basis = panel or _panel(spark, sf)
+    states = X.on_calendar(X.solve_states(pixels, basis, NOISE, True, k), A.calendar(pixels), k, True)
     weather = weather_record(spark, sf).drop("field")
     mean = weather.agg(*[x.alias(f"{c}_{n}") for c in ("ta", "rs") for n, x in (("m", F.avg(c)), ("s", F.stddev(c)))])
     scaled = weather.crossJoin(F.broadcast(mean)).select("date", F.array(F.col("precip") / 10).alias("u"), F.array(*[(F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s") for c in ("ta", "rs")]).alias("m"))
@@ -166,18 +164,18 @@ def excitation_rank(spark, sf):
 @query(None)
 def input_response_maps(spark, sf):
     """What a unit of rain does to each pixel in a day."""
-    rows = _days(spark, sf)
-    return Y.response_maps(R.fit_kernels(Y.delay_line(rows, LAGS, 1, "u"), "full", mu=1.0), _block_basis(spark, sf))
+    panel = _panel(spark, sf)
+    rows = _days(spark, sf, panel)
+    return Y.response_maps(R.fit_kernels(Y.delay_line(rows, LAGS, 1, "u"), "full", mu=1.0), panel[1])
 
 
 def _mode_report(spark, sf):
     from fieldcast.operators.modes import augmented_basis
-    from fieldcast.plans.panels import block_panel
 
-    pixels = block_panel(spark, sf)
+    pixels, basis = _panel(spark, sf)
     train = pixels.where(F.col("date") < F.lit(CUT_LI).cast("date")).select("field", "date").distinct()
     # Fields of a few pixels cannot hold more modes than pixels; what is left of so few is noise.
-    return augmented_basis(pixels, _block_basis(spark, sf), train, most=32)
+    return augmented_basis(pixels, basis, train, most=32)
 
 
 @query(None)
@@ -222,16 +220,16 @@ def _forecast_errors(spark, sf, horizon: int = 3):
     from fieldcast.operators import scoring as S
     from fieldcast.operators.subspace import bands
     from fieldcast.plans.model_queries import _models, _states
-    from fieldcast.plans.panels import block_panel
 
-    pixels, basis, w = block_panel(spark, sf), _block_basis(spark, sf), _weights(spark, sf)
+    pixels, basis = panel = _panel(spark, sf)
+    w = _weights(spark, sf, panel)
     rows = w.select("field", F.col("t").cast("long").alias("t"), "observed", "w")
     origins = w.where(F.col("observed") & (F.col("date") >= F.lit(CUT_LI).cast("date"))).select("field", F.col("t").cast("long").alias("origin"), F.col("date").alias("day"))
     f = K.rolling_forecasts(rows, _models(spark, sf, w.where(F.col("date") < F.lit(CUT_LI).cast("date"))), None, horizon, K.VARIANTS[:1], covariances=True)
     f = stored(f.where("valid").join(origins, ["field", "origin"]).select("field", "variant", "day", "lead", "w", "cov"), "test-forecasts")
     keys = ["variant", "day", "lead"]
-    both = X.decode(f, basis, keys).join(bands(basis, f, keys, NOISE), ["field", *keys, "pixel"]).withColumnRenamed("day", "origin")
-    left = X.residuals(pixels, _states(spark, sf), basis)
+    both = X.decode(f, basis, keys, len(CENTRES)).join(bands(basis, f, keys, NOISE), ["field", *keys, "pixel"]).withColumnRenamed("day", "origin")
+    left = X.residuals(pixels, _states(panel), basis)
     rep = S.representation_variance(left.where(F.col("date") < F.lit(CUT_LI).cast("date"))).select("field", "pixel", F.col("variance").alias("rep"))
     sigma = F.sqrt(F.col("variance") + F.coalesce("rep", F.lit(0.0)))
     return S.with_truth(both, pixels).join(rep, ["field", "pixel"], "left").withColumn("sigma", sigma), left
@@ -261,10 +259,9 @@ def forecast_bias_attribution(spark, sf):
 def reconstruction_gap(spark, sf):
     """Reconstruction of training frames against later ones, the offset being the training days' climatology."""
     from fieldcast.operators import scoring as S
-    from fieldcast.plans.panels import block_panel
 
-    pixels = block_panel(spark, sf)
+    pixels, own = _panel(spark, sf)
     early = F.col("date") < F.lit(CUT_LI).cast("date")
-    basis = X.climatology_offset(pixels, pixels.where(early).select("field", "date").distinct(), _block_basis(spark, sf))
+    basis = X.climatology_offset(pixels, pixels.where(early).select("field", "date").distinct(), own)
     left = X.residuals(pixels, X.solve_states(pixels, basis, NOISE), basis)
     return S.holdout_errors(left.withColumn("part", F.when(early, "fit").otherwise("holdout")))

@@ -64,18 +64,20 @@ def frame_moments(spark, sf):
     return m.select("field", "date", "n", F.posexplode("xy").alias("i", "v")).withColumn("v", fixed("v", 5) + 0.0)
 
 
-def _block_basis(spark, sf):
-    return _rbf(block_panel(spark, sf), 25.0)
+def _panel(spark, sf):
+    """The block archive and its basis, worked out once for all that a query does with them."""
+    pixels = stored(block_panel(spark, sf), "panel")
+    return pixels, stored(_rbf(pixels, 25.0), "basis")
 
 
-def _states(spark, sf, cov=False):
-    return X.solve_states(block_panel(spark, sf), _block_basis(spark, sf), NOISE, cov, len(CENTRES))
+def _states(panel, cov=False):
+    return X.solve_states(*panel, NOISE, cov, len(CENTRES))
 
 
 @query(None)
 def state_extraction(spark, sf):
     """State vectors of all frames; tested against NumPy."""
-    return _states(spark, sf)
+    return _states(_panel(spark, sf))
 
 
 _BLOCKS = "lb AS (SELECT CAST(pixel // 100 AS BIGINT) AS field, date, pixel, CAST(pixel % 100 // 10 AS INT) AS row, CAST(pixel % 10 AS INT) AS col, value FROM li)"
@@ -85,8 +87,8 @@ _BB = _BASIS.replace("bs AS", "bb AS").replace("FROM li", "FROM lb")
 @query(with_sql("li", f", {_BLOCKS}, {_BB} SELECT field, date, CAST(j - 1 AS INT) AS i, count(*) AS n_valid, round(sum(phi[j] * (value - 25)) + 3e-7, 5) + 0.0 AS v FROM lb JOIN bb USING (field, pixel), (SELECT CAST(unnest(generate_series(1, 4)) AS INT) AS j) GROUP BY ALL HAVING count(*) >= 2"))
 def state_equations(spark, sf):
     """The left sides of the states' normal equations, (F'F + noise I) w: the SQL has the right sides, F'(y - offset)."""
-    pixels, basis, r = block_panel(spark, sf), _block_basis(spark, sf), len(CENTRES)
-    got = pixels.join(_states(spark, sf), ["field", "date"]).join(basis, ["field", "pixel"])
+    (pixels, basis), r = _panel(spark, sf), len(CENTRES)
+    got = pixels.join(_states((pixels, basis)), ["field", "date"]).join(basis, ["field", "pixel"])
     phi, w = [F.col("phi")[i] for i in range(r)], [F.first(F.col("w")[i]) for i in range(r)]
     left = [sum((F.sum(phi[i] * phi[j]) * w[j] for j in range(r)), w[i] * NOISE) for i in range(r)]
     rows = got.groupBy("field", "date").agg(F.count("*").alias("n_valid"), F.array(*left).alias("left")).where("n_valid >= 2")
@@ -116,12 +118,14 @@ def decoded_states(spark, sf):
 @query(None)
 def state_residuals(spark, sf):
     """Representation variance of each pixel by the states' reconstruction."""
-    return S.representation_variance(X.residuals(block_panel(spark, sf), _states(spark, sf), _block_basis(spark, sf)))
+    pixels, basis = panel = _panel(spark, sf)
+    return S.representation_variance(X.residuals(pixels, _states(panel), basis))
 
 
-def _weights(spark, sf):
+def _weights(spark, sf, panel=None):
     """The states of all fields on the calendar of the item archive, as a stored stage."""
-    return stored(X.on_calendar(_states(spark, sf), A.calendar(block_panel(spark, sf)), len(CENTRES)), "weights")
+    panel = panel or _panel(spark, sf)
+    return stored(X.on_calendar(_states(panel), A.calendar(panel[0]), len(CENTRES)), "weights")
 
 
 @query(None)
@@ -181,8 +185,8 @@ def filtered_states(spark, sf):
     return K.filtered(w.select("field", F.col("t").cast("long").alias("t"), "observed", "w"), _models(spark, sf, w))
 
 
-def rolling(spark, sf, horizon: int = 3):
-    w = _weights(spark, sf)
+def rolling(spark, sf, horizon: int = 3, panel=None):
+    w = _weights(spark, sf, panel)
     rows = w.select("field", F.col("t").cast("long").alias("t"), "observed", "w")
     return w, K.rolling_forecasts(rows, _models(spark, sf, w), None, horizon, K.VARIANTS[:1])
 
@@ -195,12 +199,12 @@ def rolling_forecasts(spark, sf):
 @query(None)
 def end_to_end_scores(spark, sf):
     """Archive, states, memory model, filter, rolling forecasts, decoding and scores by lead, beside persistence."""
-    w, f = rolling(spark, sf)
+    pixels, basis = panel = _panel(spark, sf)
+    w, f = rolling(spark, sf, panel=panel)
     days = w.select("field", "t", "date", "observed", F.when(F.col("date") < F.lit(CUT_LI).cast("date"), "train").otherwise("test").alias("split"))
     origins = days.where("observed and split = 'test'")
     own = f.where("valid").join(origins.select("field", F.col("t").alias("origin"), "date"), ["field", "origin"]).select("field", "variant", F.col("date").alias("day"), "lead", "w")
-    pred = X.decode(own, _block_basis(spark, sf), ["variant", "day", "lead"]).withColumnRenamed("day", "origin")
-    pixels = block_panel(spark, sf)
+    pred = X.decode(own, basis, ["variant", "day", "lead"], len(CENTRES)).withColumnRenamed("day", "origin")
     scores = S.horizon_scores(S.with_truth(pred, pixels))
     return S.compare_methods([scores, S.horizon_scores(S.with_truth(S.persistence(pixels, origins, 3), pixels))])
 
@@ -211,16 +215,17 @@ def memory_ablation(spark, sf):
     from fieldcast.operators import operational as O
 
     split = F.when(F.col("date") < F.lit(CUT_LI).cast("date"), "train").otherwise("test")
-    w = _weights(spark, sf).withColumn("split", split)
+    pixels, basis = panel = _panel(spark, sf)
+    w = _weights(spark, sf, panel).withColumn("split", split)
     forecasts, models = (stored(x, "orders") for x in O.order_forecasts(w, [1, 2, 3], 3, 1.0, NOISE))
     facts = O.model_facts(models, 3, ["field", "order"]).groupBy("order").agg(*[F.avg(c).alias(c) for c in ("rho", "gain", "norm_budget", "last_ratio")], F.max("n_parameters").alias("n_parameters"))
     latent = O.latent_scores(forecasts, w, ["order"])
-    return O.ablation_scores(forecasts, _block_basis(spark, sf), block_panel(spark, sf)).join(latent, ["order", "lead"]).join(facts, "order")
+    return O.ablation_scores(forecasts, basis, pixels).join(latent, ["order", "lead"]).join(facts, "order")
 
 
-def _requested(spark, sf):
+def _requested(pixels):
     """The last three days with frames of each field, and one day past its calendar, which has none."""
-    days = A.calendar(block_panel(spark, sf)).where("observed").select("field", "date")
+    days = A.calendar(pixels).where("observed").select("field", "date")
     last = days.withColumn("nth", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("date")))).where("nth <= 3")
     past = days.groupBy("field").agg(F.date_add(F.max("date"), 5).alias("date"))
     return last.select("field", "date").unionByName(past).withColumnRenamed("date", "origin")
@@ -234,7 +239,8 @@ def requested_origins(spark, sf):
     """Which requested days can be forecast from, and why the others cannot."""
     from fieldcast.operators import operational as O
 
-    got = O.checked_requests(_requested(spark, sf), A.calendar(block_panel(spark, sf)), LAGS, 3)
+    pixels = stored(block_panel(spark, sf), "panel")
+    got = O.checked_requests(_requested(pixels), A.calendar(pixels), LAGS, 3)
     return got.select("field", "origin", "reason", "scoreable")
 
 
@@ -243,8 +249,9 @@ def operational_forecast(spark, sf):
     """Forecasts of the requested days from stored models, over windows of 30 days."""
     from fieldcast.operators import operational as O
 
-    models = _models(spark, sf, _weights(spark, sf))
-    got = O.operational_forecasts(_requested(spark, sf), block_panel(spark, sf), _block_basis(spark, sf), models, NOISE, LAGS, 3)
+    pixels, basis = panel = _panel(spark, sf)
+    models = _models(spark, sf, _weights(spark, sf, panel))
+    got = O.operational_forecasts(_requested(pixels), pixels, basis, models, NOISE, LAGS, 3)
     return got.select("field", "variant", "origin", "lead", "w", "cov_trace")
 
 
@@ -254,10 +261,10 @@ def requested_maps(spark, sf):
     frame, nodata outside the mask."""
     from fieldcast.operators import operational as O
 
-    pixels, basis = block_panel(spark, sf), _block_basis(spark, sf)
-    models = _models(spark, sf, _weights(spark, sf))
-    got = stored(O.operational_forecasts(_requested(spark, sf), pixels, basis, models, NOISE, LAGS, 3, covariances=True), "requested")
-    rep = S.representation_variance(X.residuals(pixels, _states(spark, sf), basis))
+    pixels, basis = panel = _panel(spark, sf)
+    models = _models(spark, sf, _weights(spark, sf, panel))
+    got = stored(O.operational_forecasts(_requested(pixels), pixels, basis, models, NOISE, LAGS, 3, covariances=True), "requested")
+    rep = S.representation_variance(X.residuals(pixels, _states(panel), basis))
     return O.requested_maps(got, pixels, basis, NOISE, repvar=rep, units="items").drop("tags")
 
 
@@ -321,10 +328,11 @@ def error_budget(spark, sf):
     one."""
     from fieldcast.operators import operational as O
 
-    pixels, basis, w = block_panel(spark, sf), _block_basis(spark, sf), _weights(spark, sf)
+    pixels, basis = panel = _panel(spark, sf)
+    w = _weights(spark, sf, panel)
     left = B.projected(w.where("observed").select("field", "t", "w"), B.subspace_rows(w.where("observed"), 0.9, least=2, most=3)).select("field", "t", F.col("complement").alias("w"))
     part = X.decode(left, basis.withColumn("offset", F.lit(0.0)), ["t"]).withColumnRenamed("pred", "part")
     origins = w.where("observed").select("field", "date")
     now = S.with_truth(S.persistence(pixels, origins, 1), pixels).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
     gain = O.model_facts(_models(spark, sf, w), 3, ["field"]).agg(F.avg("gain")).first()[0]
-    return S.error_budget(X.residuals(pixels, _states(spark, sf), basis), part, now, gain or 1.0)
+    return S.error_budget(X.residuals(pixels, _states(panel), basis), part, now, gain or 1.0)
