@@ -9,6 +9,7 @@ blocks but as the modes' values.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -62,31 +63,33 @@ def _days(train: DataFrame, holdout: float) -> DataFrame:
 
 
 def _blocks(pixels: DataFrame, basis: DataFrame, days: DataFrame, climatology: bool) -> DataFrame:
-    """(field, block, n_days, cut, pixel, offset, phi, a): anomalies a of a block's pixels on all days, phi of each pixel, row by row. The
+    """(field, block, whole, n_days, cut, pixel, offset, phi, a): whether it is all of its field, anomalies a of a block's pixels on all days, phi of each pixel, row by row. The
     offset of a pixel is its mean over the days before cut; a cell without a value counts as its offset."""
     cells = pixels.where("value is not null").select("field", "date", "pixel", "value").join(days, ["field", "date"])
-    mean = cells.where("t < cut").groupBy("field", "pixel").agg(F.avg("value").alias("offset"))
     size = basis.groupBy("field").agg(F.count("*").alias("pixels")).join(days.select("field", "n_days", "cut").distinct(), "field")
     many = F.greatest(F.lit(1), F.ceil(F.col("pixels") * F.col("n_days") / CELLS))
     at = F.pmod(F.xxhash64("pixel"), many).alias("block")
-    own = basis.select("field", "pixel", "phi").join(size, "field").join(mean, ["field", "pixel"], "left")
-    own = own.select("field", at, "pixel", "phi", "n_days", "cut", (F.coalesce("offset", F.lit(0.0)) if climatology else F.lit(0.0)).alias("offset"))
+    own = basis.select("field", "pixel", "phi").join(size, "field").select("field", at, (many == 1).alias("whole"), "pixel", "phi", "n_days", "cut")
     dealt = cells.select("field", "pixel", "t", "value").join(size, "field").select("field", at, "pixel", "t", "value")
     kinds = dict(own.dtypes)
-    schema = f"field {kinds['field']}, block long, n_days int, cut int, pixel array<{kinds['pixel']}>, offset array<double>, phi array<double>, a array<double>"
+    schema = f"field {kinds['field']}, block long, whole boolean, n_days int, cut int, pixel array<{kinds['pixel']}>, offset array<double>, phi array<double>, a array<double>"
 
     def build(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
             return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
         p = p.sort_values("pixel").reset_index(drop=True)
-        place, offset = {x: i for i, x in enumerate(p["pixel"])}, p["offset"].to_numpy(float)
-        a = np.zeros((len(p), int(p["n_days"].iloc[0])))
+        place, cut = {x: i for i, x in enumerate(p["pixel"])}, int(p["cut"].iloc[0])
+        a = np.full((len(p), int(p["n_days"].iloc[0])), np.nan)
         if len(c):
             i = c["pixel"].map(place).to_numpy()
             some = ~pd.isna(i)
-            i = i[some].astype(int)
-            a[i, c["t"].to_numpy()[some]] = c["value"].to_numpy(float)[some] - offset[i]
-        return pd.DataFrame([(p["field"].iloc[0], int(p["block"].iloc[0]), a.shape[1], int(p["cut"].iloc[0]), p["pixel"].to_numpy(), offset, np.stack(p["phi"].to_numpy()).ravel(), a.ravel())], columns=[x.split()[0] for x in schema.split(", ")])
+            a[i[some].astype(int), c["t"].to_numpy()[some]] = c["value"].to_numpy(float)[some]
+        # By place, so that the order of the rows changes nothing.
+        seen = ~np.isnan(a)
+        n = seen[:, :cut].sum(1)
+        offset = np.where(seen, a, 0.0)[:, :cut].sum(1) / np.maximum(n, 1) if climatology else np.zeros(len(p))
+        a = np.where(seen, a - offset[:, None], 0.0)
+        return pd.DataFrame([(p["field"].iloc[0], int(p["block"].iloc[0]), bool(p["whole"].iloc[0]), a.shape[1], cut, p["pixel"].to_numpy(), offset, np.stack(p["phi"].to_numpy()).ravel(), a.ravel())], columns=[x.split()[0] for x in schema.split(", ")])
 
     return own.groupBy("field", "block").cogroup(dealt.groupBy("field", "block")).applyInPandas(build, schema)
 
@@ -131,7 +134,8 @@ def _range(blocks: DataFrame, ridge: float, most: int, seed: int) -> DataFrame:
                 out.append((x.field, n, cut, r, gram.ravel(), cross.ravel(), coef.ravel(), z.ravel()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in head.split(", ")])
 
-    state = stored(_summed(blocks, None, products).join(sizes, "field").mapInPandas(begin, head), "range")
+    several = blocks.where("not whole")
+    state = stored(_summed(several, None, products).join(sizes, "field").mapInPandas(begin, head), "range")
 
     def power(r) -> np.ndarray:
         phi, a = _block(r)
@@ -144,7 +148,7 @@ def _range(blocks: DataFrame, ridge: float, most: int, seed: int) -> DataFrame:
             f["z"] = [np.linalg.qr(np.asarray(v)[:-1].reshape(int(cut), -1))[0].ravel() for v, cut in zip(f["v"], f["cut"], strict=True)]
             yield f.drop(columns="v")[[c.split()[0] for c in head.split(", ")]]
 
-    parts = blocks.drop("n_days", "offset", "block", "cut")
+    parts = several.drop("n_days", "offset", "block", "cut")
     need = lambda: state.select("field", "cut", "coef", "z")
     for _ in range(PASSES):
         state = stored(_summed(parts, need(), power).join(state, "field").mapInPandas(turn, head), "range")
@@ -164,7 +168,20 @@ def _range(blocks: DataFrame, ridge: float, most: int, seed: int) -> DataFrame:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in tail.split(", ")])
 
     tail = f"field {kind}, n_days int, cut int, r int, gram array<double>, coef array<double>, v array<double>, s2 array<double>, total double, phi_v array<double>"
-    return stored(_summed(parts, need(), power).join(state, "field").mapInPandas(end, tail), "range")
+
+    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The same steps for fields of one block, which need nothing from elsewhere."""
+        for f in frames:
+            for r in f.itertuples():
+                first = pd.DataFrame([(r.field, products(r), r.n_days, r.cut, len(r.phi) // len(r.pixel))], columns=["field", "v", "n_days", "cut", "r"])
+                own = next(begin(iter([first])))
+                told = lambda: power(SimpleNamespace(pixel=r.pixel, phi=r.phi, a=r.a, cut=r.cut, coef=own["coef"].iloc[0], z=own["z"].iloc[0]))  # noqa: B023, E731
+                for _ in range(PASSES):
+                    own = next(turn(iter([own.assign(v=[told()])])))
+                yield next(end(iter([own.assign(v=[told()])])))
+
+    apart = blocks.where("whole").select("field", "n_days", "cut", "pixel", "phi", "a").mapInPandas(alone, tail)
+    return stored(_summed(parts, need(), power).join(state, "field").mapInPandas(end, tail).unionByName(apart), "range")
 
 
 def _shapes(r, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
