@@ -79,3 +79,15 @@ def test_a_series_goes_to_a_tile_and_not_to_each_pair(spark, monkeypatch):
         mine = [r for r in got[0] if r[:2] == (b, 0) and r[3] == day]
         assert sum(r[5] for r in mine) == len(want) and abs(sum(r[4] * r[5] for r in mine) - sum(want)) < 1e-6
     assert got[0] == got[1]
+
+
+def test_a_field_of_one_block_is_marked_and_means_do_not_hang_on_order(spark):
+    from fieldcast.operators import modes as M
+
+    rng = np.random.default_rng(4)
+    rows = [("a", DAY + dt.timedelta(t), p, float(rng.standard_normal())) for t in range(30) for p in range(6)]
+    pixels = spark.createDataFrame(rows, "field string, date date, pixel long, value double")
+    basis = spark.createDataFrame([("a", p, [1.0, float(p)]) for p in range(6)], "field string, pixel long, phi array<double>")
+    days = M._days(pixels, 0.2)
+    one, two = (M._blocks(x, basis, days, True).first() for x in (pixels.repartition(5), pixels.orderBy("value")))
+    assert one.whole and one == two and np.isclose(one.offset[2], np.mean([v for _, d, p, v in rows if p == 2 and d < DAY + dt.timedelta(24)]))
