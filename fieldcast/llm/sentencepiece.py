@@ -26,7 +26,7 @@ MARK = "▁"
 #: the model's merges, against 71 % without.
 PIECE_COST = 5.0
 #: Distinct spans whose ids a task keeps, the longest such span, and the characters that are taken in at a time.
-KEPT, KEPT_LENGTH, SLICE = 800_000, 64, 4096
+KEPT, KEPT_LENGTH, SLICE = 300_000, 64, 4096
 #: Where no piece goes over a boundary between another character and a space mark, all paths meet there.
 _spans = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+").findall
 
@@ -225,7 +225,7 @@ def _arrays(rows: list[array]) -> pa.Array:
 
 
 #: Characters of text that are encoded before their rows go on.
-ROWS_OF = 2_000_000
+ROWS_OF = 1_000_000
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
