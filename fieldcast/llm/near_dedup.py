@@ -33,6 +33,10 @@ DISTANCE = 2 * CHUNKS - 1
 TRIES = 8
 #: Rare shingles before a place in their order by which a pair that was met before is known; only repeats are saved.
 BEFORE = 32
+#: Classes whose bucket keys one task makes, about: each has POSITIONS keys, which a task counts in memory.
+CLASSES_A_TASK = 8192
+#: Rows that a task turns into sets at a time.
+ROWS = 256
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64)
@@ -76,17 +80,21 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
     return out.reshape(-1, POSITIONS) | np.arange(POSITIONS, dtype=np.int64) << 32
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(first, rows) for first in range(0, b.num_rows, rows))
+
+
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(node, key): a row for each class and position."""
+    """(node, key): a row for each class and position. Classes are short and their keys many, so they are dealt out by number first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1024):
-                b = whole.slice(first, 1024)
-                keys = bucket_keys(np.column_stack([b.column(i + 1).to_numpy() for i in range(WORDS_OF_8)]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), POSITIONS)), pa.array(keys.ravel())], ["node", "key"])
+        for b in _parts(batches, 1024):
+            keys = bucket_keys(np.column_stack([b.column(i + 1).to_numpy() for i in range(WORDS_OF_8)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), POSITIONS)), pa.array(keys.ravel())], ["node", "key"])
 
-    return classes.select("node", *_SIG).mapInArrow(task, "node long, key long")
+    dealt = classes.select("node", *_SIG).repartition(classes.count() // CLASSES_A_TASK + 1, "node")
+    return dealt.mapInArrow(task, "node long, key long")
 
 
 def signature_distance(a: str, b: str) -> Column:
@@ -125,7 +133,7 @@ def _measured(docs: DataFrame, keys: list[str], text: str, k: int) -> DataFrame:
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["n long", "d1 long", "d2 long"] + [f"{s} long" for s in _SIG])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches, ROWS):
             sizes, digests, sigs = [], np.zeros((b.num_rows, 2), np.int64), np.zeros((b.num_rows, WORDS_OF_8), np.int64)
             for i, x in enumerate(b.column(len(keys)).to_pylist()):
                 s = shingle_set(x, k)
@@ -145,7 +153,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     schema = texts.drop("text").schema.add("set", ArrayType(LongType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches, ROWS):
             sets = [shingle_set(x, k) for x in b.column(len(kept)).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)])
             values = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
@@ -230,8 +238,10 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rarest = F.slice("all", F.lit(1), (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int"))
     # The shared ones just before a place: a pair that shares one of these has been met there.
     before = lambda i: F.transform(F.filter(F.slice("all", F.greatest(i - (BEFORE - 1), F.lit(1)), F.least(i, F.lit(BEFORE))), lambda x: x["df"] > 1), lambda x: x["h"])
-    placed = ordered.select("node", "all", F.posexplode(rarest).alias("i", "x")).where("x.df > 1")
-    placed = stored(placed.select("node", "i", F.col("x.h").alias("h"), before(F.col("i")).alias("before")).join(rest, "node"), "rarest")
+    # Made inside the array, so that no row holds all of its set.
+    places = F.transform(rarest, lambda x, i: F.struct(i.alias("i"), x["df"].alias("df"), x["h"].alias("h"), before(i).alias("before")))
+    placed = ordered.select("node", F.inline(F.filter(places, lambda x: x["df"] > 1))).drop("df")
+    placed = stored(placed.join(rest, "node"), "rarest")
     # The largest set that a set of n can reach the similarity with, from its place i on; a key without such a set goes.
     top = ((100 + percent) * (F.col("n") - F.col("i")) - percent * F.col("n")) / percent
     keys = placed.groupBy("h").agg(F.min("n").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")

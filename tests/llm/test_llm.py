@@ -162,6 +162,35 @@ def test_drop_near_duplicates_and_empty(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_bucket_keys_are_dealt_out_by_classes(spark, monkeypatch):
+    """A few classes lie in one small file, and have POSITIONS keys each: no task makes those of many."""
+    monkeypatch.setattr(near_dedup, "CLASSES_A_TASK", 8)
+    sigs = {n: near_dedup.signature(near_dedup.shingle_set(t, 2)) for n, t in enumerate(texts(64, 21, 30, 60))}
+    classes = spark.createDataFrame([(n, *map(int, s)) for n, s in sigs.items()], "node long, " + ", ".join(f"s{i} long" for i in range(12))).coalesce(1)
+    rows = near_dedup._buckets(classes).withColumn("task", F.spark_partition_id()).collect()
+    want = {(n, int(key)) for n, s in sigs.items() for key in near_dedup.bucket_keys(s[None]).ravel()}
+    assert {(r.node, r.key) for r in rows} == want and len(rows) == len(want) == 64 * near_dedup.POSITIONS
+    assert max(Counter(r.task for r in rows).values()) <= 24 * near_dedup.POSITIONS
+
+
+def test_places_of_rare_shingles_do_not_hold_the_whole_set(spark, monkeypatch):
+    """Long sets that share a part: what is exploded has a short array a row, and the pairs are those of the full comparison."""
+    made = []
+    stored = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: made.append((name, df)) or stored(df, name))
+    base = " ".join(f"w{i}" for i in range(600))
+    rows = [base, base.replace("w300 ", "other ").replace("w10 ", "more "), base.replace("w50 ", "x "), " ".join(f"v{i}" for i in range(500))]
+    sets = [near_dedup.shingle_set(t, 2).view(np.int64) for t in rows]
+    sigs = [near_dedup.signature(s.view(np.uint64)) for s in sets]
+    names = ", ".join(f"s{i} long" for i in range(12))
+    whole = spark.createDataFrame([(i, len(s), *map(int, g), list(map(int, s))) for i, (s, g) in enumerate(zip(sets, sigs))], f"node long, n long, {names}, set array<long>")
+    rest = whole.drop("set").withColumn("comp", F.col("node"))
+    pairs = near_dedup._rare_pairs(rest, whole, 80)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(0, 1), (0, 2), (1, 2)}
+    plan = next(df for name, df in made if name == "rarest")._jdf.queryExecution().optimizedPlan().toString()
+    assert "all#" in plan and "all#" not in plan.split("Generate")[0]
+
+
 def test_signature_distance(spark):
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, 4, (20, 96)).astype(np.uint8) for _ in range(2))
