@@ -13,7 +13,7 @@ from fieldcast.functions.linalg import companion, spectral_radius
 from fieldcast.operators import archive, scoring
 from fieldcast.operators.dynamics import delay_line, fit_table, forecast_gain, norm_budget, unpacked
 from fieldcast.operators.filtering import VARIANTS, rolling_forecasts
-from fieldcast.operators.state import decode, solve_states
+from fieldcast.operators.state import decode, forecast_errors, solve_states
 
 
 def checked_requests(requests: DataFrame, cal: DataFrame, lags: int, horizon: int) -> DataFrame:
@@ -138,8 +138,7 @@ def latent_scores(forecasts: DataFrame, weights: DataFrame, keys: list[str]) ->
     return both.groupBy(*keys, "lead").agg(F.sqrt(F.sum(square) / F.sum(F.size("w"))).alias("latent_rmse"))
 
 
-def ablation_scores(forecasts: DataFrame, basis: DataFrame, pixels: DataFrame) -> DataFrame:
+def ablation_scores(forecasts: DataFrame, basis: DataFrame, pixels: DataFrame, r: int | None = None) -> DataFrame:
     """order, lead and the metrics of the decoded forecasts, pooled over fields, origins and pixels."""
-    own = forecasts.select("field", "order", F.col("date").alias("day"), "lead", "w")
-    pred = decode(own, basis, ["order", "day", "lead"]).withColumnRenamed("day", "origin")
-    return scoring.horizon_scores(scoring.with_truth(pred, pixels), ("order",))
+    own = forecasts.select("field", "order", F.col("date").alias("origin"), "lead", "w")
+    return scoring.horizon_scores(forecast_errors(own, basis, pixels, ["order"], r), ("order",))

@@ -5,6 +5,7 @@ basis: (field, pixel, phi array<double>, offset double); weights: (field, date,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -169,22 +170,69 @@ DEALT = 32
 
 
 def _met(basis: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row with each pixel of its field: rows are dealt out by their keys, the pixels go to each part."""
+    """Each row with each pixel of its field: rows are dealt out by their keys, the pixels go to each part.
+
+    The copies of the pixels come from a join, since Spark counts those in its estimate: it takes exploded ones for as small as the
+    table they are made from, and a small file of many pixels would go whole through the driver, DEALT times.
+    """
     dealt = rows.withColumn("part", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(DEALT)))
-    every = basis.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
-    return every.join(dealt.withColumn("part", F.col("part").cast("int")), ["field", "part"]).drop("part")
+    parts = basis.sparkSession.range(DEALT).select(F.col("id").alias("part"))
+    return basis.crossJoin(F.broadcast(parts)).join(dealt.withColumn("part", F.col("part").cast("long")), ["field", "part"]).drop("part")
+
+
+def _product(w: str, r: int | None) -> Column:
+    """phi . w + offset. Vectors of a given length r up to SHORT are multiplied as columns."""
+    product = dot(F.col("phi"), F.col(w))
+    if r is not None and 0 < r <= SHORT:
+        product = F.col("phi")[0] * F.col(w)[0]
+        for i in range(1, r):
+            product = product + F.col("phi")[i] * F.col(w)[i]
+    return product + F.coalesce("offset", F.lit(0.0))
 
 
 def decode(weights: DataFrame, basis: DataFrame, keys: list[str], r: int | None = None) -> DataFrame:
     """(field, keys, pixel, pred): phi . w + offset for each row of weights (field, keys, w). Vectors of a given length r up to SHORT
     are multiplied as columns."""
-    product = dot(F.col("phi"), F.col("w"))
-    if r is not None and 0 < r <= SHORT:
-        product = F.col("phi")[0] * F.col("w")[0]
-        for i in range(1, r):
-            product = product + F.col("phi")[i] * F.col("w")[i]
     rows = _met(basis.select("field", "pixel", "phi", "offset"), weights.select("field", *keys, "w"), keys)
-    return rows.select("field", *keys, "pixel", (product + F.coalesce("offset", F.lit(0.0))).alias("pred"))
+    return rows.select("field", *keys, "pixel", _product("w", r).alias("pred"))
+
+
+def forecast_errors(forecasts: DataFrame, basis: DataFrame, truth: DataFrame, keys: list[str], r: int | None = None, noise: float | None = None) -> DataFrame:
+    """(field, keys, origin, lead, target, pixel, pred, value, error[, variance]), further columns of basis: what scoring.with_truth
+    makes of decode(), with noise also the variance of subspace.bands.
+
+    forecasts: (field, keys, origin, lead, w[, cov]), days as dates. Only pixels with a value on the target day are decoded: values
+    take their basis vector and then meet the few forecasts of their field and day, so that no decoded row is shuffled.
+    """
+    more = [c for c in basis.columns if c not in ("field", "pixel", "phi", "offset")]
+    seen = truth.where("value is not null").select("field", F.col("date").alias("target"), "pixel", "value")
+    seen = seen.join(basis.select("field", "pixel", "phi", "offset", *more), ["field", "pixel"])
+    own = forecasts.select("field", *keys, "origin", "lead", F.expr("date_add(origin, lead)").alias("target"), "w", *(["cov"] if noise is not None else []))
+    own = own if noise is None else _factored(own)
+    got = seen.join(own, ["field", "target"]).withColumn("pred", _product("w", r)).where("pred is not null")
+    names = ["field", *keys, "origin", "lead", "target", "pixel", "pred", "value", (F.col("pred") - F.col("value")).alias("error"), *more]
+    if noise is not None:
+        length = F.aggregate("factor", F.lit(0.0), lambda s, axis: s + dot(F.col("phi"), axis) * dot(F.col("phi"), axis))
+        if r is not None and 0 < r <= SHORT:
+            along = [sum((F.col("phi")[i] * F.col("factor")[k][i] for i in range(1, r)), F.col("phi")[0] * F.col("factor")[k][0]) for k in range(r)]
+            length = sum((a * a for a in along[1:]), along[0] * along[0])
+        names.append((length + noise).alias("variance"))
+    return got.select(*names)
+
+
+def _factored(rows: DataFrame) -> DataFrame:
+    """rows with factor in the place of cov: vectors whose squared products with phi sum to phi' S phi, what is below zero in S left out."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "cov") + ", factor array<array<double>>"
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            s = np.stack(f["cov"].to_numpy())
+            k = math.isqrt(s.shape[1])
+            d, v = np.linalg.eigh(s.reshape(-1, k, k))
+            axes = (v * np.sqrt(np.maximum(d, 0))[:, None, :]).transpose(0, 2, 1)
+            yield f.drop(columns="cov").assign(factor=[list(x) for x in axes])
+
+    return rows.mapInPandas(task, schema)
 
 
 def decoded_variance(basis: DataFrame, covs: DataFrame, keys: list[str], noise: float) -> DataFrame:

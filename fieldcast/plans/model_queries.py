@@ -220,7 +220,8 @@ def memory_ablation(spark, sf):
     forecasts, models = (stored(x, "orders") for x in O.order_forecasts(w, [1, 2, 3], 3, 1.0, NOISE))
     facts = O.model_facts(models, 3, ["field", "order"]).groupBy("order").agg(*[F.avg(c).alias(c) for c in ("rho", "gain", "norm_budget", "last_ratio")], F.max("n_parameters").alias("n_parameters"))
     latent = O.latent_scores(forecasts, w, ["order"])
-    return O.ablation_scores(forecasts, basis, pixels).join(latent, ["order", "lead"]).join(facts, "order")
+    late = pixels.where(F.col("date") >= F.lit(CUT_LI).cast("date"))  # has all targets
+    return O.ablation_scores(forecasts, basis, late, len(CENTRES)).join(latent, ["order", "lead"]).join(facts, "order")
 
 
 def _requested(pixels):

@@ -91,3 +91,51 @@ def test_a_field_of_one_block_is_marked_and_means_do_not_hang_on_order(spark):
     days = M._days(pixels, 0.2)
     one, two = (M._blocks(x, basis, days, True).first() for x in (pixels.repartition(5), pixels.orderBy("value")))
     assert one.whole and one == two and np.isclose(one.offset[2], np.mean([v for _, d, p, v in rows if p == 2 and d < DAY + dt.timedelta(24)]))
+
+
+def test_copies_of_pixels_are_counted_before_a_broadcast(spark, tmp_path):
+    """A basis whose file is small may be broadcast; its copies for each part of the rows, which are many times that, may not."""
+    path, was = str(tmp_path / "basis"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.range(2000).selectExpr("0L AS field", "id AS pixel", "array(1.0D, 2.0D) AS phi", "0.5D AS offset").coalesce(1).write.parquet(path)
+    basis = spark.read.parquet(path)
+    w = spark.createDataFrame([(0, t, [0.5, 1.0 * t]) for t in range(40)], "field long, t long, w array<double>")
+    size = int(str(basis._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(4 * size))
+        got = X.decode(w, basis, ["t"], 2)
+        assert "BroadcastHashJoin" not in plan(got) and "SortMergeJoin" in plan(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got.count() == 80000 and got.agg(F.sum("pred")).first()[0] == 2000 * (40 * 1.0 + 2 * sum(range(40)))
+
+
+def _archive(spark):
+    """(forecasts, basis, truth) with days without a frame, null values, a pixel of no basis and forecasts of no value."""
+    rng = np.random.default_rng(6)
+    basis = [(f, p, rng.standard_normal(3).tolist(), None if p == 3 else 0.5 * p) for f in (0, 1) for p in range(6)]
+    truth = [(f, DAY + dt.timedelta(t), p, None if rng.random() < 0.1 else float(rng.standard_normal())) for f in (0, 1) for t in range(9) if t != 4 for p in range(7) if rng.random() < 0.8]
+    half = rng.standard_normal((3, 2))
+    made = [(f, o, DAY + dt.timedelta(t), h, None if t == 2 and h == 1 else rng.standard_normal(3).tolist(), (half @ half.T * (t + h)).ravel().tolist()) for f in (0, 1) for o in (1, 2) for t in range(8) for h in (1, 2)]
+    return (
+        spark.createDataFrame(made, "field long, order int, date date, lead int, w array<double>, cov array<double>"),
+        spark.createDataFrame(basis, "field long, pixel long, phi array<double>, offset double"),
+        spark.createDataFrame(truth, "field long, date date, pixel long, value double"),
+    )
+
+
+def test_only_pixels_with_a_value_are_decoded(spark):
+    """The same errors as from whole decoded maps, and no copies of the basis in the plan of the scores of memory orders."""
+    from fieldcast.operators import operational as O
+    from fieldcast.operators import scoring as S
+
+    forecasts, basis, truth = _archive(spark)
+    own = forecasts.withColumnRenamed("date", "origin")
+    want = S.with_truth(X.decode(own.withColumnRenamed("origin", "day"), basis, ["order", "day", "lead"]).withColumnRenamed("day", "origin"), truth)
+    key, cols = ("field", "order", "origin", "lead", "target", "pixel"), ("pred", "value", "error")
+    held = {tuple(r[k] for k in key): [r[c] for c in cols] for r in want.collect()}
+    for r in (3, None):
+        got = {tuple(x[k] for k in key): [x[c] for c in cols] for x in X.forecast_errors(own, basis, truth, ["order"], r).collect()}
+        assert got.keys() == held.keys() and len(got) > 200 and all(np.allclose(got[k], held[k]) for k in got)
+    scores = O.ablation_scores(forecasts, basis, truth)
+    assert "xxhash64" not in plan(scores)
+    assert sorted(tuple(np.round(r[2:], 9)) for r in scores.collect()) == sorted(tuple(np.round(r[2:], 9)) for r in S.horizon_scores(want, ("order",)).collect())
