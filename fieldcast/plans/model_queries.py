@@ -203,10 +203,10 @@ def end_to_end_scores(spark, sf):
     w, f = rolling(spark, sf, panel=panel)
     days = w.select("field", "t", "date", "observed", F.when(F.col("date") < F.lit(CUT_LI).cast("date"), "train").otherwise("test").alias("split"))
     origins = days.where("observed and split = 'test'")
-    own = f.where("valid").join(origins.select("field", F.col("t").alias("origin"), "date"), ["field", "origin"]).select("field", "variant", F.col("date").alias("day"), "lead", "w")
-    pred = X.decode(own, basis, ["variant", "day", "lead"], len(CENTRES)).withColumnRenamed("day", "origin")
-    scores = S.horizon_scores(S.with_truth(pred, pixels))
-    return S.compare_methods([scores, S.horizon_scores(S.with_truth(S.persistence(pixels, origins, 3), pixels))])
+    own = f.where("valid").join(origins.select("field", F.col("t").alias("origin"), "date"), ["field", "origin"]).select("field", "variant", F.col("date").alias("origin"), "lead", "w")
+    late = pixels.where(F.col("date") >= F.lit(CUT_LI).cast("date"))  # has all origins and targets
+    scores = S.horizon_scores(X.forecast_errors(own, basis, late, ["variant"], len(CENTRES)))
+    return S.compare_methods([scores, S.horizon_scores(S.with_truth(S.persistence(late, origins, 3), late))])
 
 
 @query(None)

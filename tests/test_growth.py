@@ -139,3 +139,11 @@ def test_only_pixels_with_a_value_are_decoded(spark):
     scores = O.ablation_scores(forecasts, basis, truth)
     assert "xxhash64" not in plan(scores)
     assert sorted(tuple(np.round(r[2:], 9)) for r in scores.collect()) == sorted(tuple(np.round(r[2:], 9)) for r in S.horizon_scores(want, ("order",)).collect())
+
+
+def test_the_whole_chain_decodes_no_maps(spark, monkeypatch):
+    from fieldcast.plans import model_queries as Q
+
+    monkeypatch.setattr(X, "decode", None)
+    got = Q.end_to_end_scores(spark, "/root/testdata/sf0.001")
+    assert "xxhash64" not in plan(got) and {r.lead for r in got.collect() if r.variant == "recursive"} == {1, 2, 3}
