@@ -5,6 +5,7 @@ forecasts: (field, variant, origin, lead, pixel, pred); truth: (field, date, pix
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -130,8 +131,9 @@ def extreme_pixels(by_pixel: DataFrame, keys: tuple[str, ...] = ("variant", "lea
     )
 
 
-def interval_coverage(errors: DataFrame, sigma: Column, z: float, keys: tuple[str, ...] = ("variant", "lead")) -> DataFrame:
-    return errors.groupBy(*keys).agg(F.avg((F.abs("error") <= sigma * z).cast("int")).alias("coverage"), F.avg(sigma * z).alias("half_width"))
+def interval_coverage(errors: DataFrame, sigma: Column, z: float, keys: tuple[str, ...] = ("variant", "lead"), more: Sequence[Column] = ()) -> DataFrame:
+    """keys, coverage, half_width and the aggregates in more, from one pass over the errors."""
+    return errors.groupBy(*keys).agg(F.avg((F.abs("error") <= sigma * z).cast("int")).alias("coverage"), F.avg(sigma * z).alias("half_width"), *more)
 
 
 def representation_variance(residuals: DataFrame) -> DataFrame:

@@ -216,23 +216,23 @@ def wide_horizon_family(spark, sf):
 
 def _forecast_errors(spark, sf, horizon: int = 3):
     """Decoded forecasts of all test origins with their truth and the standard deviation of their own covariance, the noise and the
-    pixel's representation variance on the training days."""
+    pixel's representation variance on the training days; and the residuals of all frames."""
     from fieldcast.operators import scoring as S
-    from fieldcast.operators.subspace import bands
-    from fieldcast.plans.model_queries import _models, _states
+    from fieldcast.plans.model_queries import _models
 
     pixels, basis = panel = _panel(spark, sf)
     w = _weights(spark, sf, panel)
+    cut = F.lit(CUT_LI).cast("date")
     rows = w.select("field", F.col("t").cast("long").alias("t"), "observed", "w")
-    origins = w.where(F.col("observed") & (F.col("date") >= F.lit(CUT_LI).cast("date"))).select("field", F.col("t").cast("long").alias("origin"), F.col("date").alias("day"))
-    f = K.rolling_forecasts(rows, _models(spark, sf, w.where(F.col("date") < F.lit(CUT_LI).cast("date"))), None, horizon, K.VARIANTS[:1], covariances=True)
-    f = stored(f.where("valid").join(origins, ["field", "origin"]).select("field", "variant", "day", "lead", "w", "cov"), "test-forecasts")
-    keys = ["variant", "day", "lead"]
-    both = X.decode(f, basis, keys, len(CENTRES)).join(bands(basis, f, keys, NOISE), ["field", *keys, "pixel"]).withColumnRenamed("day", "origin")
-    left = X.residuals(pixels, _states(panel), basis)
-    rep = S.representation_variance(left.where(F.col("date") < F.lit(CUT_LI).cast("date"))).select("field", "pixel", F.col("variance").alias("rep"))
-    sigma = F.sqrt(F.col("variance") + F.coalesce("rep", F.lit(0.0)))
-    return S.with_truth(both, pixels).join(rep, ["field", "pixel"], "left").withColumn("sigma", sigma), left
+    origins = w.where(F.col("observed") & (F.col("date") >= cut)).select("field", F.col("t").cast("long").alias("nth"), F.col("date").alias("origin"))
+    f = K.rolling_forecasts(rows, _models(spark, sf, w.where(F.col("date") < cut)), None, horizon, K.VARIANTS[:1], covariances=True)
+    f = stored(f.where("valid").withColumnRenamed("origin", "nth").join(origins, ["field", "nth"]).select("field", "variant", "origin", "lead", "w", "cov"), "test-forecasts")
+    states = w.where("observed").select("field", "date", "w")
+    left = X.residuals(pixels, states, basis)
+    rep = S.representation_variance(X.residuals(pixels.where(F.col("date") < cut), states, basis)).select("field", "pixel", F.col("variance").alias("rep"))
+    own = stored(basis.join(rep, ["field", "pixel"], "left"), "basis")
+    errors = X.forecast_errors(f, own, pixels.where(F.col("date") >= cut), ["variant"], len(CENTRES), NOISE)
+    return errors.withColumn("sigma", F.sqrt(F.col("variance") + F.coalesce("rep", F.lit(0.0)))), left
 
 
 @query(None)
@@ -240,9 +240,9 @@ def forecast_coverage(spark, sf):
     """How often 90 % intervals of the forecasts' own variance hold the truth, by lead, and the likelihood under that variance."""
     from fieldcast.operators import scoring as S
 
-    errors = stored(_forecast_errors(spark, sf)[0], "errors")
-    nll = errors.groupBy("variant", "lead").agg(S.gaussian_nll(F.col("error"), F.col("sigma") * F.col("sigma")).alias("nll"), S.r_squared(F.col("value"), F.col("error")).alias("r2"))
-    return S.interval_coverage(errors, F.col("sigma"), S.interval_z(0.9)).join(nll, ["variant", "lead"])
+    sigma = F.col("sigma")
+    more = [S.gaussian_nll(F.col("error"), sigma * sigma).alias("nll"), S.r_squared(F.col("value"), F.col("error")).alias("r2")]
+    return S.interval_coverage(_forecast_errors(spark, sf)[0], sigma, S.interval_z(0.9), more=more)
 
 
 @query(None)

@@ -147,3 +147,26 @@ def test_the_whole_chain_decodes_no_maps(spark, monkeypatch):
     monkeypatch.setattr(X, "decode", None)
     got = Q.end_to_end_scores(spark, "/root/testdata/sf0.001")
     assert "xxhash64" not in plan(got) and {r.lead for r in got.collect() if r.variant == "recursive"} == {1, 2, 3}
+
+
+def test_variance_of_decoded_values_alone(spark):
+    """As subspace.bands has it for whole maps, with columns of the basis kept."""
+    from fieldcast.operators import subspace as B
+
+    forecasts, basis, truth = _archive(spark)
+    own = forecasts.where("w is not null").withColumnRenamed("date", "origin")
+    held = {(r.field, r.order, r.origin, r.lead, r.pixel): r.variance for r in B.bands(basis, own, ["order", "origin", "lead"], 0.3).collect()}
+    for r in (3, None):
+        rows = X.forecast_errors(own, basis.withColumn("rep", F.col("pixel") * 2.0), truth, ["order"], r, 0.3).collect()
+        assert len(rows) > 200 and all(np.isclose(x.variance, held[x.field, x.order, x.origin, x.lead, x.pixel]) and x.rep == 2 * x.pixel for x in rows)
+
+
+def test_coverage_and_bias_of_forecasts_decode_no_maps(spark, monkeypatch):
+    from fieldcast.operators import subspace as B
+    from fieldcast.plans import dynamics_queries as D
+
+    monkeypatch.setattr(X, "decode", None)
+    monkeypatch.setattr(B, "bands", None)
+    got = D.forecast_coverage(spark, "/root/testdata/sf0.001")
+    assert "xxhash64" not in plan(got) and [r.lead for r in got.orderBy("lead").collect() if 0 < r.coverage <= 1] == [1, 2, 3]
+    assert "xxhash64" not in plan(D.forecast_bias_attribution(spark, "/root/testdata/sf0.001"))
