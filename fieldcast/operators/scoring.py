@@ -265,11 +265,13 @@ def error_budget(residuals: DataFrame, complement: DataFrame, persistence_rmse:
     """(representation, truncation, static_complement, floor, upstream, persistence, binding): what the parts before the
     forecast cost, in the units of the data.
 
-    residuals (residual) of the reconstruction; complement (field, t, pixel, part): what the subspace leaves out, decoded.
-    Truncation is the one-step drift of that part; floor is gain times the root of the sum of squares.
+    residuals (residual) of the reconstruction; complement: the row of subspace.decoded_drift, or (field, t, pixel, part): what the
+    subspace leaves out, decoded. Truncation is the one-step drift of that part; floor is gain times the root of the sum of squares.
     """
-    step = F.col("part") - F.lag("part").over(Window.partitionBy("field", "pixel").orderBy("t"))
-    moved = complement.withColumn("step", step).agg(F.sqrt(F.avg(F.col("step") * F.col("step"))).alias("truncation"), F.sqrt(F.avg(F.col("part") * F.col("part"))).alias("static_complement"))
+    moved = complement
+    if "part" in complement.columns:
+        step = F.col("part") - F.lag("part").over(Window.partitionBy("field", "pixel").orderBy("t"))
+        moved = complement.withColumn("step", step).agg(F.sqrt(F.avg(F.col("step") * F.col("step"))).alias("truncation"), F.sqrt(F.avg(F.col("part") * F.col("part"))).alias("static_complement"))
     rep = residuals.agg(F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("representation"))
     got = rep.join(F.broadcast(moved)).join(F.broadcast(persistence_rmse.select(F.col("rmse").alias("persistence"))))
     upstream = F.sqrt(F.col("representation") * F.col("representation") + F.col("truncation") * F.col("truncation"))

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcast.operators.moments import moments
@@ -90,6 +90,26 @@ def reconstructed(rows: DataFrame, sub: DataFrame, complement: str | None = None
     return _met(rows, sub, F.floor(F.col("t") / PART), one, _schema(rows, w="array<double>"))
 
 
+def decoded_drift(rows: DataFrame, basis: DataFrame) -> DataFrame:
+    """One row (truncation, static_complement): over all pixels and days of rows (field, t, w), the root mean square of phi . w and of its
+    change from a field's row to the next. Sums over the pixels are w' G w, G the sum of phi phi', so that no row is decoded."""
+    ahead = Window.partitionBy("field").orderBy("t")
+    steps = rows.select("field", "t", "w", F.lag("w").over(ahead).alias("was"))
+    gram = moments(basis.where("phi is not null"), ["field"], "phi").select("field", F.col("n").alias("many"), "xx")
+
+    def one(f: pd.DataFrame, g) -> pd.DataFrame:
+        w = np.stack(f["w"].to_numpy())
+        m = np.asarray(g.xx).reshape(w.shape[1], -1)
+        later = f["was"].notna().to_numpy()
+        d = w[later] - np.stack(f["was"][later].to_numpy()) if later.any() else w[:0]
+        square = lambda x: float(np.einsum("ti,ij,tj->", x, m, x))
+        return pd.DataFrame([(square(d), len(d) * g.many, square(w), len(w) * g.many)], columns=["step", "n_step", "part", "n_part"])
+
+    sums = _met(steps, gram, F.floor(F.col("t") / PART), one, "step double, n_step long, part double, n_part long")
+    root = lambda x: F.sqrt(F.greatest(F.try_divide(F.sum(x), F.sum(f"n_{x}")), F.lit(0.0)))
+    return sums.agg(F.when(F.sum("n_step") > 0, root("step")).alias("truncation"), F.when(F.sum("n_part") > 0, root("part")).alias("static_complement"))
+
+
 def lifted_models(models: DataFrame, sub: DataFrame) -> DataFrame:
     """Model rows of the subspace as rows of the whole states: U A U', UB, U Q U'. Nonzero eigenvalues stay as they are."""
 

@@ -331,9 +331,9 @@ def error_budget(spark, sf):
 
     pixels, basis = panel = _panel(spark, sf)
     w = _weights(spark, sf, panel)
-    left = B.projected(w.where("observed").select("field", "t", "w"), B.subspace_rows(w.where("observed"), 0.9, least=2, most=3)).select("field", "t", F.col("complement").alias("w"))
-    part = X.decode(left, basis.withColumn("offset", F.lit(0.0)), ["t"]).withColumnRenamed("pred", "part")
-    origins = w.where("observed").select("field", "date")
+    seen = w.where("observed")
+    left = stored(B.projected(seen.select("field", "t", "w"), B.subspace_rows(seen, 0.9, least=2, most=3)).select("field", "t", F.col("complement").alias("w")), "complement")
+    origins = seen.select("field", "date")
     now = S.with_truth(S.persistence(pixels, origins, 1), pixels).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
     gain = O.model_facts(_models(spark, sf, w), 3, ["field"]).agg(F.avg("gain")).first()[0]
-    return S.error_budget(X.residuals(pixels, _states(panel), basis), part, now, gain or 1.0)
+    return S.error_budget(X.residuals(pixels, seen, basis), B.decoded_drift(left, basis), now, gain or 1.0)

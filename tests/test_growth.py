@@ -170,3 +170,18 @@ def test_coverage_and_bias_of_forecasts_decode_no_maps(spark, monkeypatch):
     got = D.forecast_coverage(spark, "/root/testdata/sf0.001")
     assert "xxhash64" not in plan(got) and [r.lead for r in got.orderBy("lead").collect() if 0 < r.coverage <= 1] == [1, 2, 3]
     assert "xxhash64" not in plan(D.forecast_bias_attribution(spark, "/root/testdata/sf0.001"))
+
+
+def test_drift_of_what_a_subspace_leaves_out_is_not_decoded(spark):
+    """The budget of the latent sums is that of decoded maps, for fields of several pixels, with gaps and with a single day."""
+    from fieldcast.operators import scoring as S
+    from fieldcast.operators import subspace as B
+
+    rng = np.random.default_rng(8)
+    basis = spark.createDataFrame([(f, p, rng.standard_normal(3).tolist(), 0.0) for f in (0, 1, 2) for p in range(4 + 3 * f)], "field long, pixel long, phi array<double>, offset double")
+    left = spark.createDataFrame([(f, t, rng.standard_normal(3).tolist()) for f, days in ((0, range(0, 5000, 300)), (1, (3, 4, 9)), (2, (7,))) for t in days], "field long, t long, w array<double>")
+    resid, now = spark.createDataFrame([(1.0,), (2.0,)], "residual double"), spark.createDataFrame([(3.0,)], "rmse double")
+    drift = B.decoded_drift(left, basis)
+    one, two = (S.error_budget(resid, x, now, 1.5).first() for x in (drift, X.decode(left, basis, ["t"]).withColumnRenamed("pred", "part")))
+    assert "xxhash64" not in plan(drift) and np.allclose(one[:-1], two[:-1]) and one[-1] == two[-1] and one.truncation > 0
+    assert tuple(B.decoded_drift(left.where("field = 2"), basis).first())[0] is None and tuple(B.decoded_drift(left.where("false"), basis).first()) == (None, None)
