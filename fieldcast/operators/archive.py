@@ -45,12 +45,18 @@ def frame_counts(pixels: DataFrame, cells: int | Column, min_share: float = 0.0,
 
 
 def calendar(frames: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
-    """(field, date, t, observed): every day of each field from start to end (its own first and last frame unless given)."""
+    """(field, date, t, observed): every day of each field from start to end (its own first and last frame unless given).
+
+    Days and frames meet in one aggregation: Spark takes the days of a span for one row, and would send those of all fields through
+    the driver to join them.
+    """
     span = frames.groupBy("field").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     first, last = F.col("lo") if start is None else start, F.col("hi") if end is None else end
-    days = span.select("field", F.explode(F.sequence(first, last)).alias("date"), first.alias("first_day"))
-    have = frames.select("field", "date", F.col("observed").alias("seen")) if "observed" in frames.columns else frames.select("field", "date", F.lit(True).alias("seen")).distinct()
-    return days.join(have, ["field", "date"], "left").select("field", "date", F.datediff("date", "first_day").alias("t"), F.coalesce("seen", F.lit(False)).alias("observed"))
+    days = span.select("field", F.explode(F.sequence(first, last)).alias("date"), first.alias("first_day"), F.lit(False).alias("seen"))
+    seen = F.col("observed") if "observed" in frames.columns else F.lit(True)
+    have = frames.where("field is not null").select("field", "date", F.lit(None).cast(dict(days.dtypes)["first_day"]).alias("first_day"), seen.alias("seen"))
+    both = days.unionByName(have).groupBy("field", "date").agg(F.max("first_day").alias("first_day"), F.coalesce(F.bool_or("seen"), F.lit(False)).alias("observed"))
+    return both.where("first_day is not null").select("field", "date", F.datediff("date", "first_day").alias("t"), "observed")
 
 
 def frames_outside(frames: DataFrame, cal: DataFrame) -> DataFrame:
@@ -97,7 +103,7 @@ def common_mask(coverage: DataFrame, min_pixels: int = 64, ladder: tuple[float,
     """(field, pixel, level): the pixels valid on all dates; with fewer than min_pixels, the first rung that gives enough; if none does, the strict ones."""
     counts = coverage.groupBy("field").agg(*[F.count_if(F.col("coverage") >= f).alias(f"n{i}") for i, f in enumerate(ladder)])
     level = F.coalesce(*[F.when(F.col(f"n{i}") >= min_pixels, F.lit(f)) for i, f in enumerate(ladder)], F.lit(ladder[0]))
-    return coverage.join(F.broadcast(counts.select("field", level.alias("level"))), "field").where("coverage >= level").select("field", "pixel", "level")
+    return coverage.join(counts.select("field", level.alias("level")), "field").where("coverage >= level").select("field", "pixel", "level")
 
 
 def static_mask(pixels: DataFrame, cal: DataFrame, grid: DataFrame) -> DataFrame:

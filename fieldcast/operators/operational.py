@@ -79,7 +79,9 @@ def requested_maps(forecasts: DataFrame, pixels: DataFrame, basis: DataFrame, no
     var = bands(basis, forecasts, keys, noise).join(scale.select("field", F.col("std").alias("sd")), "field")
     rep = repvar.select("field", "pixel", F.col("variance").alias("rep")) if repvar is not None else basis.select("field", "pixel", F.lit(0.0).alias("rep"))
     std = var.join(rep, ["field", "pixel"], "left").select("field", *keys, "pixel", F.sqrt(F.col("variance") * F.col("sd") * F.col("sd") + F.coalesce("rep", F.lit(0.0))).alias("band"))
-    maps = sinks.forecast_maps(pred, pixels, scale, std, units)
+    # The frames of target days alone: the archive itself is not shuffled by pixel and day.
+    targets = forecasts.select("field", F.expr("date_add(origin, lead)").alias("date")).distinct()
+    maps = sinks.forecast_maps(pred, pixels.join(targets, ["field", "date"], "left_semi"), scale, std, units)
     mask = archive.common_mask(archive.pixel_coverage(pixels, archive.calendar(pixels))).select("field", "pixel", F.lit(True).alias("_inside"))
     inside = maps.join(mask, ["field", "pixel"], "left").withColumns({c: F.when(F.col("_inside"), F.col(c)) for c in ("forecast", "std", "error")})
     return sinks.with_nodata(inside.drop("_inside"))

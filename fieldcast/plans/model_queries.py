@@ -263,9 +263,10 @@ def requested_maps(spark, sf):
     from fieldcast.operators import operational as O
 
     pixels, basis = panel = _panel(spark, sf)
-    models = _models(spark, sf, _weights(spark, sf, panel))
+    w = _weights(spark, sf, panel)
+    models = _models(spark, sf, w)
     got = stored(O.operational_forecasts(_requested(pixels), pixels, basis, models, NOISE, LAGS, 3, covariances=True), "requested")
-    rep = S.representation_variance(X.residuals(pixels, _states(panel), basis))
+    rep = S.representation_variance(X.residuals(pixels, w.where("observed"), basis))
     return O.requested_maps(got, pixels, basis, NOISE, repvar=rep, units="items").drop("tags")
 
 

@@ -185,3 +185,18 @@ def test_drift_of_what_a_subspace_leaves_out_is_not_decoded(spark):
     one, two = (S.error_budget(resid, x, now, 1.5).first() for x in (drift, X.decode(left, basis, ["t"]).withColumnRenamed("pred", "part")))
     assert "xxhash64" not in plan(drift) and np.allclose(one[:-1], two[:-1]) and one[-1] == two[-1] and one.truncation > 0
     assert tuple(B.decoded_drift(left.where("field = 2"), basis).first())[0] is None and tuple(B.decoded_drift(left.where("false"), basis).first()) == (None, None)
+
+
+def test_a_calendar_is_no_join(spark):
+    """The days of a span are many more rows than Spark takes them for; joined to frames, those of all fields went through the driver."""
+    from fieldcast.operators import archive as A
+
+    day = lambda t: DAY + dt.timedelta(t)
+    frames = spark.createDataFrame([("a", day(0), 1, 1.0), ("a", day(0), 2, None), ("a", day(3), 1, 2.0), ("b", day(5), 1, 1.0), (None, day(2), 1, 1.0)], "field string, date date, pixel int, value double")
+    got = A.calendar(frames)
+    assert "Join" not in plan(got.where("observed"))
+    assert {(r.field, r.date): (r.t, r.observed) for r in got.collect()} == {("a", day(t)): (t, t in (0, 3)) for t in range(4)} | {("b", day(5)): (0, True), (None, day(2)): (0, False)}
+    cut = A.calendar(frames.where("field = 'a'"), F.lit(day(-1)), F.lit(day(2)))
+    assert sorted(map(tuple, cut.collect())) == [("a", day(t), t + 1, t == 0) for t in range(-1, 3)]
+    marked = spark.createDataFrame([("a", day(0), True), ("a", day(1), False), ("a", day(2), None), ("a", day(3), True)], "field string, date date, observed boolean")
+    assert [r.observed for r in A.calendar(marked).orderBy("date").collect()] == [True, False, False, True]
